@@ -7,10 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulith.llm.chat import op7_chat
 from tabulith.llm.common import load
+from tabulith.llm.decontaminate import op2_decontamination
+from tabulith.llm.html import op4_html
+from tabulith.llm.licences import op6_licences
 from tabulith.llm.media import op9_media
+from tabulith.llm.mixing import op5_mixing
+from tabulith.llm.ngram_join import op3_ngram_join
 from tabulith.llm.sharding import op10_sharding
 from tabulith.llm.token_store import op1_token_ids
+from tabulith.llm.toxicity import op8_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +26,34 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_token_ids(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_decontamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_ngram_join(load(spark, sf_dir, "documents"))
+
+
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_html(load(spark, sf_dir, "pages"))
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_mixing(load(spark, sf_dir, "documents"))
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_licences(load(spark, sf_dir, "documents"))
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_chat(load(spark, sf_dir, "conversations"))
+
+
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_media(load(spark, sf_dir, "documents"))
 
@@ -29,6 +64,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_ids": op1,
+    "op2_decontamination": op2,
+    "op3_ngram_join": op3,
+    "op4_html_extraction": op4,
+    "op5_mixing": op5,
+    "op6_license_scan": op6,
+    "op7_chat_format": op7,
+    "op8_toxicity": op8,
     "op9_media_columns": op9,
     "op10_sharding": op10,
 }

@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field with two tags, trained on documents' labels.
 
 Words are labelled for training from the documents' labels: a word is toxic in a toxic document if it, or its first four or five bytes, stands in
-many toxic documents and in hardly any other.  The field has weights for hashed features of a word (itself, its first
+many places of toxic documents and in hardly any of others.  The field has weights for hashed features of a word (itself, its first
 three, four and five bytes, its last three) and for the transitions of tags.  Forward-backward marginals give the
 expected number of toxic words and the surest one; a logistic curve over both, fitted on the same documents, is the score.
 """
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BUCKETS = 1 << 18
-#: Labelled documents of each class that training sees at most: a fixed bound, drawn by a hash of the id.
-SAMPLE = 1500
+#: Toxic documents that training sees at most, and twice as many others: a fixed bound, drawn by a hash of the id.
+SAMPLE = 1000
 #: Words of one batch of chains, and words whose weight a worker remembers.
 BATCH, KNOWN = 1_000_000, 800_000
 
@@ -126,17 +126,32 @@ def _per_doc(marginal: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_labels(docs: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
-    """Words and beginnings that stand in at least 12 toxic documents and in 40 times as large a share of them as of others."""
-    bad: Counter = Counter()
-    good: Counter = Counter()
-    for words, label in zip(docs, toxic, strict=True):
-        seen = {key for w in set(words) for key in (w, b"4" + w[:4], b"5" + w[:5]) if key is w or len(w) >= 4}
-        (bad if label else good).update(seen)
-    n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    return {k for k, v in bad.items() if v >= 12 and v / n_bad > 40 * (good[k] + 0.25) / n_good}
-
+    """Words and beginnings that stand between at least 16 pairs of neighbours in toxic documents, 40 times as many as in others.
 
-def train(texts: list[str | None], toxic: list[int], rounds: int = 30, rate: float = 0.6, decay: float = 1e-3) -> Model:
+    Neighbours are counted, not documents, since copies of a toxic document repeat its harmless words too.  A beginning
+    counts only if no single word has more than half of its places.
+    """
+    seen: tuple[set, set] = (set(), set())
+    for words, label in zip(docs, toxic, strict=True):
+        framed = [b"", *words, b""]
+        for before, word, after in zip(framed, framed[1:], framed[2:], strict=False):
+            place = hash((before, after))
+            seen[bool(label)].add((word, place))
+            if len(word) >= 4:
+                seen[bool(label)].add((b"4" + word[:4], place))
+                seen[bool(label)].add((b"5" + word[:5], place))
+    good, bad = (Counter(key for key, _ in s) for s in seen)
+    scale = 40 * max(1, int(toxic.sum())) / max(1, int((~toxic).sum()))
+    often = {k for k, v in bad.items() if v >= 16 and v > scale * good[k]}
+    most: Counter = Counter()
+    for word, n in bad.items():
+        for key in (b"4" + word[:4], b"5" + word[:5]):
+            if word[:1] not in b"45" and n > most[key]:
+                most[key] = n
+    return {k for k in often if k[:1] not in b"45" or most[k] <= bad[k] / 2}
+
+
+def train(texts: list[str | None], toxic: list[int], rounds: int = 15, rate: float = 0.6, decay: float = 1e-3) -> Model:
     """Fit the field on the word labels by gradient steps, then the curve on the documents' labels."""
     labels = np.array(toxic, bool)
     docs = [split(t) for t in texts]
@@ -186,14 +201,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` labelled documents of each class, those with the smallest hashes of their ids.
+    """Train on at most ``sample`` toxic and twice as many other labelled documents, those with the smallest hashes of their ids.
 
     Rows that are held out, have no label, or whose id is null are never seen.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    drawn = known.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(sample).union(known.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(sample))
-    # at most 2 x sample ids are broadcast, and as many texts come to the driver
+    drawn = known.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(sample).union(known.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(2 * sample))
+    # at most 3 x sample ids are broadcast, and as many texts come to the driver
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     return train([r.text for r in rows], [r.toxic for r in rows])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -27,11 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
+
+    What was shuffled to make it is not needed again; Spark deletes such files once the objects that stand for
+    them are collected as garbage, which a driver with free memory may put off for half an hour.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return back
 
 
 def partitions(spark: SparkSession) -> int:

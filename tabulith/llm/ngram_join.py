@@ -172,11 +172,11 @@ def _column_pairs(percent: int, across: bool):
     return run
 
 
-def _overlaps(percent: int):
+def _overlaps(k: int, percent: int):
     """Accumulate the overlap of each pair over all columns and keep pairs that reach the threshold."""
 
     def run(pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        sets = {key: np.frombuffer(data, np.uint64) for key, data in zip(rows["node"], rows["shingles"], strict=True)}
+        sets = dict(zip(rows["node"], shingle_sets(pa.array(rows["text"], pa.large_string(), from_pandas=True), k), strict=True))
         good = []
         for a, group in pairs.groupby("a")["b"]:
             mine = sets[a]
@@ -195,24 +195,15 @@ def _overlaps(percent: int):
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = pa.array([s.tobytes() for s in shingle_sets(batch[1], k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch[0].cast(pa.int64()), data], names=["node", "shingles"])
-
-    return run
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+def _verified(pairs: DataFrame, source: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
     """The pairs (a, b) whose exact overlap reaches the threshold, in row blocks that hold only the rows their pairs need."""
     per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
     cut = F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / PAIRS_A_BLOCK))
     dealt = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("a", cut), F.lit(parts * 4)).cast("int").alias("block"))
     dealt = stash(dealt, "pairs")
     wanted = dealt.select("block", F.col("a").alias("node")).union(dealt.select("block", F.col("b").alias("node"))).distinct()
-    rows = wanted.join(sets, "node").select(F.col("block").alias("at"), "node", "shingles")
-    return dealt.groupBy("block").cogroup(rows.groupBy("at")).applyInPandas(_overlaps(percent), "a long, b long")
+    rows = wanted.join(source, F.col("node") == F.col("doc_id")).select(F.col("block").alias("at"), "node", "text")
+    return dealt.groupBy("block").cogroup(rows.groupBy("at")).applyInPandas(_overlaps(k, percent), "a long, b long")
 
 
 def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -248,14 +239,12 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
     block = F.pmod(F.xxhash64("column"), F.lit(parts * 4)).cast("int")
     near = shared.withColumn("block", block).groupBy("block").applyInPandas(_column_pairs(percent, False), "a long, b long").distinct()
     near = stash(near, "pivot-pairs")
-    involved = shared.select(F.col("node").alias("doc_id")).distinct()
-    sets = stash(source.join(involved, "doc_id").mapInArrow(_sets(k), "node long, shingles binary").dropDuplicates(["node"]), "sets")
-    links = stash(_verified(near, sets, percent, parts), "links")
+    links = stash(_verified(near, source, k, percent, parts), "links")
     roots = components(links)
 
     marked = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("block", block)
     far = marked.groupBy("block").applyInPandas(_column_pairs(percent, True), "a long, b long").distinct()
-    more = stash(_verified(stash(far.join(near, ["a", "b"], "left_anti"), "other-pairs"), sets, percent, parts), "links")
+    more = stash(_verified(stash(far.join(near, ["a", "b"], "left_anti"), "other-pairs"), source, k, percent, parts), "links")
     links = links.union(more)
     roots = stash(components(links), "roots")
 

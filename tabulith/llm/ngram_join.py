@@ -29,7 +29,7 @@ from tabulith.llm.kernels import shingle_sets
 FREQUENT = 2_000_000
 LEAST_FREQUENT = 48
 #: Pairs that share a first row and are verified in one task.
-PAIRS_A_BLOCK = 2000
+PAIRS_A_BLOCK = 250
 
 
 def _signed(x: int) -> int:
@@ -202,7 +202,8 @@ def _verified(pairs: DataFrame, source: DataFrame, k: int, percent: int, parts:
     dealt = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("a", cut), F.lit(parts * 4)).cast("int").alias("block"))
     dealt = stash(dealt, "pairs")
     wanted = dealt.select("block", F.col("a").alias("node")).union(dealt.select("block", F.col("b").alias("node"))).distinct()
-    rows = wanted.join(source, F.col("node") == F.col("doc_id")).select(F.col("block").alias("at"), "node", "text")
+    # what is wanted grows with the input, so it is never broadcast
+    rows = source.join(wanted.hint("merge"), F.col("node") == F.col("doc_id")).select(F.col("block").alias("at"), "node", "text")
     return dealt.groupBy("block").cogroup(rows.groupBy("at")).applyInPandas(_overlaps(k, percent), "a long, b long")
 
 

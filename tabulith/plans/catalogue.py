@@ -1,6 +1,576 @@
-"""All queries of the engine with the SQL that restates them."""
+"""All queries of the engine with DuckDB SQL that restates them."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabulith.functions import answers as A
+from tabulith.functions import lexicon as L
+from tabulith.functions import profile as P
+from tabulith.functions import text as T
+from tabulith.operators import candidates as C
+from tabulith.operators import evaluate as E
+from tabulith.operators import ranking as R
+from tabulith.operators import tables as B
+from tabulith.operators import tools as X
+from tabulith.operators import voting as V
+from tabulith.plans import fixtures as I
+from tabulith.sources import corpus as S
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with the SQL that restates it."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def questions(spark: SparkSession) -> DataFrame:
+    return inline(spark, I.QUESTIONS, "q_id string, question string")
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+
+
+Q = I.sql_values(I.QUESTIONS, "q_id, question")
+N = I.sql_values(I.ANSWERS, "a_id, question, answer")
+
+
+def sql_any(text: str, phrases: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '" + p.replace("'", "''") + "')" for p in phrases) + ")"
+
+
+def sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def sql_unique(values: str) -> str:
+    """Distinct values of a list in order of their first place."""
+    return f"list_filter({values}, lambda v, i: v <> '' AND list_position({values}, v) = i)"
+
+
+TRIM = r"'^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$'"
+
+
+def sql_strip(text: str) -> str:
+    return f"regexp_replace({text}, {TRIM}, '', 'g')"
+
+
+# --- sources and text -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, length(text) AS n_chars, strlen(text) AS n_bytes FROM documents")
+def corpus_scan(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"), F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query(
+    """SELECT doc_id, length(p) AS n, md5(p) AS digest FROM (SELECT doc_id, CASE WHEN length(text) <= 8000 THEN text ELSE
+    substr(text, 1, 2666) || chr(10) || substr(text, greatest(0, length(text) // 2 - 1333) + 1, 2666) || chr(10) || right(text, 2666) END AS p FROM documents)"""
+)
+def corpus_preview(spark, sf_dir):
+    p = table(spark, sf_dir, "documents").select("doc_id", T.preview(F.col("text")).alias("p"))
+    return p.select("doc_id", F.length("p").cast("long").alias("n"), F.md5("p").alias("digest"))
+
+
+@query("SELECT doc_id, md5(translate(lower(text), '''`’', '')) AS digest FROM documents")
+def normalize_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("digest"))
+
+
+@query(
+    r"""SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE line <> '') AS n_filled, max(length(line)) AS longest
+    FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS line FROM documents) GROUP BY doc_id"""
+)
+def line_explode(spark, sf_dir):
+    rows = B.explode_lines(table(spark, sf_dir, "documents"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count(F.when(F.col("line") != "", 1)).alias("n_filled"), F.max(F.length("line")).cast("long").alias("longest"))
+
+
+@query(
+    rf"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS line FROM documents), s AS (SELECT doc_id,
+    CASE WHEN regexp_matches(line, '[0-9]') THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(line, '{L.NUMBER}', 0)) >= 2 THEN 2 ELSE 0 END
+    + CASE WHEN regexp_matches(line, '[%$¥£]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(line, '[ \t\n\r\f]{{2,}}|\t') THEN 1 ELSE 0 END AS sig FROM l)
+    SELECT doc_id, sum(sig)::BIGINT AS table_signal, count(*) FILTER (WHERE sig >= 2) AS table_lines FROM s GROUP BY doc_id"""
+)
+def line_signals(spark, sf_dir):
+    line = F.col("line")
+    signal = T.table_signal(line) - F.when(F.lower(line).rlike(L.MONTH_WORD), 1).otherwise(0)  # no month words next to accented letters here
+    rows = B.explode_lines(table(spark, sf_dir, "documents")).withColumn("s", signal)
+    return rows.groupBy("doc_id").agg(F.sum("s").cast("long").alias("table_signal"), F.count(F.when(F.col("s") >= 2, 1)).alias("table_lines"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(list_zip(range(len(a)), a)) AS z FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS a FROM documents)),
+    r AS (SELECT doc_id, z[1] AS line_no, z[2] AS line FROM l WHERE len(regexp_extract_all(z[2], '\|', 0)) >= 2),
+    g AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM r),
+    b AS (SELECT doc_id, min(line_no) AS start_line, max(line_no) AS end_line, count(*) AS pipe_lines, string_agg(line, chr(10) ORDER BY line_no) AS body FROM g GROUP BY doc_id, i HAVING count(*) >= 2)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start_line) - 1 AS block_no, start_line, end_line, pipe_lines, md5(body) AS digest FROM b"""
+)
+def table_blocks(spark, sf_dir):
+    return B.table_blocks(table(spark, sf_dir, "documents")).withColumn("digest", F.md5("body")).drop("body")
+
+
+@query()
+def block_titles(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return B.block_titles(B.table_blocks(docs), docs)
+
+
+@query()
+def section_split(spark, sf_dir):
+    return B.sections(table(spark, sf_dir, "documents"))
+
+
+@query(r"""SELECT page_id, string_agg(h, chr(10) ORDER BY place) AS heading_summary FROM (SELECT page_id, h, min(place) AS place FROM (SELECT page_id,
+    unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS h, generate_subscripts(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1), 1) AS place FROM pages) GROUP BY page_id, h) GROUP BY page_id""")
+def heading_summary(spark, sf_dir):
+    heads = F.array_distinct(T.find_all(F.col("html"), "<h[1-6][^>]*>([^<]*)</h[1-6]>", 1))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(heads, "\n").alias("heading_summary")).where(F.size(heads) > 0)
+
+
+@query(f"SELECT doc_id, len({sql_unique('e')}) AS n, array_to_string({sql_unique('e')}, '|') AS entities FROM (SELECT doc_id, list_filter(list_transform(list_concat(regexp_extract_all(text, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+', 0), regexp_extract_all(text, '[A-Z][a-z]+(?:\\s+(?:[A-Z][a-z]+|and|of|the|for|in|to))+\\s+[A-Z][a-z]+', 0)), lambda x: lower(x)), lambda x: length(x) >= 6) AS e FROM documents)")
+def named_entities(spark, sf_dir):
+    e = T.named_entities(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(e).cast("long").alias("n"), F.array_join(e, "|").alias("entities"))
+
+
+@query("SELECT doc_id, len(n) AS n_numbers, array_to_string(n, ' ') AS numbers FROM (SELECT doc_id, regexp_extract_all(text, '" + L.NUMBER + "', 0) AS n FROM documents)")
+def number_tokens(spark, sf_dir):
+    n = T.find_all(F.col("text"), L.NUMBER)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(n).cast("long").alias("n_numbers"), F.array_join(n, " ").alias("numbers"))
+
+
+@query(f"SELECT q_id, array_to_string({sql_unique('p')}, '|') AS phrases FROM (SELECT q_id, list_transform(regexp_extract_all(question, '[''‘’]([^''‘’]{{3,}})[''‘’]|\"([^\"]{{3,}})\"', 0), lambda h: {sql_strip('lower(substr(h, 2, length(h) - 2))')}) AS p FROM {Q})")
+def quoted_phrases(spark, sf_dir):
+    return questions(spark).select("q_id", F.array_join(T.quoted_phrases(F.col("question")), "|").alias("phrases"))
+
+
+@query(f"SELECT q_id, array_to_string({sql_unique('c')}, '|') AS codes FROM (SELECT q_id, list_transform(regexp_extract_all(question, '[A-Z]{{1,6}}-[A-Z]?-?[0-9]+[A-Z]?', 0), lambda x: lower(x)) AS c FROM {Q})")
+def table_codes(spark, sf_dir):
+    return questions(spark).select("q_id", F.array_join(T.table_codes(F.col("question")), "|").alias("codes"))
+
+
+FOCUS_SQL = "[" + ", ".join(f"regexp_extract(lower(question), '{p}', 0)" for p in L.FOCUS) + "]"
+
+
+@query(f"SELECT q_id, array_to_string({sql_unique('f')}, '|') AS phrases FROM (SELECT q_id, {FOCUS_SQL} AS f FROM {Q})")
+def focus_phrases(spark, sf_dir):
+    return questions(spark).select("q_id", F.array_join(T.focus_phrases(F.col("question")), "|").alias("phrases"))
+
+
+def _keywords_sql() -> str:
+    entities = r"list_filter(list_transform(list_concat(regexp_extract_all(question, '[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+', 0), regexp_extract_all(question, '[A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|and|of|the|for|in|to))+\s+[A-Z][a-z]+', 0)), lambda x: lower(x)), lambda x: length(x) >= 6)"
+    quoted = f"list_transform(regexp_extract_all(question, '[''‘’]([^''‘’]{{3,}})[''‘’]|\"([^\"]{{3,}})\"', 0), lambda h: {sql_strip('lower(substr(h, 2, length(h) - 2))')})"
+    codes = "list_transform(regexp_extract_all(question, '[A-Z]{1,6}-[A-Z]?-?[0-9]+[A-Z]?', 0), lambda x: lower(x))"
+    words = f"list_filter(regexp_extract_all(lower(question), '[a-z][a-z0-9$%.-]{{2,}}', 0), lambda w: NOT list_contains({sql_list(L.STOPWORDS)}, w))"
+    more = [f"CASE WHEN regexp_matches(lower(question), '{p}') THEN {sql_list(f)} ELSE []::VARCHAR[] END" for p, f in L.EXPANSIONS]
+    negative = [f"CASE WHEN {sql_any('lower(question)', p)} THEN {sql_list(f)} ELSE []::VARCHAR[] END" for p, f in L.NEGATIVE]
+    k = "list_concat(" * 4 + f"{FOCUS_SQL}, {entities}), {quoted}), {codes}), {words})"
+    for m in more:
+        k = f"list_concat({k}, {m})"
+    neg = negative[0]
+    for m in negative[1:]:
+        neg = f"list_concat({neg}, {m})"
+    return f"""SELECT q_id, array_to_string(list_slice(list_filter({sql_unique('k')}, lambda w: NOT list_contains(neg, w)), 1, 28), '|') AS keywords FROM (SELECT q_id, {k} AS k, {neg} AS neg FROM {Q})"""
+
+
+@query(_keywords_sql())
+def question_keywords(spark, sf_dir):
+    return questions(spark).select("q_id", F.array_join(T.keywords(F.col("question")), "|").alias("keywords"))
+
+
+_YEAR = "(19[2-9][0-9]|20[0-2][0-9])"
+_SPANS = [rf"\bfrom\s+{_YEAR}\s+to\s+{_YEAR}\b", rf"\bbetween\s+{_YEAR}\s+and\s+{_YEAR}\b", rf"\b{_YEAR}\s*[-–—]\s*{_YEAR}\b"]
+_SPAN_SQL = " UNION ALL ".join(f"SELECT q_id, unnest(regexp_extract_all(lower(question), '{p}', 1))::INT AS a, unnest(regexp_extract_all(lower(question), '{p}', 2))::INT AS b FROM q" for p in _SPANS)
+YEARS_SQL = f"""WITH q AS (SELECT * FROM {Q}), s AS ({_SPAN_SQL}), y AS (SELECT q_id, unnest(regexp_extract_all(question, '\\b{_YEAR}\\b', 0))::INT AS y FROM q
+    UNION SELECT q_id, unnest(range(least(a, b), greatest(a, b) + 1))::INT FROM s WHERE abs(a - b) BETWEEN 1 AND 20)"""
+
+
+@query(f"{YEARS_SQL} SELECT q.q_id, count(y) AS n, coalesce(string_agg(y::VARCHAR, ' ' ORDER BY y), '') AS years FROM q LEFT JOIN y ON q.q_id = y.q_id GROUP BY q.q_id")
+def question_years(spark, sf_dir):
+    y = T.years(F.col("question"))
+    return questions(spark).select("q_id", F.size(y).cast("long").alias("n"), F.array_join(F.transform(y, lambda v: v.cast("string")), " ").alias("years"))
+
+
+# --- question profile -------------------------------------------------------------------------------------------------
+
+FLAGS = ["expects_list", "expects_regression", "expects_series_math", "expects_date", "expects_percent", "expects_difference", "expects_sum", "expects_scalar_lookup", "wants_full_number", "mentions_veterans_admin", "include_public_works", "exclude_revolving", "exclude_trust_accounts", "exclude_territories", "exclude_regional_aggregates", "prefers_country_claims", "wants_tax_regression", "wants_january_debt_series", "wants_calendar_year", "wants_monthly_series", "wants_auction_bid_data", "wants_bill_rate_data", "wants_maturity_schedule"]
+_BASE = ", ".join(f"{sql_any('lower(question)', p)} AS {n}" for n, p in L.FEATURES.items())
+PROFILE_SQL = f"""{YEARS_SQL}, p0 AS (SELECT q_id, question, lower(question) AS low, {_BASE}, list_filter({sql_list(L.MONTHS)}, lambda m: contains(lower(question), m)) AS months,
+    (SELECT count(*) FROM y WHERE y.q_id = q.q_id) AS year_count FROM q),
+    p1 AS (SELECT *, asks_date OR expects_series_math AS expects_date, NOT no_lookup AS expects_scalar_lookup, contains(low, 'claims') AND contains(low, 'country') AND claims_words AS prefers_country_claims,
+    coalesce(TRY_CAST(regexp_extract(low, '\\b([0-9]+)-year\\s+u\\.?s\\.?\\s+treasury\\s+notes?\\b', 1) AS INT), 0) AS note_term_years,
+    contains(low, 'individual income tax receipts') AND regression_words AS wants_tax_regression, contains(low, 'january') AND contains(low, 'debt') AND series_words AS wants_january_debt_series,
+    asks_monthly OR (expects_series_math AND len(months) > 0 AND year_count >= 2) AS wants_monthly_series, (bill_term AND bill_word) OR bill_phrase AS wants_bill_rate_data FROM p0),
+    p AS (SELECT *, (contains(low, 'maturing') AND NOT wants_bill_rate_data AND NOT wants_auction_bid_data) OR schedule_phrase AS wants_maturity_schedule FROM p1)"""
+
+
+@query(f"{PROFILE_SQL} SELECT q_id, array_to_string(months, '|') AS months, year_count, note_term_years, {', '.join(FLAGS)} FROM p")
+def question_profile(spark, sf_dir):
+    return P.with_profile(questions(spark)).select("q_id", F.array_join("months", "|").alias("months"), F.col("year_count").cast("long").alias("year_count"), "note_term_years", *FLAGS)
+
+
+_HIT = {n: f"regexp_matches(low, '{p}')" for n, p in L.FAMILY_PATTERNS.items()} | {
+    "bill_rates": "wants_bill_rate_data",
+    "auction_results": "wants_auction_bid_data",
+    "maturity_schedule": "wants_maturity_schedule",
+}
+_HIT["calendar_defense"] = f"(wants_calendar_year OR wants_monthly_series) AND {_HIT['national_defense']}"
+_TAXED = "expects_regression AND contains(low, 'receipts')"
+_FAMILY_LIST = "[" + ", ".join([f"CASE WHEN {_HIT[n]} THEN '{n}' ELSE '' END" for n in L.FAMILY_ORDER] + [f"CASE WHEN {_TAXED} THEN 'ffo' ELSE '' END", f"CASE WHEN {_TAXED} THEN 'tax_receipts' ELSE '' END", "CASE WHEN expects_list AND contains(low, 'debt') THEN 'fd' ELSE '' END"]) + "]"
+FAMILY_SQL = f"{PROFILE_SQL}, f0 AS (SELECT *, {_FAMILY_LIST} AS f FROM p), f AS (SELECT *, {sql_unique('f')} AS families FROM f0)"
+
+
+@query(f"{FAMILY_SQL} SELECT q_id, array_to_string(families, '|') AS families FROM f")
+def families(spark, sf_dir):
+    return P.with_profile(questions(spark)).select("q_id", F.array_join(P.families(), "|").alias("families"))
+
+
+_DIFF = " + ".join([f"CASE WHEN {n} THEN {w} ELSE 0 END" for n, w in P.DIFFICULTY.items()] + ["CASE WHEN year_count >= 3 THEN 2 ELSE 0 END", "CASE WHEN year_count >= 5 THEN 1 ELSE 0 END", "CASE WHEN length(question) >= 280 THEN 2 WHEN length(question) >= 200 THEN 1 ELSE 0 END"])
+
+
+@query(f"{PROFILE_SQL} SELECT q_id, s AS score, CASE WHEN s >= 6 THEN 'hard' WHEN s >= 3 THEN 'medium' ELSE 'easy' END AS difficulty FROM (SELECT q_id, {_DIFF} AS s FROM p)")
+def difficulty(spark, sf_dir):
+    return P.with_profile(questions(spark)).select("q_id", P.difficulty_score().alias("score"), P.difficulty().alias("difficulty"))
+
+
+_DIMS = f"list_filter({sql_list(L.DIMENSIONS)}, lambda t: contains(low, t))"
+for _flags, _terms in L.IMPLIED_DIMENSIONS:
+    _DIMS = f"list_concat({_DIMS}, CASE WHEN {' OR '.join(_flags)} THEN {sql_list(_terms)} ELSE []::VARCHAR[] END)"
+
+
+@query(f"{PROFILE_SQL} SELECT q_id, array_to_string({sql_unique('d')}, '|') AS terms FROM (SELECT q_id, {_DIMS} AS d FROM p)")
+def dimension_terms(spark, sf_dir):
+    return P.with_profile(questions(spark)).select("q_id", F.array_join(P.dimension_terms(), "|").alias("terms"))
+
+
+_WIDE = "expects_regression OR expects_list OR expects_series_math"
+_SOME = "wants_monthly_series OR expects_sum OR expects_percent OR list_contains(families, 'calendar_defense')"
+
+
+@query(
+    f"""{FAMILY_SQL} SELECT q_id, greatest(2, CASE WHEN {_WIDE} THEN 4 ELSE 0 END, CASE WHEN {_SOME} THEN 3 ELSE 0 END, CASE WHEN prefers_country_claims OR year_count >= 5 THEN 4 ELSE 0 END) AS max_files,
+    greatest(12000, CASE WHEN {_WIDE} THEN 22000 ELSE 0 END, CASE WHEN {_SOME} THEN 18000 ELSE 0 END) AS max_chars,
+    mentions_veterans_admin OR prefers_country_claims OR {_WIDE} OR note_term_years > 0 OR (wants_monthly_series AND year_count >= 3) OR (list_contains(families, 'auction') AND expects_date) AS global_search FROM f"""
+)
+def context_limits(spark, sf_dir):
+    rows = P.with_profile(questions(spark)).withColumn("families", P.families())
+    files, chars = P.context_limits(F.col("families"))
+    return rows.select("q_id", files.alias("max_files"), chars.alias("max_chars"), P.needs_global_search(F.col("families")).alias("global_search"))
+
+
+@query(f"SELECT q_id, CASE WHEN regexp_matches(lower(question), '(?s){L.BULLETIN_FORMAT}') THEN 'xml_final_answer' END AS format, coalesce(nullif(regexp_extract(upper(question), '\\bUID[0-9]{{4}}\\b', 0), ''), 'unknown') AS uid FROM {Q}")
+def format_detect(spark, sf_dir):
+    return questions(spark).select("q_id", P.output_format(F.col("question")).alias("format"), T.question_uid(F.col("question")).alias("uid"))
+
+
+# --- ranking and packing ----------------------------------------------------------------------------------------------
+
+_TERMS = "SELECT {k}, w AS term, count(*) AS tf FROM (SELECT {k}, unnest(regexp_extract_all(lower({t}), '[a-z][a-z0-9]{{2,}}', 0)) AS w FROM {f}) WHERE NOT list_contains({s}, w) GROUP BY {k}, w"
+SCORES_SQL = f"""WITH a AS ({_TERMS.format(k="item_id", t="text", f="benchmark", s=sql_list(L.STOPWORDS))}), h AS ({_TERMS.format(k="doc_id", t="text", f="documents", s=sql_list(L.STOPWORDS))}),
+    s AS (SELECT item_id AS q_id, doc_id, sum(least(h.tf, 4) * 2)::BIGINT AS score FROM h JOIN a USING (term) GROUP BY ALL)"""
+
+
+def scores(spark, sf_dir):
+    return R.keyword_scores(asked(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
+@query(f"{SCORES_SQL} SELECT q_id, doc_id, score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 5")
+def keyword_score_topk(spark, sf_dir):
+    return R.top_k(scores(spark, sf_dir), "q_id", 5, F.desc("score"), F.col("doc_id"))
+
+
+@query(
+    f"""{SCORES_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS r FROM s QUALIFY r <= 30),
+    f AS (SELECT c.q_id, c.doc_id, c.score + CASE WHEN contains(d.text, b.text) THEN 100 ELSE 0 END AS full_score FROM c JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = c.q_id)
+    SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY full_score DESC, doc_id) AS rank FROM f QUALIFY rank <= 18"""
+)
+def two_stage_topk(spark, sf_dir):
+    cheap = R.top_k(scores(spark, sf_dir), "q_id", 30, F.desc("score"), F.col("doc_id")).drop("rank")
+    both = cheap.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(asked(spark, sf_dir), "q_id")
+    full = both.select("q_id", "doc_id", (F.col("score") + F.when(F.contains("text", "question"), 100).otherwise(0)).alias("full_score"))
+    return R.top_k(full, "q_id", 18, F.desc("full_score"), F.col("doc_id"))
+
+
+@query(
+    f"""{SCORES_SQL}, c AS (SELECT q_id, doc_id AS idx, score, doc_id % 97 = 3 AS pinned, count(*) OVER (PARTITION BY q_id) AS n, max(score) OVER (PARTITION BY q_id) AS best FROM s)
+    SELECT q_id, idx, score, pinned, row_number() OVER (PARTITION BY q_id ORDER BY pinned DESC, CASE WHEN n <= 6 OR best <= 0 THEN 0 ELSE score END DESC, idx) AS rank FROM c QUALIFY rank <= 6"""
+)
+def pinned_select(spark, sf_dir):
+    rows = scores(spark, sf_dir).select("q_id", F.col("doc_id").alias("idx"), "score", (F.col("doc_id") % 97 == 3).alias("pinned"))
+    return R.pinned_first(rows, "q_id", 6)
+
+
+@query(
+    """WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
+    SELECT source, doc_id FROM d WHERE n <= 5 OR list_contains(list_transform(range(0, 5), lambda k: round_even(k * (n - 1) / 4, 0)::BIGINT), i)"""
+)
+def diversified_pick(spark, sf_dir):
+    return R.diversified(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", "doc_id", 5)
+
+
+@query(
+    f"""{SCORES_SQL}, r AS (SELECT q_id, doc_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 20),
+    b AS (SELECT r.*, length(text) AS size FROM r JOIN documents USING (doc_id)),
+    p AS (SELECT *, coalesce(sum(size + 2) OVER (PARTITION BY q_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b)
+    SELECT q_id, doc_id, rank, least(size, 12000) AS kept_chars FROM p WHERE rank = 1 OR before + size <= 12000"""
+)
+def context_pack(spark, sf_dir):
+    best = R.top_k(scores(spark, sf_dir), "q_id", 20, F.desc("score"), F.col("doc_id"))
+    sized = best.join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("size")), "doc_id")
+    kept = R.pack(sized, "q_id", "rank", F.col("size"), F.lit(12000))
+    return kept.select("q_id", "doc_id", "rank", F.least("size", F.lit(12000)).cast("long").alias("kept_chars"))
+
+
+@query(
+    """SELECT n AS files, r AS rank, CASE WHEN n = 1 THEN 22000 WHEN n = 2 AND r = 1 THEN 22000 * 55 // 100 WHEN n = 2 THEN 22000 * 45 // 100 WHEN r = 1 THEN 22000 * 40 // 100
+    WHEN r = 2 THEN 22000 * 25 // 100 ELSE 22000 * 35 // (100 * greatest(1, n - 2)) END AS budget FROM range(1, 7) t(n), range(1, 7) u(r) WHERE r <= n"""
+)
+def budget_weights(spark, sf_dir):
+    n = spark.range(1, 7).select(F.col("id").alias("files")).withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), "files")))
+    return n.select("files", "rank", R.file_budget(F.col("rank"), F.col("files"), F.lit(22000)).alias("budget"))
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(list_zip(range(len(a)), a)) AS z FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS a FROM documents)),
+    r AS (SELECT doc_id, z[1] AS line_no, 3 * len(regexp_extract_all(z[2], '[0-9]+', 0)) AS score FROM l WHERE z[2] <> ''),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS r, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS place, max(score) OVER (PARTITION BY doc_id) AS best FROM r)
+    SELECT doc_id, line_no, score FROM k WHERE place <= 2 OR (best > 0 AND score > 0 AND r <= 40) OR (best <= 0 AND place <= 40)"""
+)
+def row_narrow(spark, sf_dir):
+    rows = B.explode_lines(table(spark, sf_dir, "documents")).where("line <> ''")
+    scored = rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), (F.regexp_count("line", F.lit("[0-9]+")) * 3).cast("long").alias("score"))
+    return B.narrow_rows(scored, "doc_id", "score")
+
+
+# --- candidates by date -----------------------------------------------------------------------------------------------
+
+ISSUES_SQL = "WITH i AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS pub_date FROM orders)"
+
+
+def issues(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.trunc("o_orderdate", "month").cast("date").alias("pub_date")).distinct()
+
+
+@query(f"{ISSUES_SQL}, m AS (SELECT c_custkey AS q_id, make_date(1992 + (c_custkey % 8)::INT, 1 + (c_custkey % 12)::INT, 1) AS mentioned FROM customer), s AS (SELECT *, unnest(range(0, 4)) AS lag FROM m) SELECT q_id, mentioned, lag, (mentioned + lag * INTERVAL 1 MONTH)::DATE AS pub_date FROM s WHERE (mentioned + lag * INTERVAL 1 MONTH)::DATE IN (SELECT pub_date FROM i)")
+def lag_join(spark, sf_dir):
+    asks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("q_id"), F.make_date((1992 + F.col("c_custkey") % 8).cast("int"), (1 + F.col("c_custkey") % 12).cast("int"), F.lit(1)).alias("mentioned"))
+    return C.lagged(asks, issues(spark, sf_dir)).withColumn("lag", F.col("lag").cast("long"))
+
+
+@query(f"{ISSUES_SQL}, a AS (SELECT c_custkey AS q_id, 1992 + c_custkey % 8 AS year FROM customer) SELECT q_id, year, pub_date FROM a JOIN i ON pub_date BETWEEN make_date(year::INT - 1, 10, 1) AND make_date(year::INT, 9, 1)")
+def fiscal_join(spark, sf_dir):
+    asks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("q_id"), (1992 + F.col("c_custkey") % 8).cast("int").alias("year"))
+    return C.fiscal_year(asks, issues(spark, sf_dir)).select("q_id", F.col("year").cast("long").alias("year"), "pub_date")
+
+
+@query(f"{ISSUES_SQL}, a AS (SELECT c_custkey AS q_id, 1992 + c_custkey % 8 AS year FROM customer) SELECT q_id, year, pub_date FROM a JOIN i ON year(pub_date) BETWEEN year AND least(year + 6, 2025)")
+def followup_join(spark, sf_dir):
+    asks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("q_id"), (1992 + F.col("c_custkey") % 8).cast("int").alias("year"))
+    return C.following_years(asks, issues(spark, sf_dir)).select("q_id", F.col("year").cast("long").alias("year"), "pub_date")
+
+
+_ANCHOR_ASKS = "SELECT c_custkey AS q_id, ['national_defense', 'fd', 'individual_income_tax', 'cm'][1 + c_custkey % 4] AS family, 1992 + c_custkey % 8 AS year FROM customer"
+
+
+@query(f"{ISSUES_SQL}, a AS ({_ANCHOR_ASKS}), r AS (SELECT * FROM {I.sql_values(I.RULES, 'family, shift, month')}) SELECT DISTINCT q_id, make_date((year + shift)::INT, month::INT, 1) AS pub_date FROM a JOIN r USING (family) WHERE make_date((year + shift)::INT, month::INT, 1) IN (SELECT pub_date FROM i)")
+def anchor_semi(spark, sf_dir):
+    family = F.element_at(T.strings(["national_defense", "fd", "individual_income_tax", "cm"]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    asks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("q_id"), family.alias("family"), (1992 + F.col("c_custkey") % 8).cast("int").alias("year"))
+    return C.anchors(asks, inline(spark, I.RULES, "family string, shift int, month int"), issues(spark, sf_dir)).select("pub_date", "q_id")
+
+
+@query(
+    """WITH a AS (SELECT o_custkey AS q_id, date_trunc('month', o_orderdate)::DATE AS pub_date, 1 AS source_rank, o_orderkey AS pos FROM orders WHERE o_orderpriority = '1-URGENT'
+    UNION ALL SELECT o_custkey, date_trunc('month', o_orderdate)::DATE, 2, o_orderkey FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY q_id, pub_date ORDER BY source_rank, pos) AS k FROM a)
+    SELECT q_id, pub_date, source_rank, pos FROM r WHERE k = 1"""
+)
+def ordered_union_dedupe(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("q_id"), F.trunc("o_orderdate", "month").cast("date").alias("pub_date"), F.col("o_orderkey").alias("pos"), "o_orderpriority")
+    first = rows.where("o_orderpriority = '1-URGENT'").withColumn("source_rank", F.lit(1)).drop("o_orderpriority")
+    return C.ordered_union(first, rows.withColumn("source_rank", F.lit(2)).drop("o_orderpriority"))
+
+
+# --- answers ----------------------------------------------------------------------------------------------------------
+
+
+def answers(spark) -> DataFrame:
+    return inline(spark, I.ANSWERS, "a_id string, question string, answer string")
+
+
+_PH = "|".join(L.PLACEHOLDERS)
+_HD = "|".join(L.HEDGES)
+
+
+@query(
+    f"""SELECT a_id, (lower({sql_strip("answer")}) IN ({", ".join("'" + v + "'" for v in L.PLACEHOLDER_VALUES)}) OR regexp_matches(lower({sql_strip("answer")}), '{_PH}')) AS placeholder,
+    regexp_matches(lower(answer), '{_HD}') AS hedged, {sql_any("lower(answer)", L.ECHOES)} AS echo, len(regexp_extract_all(answer, '\\|', 0)) >= 2 AS pipe_row,
+    {sql_any("lower(question)", ["percent", "percentage", "%"])} AS asks_percent FROM {N}"""
+)
+def answer_checks(spark, sf_dir):
+    a, q = F.col("answer"), F.col("question")
+    return answers(spark).select("a_id", A.placeholder(a).alias("placeholder"), A.hedged(a).alias("hedged"), A.echo(a).alias("echo"), A.pipe_row(a).alias("pipe_row"), A.asks_percent(q).alias("asks_percent"))
+
+
+@query(
+    f"""WITH p AS (SELECT a_id, {sql_strip("answer")} AS t, list_transform(string_split({sql_strip("answer")}, ','), lambda p: trim({sql_strip("p")}, '[]() ')) AS parts FROM {N})
+    SELECT a_id, regexp_matches(t, '^\\[[^\\]]+\\]$') OR (len(parts) >= 2 AND len(list_filter(parts, lambda p: regexp_matches(p, '^[-+]?\\$?[0-9][0-9,]*\\.?[0-9]*%?$'))) >= 2) AS is_list FROM p"""
+)
+def list_answer(spark, sf_dir):
+    return answers(spark).select("a_id", A.list_answer(F.col("answer")).alias("is_list"))
+
+
+_NTH = " ".join(f"WHEN {sql_any('lower(question)', [w + ' value', w + ' number'])} THEN {i}" for i, w in [(4, "fourth"), (3, "third"), (2, "second"), (1, "first")])
+
+
+@query(f"""SELECT a_id, coalesce(TRY_CAST(regexp_extract(lower(question), '\\bcontaining\\s+([0-9]+)\\s+numbers?\\b', 1) AS INT), CASE {_NTH} WHEN {sql_any("lower(question)", ["slope and intercept", "inside square brackets", "enclosed brackets"])} THEN 2 END) AS n FROM {N}""")
+def expected_list_length(spark, sf_dir):
+    return answers(spark).select("a_id", A.expected_length(F.col("question")).alias("n"))
+
+
+def _unit_sql(text: str, prefix: str = "") -> str:
+    return "CASE " + " ".join(f"WHEN contains(lower({text}), '{prefix}{u}') THEN '{u}'" for u in L.UNIT_WORDS) + " END"
+
+
+_BARE = "regexp_replace(regexp_replace(trim({t}, '[]() '), '(?i)trillion|billion|million|thousand', '', 'g'), '\\$|,|percent|%|dollars', '', 'g')"
+_TOKEN = f"TRY_CAST({sql_strip(_BARE.format(t=sql_strip('answer')))} AS DOUBLE)"
+
+
+@query(f"SELECT a_id, {_unit_sql('answer')} AS unit, round({_TOKEN}, 6) AS value, {_unit_sql('question', 'in ')} AS target FROM {N}")
+def parse_scalar(spark, sf_dir):
+    return answers(spark).select("a_id", A.scalar_unit(F.col("answer")).alias("unit"), F.round(A.scalar_value(F.col("answer")).cast("double"), 6).alias("value"), A.question_unit(F.col("question")).alias("target"))
+
+
+_POW = "CASE {u} WHEN 'thousand' THEN 3 WHEN 'million' THEN 6 WHEN 'billion' THEN 9 WHEN 'trillion' THEN 12 END"
+
+
+@query(
+    f"""WITH s AS (SELECT a_id, answer, {_unit_sql("answer")} AS unit, {_TOKEN} AS v, {_unit_sql("question", "in ")} AS target FROM {N}),
+    c AS (SELECT *, CASE WHEN unit IS NULL THEN v ELSE v * power(10.0, {_POW.format(u="unit")} - {_POW.format(u="target")}) END AS x FROM s)
+    SELECT a_id, CASE WHEN target IS NULL OR v IS NULL THEN {sql_strip("replace(answer, '$', '')")} ELSE regexp_replace(regexp_replace(x::DECIMAL(28, 8)::VARCHAR, '0+$', ''), '\\.$', '') END AS answer FROM c"""
+)
+def unit_convert(spark, sf_dir):
+    return answers(spark).select("a_id", A.convert(F.col("question"), F.col("answer")).alias("answer"))
+
+
+@query()
+def answer_clean(spark, sf_dir):
+    bare = A.without_preamble(F.col("answer"))
+    return answers(spark).select("a_id", bare.alias("bare"), A.final_text(bare).alias("final"), A.bare_value(bare).alias("is_bare"), A.verify(F.col("question"), F.col("answer")).alias("verified"), A.several_numbers(F.col("answer")).alias("several"))
+
+
+@query(
+    f"""WITH a AS (SELECT conv_id, turn, 'noise <FINAL_ANSWER>old</FINAL_ANSWER>' || chr(10) || text || chr(10) || CASE WHEN turn % 2 = 0 THEN '<FINAL_ANSWER> ' || length(text) || ' </FINAL_ANSWER>' ELSE '' END AS r FROM conversations)
+    SELECT conv_id, turn, {sql_strip("list_last(regexp_extract_all(r, '(?is)<final_answer>(.*?)</final_answer>', 1))")} AS answer FROM a"""
+)
+def final_answer(spark, sf_dir):
+    tag = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<FINAL_ANSWER> "), F.length("text").cast("string"), F.lit(" </FINAL_ANSWER>"))).otherwise("")
+    reply = F.concat(F.lit("noise <FINAL_ANSWER>old</FINAL_ANSWER>\n"), F.col("text"), F.lit("\n"), tag)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", A.last_tag(reply).alias("answer"))
+
+
+@query(
+    f"""WITH RECURSIVE a AS (SELECT q_id, pos, answer, regexp_replace({sql_strip("regexp_replace(answer, '[$,]', '', 'g')")}, '^\\((.+)\\)$', '-\\1') AS s FROM {I.sql_values(I.VOTES, "q_id, pos, answer")}),
+    p AS (SELECT *, TRY_CAST(nullif(regexp_extract(s, '[-+]?[0-9]+\\.?[0-9]*', 0), '') AS DOUBLE) * coalesce(CASE {_unit_sql("answer")} WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN 'trillion' THEN 1e12 END, 1) AS v FROM a),
+    n AS (SELECT q_id, count(*) AS n, count(v) AS m FROM p GROUP BY q_id),
+    o AS (SELECT q_id, answer, v, row_number() OVER (PARTITION BY q_id ORDER BY v, pos) AS i FROM p WHERE v IS NOT NULL),
+    k AS (SELECT q_id, answer, v, i, v AS c, 1 AS k FROM o WHERE i = 1 UNION ALL SELECT o.q_id, o.answer, o.v, o.i,
+        CASE WHEN abs(o.v - k.c) <= CASE WHEN k.c = 0 THEN 0.5 ELSE abs(k.c) * 0.02 END THEN k.c ELSE o.v END,
+        CASE WHEN abs(o.v - k.c) <= CASE WHEN k.c = 0 THEN 0.5 ELSE abs(k.c) * 0.02 END THEN k.k ELSE k.k + 1 END FROM k JOIN o ON o.q_id = k.q_id AND o.i = k.i + 1),
+    b AS (SELECT q_id, k, count(*) AS size FROM k GROUP BY q_id, k QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY count(*) DESC, k) = 1),
+    w AS (SELECT k.q_id, k.answer FROM k JOIN b USING (q_id, k) QUALIFY row_number() OVER (PARTITION BY k.q_id ORDER BY k.i) = b.size // 2 + 1),
+    t AS (SELECT q_id, answer FROM (SELECT q_id, pos, answer, count(*) OVER (PARTITION BY q_id, lower(answer)) AS n FROM p) QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY n DESC, pos) = 1)
+    SELECT n.q_id, CASE WHEN n.n > 1 AND n.m >= n.n * 0.5 THEN w.answer ELSE t.answer END AS winner FROM n LEFT JOIN w ON w.q_id = n.q_id JOIN t ON t.q_id = n.q_id"""
+)
+def vote_answers(spark, sf_dir):
+    return V.vote(inline(spark, I.VOTES, "q_id string, pos int, answer string"))
+
+
+@query(
+    """SELECT q_id, winner, n FROM (SELECT o_custkey AS q_id, lower(o_orderpriority) AS l, count(*) AS n, min(o_orderkey) AS place, arg_min(o_orderpriority, o_orderkey) AS winner FROM orders GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY n DESC, place) = 1"""
+)
+def vote_text(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("q_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("answer"))
+    return V.modal(rows)
+
+
+def _compare_sql(text: str) -> str:
+    a = f"regexp_replace(lower({sql_strip(text)}), '[$,]', '', 'g')"
+    a = sql_strip(f"regexp_replace(regexp_replace({a}, '\\s+', ' ', 'g'), '%+$', '')")
+    return f"CASE WHEN regexp_matches({a}, '^-?[0-9]+\\.0+$') THEN regexp_extract({a}, '^(-?[0-9]+)', 1) ELSE {a} END"
+
+
+@query(
+    f"""WITH p AS (SELECT a.a_id AS x, b.a_id AS y, {_compare_sql("a.answer")} AS p, {_compare_sql("b.answer")} AS e FROM {N.replace("AS t(", "AS a(")}, {N.replace("AS t(", "AS b(")})
+    SELECT x, y, p = e OR coalesce(abs(TRY_CAST(p AS DOUBLE) - TRY_CAST(e AS DOUBLE)) < 0.01 * greatest(abs(TRY_CAST(e AS DOUBLE)), 1.0), false) AS same FROM p"""
+)
+def eval_match(spark, sf_dir):
+    a = answers(spark).select(F.col("a_id").alias("x"), F.col("answer").alias("p"))
+    b = answers(spark).select(F.col("a_id").alias("y"), F.col("answer").alias("e"))
+    return a.crossJoin(F.broadcast(b)).select("x", "y", A.same_answer(F.col("p"), F.col("e")).alias("same"))
+
+
+@query(
+    """WITH r AS (SELECT d.lang, ((d.n_chars > 1000)::INT = l.quality)::INT AS ok FROM documents d JOIN labels l USING (doc_id))
+    SELECT coalesce(nullif(lang, ''), 'unknown') AS grp, sum(ok)::BIGINT AS correct, count(*) AS total, sum(ok) / count(*) AS accuracy FROM r GROUP BY 1 UNION ALL SELECT 'all', sum(ok)::BIGINT, count(*), sum(ok) / count(*) FROM r"""
+)
+def eval_accuracy(spark, sf_dir):
+    both = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    return E.accuracy(both.withColumn("correct", (F.col("n_chars") > 1000).cast("int") == F.col("quality")), "lang")
+
+
+# --- tools, series, messages ------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_type, count(v) AS n, sum(v) AS total, avg(v) AS mean, min(v) AS low, max(v) AS high FROM (SELECT event_type, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS v FROM events) WHERE v IS NOT NULL GROUP BY event_type")
+def json_aggregate(spark, sf_dir):
+    return X.aggregate(table(spark, sf_dir, "events"), "event_type", "props", "k")
+
+
+@query("SELECT event_id, props FROM events WHERE contains(lower(json_extract_string(props, '$.k')), '7')")
+def json_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("data", F.concat(F.lit("["), F.col("props"), F.lit("]")))
+    return rows.where(F.size(X.search(rows, "data", "k", "7")) > 0).select("event_id", "props")
+
+
+@query(
+    """WITH m AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, sum(o_totalprice) AS v FROM orders GROUP BY ALL)
+    SELECT y, round(avg(v), 2) AS mean, round(exp(avg(ln(v))), 2) AS geometric_mean, round(median(v), 2) AS med, round(stddev_samp(v), 2) AS sd, round(regr_slope(v, m), 2) AS slope, round(regr_intercept(v, m), 2) AS intercept,
+    round(corr(v, m), 6) AS r, round(sum(v * m) / sum(m), 2) AS weighted FROM m GROUP BY y"""
+)
+def series_stats(spark, sf_dir):
+    months = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").cast("long").alias("y"), F.month("o_orderdate").cast("double").alias("m")).agg(F.sum("o_totalprice").cast("double").alias("v"))
+    cell = lambda c, name, d=2: F.round(c, d).alias(name)
+    return months.groupBy("y").agg(cell(F.avg("v"), "mean"), cell(F.exp(F.avg(F.ln("v"))), "geometric_mean"), cell(F.median("v"), "med"), cell(F.stddev_samp("v"), "sd"), cell(F.regr_slope("v", "m"), "slope"), cell(F.regr_intercept("v", "m"), "intercept"), cell(F.corr("v", "m"), "r", 6), cell(F.sum(F.col("v") * F.col("m")) / F.sum("m"), "weighted"))
+
+
+@query()
+def calculate(spark, sf_dir):
+    return inline(spark, I.EXPRESSIONS, "e_id string, expression string").select("e_id", X.calculate("expression").alias("result"))
+
+
+@query("SELECT conv_id, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def message_merge(spark, sf_dir):
+    return S.merge_parts(table(spark, sf_dir, "conversations")).select("conv_id", F.md5("message").alias("digest"))

@@ -10,18 +10,21 @@ from tabulith.functions import lexicon as L
 from tabulith.functions import text as T
 
 
-def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): words of three or more characters that are no stop words, with their counts."""
+def words(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term) for each word of three or more characters that is no stop word."""
     word = F.explode(T.find_all(F.lower(F.col(text)), r"[a-z][a-z0-9]{2,}"))
-    return rows.select(key, word.alias("term")).where(~F.col("term").isin(*L.STOPWORDS)).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return rows.select(key, word.alias("term")).where(~F.col("term").isin(*L.STOPWORDS))
 
 
 def keyword_scores(questions: DataFrame, docs: DataFrame, q_key: str = "q_id", d_key: str = "doc_id", text: str = "text", cap: int = 4, weight: int = 2) -> DataFrame:
-    """(question, document, score): capped counts of the question's words, by an equi join on words, never by all pairs."""
-    asked = terms(questions, q_key, "question").select(q_key, "term")
-    held = terms(docs, d_key, text)
-    hits = held.join(asked, "term")
-    return hits.groupBy(q_key, d_key).agg(F.sum(F.least(F.col("tf"), F.lit(cap)) * weight).alias("score"))
+    """(question, document, score): capped counts of the question's words, by an equi join on words, never by all pairs.
+
+    Words that no question has leave before anything is counted or shuffled.
+    """
+    asked = words(questions, q_key, "question").distinct()
+    held = words(docs, d_key, text).join(asked.select("term").distinct(), "term", "left_semi")
+    counts = held.groupBy(d_key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return counts.join(asked, "term").groupBy(q_key, d_key).agg(F.sum(F.least(F.col("tf"), F.lit(cap)) * weight).alias("score"))
 
 
 def top_k(scores: DataFrame, key: str, k: int, *order: Column) -> DataFrame:

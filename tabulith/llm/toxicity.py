@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field with two tags, trained on documents' labels.
 
-Words are labelled for training from the documents' labels: a word is toxic in a toxic document if it, or its first four or five bytes, stands in
+Words are labelled for training from the documents' labels: a word is toxic in a toxic document if it, or its first four to eight bytes, stands in
 many places of toxic documents and in hardly any of others.  The field has weights for hashed features of a word (itself, its first
-three, four and five bytes, its last three) and for the transitions of tags.  Forward-backward marginals give the
+four to eight bytes, its last three) and for the transitions of tags.  Forward-backward marginals give the
 expected number of toxic words and the surest one; a logistic curve over both, fitted on the same documents, is the score.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BUCKETS = 1 << 18
+#: Lengths in bytes of the beginnings of words.
+BEGINNINGS = (4, 5, 6, 7, 8)
 #: Toxic documents that training sees at most, and twice as many others: a fixed bound, drawn by a hash of the id.
 SAMPLE = 1000
 #: Words of one batch of chains, and words whose weight a worker remembers.
@@ -32,11 +34,11 @@ def split(text: str | None) -> list[bytes]:
 
 
 def features(word: bytes) -> list[int]:
-    """Six hashed features of a word; those that its length does not give are the feature 0."""
+    """Hashed features of a word and the bias 0; those that its length does not give are 0 too."""
     out = [zlib.crc32(word) % (BUCKETS - 1) + 1]
-    for k in (3, 4, 5):
+    for k in BEGINNINGS:
         out.append(zlib.crc32(word[:k], k) % (BUCKETS - 1) + 1 if len(word) >= k else 0)
-    out.append(zlib.crc32(word[-3:], 6) % (BUCKETS - 1) + 1 if len(word) >= 3 else 0)
+    out.append(zlib.crc32(word[-3:], 3) % (BUCKETS - 1) + 1 if len(word) >= 3 else 0)
     return [*out, 0]
 
 
@@ -126,10 +128,11 @@ def _per_doc(marginal: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_labels(docs: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
-    """Words and beginnings that stand between at least 16 pairs of neighbours in toxic documents, 40 times as many as in others.
+    """Words and beginnings that stand between so many pairs of neighbours in toxic documents, and so few in others, that it is no chance.
 
-    Neighbours are counted, not documents, since copies of a toxic document repeat its harmless words too.  A beginning
-    counts only if no single word has more than half of its places.
+    Neighbours are counted, not documents, since copies of a toxic document repeat its harmless words too.  The least
+    number is such that, of all words, fewer than 0.05 would by chance stand in toxic documents alone; one place in others is
+    allowed for each 40 times as many as their numbers of words suggest.  A beginning counts only if no single word has more than half of its places.
     """
     seen: tuple[set, set] = (set(), set())
     for words, label in zip(docs, toxic, strict=True):
@@ -137,18 +140,23 @@ def word_labels(docs: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
         for before, word, after in zip(framed, framed[1:], framed[2:], strict=False):
             place = hash((before, after))
             seen[bool(label)].add((word, place))
-            if len(word) >= 4:
-                seen[bool(label)].add((b"4" + word[:4], place))
-                seen[bool(label)].add((b"5" + word[:5], place))
+            for k in BEGINNINGS:
+                if len(word) > k:
+                    seen[bool(label)].add((b"%d^" % k + word[:k], place))
     good, bad = (Counter(key for key, _ in s) for s in seen)
-    scale = 40 * max(1, int(toxic.sum())) / max(1, int((~toxic).sum()))
-    often = {k for k, v in bad.items() if v >= 16 and v > scale * good[k]}
+    size = np.array([len(d) for d in docs])
+    share = (1 + size[toxic].sum()) / (2 + size.sum())
+    least = max(5, int(np.ceil(np.log(0.05 / max(1, sum(v >= 5 for v in bad.values()))) / np.log(min(share, 0.9)))))
+    scale = 40 * share / (1 - share)
+    often = {k for k, v in bad.items() if v >= least and v > scale * good[k]}
     most: Counter = Counter()
     for word, n in bad.items():
-        for key in (b"4" + word[:4], b"5" + word[:5]):
-            if word[:1] not in b"45" and n > most[key]:
-                most[key] = n
-    return {k for k in often if k[:1] not in b"45" or most[k] <= bad[k] / 2}
+        if word[1:2] != b"^":
+            for k in BEGINNINGS:
+                key = b"%d^" % k + word[:k]
+                if len(word) > k and n > most[key]:
+                    most[key] = n
+    return {k for k in often if k[1:2] != b"^" or most[k] <= bad[k] / 2}
 
 
 def train(texts: list[str | None], toxic: list[int], rounds: int = 15, rate: float = 0.6, decay: float = 1e-3) -> Model:
@@ -160,13 +168,13 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 15, rate: flo
     of = np.array([kinds.setdefault(w, len(kinds)) for d in docs for w in d], np.int64)
     bounds = np.cumsum([0, *map(len, docs)])
     vocabulary = list(kinds)
-    table = np.array([features(w) for w in vocabulary], np.int64).reshape(-1, 6)
-    hit = np.array([w in marked or b"4" + w[:4] in marked or b"5" + w[:5] in marked for w in vocabulary], bool)
+    table = np.array([features(w) for w in vocabulary], np.int64).reshape(-1, len(BEGINNINGS) + 3)
+    hit = np.array([w in marked or any(b"%d^" % k + w[:k] in marked for k in BEGINNINGS if len(w) > k) for w in vocabulary], bool)
     tag = (hit[of] & np.repeat(labels, np.diff(bounds))).astype(np.float64) if len(of) else np.zeros(0)
     first = np.zeros(len(of), bool)
     first[bounds[:-1][np.diff(bounds) > 0]] = True
     weights, past = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
-    weights[0] = -1.0  # twice or more in every word: the bias
+    weights[0] = -1.0  # at least once in every word: the bias
     step_log, step_past = np.zeros((2, 2)), np.full((2, 2), 1e-8)
     wanted = np.zeros((2, 2))
     if len(of) > 1:
@@ -176,7 +184,7 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 15, rate: flo
     for _ in range(rounds if len(of) else 0):
         toxic_now, pairs = chain_marginals(weights[table].sum(1)[of], first, start, np.exp(step_log))
         by_kind = np.bincount(of, weights=tag - toxic_now, minlength=len(vocabulary))
-        grad = np.bincount(table.reshape(-1), weights=np.repeat(by_kind, 6), minlength=BUCKETS) - decay * weights
+        grad = np.bincount(table.reshape(-1), weights=np.repeat(by_kind, table.shape[1]), minlength=BUCKETS) - decay * weights
         past += grad * grad
         weights += rate * grad / np.sqrt(past)
         step_grad = wanted - pairs

@@ -8,9 +8,9 @@ expected number of toxic words and the surest one; a logistic curve over both, f
 
 from __future__ import annotations
 
+import io
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -107,6 +107,16 @@ class Model:
     step: np.ndarray
     curve: np.ndarray
 
+    def dump(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, weights=self.weights, start=self.start, step=self.step, curve=self.curve)
+        return out.getvalue()
+
+    @staticmethod
+    def load(data: bytes) -> Model:
+        parts = np.load(io.BytesIO(data), allow_pickle=False)
+        return Model(*(parts[k] for k in ("weights", "start", "step", "curve")))
+
     def emissions(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0)
@@ -127,50 +137,51 @@ def _per_doc(marginal: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return np.maximum(total[bounds[1:]] - total[bounds[:-1]], 0), most
 
 
-def word_labels(docs: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
-    """Words and beginnings that stand between so many pairs of neighbours in toxic documents, and so few in others, that it is no chance.
+def toxic_words(vocabulary: list[bytes], of: np.ndarray, in_toxic: np.ndarray) -> np.ndarray:
+    """Which words stand, themselves or with their beginning, between too many pairs of neighbours in toxic documents to be chance.
 
-    Neighbours are counted, not documents, since copies of a toxic document repeat its harmless words too.  The least
-    number is such that, of all words, fewer than 0.05 would by chance stand in toxic documents alone; one place in others is
-    allowed for each 40 times as many as their numbers of words suggest.  A beginning counts only if no single word has more than half of its places.
+    ``of`` has the number of each running word, ``in_toxic`` whether its document is toxic.  Neighbours are counted, not
+    documents, since copies of a toxic document repeat its harmless words too.  The least number is such that, of all
+    words, fewer than 0.05 would by chance stand in toxic documents alone; one place in others is allowed for each 40 times as
+    many as their numbers of words suggest.  A beginning counts only if no single word has more than half of its places.
     """
-    seen: tuple[set, set] = (set(), set())
-    for words, label in zip(docs, toxic, strict=True):
-        framed = [b"", *words, b""]
-        for before, word, after in zip(framed, framed[1:], framed[2:], strict=False):
-            place = hash((before, after))
-            seen[bool(label)].add((word, place))
-            for k in BEGINNINGS:
-                if len(word) > k:
-                    seen[bool(label)].add((b"%d^" % k + word[:k], place))
-    good, bad = (Counter(key for key, _ in s) for s in seen)
-    size = np.array([len(d) for d in docs])
-    share = (1 + size[toxic].sum()) / (2 + size.sum())
-    least = max(5, int(np.ceil(np.log(0.05 / max(1, sum(v >= 5 for v in bad.values()))) / np.log(min(share, 0.9)))))
+    framed = np.concatenate([[-1], of, [-1]]).astype(np.uint64)
+    place = (framed[:-2] * np.uint64(0x9E3779B97F4A7C15) + framed[2:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
+    share = (1 + in_toxic.sum()) / (2 + len(of))
     scale = 40 * share / (1 - share)
-    often = {k for k, v in bad.items() if v >= least and v > scale * good[k]}
-    most: Counter = Counter()
-    for word, n in bad.items():
-        if word[1:2] != b"^":
-            for k in BEGINNINGS:
-                key = b"%d^" % k + word[:k]
-                if len(word) > k and n > most[key]:
-                    most[key] = n
-    return {k for k in often if k[1:2] != b"^" or most[k] <= bad[k] / 2}
+
+    def places(codes: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
+        pairs = np.unique((codes[of[rows]].astype(np.uint64) << np.uint64(32)) | place[rows])
+        return np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=n)
+
+    own = np.arange(len(vocabulary))
+    bad, good = places(own, len(own), in_toxic), places(own, len(own), ~in_toxic)
+    least = max(5, int(np.ceil(np.log(0.05 / max(1, int((bad >= 5).sum()))) / np.log(min(share, 0.9)))))
+    hit = (bad >= least) & (bad > scale * good)
+    for k in BEGINNINGS:
+        keys, codes = np.unique(np.array([w[:k] if len(w) > k else b"" for w in vocabulary], f"S{k}"), return_inverse=True)
+        most = np.zeros(len(keys), np.int64)
+        np.maximum.at(most, codes, bad)
+        b, g = places(codes, len(keys), in_toxic), places(codes, len(keys), ~in_toxic)
+        good_keys = (b >= least) & (b > scale * g) & (most <= b / 2) & (keys != b"")
+        hit |= good_keys[codes]
+    return hit
 
 
 def train(texts: list[str | None], toxic: list[int], rounds: int = 15, rate: float = 0.6, decay: float = 1e-3) -> Model:
     """Fit the field on the word labels by gradient steps, then the curve on the documents' labels."""
     labels = np.array(toxic, bool)
     docs = [split(t) for t in texts]
-    marked = word_labels(docs, labels)
     kinds: dict[bytes, int] = {}
     of = np.array([kinds.setdefault(w, len(kinds)) for d in docs for w in d], np.int64)
     bounds = np.cumsum([0, *map(len, docs)])
     vocabulary = list(kinds)
     table = np.array([features(w) for w in vocabulary], np.int64).reshape(-1, len(BEGINNINGS) + 3)
-    hit = np.array([w in marked or any(b"%d^" % k + w[:k] in marked for k in BEGINNINGS if len(w) > k) for w in vocabulary], bool)
-    tag = (hit[of] & np.repeat(labels, np.diff(bounds))).astype(np.float64) if len(of) else np.zeros(0)
+    in_toxic = np.repeat(labels, np.diff(bounds))
+    n_docs = len(docs)
+    del docs
+    hit = toxic_words(vocabulary, of, in_toxic) if len(of) else np.zeros(0, bool)
+    tag = (hit[of] & in_toxic).astype(np.float64) if len(of) else np.zeros(0)
     first = np.zeros(len(of), bool)
     first[bounds[:-1][np.diff(bounds) > 0]] = True
     weights, past = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
@@ -193,9 +204,9 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 15, rate: flo
     model = Model(weights.astype(np.float32), start, np.exp(step_log), np.array([-3.0, 0.0, 0.0]))
     marginal, _ = chain_marginals(model.emissions(vocabulary)[of] if len(of) else np.zeros(0), first, model.start, model.step)
     expected, surest = _per_doc(marginal, bounds)
-    x = np.stack([np.ones(len(docs)), surest, np.log1p(expected)], 1) if docs else np.zeros((0, 3))
+    x = np.stack([np.ones(n_docs), surest, np.log1p(expected)], 1) if n_docs else np.zeros((0, 3))
     curve = np.array([-2.0, 1.0, 1.0])
-    for _ in range(60 if len(docs) and labels.any() and not labels.all() else 0):
+    for _ in range(60 if n_docs and labels.any() and not labels.all() else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3)
         curve = curve + np.linalg.solve(hessian, x.T @ (labels - p) - 0.1 * curve)
@@ -216,9 +227,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = known.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(sample).union(known.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(2 * sample))
-    # at most 3 x sample ids are broadcast, and as many texts come to the driver
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    # at most 3 x sample ids are broadcast, and as many texts come to the one task that trains
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = sorted((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
+        yield pa.RecordBatch.from_arrays([pa.array([train([t for _, t, _ in seen], [x for _, _, x in seen]).dump()], pa.binary())], names=["model"])
+
+    # the training task runs even over no rows, so there is always one model
+    return Model.load(rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(learn, "model binary").first().model)
 
 
 _weights: dict[bytes, float] = {}

@@ -9,6 +9,7 @@ expected number of toxic words and the surest one; a logistic curve over both, f
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 #: Toxic documents that training sees at most, and twice as many others: a fixed bound, drawn by a hash of the id.
 SAMPLE = 1000
 #: Words of one batch of chains, and words whose weight a worker remembers.
-BATCH, KNOWN = 1_000_000, 800_000
+BATCH, KNOWN = 250_000, 400_000
 
 
 def split(text: str | None) -> list[bytes]:
@@ -100,6 +101,15 @@ def chain_marginals(emission: np.ndarray, first: np.ndarray, start: np.ndarray,
     return toxic.T.reshape(-1)[:n], pairs
 
 
+def marginals_by_parts(emission: np.ndarray, first: np.ndarray, start: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same over parts of about BATCH words, cut where chains begin, to bound memory."""
+    heads = np.flatnonzero(first)
+    cuts = heads[np.unique(np.searchsorted(heads, np.arange(0, len(emission), BATCH)).clip(0, max(0, len(heads) - 1)))] if len(heads) else [0]
+    edges = np.unique(np.concatenate([[0], cuts, [len(emission)]])).astype(int)
+    parts = [chain_marginals(emission[a:b], first[a:b], start, step) for a, b in itertools.pairwise(edges)]
+    return np.concatenate([p[0] for p in parts]) if parts else np.zeros(0), sum((p[1] for p in parts), np.zeros((2, 2)))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -171,15 +181,15 @@ def toxic_words(vocabulary: list[bytes], of: np.ndarray, in_toxic: np.ndarray) -
 def train(texts: list[str | None], toxic: list[int], rounds: int = 15, rate: float = 0.6, decay: float = 1e-3) -> Model:
     """Fit the field on the word labels by gradient steps, then the curve on the documents' labels."""
     labels = np.array(toxic, bool)
-    docs = [split(t) for t in texts]
     kinds: dict[bytes, int] = {}
-    of = np.array([kinds.setdefault(w, len(kinds)) for d in docs for w in d], np.int64)
-    bounds = np.cumsum([0, *map(len, docs)])
+    runs = [np.array([kinds.setdefault(w, len(kinds)) for w in split(t)], np.int32) for t in texts]
+    bounds = np.cumsum([0, *map(len, runs)])
+    of = np.concatenate(runs).astype(np.int64) if runs else np.zeros(0, np.int64)
+    n_docs = len(runs)
+    del runs
     vocabulary = list(kinds)
     table = np.array([features(w) for w in vocabulary], np.int64).reshape(-1, len(BEGINNINGS) + 3)
     in_toxic = np.repeat(labels, np.diff(bounds))
-    n_docs = len(docs)
-    del docs
     hit = toxic_words(vocabulary, of, in_toxic) if len(of) else np.zeros(0, bool)
     tag = (hit[of] & in_toxic).astype(np.float64) if len(of) else np.zeros(0)
     first = np.zeros(len(of), bool)
@@ -193,7 +203,7 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 15, rate: flo
         np.add.at(wanted, (tag[:-1][inner].astype(int), tag[1:][inner].astype(int)), 1)
     start = np.ones(2)
     for _ in range(rounds if len(of) else 0):
-        toxic_now, pairs = chain_marginals(weights[table].sum(1)[of], first, start, np.exp(step_log))
+        toxic_now, pairs = marginals_by_parts(weights[table].sum(1)[of], first, start, np.exp(step_log))
         by_kind = np.bincount(of, weights=tag - toxic_now, minlength=len(vocabulary))
         grad = np.bincount(table.reshape(-1), weights=np.repeat(by_kind, table.shape[1]), minlength=BUCKETS) - decay * weights
         past += grad * grad
@@ -202,7 +212,7 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 15, rate: flo
         step_past += step_grad**2
         step_log += 0.2 * step_grad / np.sqrt(step_past)
     model = Model(weights.astype(np.float32), start, np.exp(step_log), np.array([-3.0, 0.0, 0.0]))
-    marginal, _ = chain_marginals(model.emissions(vocabulary)[of] if len(of) else np.zeros(0), first, model.start, model.step)
+    marginal, _ = marginals_by_parts(model.emissions(vocabulary)[of] if len(of) else np.zeros(0), first, model.start, model.step)
     expected, surest = _per_doc(marginal, bounds)
     x = np.stack([np.ones(n_docs), surest, np.log1p(expected)], 1) if n_docs else np.zeros((0, 3))
     curve = np.array([-2.0, 1.0, 1.0])

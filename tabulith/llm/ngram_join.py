@@ -4,7 +4,8 @@ Rows are distinct shingle sets, columns shingles.  Columns are ordered by docume
 in one block of the input are counted; all others count as rare), then by hash.  A pair at or above the threshold must share a column among
 the first ``n - ceil(t n) + 1`` of both rows, so only those entries are dealt into column blocks.  In a block the product of
 a column with itself gives pairs; their greatest possible overlap, which sizes and positions bound, is compared
-with the overlap that the sizes demand, and pairs below it are discarded.  What is left is grouped in row blocks and the
+with the overlap that the sizes demand, and pairs below it are discarded.  So are pairs whose rows, folded to a few counted
+buckets, have too small a sum of bucket minima, which no overlap exceeds.  What is left is grouped in row blocks and the
 overlap is accumulated over all columns.
 
 Dense groups of near copies would give a square of pairs.  So the product runs twice: first each column is multiplied with one
@@ -45,8 +46,16 @@ def _profile(sets: np.ndarray) -> tuple[int, int, int]:
     return len(sets), _signed(first), _signed(second)
 
 
+def _sketch(sets: np.ndarray) -> bytes | None:
+    """Counts of the set's members in 16 to 4096 buckets, about two to four in each; null where a count needs more than a byte."""
+    n = len(sets)
+    buckets = 1 << min(12, max(4, n.bit_length() - 2))
+    counts = np.bincount((sets & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if n and counts.max() < 256 else None
+
+
 def _profiles(k: int):
-    """Rows (doc_id, n, s1, s2) for documents and (column, count) for columns seen more than once in a block."""
+    """Rows (doc_id, n, s1, s2, sketch) for documents and (column, count) for columns seen more than once in a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -62,14 +71,15 @@ def _profiles(k: int):
             more = counts > 1
             column = seen[cut[more]].view(np.int64)
             none = pa.nulls(len(column), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(column), pa.array(counts[more])], names=names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(column), pa.binary()), pa.array(column), pa.array(counts[more])], names=names)
 
-        names = ["doc_id", "n", "s1", "s2", "column", "count"]
+        names = ["doc_id", "n", "s1", "s2", "sketch", "column", "count"]
         known: set[tuple[int, int, int]] = set()
         for batch in batches:
-            rows = []
+            rows, sketches = [], []
             for shingles in shingle_sets(batch[1], k):
                 rows.append(_profile(shingles))
+                sketches.append(_sketch(shingles))
                 if rows[-1] not in known:
                     known.add(rows[-1])
                     held.append(shingles)
@@ -79,7 +89,7 @@ def _profiles(k: int):
                     known.clear()
             n, s1, s2 = (pa.array([r[i] for r in rows], pa.int64()) for i in range(3))
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch[0].cast(pa.int64()), n, s1, s2, none, none], names=names)
+            yield pa.RecordBatch.from_arrays([batch[0].cast(pa.int64()), n, s1, s2, pa.array(sketches, pa.binary()), none, none], names=names)
         yield repeated()
 
     return run
@@ -172,6 +182,24 @@ def _column_pairs(percent: int, across: bool):
     return run
 
 
+def _possible(percent: int):
+    """The pairs whose sketches allow the least overlap; a pair without both sketches stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = _needed(batch["na"].to_numpy(), batch["nb"].to_numpy(), percent)
+            ok = np.ones(len(need), bool)
+            for i, (x, y) in enumerate(zip(batch["ha"].to_pylist(), batch["hb"].to_pylist(), strict=True)):
+                if x is not None and y is not None:
+                    small, large = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+                    if len(small) < len(large):
+                        large = large.reshape(-1, len(small)).sum(0)
+                    ok[i] = np.minimum(small, large).sum() >= need[i]
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
 def _overlaps(k: int, percent: int):
     """Accumulate the overlap of each pair over all columns and keep pairs that reach the threshold."""
 
@@ -195,8 +223,11 @@ def _overlaps(k: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, source: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
+def _verified(pairs: DataFrame, source: DataFrame, sketches: DataFrame, k: int, percent: int, parts: int) -> DataFrame:
     """The pairs (a, b) whose exact overlap reaches the threshold, in row blocks that hold only the rows their pairs need."""
+    sides = [sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"h{x}")).hint("merge") for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "na", "nb", "ha", "hb")
+    pairs = stash(both.mapInArrow(_possible(percent), "a long, b long"), "possible")
     per = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
     cut = F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / PAIRS_A_BLOCK))
     dealt = pairs.join(per, "a").select("a", "b", F.pmod(F.xxhash64("a", cut), F.lit(parts * 4)).cast("int").alias("block"))
@@ -219,7 +250,7 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
     spark = docs.sparkSession
     parts = partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = stash(source.mapInArrow(_profiles(k), "doc_id long, n long, s1 long, s2 long, column long, count long"), "profiles")
+    found = stash(source.mapInArrow(_profiles(k), "doc_id long, n long, s1 long, s2 long, sketch binary, column long, count long"), "profiles")
     profiles = found.where(F.col("n").isNotNull()).select("doc_id", "n", "s1", "s2")
     total = profiles.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first().t
     least = max(LEAST_FREQUENT, total // FREQUENT)
@@ -232,6 +263,9 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
     # dealt by column once; copies were folded where they were read, and what is left of them meets here
     entries = entries.repartition(parts, "column").dropDuplicates(["column", "n", "s1", "s2"])
     classes = stash(profiles.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
+    # one sketch an id, also where rows repeat
+    sketches = found.where((F.col("n") > 0) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    sketches = stash(sketches, "sketches")
     # only columns that two rows share can give pairs
     shared = entries.groupBy("column").agg(F.collect_list(F.struct("n", "s1", "s2", "position")).alias("rows")).where(F.size("rows") > 1)
     shared = shared.select("column", F.explode("rows").alias("r")).select("column", "r.*").join(classes.drop("copies"), ["n", "s1", "s2"])
@@ -240,12 +274,12 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
     block = F.pmod(F.xxhash64("column"), F.lit(parts * 4)).cast("int")
     near = shared.withColumn("block", block).groupBy("block").applyInPandas(_column_pairs(percent, False), "a long, b long").distinct()
     near = stash(near, "pivot-pairs")
-    links = stash(_verified(near, source, k, percent, parts), "links")
+    links = stash(_verified(near, source, sketches, k, percent, parts), "links")
     roots = components(links)
 
     marked = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("block", block)
     far = marked.groupBy("block").applyInPandas(_column_pairs(percent, True), "a long, b long").distinct()
-    more = stash(_verified(stash(far.join(near, ["a", "b"], "left_anti"), "other-pairs"), source, k, percent, parts), "links")
+    more = stash(_verified(stash(far.join(near, ["a", "b"], "left_anti"), "other-pairs"), source, sketches, k, percent, parts), "links")
     links = links.union(more)
     roots = stash(components(links), "roots")
 

@@ -152,3 +152,14 @@ PREAMBLES = [
     r"^no\s+.*?data.*?(?:\n\s*\n|\n)",
 ]
 BULLETIN_FORMAT = r"treasury bulletin|final_answer|treasury.*expenditure|fiscal year.*(?:million|billion|thousand)|public debt.*outstanding"
+
+# Fixed values: (profile flag, pattern in a window of lines, points).
+WINDOW_CUES = [
+    ("wants_bill_rate_data", r"\b(average rate|average issuing rate|investment rate|discount rate|equivalent coupon issue yield)\b", 12),
+    ("wants_auction_bid_data", r"\b(accepted tenders|amount of bids accepted|competitive|noncompetitive|rollover tenders)\b", 12),
+    ("wants_maturity_schedule", r"\b(description of securities|amount outstanding|all other investors)\b", 12),
+    ("wants_calendar_year", r"\bcalendar yr\b|\bcalendar year\b", 10),
+    ("expects_date", r"\bdate\b|\bissue\b", 12),
+    ("expects_percent", r"%|percent", 8),
+]
+WINDOW_TOTALS = r"\b(total|sum|gross|net|difference|balance|outstanding|cost|receipts|outlays)\b"

@@ -14,6 +14,7 @@ from tabulith.functions import text as T
 from tabulith.operators import candidates as C
 from tabulith.operators import evaluate as E
 from tabulith.operators import ranking as R
+from tabulith.operators import snippets
 from tabulith.operators import tables as B
 from tabulith.operators import tools as X
 from tabulith.operators import voting as V
@@ -364,6 +365,17 @@ def row_narrow(spark, sf_dir):
     return B.narrow_rows(scored, "doc_id", "score")
 
 
+@query()
+def window_snippets(spark, sf_dir):
+    best = R.top_k(scores(spark, sf_dir), "q_id", 3, F.desc("score"), F.col("doc_id")).select("q_id", "doc_id")
+    asks = P.with_profile(asked(spark, sf_dir))
+    names = [f for f, _, _ in L.WINDOW_CUES] + ["expects_sum", "expects_difference", "expects_regression", "expects_list", "expects_series_math"]
+    flags = F.filter(F.array(*(F.when(F.col(f).cast("boolean"), F.lit(f)) for f in names)), lambda f: f.isNotNull())
+    asks = asks.select("q_id", T.keywords(F.col("question")).alias("keywords"), T.years(F.col("question")).alias("years"), flags.alias("flags"))
+    pairs = best.join(asks, "q_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return snippets.window_snippets(pairs, 4000).withColumn("digest", F.md5("snippet")).drop("snippet")
+
+
 # --- candidates by date -----------------------------------------------------------------------------------------------
 
 ISSUES_SQL = "WITH i AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS pub_date FROM orders)"

@@ -6,6 +6,7 @@ from tabulith.functions import answers as A
 from tabulith.functions import profile as P
 from tabulith.functions import text as T
 from tabulith.operators import ranking as R
+from tabulith.operators import snippets as N
 from tabulith.operators import tables as B
 from tabulith.operators import tools as X
 from tabulith.operators import voting as V
@@ -95,3 +96,36 @@ def test_bulletin_files(spark, tmp_path):
     (tmp_path / "other.txt").write_text("no")
     got = {r.file_name: (str(r.pub_date), r.text) for r in S.read_bulletins(spark, str(tmp_path)).collect()}
     assert got == {"treasury_bulletin_1984_07.txt": ("1984-07-01", "one\ntwo"), "treasury_bulletin_1984_13.txt": ("None", "bad month")}
+
+
+def test_merge_windows_folds_against_the_last_interval(spark):
+    import random
+
+    dice = random.Random(3)
+    groups = [[(dice.randrange(1, 9), a := dice.randrange(60), a + dice.randrange(1, 22)) for _ in range(dice.randrange(1, 14))] for _ in range(60)]
+
+    def fold(rows):
+        done = []
+        for _, a, b in sorted((-s, a, b) for s, a, b in rows):
+            if len(done) == 4:
+                break
+            if done and a <= done[-1][1]:
+                done[-1][1] = max(done[-1][1], b)
+            else:
+                done.append([a, b])
+        return done
+
+    frame = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "i int, w array<struct<score:int,first:int,last:int>>")
+    got = {r.i: [[m["first"], m["last"]] for m in r.m] for r in frame.select("i", N.merge_windows(F.col("w")).alias("m")).collect()}
+    assert got == {i: fold(g) for i, g in enumerate(groups)}
+
+
+def test_window_snippets(spark):
+    text = "\n".join(["prose"] * 30 + ["Total receipts 1953   12,000   14,000"] + ["prose"] * 30)
+    rows = [("q", 1, text, ["receipts"], [1953], ["expects_difference"]), ("q", 2, None, ["receipts"], [1953], []), ("q", 3, "", ["receipts"], [], []), ("q", 4, "no sign here", ["here"], [], [])]
+    frame = spark.createDataFrame(rows, "q_id string, doc_id int, text string, keywords array<string>, years array<int>, flags array<string>")
+    scored = N.windows(frame).withColumn("score", N.window_score()).collect()
+    # a keyword, a year, a table line and the cue of totals
+    assert [(r["first"], r["last"], r["score"]) for r in scored] == [(20, 41, 3 + 10 + 1 + 12)]
+    found = N.window_snippets(frame, 70).collect()
+    assert [(r.doc_id, r.first_line, r.end_line, r.snippet) for r in found] == [(1, 20, 41, "\n".join(text.split("\n")[20:41])[:70])]

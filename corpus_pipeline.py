@@ -38,8 +38,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Equal loads for 40 shards; equal texts together."""
-    return op10_sharding(docs)
+    """Equal loads for 40 shards; equal texts together; each shard's slots follow the mixing schedule, read back from the written files."""
+    return op10_sharding(docs, keep_order=True)
 
 
 STAGES = [

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,6 +68,36 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], out:
     return inside.join(shift, keys).withColumn(out, (F.col("_at") + F.col("_shift")).cast("long")).drop("_slice", "_at", "_shift", "_size")
 
 
+def file_order(df: DataFrame) -> Column:
+    """(file, row) of each row of a table just read from Parquet, which sorts as the rows were ordered when Spark wrote it.
+
+    Spark names files by the number of the partition, then of the file in it, and writes a partition's rows in their order; how files are
+    packed into tasks when they are read does not matter.  A table that is not read from files is taken in the order of its partitions.
+    """
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        return F.struct(F.shiftright(at, 33).alias("file"), F.lit("").alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+    name = F.col("_metadata.file_name")
+    number = F.regexp_extract(name, r"^part-([0-9]+)", 1)
+    return F.struct(F.coalesce(number.try_cast("bigint"), F.lit(-1)).alias("file"), name.alias("part"), F.col("_metadata.row_index").alias("row"))
+
+
+def number_in_order(df: DataFrame, group: Sequence[str], order: str, out: str, chunk: int = 1 << 14) -> DataFrame:
+    """Gapless numbers from 0 inside each group in the order of a ``file_order`` column, without sorting a whole group in one task.
+
+    Slices are runs of ``chunk`` rows of a file; rows are numbered inside a slice and shifted by the slices before it.
+    """
+    cut = df.withColumn("_slice", F.struct(F.col(order)["file"].alias("file"), F.col(order)["part"].alias("part"), F.floor(F.col(order)["row"] / chunk).alias("run")))
+    keys = [*group, "_slice"]
+    inside = cut.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    shift = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    return inside.join(shift, keys).withColumn(out, (F.col("_at") + F.col("_shift")).cast("long")).drop("_slice", "_at", "_shift", order)
+
+
 def lookup_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, hot: int) -> DataFrame:
     """Inner join of rows with their group's row, where one group may hold any share of the rows.
 

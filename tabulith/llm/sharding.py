@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import lookup_groups, number_rows, stash
+from tabulith.llm.common import file_order, lookup_groups, number_in_order, number_rows, stash
 
 #: Group sizes below this are classes of their own; above, a class spans 1/512 of its size.
 EXACT = 1024
@@ -46,14 +46,15 @@ def longest_first(classes: list[tuple[int, int, int]], shards: int) -> list[tupl
     return plan
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slices: int = 64) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slices: int = 64, keep_order: bool = False) -> DataFrame:
     """Put every row into a shard; equal texts stay together; loads are as equal as LPT makes them.
 
     A row's size is the UTF-8 length of its text plus 16.  Rows with equal texts (a null text counts as empty) form
     a group.  What the driver sees is bounded: one row for each size class (EXACT + 512 an octave), whatever the
     number of groups.  Returns id, size, text_crc32, shard, slot (gapless from 0 in each shard).  A null id is
     kept as a row with a null id, repeated rows are separate rows of one group, an empty table gives no rows; other columns are not
-    read.  A group larger than the mean load fills its shard alone and stays whole.
+    read.  A group larger than the mean load fills its shard alone and stays whole.  With ``keep_order`` the slots of a
+    shard follow the order in which the rows of ``docs`` were written, else a hash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -61,6 +62,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
+        *([file_order(docs).alias("_order")] if keep_order else []),
     )
     rows = stash(rows, "shard-rows")
     groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies"))
@@ -81,9 +83,11 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     placed = ranked.select("digest", "copies", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"))
     hot = max(4096, sum(c.r for c in classes) // 1000)
     dealt = lookup_groups(rows, placed, "digest", "copies", hot).drop("digest")
+    if keep_order:
+        return number_in_order(dealt, ["shard"], "_order", "slot")
     return number_rows(dealt, ["shard"], ["doc_id", "text_crc32", "size"], "slot", slices)
 
 
-def op10_sharding(docs: DataFrame) -> DataFrame:
-    out = shard_documents(docs)
+def op10_sharding(docs: DataFrame, keep_order: bool = False) -> DataFrame:
+    out = shard_documents(docs, keep_order=keep_order)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

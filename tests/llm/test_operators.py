@@ -377,3 +377,22 @@ def test_pipeline_stages(spark, tmp_path):
     docs = frames["documents"].where("doc_id < 60").withColumn("x", F.lit(1))
     mixed = corpus_pipeline.mixing(spark, docs, str(tmp_path))
     assert mixed.columns == docs.columns and mixed.count() == 60
+
+
+def test_slots_follow_the_mixing_schedule(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = [(i, " ".join("w%d" % rng.randrange(900) for _ in range(30)), "en", "src0" if i % 3 else "src1", 0) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    position = {r.doc_id: r.position for r in mixing.mix_sources(docs, corpus_pipeline.WEIGHTS, corpus_pipeline.OTHERS_WEIGHT).collect()}
+
+    def shards(frame, name):
+        frame.write.parquet(f"{tmp_path}/{name}")
+        got = corpus_pipeline.sharding(spark, spark.read.parquet(f"{tmp_path}/{name}"), str(tmp_path)).collect()
+        return [[r.doc_id for r in sorted(got, key=lambda r: r.slot) if r.shard == s] for s in range(40)]
+
+    mixed = shards(corpus_pipeline.mixing(spark, docs, str(tmp_path)), "mixed")
+    assert all(s == sorted(s, key=position.get) for s in mixed)
+    plain = shards(docs, "plain")
+    assert plain != mixed and [set(s) for s in plain] == [set(s) for s in mixed]

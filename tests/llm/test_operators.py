@@ -396,3 +396,32 @@ def test_slots_follow_the_mixing_schedule(spark, tmp_path):
     assert all(s == sorted(s, key=position.get) for s in mixed)
     plain = shards(docs, "plain")
     assert plain != mixed and [set(s) for s in plain] == [set(s) for s in mixed]
+
+
+@pytest.mark.parametrize("weights", [{"news": 3, "wiki": 2}, {"absent": 1}])
+def test_each_source_stays_within_a_block(spark, weights):
+    sizes = {"news": 40, "wiki": 60, "blog": 700, "*": 30, "": 50, None: 45, "src0": 20}
+    rows = [(i, "t", s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.mix_sources(table(spark, rows), weights, 5, block=2).collect()
+    assert Counter(r.source for r in got) == Counter(sizes) and len({r.position for r in got}) == len(rows)
+    order = {r.slot: r.source for r in got}
+    assert sorted(order) == list(range(sum(-(-n // 2) for n in sizes.values())))
+    other = sum(s not in weights for s in sizes)
+    left, done, t = {s: -(-n // 2) for s, n in sizes.items()}, Counter(), 0
+    shares = {s: weights[s] * other if s in weights else 5 for s in sizes}
+    for k in sorted(order):
+        t, total = t + 1, sum(shares[s] for s in left)
+        done[order[k]] += 1
+        assert all(abs(done[s] * total - shares[s] * t) < total for s in left), (k, done)
+        if done[order[k]] == left[order[k]]:  # a new phase
+            left = {s: n - done[s] for s, n in left.items() if n > done[s]}
+            done, t = Counter(), 0
+
+
+def test_phases_are_the_schedule():
+    rng = random.Random(12)
+    for _ in range(60):
+        weights = {s: rng.randint(1, 9) for s in "abcdef"[: rng.randint(1, 6)]}
+        blocks = {s: rng.randint(0, 40) for s in weights}
+        slots = sorted(slot0 + (j // own) * span + at[j % own] for _, _, n, slot0, span, own, at in mixing.phases(blocks, weights) for j in range(n))
+        assert slots == list(range(sum(blocks.values())))

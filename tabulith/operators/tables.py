@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabulith.functions import lexicon as L
 from tabulith.functions import text as T
 
 
@@ -75,3 +76,36 @@ def narrow_rows(rows: DataFrame, key: str, score: str, most: int = 40) -> DataFr
     ranked = rows.withColumns({"_r": F.row_number().over(order), "_at": F.row_number().over(place), "_best": best})
     keep = (F.col("_at") <= 2) | ((F.col("_best") > 0) & (F.col(score) > 0) & (F.col("_r") <= most)) | ((F.col("_best") <= 0) & (F.col("_at") <= most))
     return ranked.where(keep).drop("_r", "_at", "_best")
+
+
+def narrow_for_question(tables: DataFrame, keys: list[str], text: str = "text", question: str = "question", most: int = 40) -> DataFrame:
+    """Lines (keys, line_no, line, score) of each table that its question needs, in their order.
+
+    ``tables`` has a question profile.  A table stays whole if it has at most ``most`` + 2 filled lines, or for a list, regression,
+    series or monthly question.  Else its first two filled lines, its separator rows and the ``most`` best other rows with a positive
+    score stay, or the first ``most`` others if none scores.  A row scores 10 for each year of the question, 5 for each month, 8 for each focus
+    phrase and entity, 3 for the word total.
+    """
+    low = F.lower(question)
+    years = F.array_distinct(T.find_all(F.col(question), r"\b(19[2-9][0-9]|20[0-2][0-9])\b"))
+    months = F.filter(T.strings(L.MONTHS), lambda m: low.contains(m))
+    terms = F.concat(T.focus_phrases(F.col(question)), T.named_entities(F.col(question)))
+    whole = F.coalesce(F.col("expects_series_math") | F.col("expects_regression") | F.col("expects_list") | F.col("wants_monthly_series"), F.lit(False))
+    rows = tables.select(*keys, years.alias("_y"), months.alias("_m"), terms.alias("_t"), whole.alias("_whole"), F.posexplode(T.lines(F.col(text))).alias("line_no", "line"))
+    bare = T.strip(F.col("line"))
+    held = lambda words, line: F.coalesce(F.size(F.filter(words, lambda w: line.contains(w))), F.lit(0))
+    score = 10 * held(F.col("_y"), bare) + 5 * held(F.col("_m"), F.lower(bare)) + 8 * held(F.col("_t"), F.lower(bare)) + F.when(F.lower(bare).rlike(r"\btotal\b"), 3).otherwise(0)
+    rows = rows.withColumns({"_filled": (bare != "").cast("int"), "_bar": F.regexp_replace(bare, "-", "").rlike(r"^[\s|:]+$"), "score": score})
+    place = Window.partitionBy(*keys).orderBy("line_no")
+    rows = rows.withColumns({"_n": F.sum("_filled").over(Window.partitionBy(*keys)), "_at": F.sum("_filled").over(place)})
+    rows = rows.withColumn("_data", (F.col("_filled") == 1) & ~F.col("_bar") & (F.col("_at") > 2))
+    # data rows come first in each rank, so that the others take no place among them
+    ranked = rows.withColumns(
+        {
+            "_r": F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_data"), F.desc("score"), "line_no")),
+            "_best": F.max(F.when(F.col("_data"), F.col("score"))).over(Window.partitionBy(*keys)),
+        }
+    )
+    good = F.col("_data") & (F.col("_r") <= most) & ((F.col("score") > 0) | (F.col("_best") <= 0))
+    kept = F.col("_whole") | (F.col("_n") <= most + 2) | ((F.col("_filled") == 1) & ~F.col("_data")) | good
+    return ranked.where(kept).select(*keys, "line_no", "line", "score")

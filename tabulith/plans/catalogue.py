@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabulith.functions import answers as A
 from tabulith.functions import lexicon as L
@@ -365,6 +366,15 @@ def row_narrow(spark, sf_dir):
     return B.narrow_rows(scored, "doc_id", "score")
 
 
+@query()
+def row_narrow_questions(spark, sf_dir):
+    """Each document's lines narrowed for one of the questions, dealt by doc_id."""
+    asked_ = P.with_profile(questions(spark)).withColumn("_n", F.row_number().over(Window.orderBy("q_id")) - 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = docs.join(F.broadcast(asked_), F.pmod("doc_id", F.lit(len(I.QUESTIONS))) == F.col("_n"))
+    return B.narrow_for_question(pairs, ["q_id", "doc_id"])
+
+
 @query()
 def window_snippets(spark, sf_dir):
     best = R.top_k(scores(spark, sf_dir), "q_id", 3, F.desc("score"), F.col("doc_id")).select("q_id", "doc_id")

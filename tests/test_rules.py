@@ -129,3 +129,30 @@ def test_window_snippets(spark):
     assert [(r["first"], r["last"], r["score"]) for r in scored] == [(20, 41, 3 + 10 + 1 + 12)]
     found = N.window_snippets(frame, 70).collect()
     assert [(r.doc_id, r.first_line, r.end_line, r.snippet) for r in found] == [(1, 20, 41, "\n".join(text.split("\n")[20:41])[:70])]
+
+
+def test_narrow_for_question(spark):
+    import random
+
+    dice = random.Random(4)
+    cells = ["1953", "19530", "March", "total", "totals", "Harbor Works", "other", "7"]
+    big = ["head", "| a | b |", "|---|:--|", *("| " + " | ".join(dice.choices(cells, k=2)) + " |" for _ in range(90)), "|---|", "| last | 1953 |", ""]
+    flat = ["x %d" % i for i in range(60)]
+    small = ["x", "", *("y %d" % i for i in range(41))]
+    texts, asked = {"big": big, "flat": flat, "small": small}, {"one": "What was Harbor Works in March 1953?", "list": "Which countries?"}
+    flags = "expects_series_math expects_regression expects_list wants_monthly_series".split()
+    rows = [(q, t, asked[q], "\n".join(lines), *(f == "expects_list" and q == "list" for f in flags)) for q in asked for t, lines in texts.items()]
+    frame = spark.createDataFrame(rows, "q string, t string, question string, text string, " + ", ".join(f + " boolean" for f in flags))
+    got = {}
+    for r in B.narrow_for_question(frame, ["q", "t"]).orderBy("line_no").collect():
+        got.setdefault((r.q, r.t), []).append(r.line_no)
+
+    def score(line):
+        return 10 * ("1953" in line) + 5 * ("march" in line.lower()) + 8 * ("harbor works" in line.lower()) + 3 * ("total" in line.replace("totals", ""))
+
+    data = [i for i, x in enumerate(big) if i > 2 and x and x != "|---|"]
+    best = [i for i in sorted(data, key=lambda i: -score(big[i])) if score(big[i])][:40]
+    assert got["one", "big"] == sorted([0, 1, 2, 93, *best])
+    assert got["one", "flat"] == list(range(42))
+    assert got["one", "small"] == list(range(43))
+    assert all(got["list", t] == list(range(len(x))) for t, x in texts.items())

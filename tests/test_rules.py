@@ -131,6 +131,25 @@ def test_window_snippets(spark):
     assert [(r.doc_id, r.first_line, r.end_line, r.snippet) for r in found] == [(1, 20, 41, "\n".join(text.split("\n")[20:41])[:70])]
 
 
+def test_line_signals_count_months(spark, tmp_path):
+    import re
+
+    from tabulith.plans import catalogue
+
+    texts = ["March 5", "march", "Marching 1,234 567", "demarche 3", "été mai 4", "x  y $\nMay 1953\n\nsept. 7  8", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def signal(line):
+        month = re.search(r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b", line.lower(), re.ASCII)
+        return bool(re.search("[0-9]", line)) + 2 * (len(re.findall("[0-9][0-9,.]*", line)) >= 2) + bool(month) + bool(re.search("[%$]", line)) + bool(re.search(r"\s{2,}|\t", line))
+
+    got = {r.doc_id: (r.table_signal, r.table_lines) for r in catalogue.line_signals_full(spark, str(tmp_path)).collect()}
+    want = {i: [signal(x) for x in t.split("\n")] for i, t in enumerate(texts)}
+    assert got == {i: (sum(s), sum(x >= 2 for x in s)) for i, s in want.items()}
+    cut = {r.doc_id: r.table_signal for r in catalogue.line_signals(spark, str(tmp_path)).collect()}
+    assert got[0][0] == cut[0] + 1 and got[5][0] == cut[5] + 2
+
+
 def test_narrow_for_question(spark):
     import random
 

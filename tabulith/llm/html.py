@@ -22,17 +22,25 @@ _BAD_NAME = re.compile(
     r"|newsletter|subscri\w*|sharing|share|social|related|recommend\w*|comments?|replies|respond|disqus|widgets?|log-?in|sign-?up|toolbar|paginat\w*|pager|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Of these, names of what is no article at any length, unless it holds most of the page.
+_STRICT_NAME = re.compile(r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|footers?|breadcrumbs?|cookies?|consent|gdpr|popups?|modal|overlay|newsletter|subscri\w*|comments?|replies|respond|disqus|log-?in|sign-?up|toolbar|paginat\w*|pager|skip)(?:$|[\s_-])", re.I)
+#: Words on the layout around an element, not on its own kind.
+_LAYOUT = re.compile(r"(?<![^\s_-])(?:no|without|has|with)[_-]\w+", re.I)
+#: So many characters outside links, at a link density up to DENSE, are text whatever the name.
+LONG, DENSE = 200, 1 / 3
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _SCORED = frozenset("p pre td blockquote div section article main li h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("attrs", "children", "parent", "score", "tag")
+    __slots__ = ("attrs", "chars", "children", "links", "named", "paras", "parent", "score", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str | None], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.score = 0.0
+        self.chars = self.links = self.paras = 0
+        self.named = False
 
 
 class Tree(HTMLParser):
@@ -97,13 +105,53 @@ def _hidden(node: Node) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or (attrs.get("role") or "").lower() in _BAD_ROLE:
         return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
-        return True
-    return node.tag not in ("article", "main", "body") and any(_BAD_NAME.search(attrs.get(k) or "") for k in ("class", "id"))
+    return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I))
+
+
+def _name(node: Node) -> str:
+    return "" if node.tag in ("article", "main", "body", "header") else " ".join(_LAYOUT.sub("", node.attrs.get(k) or "") for k in ("class", "id"))
+
+
+def _sizes(node: Node) -> None:
+    """Characters below the node, those in links, and those of paragraphs, or of own sentences, of low link density."""
+    node.chars = node.links = node.paras = own = 0
+    last = ""
+    for child in node.children:
+        if isinstance(child, str):
+            own += len(child.strip())
+            last = child.strip() or last
+        else:
+            _sizes(child)
+            node.chars += child.chars
+            node.links += child.links
+            node.paras += child.paras
+    node.chars += own
+    if node.tag == "a":
+        node.links = node.chars
+    if node.chars and node.links <= DENSE * node.chars:
+        if node.tag in ("p", "pre", "blockquote"):
+            node.paras = node.chars
+        elif own and node.tag in ("div", "section") and last[-1:] in ".!?…。！？":
+            node.paras = max(node.paras, own)
+
+
+def drop_named(node: Node, most: int) -> None:
+    """Cut off elements by name where shortness or links agree; others stay with the name noted, which lowers their score."""
+    for k, child in enumerate(node.children):
+        if not isinstance(child, Node):
+            continue
+        name = _name(child)
+        if _BAD_NAME.search(name):
+            plain = child.chars - child.links
+            if child.links > DENSE * child.chars or plain < LONG or (_STRICT_NAME.search(name) and 2 * plain < most):
+                node.children[k] = Node("hr" if child.tag in _BLOCK else "span", {}, node)
+                continue
+            child.named = True
+        drop_named(child, most)
 
 
 def prune(node: Node, inside: bool = False) -> None:
-    """Cut off what is no article by its kind or name; a header inside an article keeps its headings."""
+    """Cut off what is no article by its kind; a header inside an article keeps its headings."""
     kept: list[Node | str] = []
     for child in node.children:
         if isinstance(child, Node):
@@ -151,6 +199,8 @@ def _measure(node: Node, best: list[Node], depth: int = 0) -> tuple[int, int, in
             above = above.parent
     if node.tag in _BLOCK and node.tag not in ("p", "pre", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "body"):
         node.score *= 1 - (links / chars if chars else 0.0)
+        if node.named:
+            node.score /= 2
         best.append(node)
     return chars, links, commas
 
@@ -169,10 +219,23 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             _blocks(child, out)
 
 
+def _widened(top: Node) -> Node:
+    """The highest ancestor with a sibling whose paragraphs have a fifth of its own paragraphs' length at least, or the node itself."""
+    node = out = top
+    while node.parent is not None:
+        if any(isinstance(n, Node) and n is not node and not n.named and 5 * n.paras >= node.paras > 0 for n in node.parent.children):
+            out = node
+        node = node.parent
+    return out
+
+
 def main_text(html: str) -> str:
     """The article's text: white space in a block is one space, blocks are joined by a line feed."""
     root = parse(html)
     prune(root)
+    _sizes(root)
+    drop_named(root, root.chars - root.links)
+    _sizes(root)
     candidates: list[Node] = []
     _measure(root, candidates)
     top = max(candidates, key=lambda n: n.score, default=None)
@@ -185,11 +248,13 @@ def main_text(html: str) -> str:
                 top = node
             node = node.parent
         bar = max(10.0, 0.2 * top.score)
+        if top.tag not in ("article", "main"):
+            top = _widened(top)
         around = top.parent.children if top.parent else [top]
         if top.tag in ("article", "main"):
             kept = [n for n in around if n is top or (isinstance(n, Node) and n.tag == "article" and n.score >= bar)]
         else:
-            kept = [n for n in around if isinstance(n, Node) and (n is top or n.score >= bar or n.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"))]
+            kept = [n for n in around if isinstance(n, Node) and (n is top or (not n.named and (n.score >= bar or n.paras)) or n.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"))]
     out: list[list[str]] = [[]]
     for node in kept:
         out.append([])
@@ -214,7 +279,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """page_id, url, text, n_chars of every page.
 
     Paragraphs pass points for length and commas to their ancestors, half as much at each step up, discounted by link
-    density; the best container, widened to the article that holds it, and siblings of like score are kept.  Null html is empty; an
+    density; the best container, widened to the article that holds it, or else to where siblings hold like paragraphs, and siblings of like
+    score or with paragraphs are kept.  A name such as sidebar or share cuts an element off only if it is short or full of links.  Null html is empty; an
     empty page or one without text gives ''; null ids, null urls and repeated rows stay; other columns are not read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))

@@ -425,3 +425,24 @@ def test_phases_are_the_schedule():
         blocks = {s: rng.randint(0, 40) for s in weights}
         slots = sorted(slot0 + (j // own) * span + at[j % own] for _, _, n, slot0, span, own, at in mixing.phases(blocks, weights) for j in range(n))
         assert slots == list(range(sum(blocks.values())))
+
+
+def test_names_alone_cut_nothing_long():
+    long = "A long sentence, with commas, of the article itself, which goes on and on. " * 5
+    para = "<p>%s</p>" % long
+    for name in ("content no-sidebar", "content share", "related", "side", "notice", "ads", "comments-open"):
+        assert pages_.main_text('<body><div class="%s">%s%s</div></body>' % (name, para, para)) == "\n".join([long.strip()] * 2), name
+    assert pages_.main_text('<article><header class="entry-header"><h1>Title</h1></header>%s</article>' % para) == "Title\n" + long.strip()
+    share = '<div class="share"><a href=x>one</a><a href=y>two</a></div>'
+    listed = '<div class="related">%s</div>' % ("<a href=z>another story of this site</a> " * 30)
+    comments = '<div class="comments">%s</div>' % para
+    assert pages_.main_text("<article>%s%s%s%s%s</article>" % (para, para, share, listed, comments)) == "\n".join([long.strip()] * 2)
+
+
+def test_short_sections_beside_the_best_stay():
+    long = "A long sentence, with commas, of the article itself, which goes on and on. " * 5
+    side = '<div id="sidebar"><p>%s</p></div>' % ("Teasers, of other stories, and more. " * 9)
+    page = "<body><div><div><p>%s</p><p>%s</p></div><div>That is all.</div><div><p>The end</p></div><div><a href=x>Next.</a></div>%s</div></body>" % (long, long, side)
+    assert pages_.main_text(page) == "\n".join([long.strip()] * 2 + ["That is all.", "The end"])
+    rows = "".join("<div><div><p>%s</p></div></div>" % long for _ in range(2))
+    assert pages_.main_text("<body><div>%s</div></body>" % rows) == "\n".join([long.strip()] * 2)

@@ -28,22 +28,44 @@ def table_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def block_titles(blocks: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 16) -> DataFrame:
-    """Unit line and title of each block from the lines above it: a range join on line numbers of the same document."""
+    """Unit line and titles of each block from the lines above it: a range join on line numbers of the same document.
+
+    ``title`` is one line: the last exact title, or else the last section header.  ``full_title`` also has the section header directly
+    above the exact title, or else the last two headers, joined by a bar; ``table_code`` and ``is_contents`` are taken from it.
+    """
     line = T.strip(F.col("line"))
     above = explode_lines(docs, key, text).select(F.col(key).alias("_d"), "line_no", line.alias("line")).where("line <> ''")
     low = F.lower("line")
+    section = low.rlike(r"^section\s+[ivxlcdm0-9]+")
+    exact = F.col("line").rlike(r"^(TABLE|Table)\s+[A-Z0-9]{1,6}([-.][A-Z0-9]+)*(\s*[—-]|\.\s*-|\.)")
+    wordy = (F.size(F.split("line", r"\s+")) > 18) & ~low.rlike(r"^(table|chart|statement)\b")
+    prose = ~exact & ~section & ((F.length("line") > 140) | low.rlike(r"\b(shows?|lists?|reports?|contains?|presents?|summarizes?|describes?)\b") | (F.regexp_count("line", F.lit(r"\.")) >= 2) | wordy)
+    header = section | ((T.upper_ratio(F.col("line")) >= 0.7) & (F.length("line") <= 100)) | ((T.heading_signal(F.col("line")) >= 2) & (F.length("line") <= 120))
     above = above.withColumns(
         {
             "is_unit": low.rlike(r"\b(in|amounts in)\s+(millions?|billions?|trillions?|thousands?)\b"),
             "is_exact": F.col("line").rlike(r"^(TABLE|Table)\s+[A-Z]{1,6}-[A-Z0-9-]+"),
-            "is_header": low.rlike(r"^section\s+[ivxlcdm0-9]+") | ((T.upper_ratio(F.col("line")) >= 0.7) & (F.length("line") <= 100)) | ((T.heading_signal(F.col("line")) >= 2) & (F.length("line") <= 120)),
+            "is_header": header,
+            "_exact": exact,
+            "_header": header & ~prose,
         }
-    ).where("is_unit or is_exact or is_header")
+    )
+    before = Window.partitionBy("_d").orderBy("line_no")
+    above = above.withColumn("_before", F.lag(F.when(F.col("_header"), F.struct("line_no", "line"))).over(before)).where("is_unit or is_exact or is_header or _exact")
     near = blocks.join(above, (blocks[key] == above["_d"]) & above["line_no"].between(F.col("start_line") - reach, F.col("start_line") - 1), "left")
-    last = lambda flag: F.max_by("line", F.when(F.col(flag), F.col("line_no")))
-    found = near.groupBy(key, "block_no", "start_line").agg(last("is_unit").alias("unit_hint"), F.coalesce(last("is_exact"), last("is_header")).alias("_t"))
-    title = F.when(T.normalize(F.col("_t")) == T.normalize(F.col("unit_hint")), None).otherwise(F.col("_t"))
-    return found.select(key, "block_no", F.coalesce("unit_hint", F.lit("")).alias("unit_hint"), F.coalesce(title, F.concat(F.lit("Table block near line "), F.col("start_line").cast("string"))).alias("title"))
+    last = lambda flag, value="line": F.max_by(value, F.when(F.col(flag), F.col("line_no")))
+    headers = F.transform(F.array_sort(F.collect_list(F.when(F.col("_header"), F.struct("line_no", "line")))), lambda h: h["line"])
+    found = near.groupBy(key, "block_no", "start_line").agg(
+        last("is_unit").alias("unit_hint"), F.coalesce(last("is_exact"), last("is_header")).alias("_t"), last("_exact").alias("_e"), last("_exact", "_before").alias("_b"), headers.alias("_h")
+    )
+    known = lambda title: F.when(F.coalesce(T.normalize(title) == T.normalize(F.col("unit_hint")), F.lit(False)) | (title == ""), None).otherwise(title)
+    over = F.when(F.col("_b.line_no") >= F.col("start_line") - reach, F.col("_b.line"))
+    parts = F.when(F.col("_e").isNotNull(), F.array_compact(F.array(over, F.col("_e")))).otherwise(F.slice("_h", F.greatest(F.size("_h") - 1, F.lit(1)), 2))
+    full = F.coalesce(known(F.array_join(F.array_distinct(parts), " | ")), F.concat(F.lit("Table block near line "), (F.col("start_line") + 1).cast("string")))
+    title = F.coalesce(known(F.col("_t")), F.concat(F.lit("Table block near line "), F.col("start_line").cast("string")))
+    out = found.select(key, "block_no", F.coalesce("unit_hint", F.lit("")).alias("unit_hint"), title.alias("title"), full.alias("full_title"))
+    code = F.lower(F.regexp_extract("full_title", r"\b([A-Z]{1,6}-[A-Z]?-?[0-9]+[A-Z]?)\b", 1))
+    return out.withColumns({"table_code": code, "is_contents": T.normalize(F.col("full_title")).contains("contents")})
 
 
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 120) -> DataFrame:

@@ -175,3 +175,21 @@ def test_narrow_for_question(spark):
     assert got["one", "flat"] == list(range(42))
     assert got["one", "small"] == list(range(43))
     assert all(got["list", t] == list(range(len(x))) for t, x in texts.items())
+
+
+def test_full_titles(spark):
+    table = "| a | b |\n| 1 | 2 |"
+    tops = {
+        "SUMMARY OF DEBT\n\nTable FD-1. - Summary of Debt\n(In millions of dollars)": ("SUMMARY OF DEBT | Table FD-1. - Summary of Debt", "fd-1", False),
+        "SECTION IV\nprose of some kind\nTable FD-2. - Debt": ("Table FD-2. - Debt", "fd-2", False),
+        "FIRST\nSECOND HEADER\nwords\nTABLE OF CONTENTS": ("SECOND HEADER | TABLE OF CONTENTS", "", True),
+        "ONE HEADER\nTHIS SHOWS ALL OF IT": ("ONE HEADER", "", False),
+        "TWICE\nTWICE": ("TWICE", "", False),
+        "(IN MILLIONS)": ("Table block near line 2", "", False),
+        "nothing here": ("Table block near line 2", "", False),
+        "HEADER FAR ABOVE" + "\nx" * 15 + "\nTable FD-3. - Debt": ("Table FD-3. - Debt", "fd-3", False),
+        "FAR" + "\n" * 16 + "Table FD-4. - Debt": ("Table FD-4. - Debt", "fd-4", False),
+    }
+    docs = spark.createDataFrame([(i, top + "\n" + table) for i, top in enumerate(tops)], "doc_id long, text string")
+    got = {r.doc_id: (r.full_title, r.table_code, r.is_contents) for r in B.block_titles(B.table_blocks(docs), docs).collect()}
+    assert got == dict(enumerate(tops.values()))

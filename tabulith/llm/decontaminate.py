@@ -14,6 +14,8 @@ from tabulith.llm.kernels import BLANK_WORDS, U64, doc_chunks, utf8, word_hashes
 
 #: Words of the shortest tile.
 TILE = 5
+#: Words of the shortest item that is matched; items under TILE words match as a whole.
+SHORT = 2
 #: Share of a test item's words that tiles must cover.
 COVERED = 0.5
 #: Bytes of test items that travel to the executors at once; a larger benchmark is searched in several passes.
@@ -76,22 +78,38 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int = TILE) -> list[tuple[i
 
 
 class Items:
-    """Word hashes of the test items and the sorted hashes of their runs of TILE words."""
+    """Word hashes of the test items and the sorted hashes of their runs of TILE words; by length, hashes of shorter items and their places."""
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         self.ids, self.words = [], []
+        brief: dict[int, list[tuple[int, object]]] = {}
         for key, text in rows:
             data, offsets = utf8(pa.array([text], pa.large_string()))
             starts, ends, _ = words(data, offsets, BLANK_WORDS)
             if len(starts) >= TILE:
                 self.ids.append(key)
                 self.words.append(word_hashes(data, starts, ends))
+            elif len(starts) >= SHORT:
+                brief.setdefault(len(starts), []).append((int(rolling(word_hashes(data, starts, ends), len(starts))[0]), key))
+        self.brief = {}  # length: sorted hashes, and the place in ids of each
+        for n, found in brief.items():
+            found.sort(key=lambda f: f[0])
+            self.brief[n] = np.array([h for h, _ in found], U64), len(self.ids) + np.arange(len(found))
+            self.ids.extend(key for _, key in found)
         seeds = [rolling(w, TILE) for w in self.words]
         value = np.concatenate(seeds) if seeds else np.zeros(0, U64)
         owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds]) if seeds else np.zeros(0, np.int64)
         order = np.argsort(value, kind="stable")
         self.seeds, self.owner = value[order], owner[order]
 
+    def whole(self, text: np.ndarray) -> list[tuple[int, float, int]]:
+        """(item, 1.0, 1) of the items under TILE words that stand in the text as a whole."""
+        out = []
+        for n, (values, at) in self.brief.items():
+            runs = rolling(text, n)
+            out += [(i, 1.0, 1) for i in at[np.isin(values, runs)].tolist()]
+        return out
+
     def search(self, text: np.ndarray, runs: np.ndarray, least: float) -> list[tuple[int, float, int]]:
         """(item, coverage, tiles) of the items whose words the text's tiles cover far enough."""
         if not len(self.seeds) or not len(runs):
@@ -132,7 +150,8 @@ def _search(items: Items, least: float, column: pa.Array) -> Iterator[list[tuple
         for i in range(b - a):
             lo, hi = int(first[i]), int(first[i + 1])
             last = max(lo, hi - TILE + 1)
-            yield items.search(hashes[lo:hi], runs[lo:last], least) if hi - lo >= TILE and hit[last] > hit[lo] else []
+            found = items.search(hashes[lo:hi], runs[lo:last], least) if hi - lo >= TILE and hit[last] > hit[lo] else []
+            yield found + items.whole(hashes[lo:hi]) if items.brief else found
 
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
@@ -147,8 +166,8 @@ def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = COVERED, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Pairs (doc_id, item_id, coverage, tiles): documents whose tiles cover at least ``least`` of a test item's words.
 
-    Words are lowered runs of non-blank bytes.  Tiles may stand in any order in the document.  Items and texts with fewer
-    than TILE words, null or empty ones match nothing; null ids are kept in the pairs; repeated documents are reported each; other columns
+    Words are lowered runs of non-blank bytes.  Tiles may stand in any order in the document.  Items of SHORT to TILE - 1
+    words match where they stand as a whole; items of one word, null or empty ones match nothing; null ids are kept in the pairs; repeated documents are reported each; other columns
     are not read.  The items travel in passes of PASS_BYTES, so what is broadcast is bounded whatever the benchmark's size.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

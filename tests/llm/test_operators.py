@@ -446,3 +446,13 @@ def test_short_sections_beside_the_best_stay():
     assert pages_.main_text(page) == "\n".join([long.strip()] * 2 + ["That is all.", "The end"])
     rows = "".join("<div><div><p>%s</p></div></div>" % long for _ in range(2))
     assert pages_.main_text("<body><div>%s</div></body>" % rows) == "\n".join([long.strip()] * 2)
+
+
+def test_short_items_match_as_a_whole(spark):
+    texts = ["Who wrote it", "x who WROTE\nit y", "who wrote", "wrote it who", "who wrote them it", "blue moon and who wrote it", "blue", None, "", "a b c d e f"]
+    docs = table(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    bench = spark.createDataFrame([(1, "who wrote it"), (2, "Blue  moon"), (3, "blue moon"), (4, "a b c d e f"), (5, "c d e f"), (None, "e f"), (7, "f")], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.coverage, r.tiles) for r in decontaminate.find_leaks(docs, bench).collect())
+    pairs = [(0, 1), (1, 1), (5, 1), (5, 2), (5, 3), (9, 4), (9, 5), (9, None)]
+    assert got == Counter((d, i, 1.0, 1) for d, i in pairs)
+    assert sorted(r.doc_id for r in decontaminate.reject_leaks(docs, bench).collect()) == [2, 3, 4, 6, 7, 8]

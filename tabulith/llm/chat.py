@@ -2,18 +2,24 @@
 
 A turn is written ``<s>role[INST]text[/INST]``, or ``<s>role[INST]text</s>`` where its text is a training target.  In roles and texts
 a backslash is doubled, ``<`` becomes ``\\l`` and ``[`` becomes ``\\b``, so no control string can occur in them.
+
+Turns stay rows: a conversation is numbered in slices, cut into chunks of bounded length, and only the token counts of a chunk
+ever meet in one array.  Texts are gathered by window, so no row holds more than the budget allows or than one turn has.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabulith.llm.common import stash
 
 TURN, TEXT, CLOSED, TARGET = "<s>", "[INST]", "[/INST]", "</s>"
 #: Letters and digits in a row are a token, any other visible character is one; a turn's marks count as three.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
+#: Turns of a chunk: windows and their history never cross from one chunk to the next.
+CHUNK = 4096
 
 
 def escape(text: Column) -> Column:
@@ -27,54 +33,95 @@ def unescape(text: Column) -> Column:
     return F.array_join(parts, "\\")
 
 
-def _render(turn: Column, target: Column) -> Column:
-    return F.concat(F.lit(TURN), escape(turn["role"]), F.lit(TEXT), escape(turn["text"]), F.when(target, TARGET).otherwise(CLOSED))
+def _numbered(turns: DataFrame) -> DataFrame:
+    """Rows with their conversation's key, chunk and place in the chunk.
+
+    A conversation may hold any share of the rows: it is numbered inside slices of CHUNK turn numbers, which are shifted by the sizes of the
+    slices before them.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = turns.select(
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("_c"),  # a null id has a key that no number has
+        F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62))).alias("_slice"),
+        "conv_id",
+        F.col("turn"),
+        F.coalesce(F.col("role"), F.lit("")).alias("role"),
+        text.alias("text"),
+        (F.regexp_count(text, F.lit(TOKEN)) + 3).alias("tokens"),
+    )
+    inside = rows.withColumn("_at", F.row_number().over(Window.partitionBy("_c", "_slice").orderBy("turn", "role", "text")) - 1)
+    earlier = Window.partitionBy("_c").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = turns.groupBy(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("_c"), F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(-(1 << 62))).alias("_slice")).agg(F.count(F.lit(1)).alias("_n"))
+    shift = sizes.select("_c", "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    place = F.col("_at") + F.col("_shift")
+    out = inside.join(shift, ["_c", "_slice"])
+    return out.select("_c", F.expr(f"(_at + _shift) div {CHUNK}").alias("chunk"), F.pmod(place, F.lit(CHUNK)).cast("int").alias("pos"), "conv_id", "role", "text", "tokens")
 
 
 def format_windows(turns: DataFrame, budget: int = 512, history_turns: int = 2, history_tokens: int = 128) -> DataFrame:
     """Windows of whole turns: conv_id, window, n_context, n_tokens, formatted, loss_spans (start and length in characters).
 
     Prefix sums of turn tokens cut a conversation into spans: a span ends before the turn with which it, the system
-    turn and the largest history would pass ``budget`` (a turn that is too long alone is a span alone, whole).  Each window is the
-    first system turn, then up to ``history_turns`` turns before the span with at most ``history_tokens`` tokens, then the span.  Only assistant
+    turn and the largest history would pass ``budget`` (a turn that is too long alone is a span alone, whole), and after every CHUNK turns.
+    Each window is the first system turn, then up to ``history_turns`` turns before the span, of the same chunk, with at most
+    ``history_tokens`` tokens, then the span; ``window`` is the place of the span's first turn in its conversation.  Only assistant
     turns of the span itself are targets; what is repeated is masked.  Null roles and texts are empty; rows of a
-    conversation are ordered by turn, then role, then text; repeated rows are repeated turns; a null conv_id is a conversation;
+    conversation are ordered by turn (nulls first), then role, then text; repeated rows are repeated turns; a null conv_id is a conversation;
     an empty table gives no windows; other columns are not read.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    row = F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), text.alias("text"), (F.regexp_count(text, F.lit(TOKEN)) + 3).alias("tokens"))
-    convs = turns.select("conv_id", row.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    convs = convs.withColumn("head", F.get(F.filter("t", lambda t: t["role"] == "system"), F.lit(0)))
-    convs = convs.withColumn("room", F.lit(budget - history_tokens) - F.coalesce(F.col("head.tokens"), F.lit(0)))
-    # prefix sums; each entry is the number of tokens before that turn
-    sums = "aggregate(t, array(0L), (acc, x) -> concat(acc, array(element_at(acc, -1) + x.tokens)))"
-    convs = convs.withColumn("before", F.expr(sums))
-    cuts = """aggregate(sequence(1, size(t)), array(0), (acc, i) -> if(before[i] - before[element_at(acc, -1)] > room
-              and i - 1 > element_at(acc, -1), concat(acc, array(i - 1)), acc))"""
-    convs = convs.withColumn("cuts", F.expr(cuts))
-    wins = convs.select("conv_id", "t", "head", "before", "cuts", F.posexplode("cuts").alias("window", "lo"))
-    wins = wins.withColumn("hi", F.expr("coalesce(try_element_at(cuts, window + 2), size(t))"))
-    kept = f"size(filter(sequence(0, {history_turns}), h -> h > 0 and h <= lo and before[lo] - before[lo - h] <= {history_tokens}))"
-    wins = wins.withColumn("past", F.expr(kept))
-    first = F.expr("array_position(transform(t, x -> x.role), 'system') - 1")
-    lead = F.when(F.col("head").isNotNull() & (first < F.col("lo") - F.col("past")), F.array("head")).otherwise(F.array().cast("array<struct<turn:bigint,role:string,text:string,tokens:int>>"))
-    wins = wins.withColumn("context", F.concat(lead, F.expr("slice(t, lo - past + 1, past)"))).withColumn("fresh", F.expr("slice(t, lo + 1, hi - lo)"))
-    masked = F.transform("context", lambda t: _render(t, F.lit(False)))
-    open_ = F.transform("fresh", lambda t: _render(t, t["role"] == "assistant"))
-    wins = wins.withColumn("masked", masked).withColumn("open", open_).withColumn("n_context", F.size("context"))
-    starts = "aggregate(concat(masked, open), array(0), (acc, x) -> concat(acc, array(element_at(acc, -1) + length(x))))"
-    wins = wins.withColumn("starts", F.expr(starts))
-    span = F.transform(
-        F.sequence(F.lit(1), F.size("fresh")),
-        lambda i: F.struct(
-            (F.element_at("starts", (i + F.col("n_context")).cast("int")) + len(TURN) + len(TEXT) + F.length(escape(F.element_at("fresh", i)["role"]))).alias("start"),
-            F.length(escape(F.element_at("fresh", i)["text"])).alias("length"),
-            (F.element_at("fresh", i)["role"] == "assistant").alias("target"),
-        ),
+    rows = _numbered(turns)
+    system = rows.where("role = 'system'").groupBy("_c").agg(F.min_by(F.struct("chunk", "pos", "role", "text", "tokens"), F.struct("chunk", "pos")).alias("head"))
+    # the only gathering by chunk is of two numbers a turn
+    counts = rows.groupBy("_c", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("_t"))
+    chunks = counts.join(system, "_c", "left").withColumn("_room", F.lit(budget - history_tokens) - F.coalesce(F.col("head.tokens"), F.lit(0)))
+    fold = """aggregate(_t, named_struct('cuts', array(0), 'used', 0L), (acc, x) -> if(acc.used > 0 and acc.used + x.tokens > _room,
+        named_struct('cuts', concat(acc.cuts, array(x.pos)), 'used', cast(x.tokens as bigint)),
+        named_struct('cuts', acc.cuts, 'used', acc.used + x.tokens)), acc -> acc.cuts)"""
+    chunks = chunks.select("_c", "chunk", "head", F.expr(fold).alias("_cuts"))
+
+    keys = ["_c", "chunk"]
+    placed = rows.join(chunks.select(*keys, "_cuts"), keys).withColumn("_begins", F.array_contains("_cuts", F.col("pos"))).drop("_cuts")
+    order = Window.partitionBy(*keys).orderBy("pos")
+    placed = placed.withColumn("_lo", F.max(F.when(F.col("_begins"), F.col("pos"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # a turn also stands, masked, in windows that begin within the next turns, as far as the tokens between allow
+    windows = [F.struct(F.col("_lo").alias("lo"), F.lit(True).alias("own"))]
+    gap = F.col("tokens")
+    for k in range(1, history_turns + 1):
+        near = F.lead("_begins", k).over(order) & (gap <= history_tokens)
+        windows.append(F.when(near, F.struct((F.col("pos") + k).alias("lo"), F.lit(False).alias("own"))))
+        gap = gap + F.lead("tokens", k).over(order)
+    placed = placed.withColumn("_w", F.array_compact(F.array(*windows)))
+    target = (F.col("role") == "assistant") & F.col("w.own")
+    begin = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT))
+    body = escape(F.col("text"))
+    member = placed.withColumn("w", F.explode("_w")).select(
+        *keys,
+        "conv_id",
+        F.col("w.lo").alias("lo"),
+        F.struct(
+            "pos",
+            F.col("w.own").alias("own"),
+            F.concat(begin, body, F.when(target, TARGET).otherwise(CLOSED)).alias("piece"),
+            F.length(begin).alias("before"),
+            F.length(body).alias("length"),
+            target.alias("target"),
+            "tokens",
+        ).alias("p"),
     )
-    spans = F.transform(F.filter(span, lambda s: s["target"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
-    tokens = F.expr("aggregate(concat(context, fresh), 0, (acc, x) -> acc + x.tokens)")
-    return wins.select("conv_id", "window", "n_context", tokens.alias("n_tokens"), F.concat(F.array_join("masked", ""), F.array_join("open", "")).alias("formatted"), spans.alias("loss_spans"))
+    wins = member.groupBy(*keys, "lo").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list("p")).alias("p"))
+    wins = wins.join(chunks.select(*keys, "head"), keys)
+    # the system turn leads unless it is one of the turns that stand here anyway
+    early = F.struct(F.col("head.chunk"), F.col("head.pos")) < F.struct(F.col("chunk"), F.col("p")[0]["pos"])
+    wins = wins.withColumn("_led", F.coalesce(F.col("head").isNotNull() & early, F.lit(False)))
+    lead = F.when(F.col("_led"), F.concat(F.lit(TURN), escape(F.col("head.role")), F.lit(TEXT), escape(F.col("head.text")), F.lit(CLOSED))).otherwise("")
+    wins = wins.withColumn("_lead", lead)
+    spans = F.expr("""aggregate(p, named_struct('at', length(_lead), 'out', cast(array() as array<struct<start:int,length:int>>)), (acc, x) -> named_struct(
+        'at', acc.at + length(x.piece), 'out', if(x.target, concat(acc.out, array(named_struct('start', acc.at + x.before, 'length', x.length))), acc.out)), acc -> acc.out)""")
+    context = F.size(F.filter("p", lambda x: ~x["own"])) + F.col("_led").cast("int")
+    tokens = F.expr("aggregate(p, if(_led, head.tokens, 0), (acc, x) -> acc + x.tokens)")
+    place = F.col("chunk") * CHUNK + F.col("lo")
+    formatted = F.concat("_lead", F.array_join(F.transform("p", lambda x: x["piece"]), ""))
+    return wins.select("conv_id", place.alias("window"), context.alias("n_context"), tokens.alias("n_tokens"), formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
@@ -92,6 +139,7 @@ def read_windows(windows: DataFrame) -> DataFrame:
 
 
 def op7_chat(conversations: DataFrame) -> DataFrame:
+    """Digests of each conversation, read back from its windows.  A digest is of one whole text, so this query alone gathers a conversation in a row."""
     spark = conversations.sparkSession
     same = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT -1L conv_id, pos turn, role, '{same}' text FROM (SELECT posexplode(array('user', 'assistant')) AS (pos, role))")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import stash
+from tabulith.llm.common import release, stash
 
 
 def _print(edges: DataFrame) -> tuple[int, int]:
@@ -33,6 +33,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u")))
         after = stash(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        release(now)
         was, now, print_ = print_, after, _print(after)
         if was == print_:
             break

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulith.llm.chat import op7_chat
@@ -23,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this query needs it
+
     return op1_token_ids(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 

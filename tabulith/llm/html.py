@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -13,30 +14,35 @@ from pyspark.sql import functions as F
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text is never part of an article.
-_NEVER = frozenset("script style noscript template head title svg math iframe object canvas audio video form button select textarea input nav footer aside menu dialog".split())
+_NEVER = frozenset("script style noscript template head title svg math iframe object canvas audio video button select textarea input nav footer aside menu dialog".split())
 #: An open element of these kinds ends when one of the given kinds begins.
 _ENDS = {"p": _BLOCK - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
-_BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|sidebars?|side|footers?|headers?|masthead|breadcrumbs?|ads?|advert\w*|banners?|promos?|promotion|sponsor\w*|cookies?|consent|gdpr|notices?|popups?|modal|overlay"
-    r"|newsletter|subscri\w*|sharing|share|social|related|recommend\w*|comments?|replies|respond|disqus|widgets?|log-?in|sign-?up|toolbar|paginat\w*|pager|skip)(?:$|[\s_-])",
-    re.I,
-)
+#: Parts of class names and ids that name page furniture, and those of them that do so after any other word.
+_FURNITURE = frozenset("nav navbar navigation menu menus sidebar sidebars side footer footers header headers masthead breadcrumb breadcrumbs ad ads advert adverts advertisement advertising banner banners promo promos promotion sponsor sponsored cookie cookies consent gdpr notice notices popup popups modal overlay newsletter subscribe subscription sharing share social related recommended recommendations recommend comment comments replies respond responses disqus widget widgets login signup signin toolbar pagination pager skip".split())
+_NOUNS = _FURNITURE - frozenset("side share sharing related social notice notices recommended recommend sponsor sponsored promotion skip comment respond subscription header headers".split())
 #: Of these, names of what is no article at any length, unless it holds most of the page.
-_STRICT_NAME = re.compile(r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|footers?|breadcrumbs?|cookies?|consent|gdpr|popups?|modal|overlay|newsletter|subscri\w*|comments?|replies|respond|disqus|log-?in|sign-?up|toolbar|paginat\w*|pager|skip)(?:$|[\s_-])", re.I)
+_STRICT = frozenset("nav navbar navigation menu menus footer footers breadcrumb breadcrumbs cookie cookies consent gdpr popup popups modal overlay newsletter subscribe comments replies respond disqus login signup signin toolbar pagination pager skip".split())
+#: Parts that say nothing of what an element holds.
+_NEUTRAL = frozenset("a area article articles bar bars block blocks bottom box boxes btn bottom button buttons center col column container content entry floating form global group holder icon icons inline inner item items l layer left link links list lists main mobile module more of outer page panel post posts primary r right row secondary section site sites slot small stories sticky tertiary text the to top unit up us wp wrap wrapper google in log sign".split())
+#: A heading that begins the readers' part of a page.
+_READERS = re.compile(r"\W*(?:\d+\s+)?(?:(?:reader|readers|user)\S*\s+)?(?:comments?|responses?|replies|discussion|join the (?:discussion|conversation)|leave a (?:reply|comment)|post a comment)\b\W*(?:\(?\d+\)?\W*)?", re.I)
 #: Words on the layout around an element, not on its own kind.
 _LAYOUT = re.compile(r"(?<![^\s_-])(?:no|without|has|with)[_-]\w+", re.I)
 #: So many characters outside links, at a link density up to DENSE, are text whatever the name.
 LONG, DENSE = 200, 1 / 3
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Elements nested deeper than this are laid flat; their texts and breaks stay.
+DEPTH = 300
 _SCORED = frozenset("p pre td blockquote div section article main li h1 h2 h3 h4 h5 h6".split())
 
 
 class Node:
-    __slots__ = ("attrs", "chars", "children", "links", "named", "paras", "parent", "score", "tag")
+    __slots__ = ("attrs", "chars", "children", "depth", "links", "named", "paras", "parent", "score", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str | None], parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
+        self.depth = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
         self.score = 0.0
         self.chars = self.links = self.paras = 0
@@ -49,6 +55,7 @@ class Tree(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", {}, None)
+        self.flat: Counter[str] = Counter()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "html":
@@ -56,7 +63,11 @@ class Tree(HTMLParser):
         self._make_room(tag)
         node = Node(tag, dict(attrs), self.at)
         self.at.children.append(node)
-        if tag not in _VOID:
+        if tag in _VOID:
+            return
+        if node.depth > DEPTH and tag not in _NEVER:
+            self.flat[tag] += 1
+        else:
             self.at = node
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -76,6 +87,11 @@ class Tree(HTMLParser):
             node = node.parent
 
     def handle_endtag(self, tag: str) -> None:
+        if self.flat[tag]:
+            self.flat[tag] -= 1
+            if tag in _BLOCK:
+                self.at.children.append(Node("hr", {}, self.at))
+            return
         node: Node | None = self.at
         while node is not None and node.parent is not None:
             if node.tag == tag:
@@ -108,8 +124,23 @@ def _hidden(node: Node) -> bool:
     return bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I))
 
 
-def _name(node: Node) -> str:
-    return "" if node.tag in ("article", "main", "body", "header") else " ".join(_LAYOUT.sub("", node.attrs.get(k) or "") for k in ("class", "id"))
+def _furniture(node: Node) -> str:
+    """'strict' or 'named' for an element whose class or id names page furniture, else ''.
+
+    A class counts if all of its parts name furniture or say nothing (related-posts), or if its last part is such a noun
+    (acme-footer); related-work or share-price count as words of the article.
+    """
+    if node.tag in ("article", "main", "body", "header"):
+        return ""
+    found = ""
+    for name in _LAYOUT.sub("", f"{node.attrs.get('class') or ''} {node.attrs.get('id') or ''}").lower().split():
+        parts = [p for p in re.split(r"[\W_\d]+", name) if p]
+        if not parts or not (any(p in _FURNITURE for p in parts) and all(p in _FURNITURE or p in _NEUTRAL for p in parts) or parts[-1] in _NOUNS):
+            continue
+        if any(p in _STRICT for p in parts):
+            return "strict"
+        found = "named"
+    return found
 
 
 def _sizes(node: Node) -> None:
@@ -120,7 +151,7 @@ def _sizes(node: Node) -> None:
         if isinstance(child, str):
             own += len(child.strip())
             last = child.strip() or last
-        else:
+        elif child.tag not in _NEVER:
             _sizes(child)
             node.chars += child.chars
             node.links += child.links
@@ -135,36 +166,70 @@ def _sizes(node: Node) -> None:
             node.paras = max(node.paras, own)
 
 
-def drop_named(node: Node, most: int) -> None:
-    """Cut off elements by name where shortness or links agree; others stay with the name noted, which lowers their score."""
+def _gap(node: Node, parent: Node) -> Node:
+    return Node("hr" if node.tag in _BLOCK else "span", {}, parent)
+
+
+def drop_named(node: Node, most: int, apart: bool = False) -> None:
+    """Cut off elements by name where shortness or links agree; others stay with the name noted, which lowers their score.
+
+    A part whose first heading speaks of comments goes, unless it has most of the page and no article stands beside it; headings of a
+    named header stay.
+    """
+    apart = apart or any(isinstance(c, Node) and c.tag in ("article", "main") and c.chars for c in node.children)
     for k, child in enumerate(node.children):
         if not isinstance(child, Node):
             continue
-        name = _name(child)
-        if _BAD_NAME.search(name):
-            plain = child.chars - child.links
-            if child.links > DENSE * child.chars or plain < LONG or (_STRICT_NAME.search(name) and 2 * plain < most):
-                node.children[k] = Node("hr" if child.tag in _BLOCK else "span", {}, node)
+        kind = _furniture(child)
+        plain = child.chars - child.links
+        if child.tag in ("section", "div") and (apart or 2 * plain < max(most, 1)) and _READERS.fullmatch(_first_heading(child)):
+            node.children[k] = _gap(child, node)
+            continue
+        if kind:
+            if child.links > DENSE * child.chars or plain < LONG or (kind == "strict" and 2 * plain < most):
+                heads = [c for c in child.children if isinstance(c, Node) and c.tag in ("h1", "h2")] if re.search(r"\b(?:entry|article|post)[-_]header", child.attrs.get("class") or "") else []
+                node.children[k] = _gap(child, node)
+                node.children[k].children = heads
                 continue
             child.named = True
-        drop_named(child, most)
+        drop_named(child, most, apart and child.tag not in ("article", "main"))
+
 
+def _words(node: Node) -> str:
+    return "".join(c if isinstance(c, str) else _words(c) for c in node.children)
 
-def prune(node: Node, inside: bool = False) -> None:
-    """Cut off what is no article by its kind; a header inside an article keeps its headings."""
+
+def _first_heading(node: Node) -> str:
+    """The text of a heading that comes before any other text of the node."""
+    for child in node.children:
+        if isinstance(child, str):
+            if child.strip():
+                return ""
+        elif re.fullmatch("h[1-6]", child.tag):
+            return " ".join(_words(child).split())
+        elif child.chars:
+            return _first_heading(child)
+    return ""
+
+
+def prune(node: Node, most: int, inside: bool = False) -> None:
+    """Cut off what is no article by its kind; a header inside an article keeps its headings and standfirst, a form that holds most of the page its texts."""
     kept: list[Node | str] = []
     for child in node.children:
         if isinstance(child, Node):
-            if child.tag in _NEVER or _hidden(child):
+            wrapper = child.tag == "form" and 2 * (child.chars - child.links) > most and child.paras > 0
+            if child.tag in _NEVER or _hidden(child) or (child.tag == "form" and not wrapper):
                 if child.tag in _BLOCK:
                     kept.append(Node("hr", {}, node))
                 continue
+            if child.tag in ("label", "legend", "option", "fieldset") and 2 * child.chars < most:
+                continue
             if child.tag == "header":
                 if not inside:
                     kept.append(Node("hr", {}, node))
                     continue
-                child.children = [c for c in child.children if isinstance(c, Node) and re.fullmatch("h[1-6]|hgroup|div", c.tag)]
-            prune(child, inside or child.tag in ("article", "main"))
+                child.children = [c for c in child.children if isinstance(c, Node) and re.fullmatch("h[1-6]|hgroup|div|p", c.tag)]
+            prune(child, most, inside or child.tag in ("article", "main"))
         kept.append(child)
     node.children = kept
 
@@ -229,16 +294,35 @@ def _widened(top: Node) -> Node:
     return out
 
 
+def _within(node: Node) -> bool:
+    """Whether the node is part of an article."""
+    above = node.parent
+    while above is not None and above.tag not in ("article", "main"):
+        above = above.parent
+    return above is not None
+
+
+def _beside(node: Node, bar: float) -> bool:
+    """Whether a sibling of the best container is text of the same kind."""
+    if node.named or node.links > DENSE * node.chars:
+        return False
+    return node.score >= bar or node.paras > 0 or (node.chars > 0 and node.tag in ("ul", "ol", "dl", "table", "figure"))
+
+
 def main_text(html: str) -> str:
     """The article's text: white space in a block is one space, blocks are joined by a line feed."""
     root = parse(html)
-    prune(root)
+    _sizes(root)
+    prune(root, root.chars - root.links)
     _sizes(root)
     drop_named(root, root.chars - root.links)
     _sizes(root)
     candidates: list[Node] = []
     _measure(root, candidates)
     top = max(candidates, key=lambda n: n.score, default=None)
+    outer = [n for n in candidates if n.tag in ("article", "main") and n.chars and not _within(n)]
+    if top is not None and len(outer) == 1 and not _within(top) and (5 * outer[0].score >= top.score or outer[0].paras):
+        top = outer[0]  # a page's only article, unless it is a mere teaser
     if top is None or top.score <= 0:
         kept = [root]
     else:
@@ -254,7 +338,7 @@ def main_text(html: str) -> str:
         if top.tag in ("article", "main"):
             kept = [n for n in around if n is top or (isinstance(n, Node) and n.tag == "article" and n.score >= bar)]
         else:
-            kept = [n for n in around if isinstance(n, Node) and (n is top or (not n.named and (n.score >= bar or n.paras)) or n.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"))]
+            kept = [n for n in around if isinstance(n, Node) and (n is top or _beside(n, bar) or n.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"))]
     out: list[list[str]] = [[]]
     for node in kept:
         out.append([])

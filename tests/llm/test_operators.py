@@ -456,3 +456,104 @@ def test_short_items_match_as_a_whole(spark):
     pairs = [(0, 1), (1, 1), (5, 1), (5, 2), (5, 3), (9, 4), (9, 5), (9, None)]
     assert got == Counter((d, i, 1.0, 1) for d, i in pairs)
     assert sorted(r.doc_id for r in decontaminate.reject_leaks(docs, bench).collect()) == [2, 3, 4, 6, 7, 8]
+
+
+def test_pages_of_known_parts():
+    """Pages put together from article blocks and furniture give the article blocks alone."""
+    rng = random.Random(21)
+    vocabulary = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor".split()
+
+    def words(n):
+        return " ".join(rng.choices(vocabulary, k=n))
+
+    def block():
+        text = words(rng.randint(20, 60)) + ", " + words(8) + "."
+        return rng.choice(
+            [
+                ("<p>%s</p>" % text, text),
+                ("<p>%s" % text, text),
+                ("<p><b>%s</b> <i>x</i></p>" % text, text + " x"),
+                ("<h2>Part &amp; more</h2>", "Part & more"),
+                ("<blockquote><p>%s</p></blockquote>" % text, text),
+                ("<ul><li>%s<li>two</ul>" % text, text + "\ntwo"),
+                ("<table><tr><td>%s<td>b</table>" % text, text + "\nb"),
+                ('<div class="related-work">%s</div>' % text, text),
+                ('<div class="share-price">Price 3 &euro;</div>', "Price 3 €"),
+            ]
+        )
+
+    def furniture():
+        text = words(rng.randint(5, 25)) + "."
+        return rng.choice(
+            [
+                "<nav><a href=x>%s</a></nav>" % text,
+                "<aside>%s</aside>" % text,
+                '<div class="cookie-notice"><p>%s</p></div>' % text,
+                '<div id="sidebar-left"><a href=x>%s</a></div>' % text,
+                '<div class="ad">%s</div>' % text,
+                "<form><label>%s</label><input></form>" % text,
+                "<script>var x = '<p>%s</p>';</script>" % text,
+                "<style>p{}</style><!-- %s -->" % text,
+                '<ul class="menu"><li><a href=x>%s</a></ul>' % text,
+                '<div class="acme-footer">%s</div>' % text,
+                '<div style="display: none">%s</div>' % text,
+            ]
+        )
+
+    for i in range(300):
+        parts = [block() for _ in range(rng.randint(2, 8))]
+        inner = "".join(h + (furniture() if rng.random() < 0.2 and not h.startswith("<p>") else "") for h, _ in parts)
+        comments = '<section><h3>3 Comments</h3><p>%s.</p></section>' % words(40) if rng.random() < 0.5 else ""
+        body = "".join(furniture() for _ in range(rng.randint(0, 3))) + "<article><header><h1>Title</h1></header>%s</article>" % inner + comments + "".join(furniture() for _ in range(rng.randint(0, 3)))
+        if i % 5 == 0:
+            body = "<form id=page>%s<button>go</button></form>" % body
+        want = "Title\n" + "\n".join(t for _, t in parts)
+        assert pages_.main_text("<html><body>%s</body></html>" % body) == want, body
+
+
+def test_article_parts_that_names_or_places_hid():
+    long = "A long sentence, with commas, of the article itself, which goes on and on. " * 5
+    reply = "<p>%s</p>" % ("Nice post, thanks, indeed, great. " * 10)
+    assert pages_.main_text("<body><article>Body</article><section><h2>Responses</h2>%s%s</section></body>" % (reply, reply)) == "Body"
+    beside = "<body><div><div><p>%s</p><p>%s</p></div><ul><li>one<li>two</ul><table><tr><td>a<td>b</table><div>The end.</div></div></body>" % (long, long)
+    assert pages_.main_text(beside).split("\n")[2:] == ["one", "two", "a", "b", "The end."]
+    assert pages_.main_text("<article><header><h1>T</h1><p>Standfirst</p></header><p>%s</p></article>" % long) == "T\nStandfirst\n" + long.strip()
+    assert pages_.main_text("<body><form id=aspnet><input name=x><div><p>%s</p><p>%s</p></div><button>Go</button></form></body>" % (long, long)) == "\n".join([long.strip()] * 2)
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "p", "table", "ul", "span", "nav"])
+def test_deep_pages(tag):
+    page = "<body><article><p>first</p>%sdeep%s<p>last</p></article></body>" % ("<%s>" % tag * 5000, "</%s>" % tag * 5000)
+    assert pages_.main_text(page).split("\n") == (["first", "last"] if tag == "nav" else ["first", "deep", "last"])
+
+
+def test_long_conversations(spark, monkeypatch):
+    """Windows of 3,000 turns in chunks of 64, against a loop over turns."""
+    monkeypatch.setattr(chat, "CHUNK", 64)
+    rng = random.Random(3)
+    turns = [(c, t * step, ("user", "assistant")[t % 2] if t else "system", " ".join("w" for _ in range(rng.randint(0, 60)))) for c, n, step in ((1, 3000, 1), (2, 300, 1000)) for t in range(n)]
+    turns += [(3, 5, "user", "same")] * 200 + [(3, None, "assistant", "first")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = {(w.conv_id, w.window): w for w in chat.format_windows(frame, budget=100, history_turns=3, history_tokens=40).collect()}
+    want = {}
+    for conv in (1, 2, 3):
+        own = sorted(((-1 if t is None else t, r, x) for c, t, r, x in turns if c == conv))
+        cost = [len(x.split()) + 3 for _, _, x in own]
+        head = next((i for i, (_, r, _) in enumerate(own) if r == "system"), None)
+        room = 60 - (cost[head] if head is not None else 0)
+        starts, used = [], 0
+        for i, n in enumerate(cost):
+            if i % 64 == 0 or (used and used + n > room):
+                starts.append(i)
+                used = 0
+            used += n
+        for lo, hi in itertools.pairwise([*starts, len(own)]):
+            past = max((h for h in range(4) if lo - h >= lo // 64 * 64 and sum(cost[lo - h : lo]) <= 40), default=0)
+            lead = [head] if head is not None and head < lo - past else []
+            context = lead + list(range(lo - past, lo))
+            text = "".join("<s>%s[INST]%s%s" % (own[i][1], own[i][2], "</s>" if i >= lo and own[i][1] == "assistant" else "[/INST]") for i in context + list(range(lo, hi)))
+            want[conv, lo] = (len(context), sum(cost[i] for i in context) + sum(cost[lo:hi]), text)
+    assert {k: (w.n_context, w.n_tokens, w.formatted) for k, w in got.items()} == want
+    for (conv, _), w in got.items():
+        listed = [w.formatted[s.start : s.start + s.length] for s in w.loss_spans]
+        assert "".join(listed) == "".join(re.findall(r"<s>assistant\[INST\]([^<\[]*)</s>", w.formatted)), conv

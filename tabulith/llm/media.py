@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import stash
+from tabulith.llm.common import release, stash
 
 _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([^\s#]+)")
 
@@ -47,10 +47,12 @@ def _netpbm(data: bytes) -> np.ndarray:
     if width <= 0 or height <= 0 or not 0 < top < 65536:
         raise ValueError("a size or maximum is out of range")
     n = width * height * depth
+    if n > 8 * len(data):
+        raise ValueError("samples are missing")
     if kind in (b"P2", b"P3"):
         flat = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], dtype=np.int64)
     elif kind == b"P1":
-        flat = 1 - np.array([c - 48 for c in re.sub(rb"#[^\n\r]*|\s", b"", data[at:])[:n]], dtype=np.int64)
+        flat = 1 - (np.frombuffer(re.sub(rb"#[^\n\r]*|\s", b"", data[at:])[:n], np.uint8).astype(np.int64) - 48)
     elif kind == b"P4":
         line = (width + 7) // 8
         bits = np.unpackbits(np.frombuffer(data, np.uint8, line * height, at + 1).reshape(height, line), axis=1)
@@ -59,6 +61,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         flat = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at + 1)
     if len(flat) < n:
         raise ValueError("samples are missing")
+    if flat.size and (flat.max() > top or flat.min() < 0):
+        raise ValueError("a sample is out of range")
     if top != 255:
         flat = (flat.astype(np.int64) * 255 + top // 2) // top
     image = flat.astype(np.uint8, copy=False).reshape(height, width, depth)
@@ -71,6 +75,8 @@ def _bmp(data: bytes) -> np.ndarray:
     if len(data) < 54 or head < 40 or width <= 0 or not height or bits not in (1, 4, 8, 24, 32) or packed not in (0, 3):
         raise ValueError("a BMP of this kind is not supported")
     rows, line = abs(height), (width * bits + 31) // 32 * 4
+    if rows * line > len(data):
+        raise ValueError("samples are missing")
     body = np.frombuffer(data, np.uint8, rows * line, start).reshape(rows, line)
     if bits >= 24:
         step = bits // 8
@@ -83,17 +89,21 @@ def _bmp(data: bytes) -> np.ndarray:
         else:
             cells = np.unpackbits(body, axis=1).reshape(rows, -1, bits)
             index = (cells @ (1 << np.arange(bits - 1, -1, -1)))[:, :width]
+        if index.max() >= colours:
+            raise ValueError("a sample is past the palette")
         image = palette[index]
     return np.ascontiguousarray(image[::-1] if height > 0 else image)
 
 
 def decode(data: bytes) -> np.ndarray:
     """An array of 8-bit samples, (height, width) or (height, width, 3).  ValueError for anything else."""
-    if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2:
-        return _netpbm(data)
-    if data[:2] == b"BM":
-        return _bmp(data)
-    raise ValueError("neither Netpbm nor BMP")
+    read = _netpbm if data[:1] == b"P" and data[1:2] in b"123456" and len(data) > 2 else _bmp if data[:2] == b"BM" else None
+    if read is None:
+        raise ValueError("neither Netpbm nor BMP")
+    try:
+        return read(data)
+    except (ValueError, OverflowError, IndexError, TypeError) as e:  # damaged headers lead to any of these
+        raise ValueError(str(e)) from e
 
 
 def grey(image: np.ndarray) -> np.ndarray:
@@ -155,7 +165,14 @@ def decode_media(media: DataFrame, id_col: str = "media_id", data_col: str = "da
 
 WIDTH = 64
 _STORED = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile_sha256", pa.string())])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("tile", pa.binary())])
+_FEATURE_TYPES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+
+
+def store(payload: bytes) -> bytes:
+    """A bitmap WIDTH pixels wide if the payload fills whole rows of three samples a pixel, else a greymap WIDTH samples wide."""
+    samples = np.frombuffer(payload, np.uint8)
+    return encode_pgm(samples.reshape(-1, WIDTH)) if len(payload) % (3 * WIDTH) else encode_bmp(samples.reshape(-1, WIDTH, 3))
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +181,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch[1].to_pylist():
             raw = (text or "").encode()
             sizes.append(len(raw))
-            raw += bytes(-len(raw) % WIDTH if raw else WIDTH)
-            media.append(encode_pgm(np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)))
+            media.append(store(raw + bytes(-len(raw) % WIDTH if raw else WIDTH)))
         yield pa.RecordBatch.from_arrays([batch[0], pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], schema=_STORED)
 
 
@@ -176,17 +192,18 @@ def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = stored.as_py()
             image = decode(data)
             payload, luma = image.tobytes(), grey(image)
-            tile = hashlib.sha256(npy_tile(luma, 16)).hexdigest()
-            out.append((key, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(luma), tile))
+            out.append((key, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(luma), npy_tile(luma, 16)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * 9, _FEATURES.types, strict=True)], schema=_FEATURES)
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text as a greymap 64 samples wide (doc_id, n_bytes, media); a null text is empty, an empty one is one row of zeros."""
+    """Each text as a bitmap or a greymap (doc_id, n_bytes, media); a null text is empty, an empty one is one row of zeros."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
 def op9_media(docs: DataFrame) -> DataFrame:
+    """Media and NPY tiles are written to the shared folder and read back; the tile's digest is that of the written file's bytes."""
     stored = stash(text_media(docs), "media")
-    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string"
-    return stored.mapInArrow(_inspect, kinds)
+    tiles = stash(stored.mapInArrow(_inspect, _FEATURE_TYPES), "tiles")
+    release(stored)
+    return tiles.withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")

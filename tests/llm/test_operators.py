@@ -557,3 +557,42 @@ def test_long_conversations(spark, monkeypatch):
     for (conv, _), w in got.items():
         listed = [w.formatted[s.start : s.start + s.length] for s in w.loss_spans]
         assert "".join(listed) == "".join(re.findall(r"<s>assistant\[INST\]([^<\[]*)</s>", w.formatted)), conv
+
+
+DAMAGED = [
+    b"P5 99999999999999999999 1 255\n", b"P5 4294967295 4294967295 255\nxx", b"P2 2 1 10\n300 1", b"P2 2 1 10\n-1 1", b"P1 2 2\n0 x 1 1", b"P2 2 1 x\n1 1", b"P5 1 1 10\n\xff", b"P6 2 2 255\nabc", b"P4 9 2\n\x00",
+    b"P", b"P5", b"BM", b"BM" + bytes(60), media.encode_bmp(np.zeros((2, 2, 3), np.uint8))[:-5], b"P3 1 1 65536\n1 1 1", b"P7 1 1 1\n", b"",
+]
+
+
+def test_damaged_media_give_messages(spark):
+    # a bitmap of 8 bits with two colours and a sample past them
+    head = b"BM" + (70).to_bytes(4, "little") + bytes(4) + (62).to_bytes(4, "little")
+    info = b"".join(x.to_bytes(n, "little") for x, n in ((40, 4), (4, 4), (1, 4), (1, 2), (8, 2), (0, 4), (4, 4), (0, 4), (0, 4), (2, 4), (0, 4)))
+    paletted = head + info + bytes(8)
+    values = [*DAMAGED, paletted + b"\x00\x01\x07\x00"]
+    for v in values:
+        with pytest.raises(ValueError):
+            media.decode(v)
+    assert media.decode(paletted + b"\x00\x01\x00\x01").shape == (1, 4, 3)
+    frame = spark.createDataFrame([(i, bytearray(v)) for i, v in enumerate(values)], "media_id long, data binary")
+    got = media.decode_media(frame).collect()
+    assert len(got) == len(values) and all(r.error and r.tile is None for r in got)
+    rng = random.Random(2)
+    for whole in (media.encode_pgm(np.arange(64, dtype=np.uint8).reshape(4, 16)), media.encode_bmp(np.zeros((3, 5, 3), np.uint8)), b"P3 2 2 9 " + b"1 2 3 " * 4):
+        for _ in range(300):
+            cut = bytearray(whole[: rng.randint(0, len(whole))])
+            for _ in range(rng.randint(0, 3)):
+                if cut:
+                    cut[rng.randrange(len(cut))] = rng.randrange(256)
+            try:
+                media.decode(bytes(cut))
+            except ValueError:
+                pass
+
+
+def test_texts_are_stored_as_greymaps_and_bitmaps():
+    for n in (64, 128, 192, 256, 384):
+        payload = bytes(i * 7 % 251 for i in range(n))
+        kept = media.store(payload)
+        assert kept[:2] == (b"P5" if n % 192 else b"BM") and media.decode(kept).tobytes() == payload

@@ -596,3 +596,55 @@ def test_texts_are_stored_as_greymaps_and_bitmaps():
         payload = bytes(i * 7 % 251 for i in range(n))
         kept = media.store(payload)
         assert kept[:2] == (b"P5" if n % 192 else b"BM") and media.decode(kept).tobytes() == payload
+
+
+def chain_by_force(text, template, least):
+    """Most words of common runs of ``least`` words or more that can be taken in order in both sequences."""
+    run = np.zeros((len(text) + 1, len(template) + 1), int)
+    cells = set()
+    for i, j in itertools.product(range(1, len(text) + 1), range(1, len(template) + 1)):
+        if text[i - 1] == template[j - 1]:
+            run[i, j] = run[i - 1, j - 1] + 1
+            if run[i, j] >= least:
+                cells |= {(i - k, j - k) for k in range(least)}
+    most = np.zeros_like(run)
+    for i, j in itertools.product(range(1, len(text) + 1), range(1, len(template) + 1)):
+        most[i, j] = max(most[i - 1, j], most[i, j - 1], most[i - 1, j - 1] + ((i, j) in cells))
+    return int(most[-1, -1])
+
+
+def test_chains_cover_what_force_covers():
+    rng = random.Random(1)
+    equal = 0
+    for _ in range(400):
+        size = rng.choice([3, 6, 20])
+        template = [rng.randrange(size) for _ in range(rng.randint(4, 25))]
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            a = rng.randrange(len(template))
+            text += [rng.randrange(size) for _ in range(rng.randint(0, 3))] + template[a : a + rng.randint(1, 12)]
+        name = lambda i: "z" + chr(97 + i)
+        scanner = licences.Scanner([("x", " ".join(map(name, template)))])
+        ids = scanner.members(np.array([kernels.hash_text(name(i)) for i in text], np.uint64)).tolist()
+        got = scanner.scan(*zip(*[(ids[a:b], a) for a, b in runs_of(ids) if b - a >= licences.LEAST], strict=True)) if any(b - a >= licences.LEAST for a, b in runs_of(ids)) else {"covered": {}, "spans": {}}
+        share, spans = got["covered"].get(len(licences.BASE), 0), got["spans"].get(len(licences.BASE), [])
+        want = chain_by_force(text, template, licences.LEAST)
+        assert round(share * len(template)) <= want
+        equal += round(share * len(template)) == want
+        assert all(b <= c for (_, b), (c, _) in itertools.pairwise(spans)) and min(len(template), sum(b - a for a, b in spans)) == round(share * len(template))
+    assert equal >= 390
+
+
+def runs_of(ids):
+    cut = [k for k, i in enumerate(ids) if i < 0]
+    return [(a + 1, b) for a, b in itertools.pairwise([-1, *cut, len(ids)])]
+
+
+def test_licence_spans(spark):
+    full = {label: t.split() for label, t in licences.TEMPLATES}
+    gpl = full["gpl"]
+    texts = ["x y " + " ".join(gpl).upper() + " z", "Start. " + " ".join(gpl[:40]) + " qqq rrr " + " ".join(gpl[40:]), " ".join(gpl[::-1]), " ".join(gpl[:20])]
+    got = {r.doc_id: r for r in licences.scan_licences(table(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert (got[0].labels, got[1].labels, got[2].labels, got[3].labels) == ("gpl", "gpl", "", "")
+    assert [(s.label, s.first_word, s.n_words) for s in got[0].spans if s.n_words == len(gpl)] == [("gpl", 2, len(gpl))]
+    assert {("gpl", 1, 40), ("gpl", 43, len(gpl) - 40)} <= {tuple(s) for s in got[1].spans} and not got[2].spans and got[0].score == 1.0

@@ -73,6 +73,11 @@ def slice_of(cols: Sequence[str], slices: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(slices)).cast("int")
 
 
+def slices_for(rows: int) -> int:
+    """How many slices keep each at about 200,000 of so many rows, 64 at least."""
+    return max(64, rows // 200_000)
+
+
 def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], out: str, slices: int = 64) -> DataFrame:
     """Gapless numbers from 0 inside each group, without ever sorting a whole group in one task.
 

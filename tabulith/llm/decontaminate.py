@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import reduce
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.kernels import BLANK_WORDS, U64, doc_chunks, utf8, word_hashes, words
+from tabulith.llm.kernels import BLANK_WORDS, U64, doc_chunks, gather, utf8, word_hashes, words
 
 #: Words of the shortest tile.
 TILE = 5
@@ -44,36 +45,41 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
 def tiles(text: np.ndarray, item: np.ndarray, least: int = TILE) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (text start, item start, length), the longest unmarked common runs first.
 
-    Ties go to the earliest place in the item, then in the text.
+    Ties go to the earliest place in the item, then in the text.  An item that stands in the text as a whole is one tile; else all maximal
+    runs are found at once from the equal hashes and taken from a heap until too few words of the item are free.
     """
+    size = len(item)
+    whole = np.flatnonzero(rolling(text, size) == rolling(item, size)) if size >= least else np.zeros(0, np.int64)
+    if len(whole):
+        return [(int(whole[0]), 0, size)]
     mine, theirs = rolling(text, least), rolling(item, least)
     order = np.argsort(theirs, kind="stable")
     lo, hi = np.searchsorted(theirs[order], mine, "left"), np.searchsorted(theirs[order], mine, "right")
-    seeds: set[tuple[int, int]] = set()
-    for i in np.flatnonzero(hi > lo):
-        for j in order[lo[i] : hi[i]]:
-            seeds.add((int(i), int(j)))
+    i = np.repeat(np.arange(len(mine)), hi - lo)
+    j = gather(order, lo, hi - lo)
     # maximal runs: seeds of one diagonal that follow each other
-    runs: list[tuple[int, int, int]] = []
-    for i, j in sorted(seeds, key=lambda s: (s[0] - s[1], s[0])):
-        if runs and runs[-1][0] - runs[-1][1] == i - j and runs[-1][0] + runs[-1][2] - least + 1 == i:
-            runs[-1] = (runs[-1][0], runs[-1][1], runs[-1][2] + 1)
-        else:
-            runs.append((i, j, least))
-    used_text, used_item = np.zeros(len(text), bool), np.zeros(len(item), bool)
+    place = np.lexsort((i, i - j))
+    i, j = i[place], j[place]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(i)), bool), (np.diff(i - j) != 0) | (np.diff(i) != 1)]))
+    length = np.diff(np.append(first, len(i))) + least - 1
+    heap = list(zip((-length).tolist(), j[first].tolist(), i[first].tolist(), strict=True))
+    heapq.heapify(heap)
+    used_text, used_item = np.zeros(len(text), bool), np.zeros(size, bool)
     out: list[tuple[int, int, int]] = []
-    heap = sorted(runs, key=lambda r: (r[2], -r[1], -r[0]))
-    while heap:
-        i, j, n = heap.pop()
-        free = ~(used_text[i : i + n] | used_item[j : j + n])
+    left = size
+    while heap and left >= least:
+        n, j0, i0 = heapq.heappop(heap)
+        n = -n
+        free = ~(used_text[i0 : i0 + n] | used_item[j0 : j0 + n])
         if free.all():
-            used_text[i : i + n] = used_item[j : j + n] = True
-            out.append((i, j, n))
+            used_text[i0 : i0 + n] = used_item[j0 : j0 + n] = True
+            left -= n
+            out.append((i0, j0, n))
             continue
         edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
-        rest = [(i + a, j + a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= least]
-        if rest:
-            heap = sorted([*heap, *rest], key=lambda r: (r[2], -r[1], -r[0]))
+        for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+            if b - a >= least:
+                heapq.heappush(heap, (a - b, j0 + a, i0 + a))
     return out
 
 

@@ -17,7 +17,7 @@ from math import ceil, floor, gcd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import number_rows, stash
+from tabulith.llm.common import number_rows, slices_for, stash
 
 #: Production weights: the web crawl and four further sources by name; all others share a weight equally.
 WEIGHTS = {"src0": 8, "src1": 4, "src2": 4, "src3": 3, "src4": 3}
@@ -77,7 +77,7 @@ def phases(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[str, i
     return out
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, int], others_weight: int, block: int = BLOCK, slices: int = 64, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, int], others_weight: int, block: int = BLOCK, slices: int | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """doc_id, source, stream, block, slot, position of every row: rows in order of position follow the target weights.
 
     Each source is a stream of its own, null one too (its stream is null).  Sources without a weight in ``weights`` share
@@ -94,6 +94,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], others_weight: int, bl
     rows = rows.withColumn("stream", key).withColumn("draw", F.xxhash64("doc_id", F.lit(5)))
     rows = stash(rows, "mix")
     counts = {r.stream: r.n for r in rows.groupBy("stream").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a source
+    slices = slices or slices_for(sum(counts.values()))
     others = max(1, sum(s[1:] not in weights or not s for s in counts))
     shares = {s: weights[s[1:]] * others if s and s[1:] in weights else others_weight for s in counts}
     plan = phases({s: -(-n // block) for s, n in counts.items()}, shares)

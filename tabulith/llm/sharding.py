@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulith.llm.common import file_order, lookup_groups, number_in_order, number_rows, stash
+from tabulith.llm.common import file_order, lookup_groups, number_in_order, number_rows, slices_for, stash
 
 #: Group sizes below this are classes of their own; above, a class spans 1/512 of its size.
 EXACT = 1024
@@ -46,14 +46,15 @@ def longest_first(classes: list[tuple[int, int, int]], shards: int) -> list[tupl
     return plan
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slices: int = 64, keep_order: bool = False) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", slices: int | None = None, keep_order: bool = False) -> DataFrame:
     """Put every row into a shard; equal texts stay together; loads are as equal as LPT makes them.
 
     A row's size is the UTF-8 length of its text plus 16.  Rows with equal texts (a null text counts as empty) form
     a group.  What the driver sees is bounded: one row for each size class (EXACT + 512 an octave), whatever the
     number of groups.  Returns id, size, text_crc32, shard, slot (gapless from 0 in each shard).  A null id is
     kept as a row with a null id, repeated rows are separate rows of one group, an empty table gives no rows; other columns are not
-    read.  A group larger than the mean load fills its shard alone and stays whole.  With ``keep_order`` the slots of a
+    read.  Groups of EXACT bytes or more count as large as the mean of their class, from which each differs by less than 1/512, so a load differs
+    from that of exact LPT by less than 1/512 of itself plus one group.  A group larger than the mean load fills its shard alone and stays whole.  With ``keep_order`` the slots of a
     shard follow the order in which the rows of ``docs`` were written, else a hash.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -68,6 +69,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies"))
     groups = stash(groups.withColumn("cls", size_class(F.col("bytes"))), "shard-groups")
     classes = groups.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"), F.sum("copies").alias("r")).collect()
+    slices = slices or slices_for(sum(c.r for c in classes))
     plan = longest_first([(c.cls, c.n, c.b) for c in classes], shards)
     spark = docs.sparkSession
     until = []

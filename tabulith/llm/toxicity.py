@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 BUCKETS = 1 << 18
@@ -26,6 +27,8 @@ BUCKETS = 1 << 18
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Toxic documents that training sees at most, and twice as many others: a fixed bound, drawn by a hash of the id.
 SAMPLE = 1000
+#: Bytes of text that the training task reads at most: documents beyond, in the order of the hash, are left out.
+SAMPLE_BYTES = 96 << 20
 #: Words of one batch of chains, and words whose weight a worker remembers.
 BATCH, KNOWN = 250_000, 400_000
 
@@ -225,27 +228,30 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 15, rate: flo
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """Rows that are kept from training: crc32 of the id as text, modulo 4, is 2."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+    """Rows that are kept from training: crc32 of the id as text, modulo 4, is 2; false without an id (such rows have no label either)."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most ``sample`` toxic and twice as many other labelled documents, those with the smallest hashes of their ids.
+    """Train on at most ``sample`` toxic and twice as many other labelled documents, those with the smallest hashes of their ids, up to SAMPLE_BYTES.
 
-    Rows that are held out, have no label, or whose id is null are never seen.
+    Rows that are held out, have no label, or whose id is null are never seen.  Of rows with one id the smallest text counts.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = known.where("toxic = 1").orderBy(F.xxhash64("doc_id")).limit(sample).union(known.where("toxic = 0").orderBy(F.xxhash64("doc_id")).limit(2 * sample))
     # at most 3 x sample ids are broadcast, and as many texts come to the one task that trains
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    # a window over at most 3 x sample rows
+    total = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_bytes", total).where(F.col("_bytes") <= SAMPLE_BYTES)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = sorted((row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0])
         yield pa.RecordBatch.from_arrays([pa.array([train([t for _, t, _ in seen], [x for _, _, x in seen]).dump()], pa.binary())], names=["model"])
 
-    # the training task runs even over no rows, so there is always one model
-    return Model.load(rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(learn, "model binary").first().model)
+    trained = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(learn, "model binary").first()
+    return Model.load(trained.model) if trained else train([], [])  # no task runs over a plan that is known to be empty
 
 
 _weights: dict[bytes, float] = {}
@@ -285,23 +291,33 @@ def score_texts(model: Model, texts: list[str | None]) -> Iterator[tuple[np.ndar
 
 
 def spans(text: str, marginal: np.ndarray, least: float = 0.5) -> list[tuple[int, int]]:
-    """Byte offsets in the lowered UTF-8 text of runs of words whose marginal reaches ``least``."""
-    out: list[tuple[int, int]] = []
+    """Places (begin, end), in characters of the text itself, of runs of words whose marginal reaches ``least``."""
+    low = text.lower()
+    data = low.encode()
+    found: list[tuple[int, int]] = []
     last = -2
-    for i, m in enumerate(WORD.finditer(text.lower().encode())):
+    for i, m in enumerate(WORD.finditer(data)):
         if marginal[i] >= least:
             if last == i - 1:
-                out[-1] = (out[-1][0], m.end())
+                found[-1] = (found[-1][0], m.end())
             else:
-                out.append(m.span())
+                found.append(m.span())
             last = i
-    return out
+    if not found:
+        return found
+    # bytes of the lowered text to characters of it, then to those of the text where lowering makes one character more
+    starts = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    at = [(int(np.searchsorted(starts, a)), int(np.searchsorted(starts, b))) for a, b in found]
+    if len(low) == len(text):
+        return at
+    grown = np.cumsum([0, *(len(c.lower()) for c in text)])
+    return [(int(np.searchsorted(grown, a, "right")) - 1, int(np.searchsorted(grown, b, "left"))) for a, b in at]
 
 
 def tag_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score, predicted and toxic spans (byte offsets in the lowered text) of every row.
+    """doc_id, score, predicted and toxic spans (begin and end in characters of the text) of every row.
 
-    A null or empty text has no words and gets the curve's lowest score.  Null ids and repeated rows stay; other columns are not read.
+    Spans are the words whose marginal reaches one half, in a predicted document at least its surest words.  A null or empty text has no words and gets the curve's lowest score.  Null ids and repeated rows stay; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("spans", pa.list_(pa.list_(pa.int64())))])
@@ -314,7 +330,8 @@ def tag_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_col:
             for part, marginal, edges in score_texts(shared.value, texts):
                 for i, score in enumerate(part.tolist()):
                     own = marginal[edges[i] : edges[i + 1]]
-                    found.append(spans(texts[len(scores)], own) if len(own) and own.max() >= 0.5 else [])
+                    most = float(own.max()) if len(own) else 0.0
+                    found.append(spans(texts[len(scores)], own, min(0.5, most)) if len(own) and (most >= 0.5 or score >= threshold) else [])
                     scores.append(score)
             flags = [int(s >= threshold) for s in scores]
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(scores, pa.float64()), pa.array(flags, pa.int32()), pa.array([[list(s) for s in f] for f in found], schema.types[3])], schema=schema)

@@ -648,3 +648,37 @@ def test_licence_spans(spark):
     assert (got[0].labels, got[1].labels, got[2].labels, got[3].labels) == ("gpl", "gpl", "", "")
     assert [(s.label, s.first_word, s.n_words) for s in got[0].spans if s.n_words == len(gpl)] == [("gpl", 2, len(gpl))]
     assert {("gpl", 1, 40), ("gpl", 43, len(gpl) - 40)} <= {tuple(s) for s in got[1].spans} and not got[2].spans and got[0].score == 1.0
+
+
+def test_spans_are_places_in_the_text():
+    text = "İİ Größe É bad Wörd, bad end"
+    words = toxicity.split(text)
+    marginal = np.array([float(w in (b"bad", "wörd".encode())) for w in words])
+    got = [text[a:b] for a, b in toxicity.spans(text, marginal)]
+    assert got == ["bad Wörd, bad"] and [text[a:b] for a, b in toxicity.spans("x Bad y", np.array([0, 0.2, 0.1]), 0.2)] == ["Bad"]
+
+
+def test_repeated_words_do_not_stall():
+    import time
+
+    item = np.array([5] * 30 + [6, 7, 8] + [5] * 27, np.uint64)
+    text = np.concatenate([np.full(20_000, 5), [6, 7, 9], np.full(10_000, 5)]).astype(np.uint64)
+    began = time.perf_counter()
+    got = decontaminate.tiles(text, item)
+    assert sorted(n for _, _, n in got) == [27, 32] and time.perf_counter() - began < 5
+    assert decontaminate.tiles(np.full(50_000, 5, np.uint64), np.full(60, 5, np.uint64)) == [(0, 0, 60)]
+
+
+def test_loads_of_large_groups_are_near_those_of_exact_lpt(spark):
+    rng = random.Random(17)
+    sizes = [rng.choice([rng.randint(20, 900), rng.randint(1000, 6000), rng.randint(6000, 40_000)]) for _ in range(400)]
+    docs = table(spark, [(i, chr(97 + i % 26) * 3 + str(i).rjust(5) + "x" * (n - 24), "s") for i, n in enumerate(sizes)])
+    got = sharding.shard_documents(docs, shards=7).collect()
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r.size
+    exact = [0] * 7
+    for n in sorted((r.size for r in got), reverse=True):
+        exact[exact.index(min(exact))] += n
+    mean = sum(exact) / 7
+    assert max(loads.values()) - mean <= max(exact) - mean + mean / 512 and mean - min(loads.values()) <= mean - min(exact) + mean / 512 + 900

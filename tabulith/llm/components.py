@@ -32,7 +32,7 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", most_rounds:
         # each node and its smaller neighbours hang on the smallest of these
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u")))
-        after = stash(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+        after = stash(small.where(F.col("u") != F.col("v")).distinct(), "edges", collect=True)
         release(now)
         was, now, print_ = print_, after, _print(after)
         if was == print_:

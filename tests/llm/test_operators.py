@@ -682,3 +682,58 @@ def test_loads_of_large_groups_are_near_those_of_exact_lpt(spark):
         exact[exact.index(min(exact))] += n
     mean = sum(exact) / 7
     assert max(loads.values()) - mean <= max(exact) - mean + mean / 512 and mean - min(loads.values()) <= mean - min(exact) + mean / 512 + 900
+
+
+def test_few_words_make_no_table_of_all_pairs(spark, monkeypatch):
+    """Rows over four words share columns with most others: tiles and parities leave few pairs, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", 4)
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    monkeypatch.setattr(ngram_join, "SHARE", 20)
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    sizes = {}
+    stash = ngram_join.stash
+
+    def counted(df, label, collect=False):
+        out = stash(df, label, collect)
+        sizes[label] = max(sizes.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stash", counted)
+    rng = random.Random(13)
+    docs = [(i, " ".join(rng.choices("abcd", k=60)), "s") for i in range(300)]
+    docs += [(1000 + i, docs[i][1] + " " + rng.choice("abcd"), "s") for i in range(60)]
+    docs += [(2000 + i, " ".join(rng.choices("ab", k=40)), "s") for i in range(200)]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(table(spark, docs), 3, 90)[0].collect()}
+    want = {i: c for i, (_, c) in groups_by_force(docs, 3, 90).items()}
+    assert got == want and len(set(want.values())) < len(docs) - 60
+    assert sizes["tiles"] > sizes["product"] and sizes["other-pairs"] < 3000
+
+
+def test_one_id_with_several_texts_has_the_links_of_all(spark):
+    rng = random.Random(14)
+    base = [" ".join("w%d" % rng.randrange(500) for _ in range(60)) for _ in range(4)]
+    near = [b + " more" for b in base]
+    docs = [(10, base[0], "s"), (10, base[1], "s"), (4, near[0], "s"), (7, near[1], "s"), (7, base[2], "s"), (20, near[2], "s"), (30, base[3], "s"), (30, None, "s"), (31, near[3], "s"), (9, base[2], "s")]
+    got = Counter((r.doc_id, r.component_id) for r in ngram_join.ngram_join(table(spark, docs), 3, 90)[0].collect())
+    assert got == Counter([(10, 4), (10, 4), (4, 4), (7, 4), (7, 4), (20, 4), (9, 4), (30, 30), (30, 30), (31, 30)])
+
+
+def test_accumulated_overlaps():
+    rng = np.random.default_rng(8)
+    for size in (1, 5, 4096, 4097, 20_000):
+        mine = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        others = [np.unique(np.concatenate([mine[rng.random(len(mine)) < share], rng.integers(0, 1 << 63, size // 9).astype(np.uint64)])) for share in (0.0, 0.5, 0.9, 0.97, 1.0)] + [mine[:1], mine]
+        need = np.array([ngram_join._needed(np.int64(len(mine)), np.int64(len(o)), 90) for o in others])
+        want = [len(np.intersect1d(mine, o)) >= n for o, n in zip(others, need, strict=True)]
+        assert ngram_join._accumulate(mine, others, need).tolist() == want and want[-1]
+
+
+def test_parities_never_rule_out_a_link():
+    rng = np.random.default_rng(9)
+    for n in (1, 3, 200, 300, 3000):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for extra in (0, max(1, n // 12), n):
+            b = np.unique(np.concatenate([a, rng.integers(0, 1 << 63, extra).astype(np.uint64)]))
+            x, y = (np.unpackbits(np.frombuffer(ngram_join._parity(s), np.uint8), bitorder="little") for s in (np.unique(a), b))
+            x, y = (v.reshape(-1, min(len(x), len(y))).sum(0) % 2 for v in (x, y))
+            assert (x != y).sum() <= len(np.setxor1d(a, b))

@@ -19,10 +19,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of five-word shingle similarity 0.8; rows without an id stay."""
+    """Keep the smallest doc_id of each group of five-word shingle similarity 0.8, one row of each id; rows without an id stay."""
     members, _ = ngram_join(docs, 5, 80)
-    others = members.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    members = stash(members.where(F.col("doc_id").isNotNull()), "members")
+    others = members.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    # ids on several rows: only these rows are compared
+    repeated = stash(members.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("component_id") == F.col("doc_id")).alias("first")).where("n > 1"), "repeated")
+    kept = docs.join(others.union(repeated.select("doc_id")).distinct(), "doc_id", "left_anti").select(docs.columns)
+    if repeated.isEmpty():
+        return kept
+    rows = docs.join(repeated.where("first").select("doc_id"), "doc_id", "left_semi")
+    least = rows.groupBy("doc_id").agg(F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("_row"))
+    return kept.union(least.select(*(F.col(c) if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,9 @@ and positions bound, is compared with the overlap that the sizes demand, and pai
 buckets, have too small a sum of bucket minima, which no overlap exceeds.  The overlaps of what is left are accumulated in blocks of rows and
 columns; after each block of columns, pairs that the rest of the rows can no longer lift to their bound are discarded.
 
-Dense groups of near copies would give a square of pairs.  So the product runs twice: first each row of a column is multiplied with one
-pivot row only; rows that this links become one component; then rows of different components are multiplied.  Columns of many
-rows are cut into tiles there, and a task gets a pair of tiles.
+Dense groups of near copies would give a square of pairs.  So the product begins with rounds in which each row of a column is multiplied with one
+pivot row only; rows that this links become one component, and the next round draws other pivots in columns that still hold several components, until
+a round adds few links.  Then rows of different components are multiplied.  Columns of many rows are cut into tiles there, and a task gets a pair of tiles.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ SHARE, TILE = 100_000, 1024
 WATCHED = 32
 #: Entries of a block of the product, pairs of a block of the overlaps, and pairs in it that share a first row.
 ENTRIES_A_BLOCK, PAIRS_A_BLOCK, PAIRS_A_ROW = 100_000, 10_000, 250
+#: Columns of more rows take part in further rounds with pivots, of which there are so many at most.
+CROWD, ROUNDS = 16, 6
 #: Columns of a row that are multiplied between two looks at the bounds.
 COLUMNS = 4096
 
@@ -171,17 +173,17 @@ def _possible_by_size(percent: int, a: str, b: str) -> Column:
 
 
 def _pivot_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each row of a column with one pivot, the row of smallest node among those of about its size, and of neighbouring pivots.
+    """Pairs of each row of a column with one pivot, the row of least ``rank`` among those of about its size, and of neighbouring pivots, of other roots.
 
     Pivots are found by map-side minima, so a column may hold any share of the rows.
     """
     band = F.floor(F.log("n") / log(100 / percent)).cast("int")
-    rows = shared.select("column", band.alias("band"), F.struct("node", "n", "position").alias("r"))
+    rows = shared.select("column", band.alias("band"), F.struct("rank", "node", "n", "position", "root").alias("r"))
     pivots = rows.groupBy("column", "band").agg(F.min("r").alias("p"))
     ahead = F.lead(F.struct("band", "p")).over(Window.partitionBy("column").orderBy("band"))
     beside = pivots.withColumn("_next", ahead).where("_next.band = band + 1").select(F.col("p"), F.col("_next.p").alias("r"))
     both = rows.join(pivots, ["column", "band"]).select("p", "r").union(beside)
-    both = both.where((F.col("p.node") != F.col("r.node")) & _possible_by_size(percent, "p", "r"))
+    both = both.where((F.col("p.root") != F.col("r.root")) & _possible_by_size(percent, "p", "r"))
     return both.select(F.least("p.node", "r.node").alias("a"), F.greatest("p.node", "r.node").alias("b")).distinct()
 
 
@@ -235,10 +237,15 @@ def _other_pairs(percent: int):
     return run
 
 
+def _mixed(marked: DataFrame) -> DataFrame:
+    """The entries of columns that hold several roots, with the column's count in _c."""
+    mixed = marked.groupBy("column").agg(F.count(F.lit(1)).alias("_c"), F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").drop("_x", "_y")
+    return marked.join(mixed, "column")
+
+
 def _tiled_pairs(marked: DataFrame, percent: int, parts: int) -> DataFrame:
     """Pairs of rows of different roots.  A column of more than TILE rows is cut into tiles, each pair of which is a group of its own."""
-    mixed = marked.groupBy("column").agg(F.count(F.lit(1)).alias("_c"), F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").drop("_x", "_y")
-    rows = marked.join(mixed, "column")
+    rows = _mixed(marked)
     cut = F.ceil(F.col("_c") / TILE)
     rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), cut))
     rows = rows.withColumn("_u", F.explode(F.sequence(F.lit(0).cast("long"), cut - 1)))
@@ -375,11 +382,8 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
     # only columns that two rows share can give pairs
     shared = entries.withColumn("_held", held).where((F.col("_held") > 1) | (F.col("part") >= 0))
     watched = (F.col("_held") > WATCHED) | (F.col("part") >= 0)
-    shared = shared.join(wide.select("node", "n", "s1", "s2", "parity"), ["n", "s1", "s2"])
-    shared = stash(shared.select("column", "n", "node", "position", F.when(watched, F.col("parity")).alias("parity")), "product", collect=True)
-
-    near = stash(_pivot_pairs(shared, percent), "pivot-pairs", collect=True)
-    links = _verified(near, source, classes, sketches, k, percent, parts)
+    shared = shared.join(wide.select("node", "n", "s1", "s2", "first_id", "parity"), ["n", "s1", "s2"])
+    shared = stash(shared.select("column", "n", "node", "first_id", "position", F.when(watched, F.col("parity")).alias("parity")), "product", collect=True)
     # an id that stands in several classes joins them
     several = named.groupBy("doc_id").agg(*(f(c).alias(f.__name__ + c) for f in (F.min, F.max) for c in ("n", "s1", "s2")))
     several = several.where("minn <> maxn or mins1 <> maxs1 or mins2 <> maxs2").select("doc_id")
@@ -391,17 +395,32 @@ def ngram_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "do
         both = pairs.join(ends[0], "a").join(ends[1], "b")
         return both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
 
-    joined = stash(by_id(links), "joined")
-    roots = stash(components(joined.union(ids)), "roots")
-    at_root = classes.join(roots.withColumnRenamed("node", "first_id"), "first_id", "left")
-    marked = shared.join(at_root.select("node", F.coalesce("root", "first_id").alias("root")), "node")
-    far = _tiled_pairs(marked, percent, parts)
+    def marked() -> DataFrame:
+        return shared.join(roots.withColumnRenamed("node", "first_id"), "first_id", "left").withColumn("root", F.coalesce("root", "first_id"))
+
+    near = stash(_pivot_pairs(shared.withColumn("rank", F.col("first_id")).withColumn("root", F.col("node")), percent), "pivot-pairs", collect=True)
+    joined = stash(by_id(_verified(near, source, classes, sketches, k, percent, parts)).union(ids), "joined")
+    roots = stash(components(joined), "roots")
+    total = joined.count()
+    for turn in range(1, ROUNDS):
+        rows = _mixed(marked()).where(F.col("_c") > CROWD).withColumn("rank", F.xxhash64("node", F.lit(turn)))
+        pairs = stash(_pivot_pairs(rows, percent).join(near, ["a", "b"], "left_anti"), "pivot-pairs", collect=True)
+        links = _verified(pairs, source, classes, sketches, k, percent, parts)
+        near = near.union(pairs)
+        got = links.count()
+        if got:
+            joined = stash(joined.union(by_id(links)), "joined")
+            roots = stash(components(joined), "roots")
+        if 16 * got <= total:
+            break
+        total += got
+    far = _tiled_pairs(marked(), percent, parts)
     rest = stash(far.join(near, ["a", "b"], "left_anti"), "far")
-    release(far, near, shared)
-    more = _verified(rest, source, classes, sketches, k, percent, parts)
+    release(far, shared)
+    links = _verified(rest, source, classes, sketches, k, percent, parts)
     release(rest)
-    joined = stash(joined.union(by_id(more)), "joined")
-    roots = stash(components(joined.union(ids)), "roots")
+    joined = stash(joined.union(by_id(links)), "joined")
+    roots = stash(components(joined), "roots")
 
     at_root = classes.join(roots.withColumnRenamed("node", "first_id"), "first_id", "left").withColumn("component_id", F.coalesce("root", "first_id"))
     # a class may hold any share of the rows: the hot ones travel by broadcast

@@ -157,3 +157,171 @@ def same_answer(predicted: Column, expected: Column) -> Column:
     p, e = comparable(predicted), comparable(expected)
     x, y = p.try_cast("double"), e.try_cast("double")
     return (p == e) | F.coalesce(F.abs(x - y) < 0.01 * F.greatest(F.abs(y), F.lit(1.0)), F.lit(False))
+
+
+# --- salvaging answers ------------------------------------------------------------------------------------------------
+
+
+def wants_percent_sign(question: Column) -> Column:
+    return question.contains("%") | T.any_of(F.lower(question), L.PERCENT_SIGN)
+
+
+def expects_date(question: Column) -> Column:
+    return T.any_of(F.lower(question), L.DATE_ASKED)
+
+
+def compact_last_line(answer: Column) -> Column:
+    """The last of several lines if it is a bare value."""
+    lines = F.filter(F.transform(T.lines(answer), T.strip), lambda x: x != "")
+    last = F.try_element_at(lines, F.lit(-1))
+    return F.when((F.size(lines) >= 2) & bare_value(last), last).otherwise(answer)
+
+
+def best_compact_line(answer: Column) -> Column:
+    """The last line that is a bare value without its list marks."""
+    lines = F.transform(F.filter(T.lines(answer), lambda x: T.strip(x) != ""), lambda x: F.btrim(x, F.lit(" -*:\t")))
+    return F.coalesce(F.try_element_at(F.filter(lines, bare_value), F.lit(-1)), answer)
+
+
+def clean_scalar(token: Column) -> Column:
+    return T.strip(F.replace(F.replace(F.replace(token, F.lit("$")), F.lit("percent"), F.lit("%")), F.lit(" ")))
+
+
+def negative_context(line: Column) -> Column:
+    return T.any_of(F.lower(line), L.NEGATIVE_CONTEXT)
+
+
+def _tokens(text: Column) -> Column:
+    """Scalars of the lines that do not deny an answer, last line first: struct of line, place, token, value, unit."""
+    lines = F.reverse(F.filter(F.transform(T.lines(text), T.strip), lambda x: x != ""))
+    kept = F.filter(lines, lambda x: ~negative_context(x))
+    each = F.transform(kept, lambda x, i: F.transform(T.find_all(x, "(?i)" + L.SCALAR), lambda t, j: F.struct(F.lower(x).alias("line"), i.alias("i"), j.alias("j"), T.strip(t).alias("t"), scalar_value(t).alias("v"), scalar_unit(t).alias("u"))))
+    return F.filter(F.flatten(each), lambda x: x["v"].isNotNull() & ~table_label(x["t"]))
+
+
+def _first_best(scored: Column) -> Column:
+    """The text of the struct (s, i, j, a) of the greatest score, the first of equals."""
+    ordered = F.array_sort(F.transform(scored, lambda x: F.struct((-x["s"]).alias("s"), x["i"].alias("i"), x["j"].alias("j"), x["a"].alias("a"))))
+    return F.get(ordered, F.lit(0))["a"]
+
+
+def percent_answer(question: Column, text: Column) -> Column:
+    """The best percentage of a text; explicit ones first, fractions times 100."""
+    sign = wants_percent_sign(question)
+    tokens = F.filter(_tokens(text), lambda x: ~year_like(x["t"]))
+    cue = lambda x: F.when(T.any_of(x["line"], L.PERCENT_CUES), 2).otherwise(0)
+    small = lambda v: (F.abs(v) > 0) & (F.abs(v) < 1)
+    explicit = lambda x: clean_scalar(x["t"]).contains("%")
+    said = F.transform(F.filter(tokens, explicit), lambda x: F.struct((cue(x) + 6).alias("s"), x["i"], x["j"], clean_scalar(x["t"]).alias("a")))
+    points = lambda x: cue(x) + F.when(small(x["v"]), 4).when(F.abs(x["v"]) <= 1000, 2).otherwise(-10)
+    value = lambda x: decimal_text(F.when(small(x["v"]), x["v"] * 100).otherwise(x["v"]).cast("decimal(28,8)"))
+    plain = F.transform(F.filter(tokens, lambda x: ~explicit(x)), lambda x: F.struct(points(x).alias("s"), x["i"], x["j"], value(x).alias("a")))
+    best, other = _first_best(said), _first_best(plain)
+    return F.coalesce(F.when(sign, best).otherwise(F.replace(best, F.lit("%"))), F.when(sign, F.concat(other, F.lit("%"))).otherwise(other))
+
+
+def normal_list(answer: Column) -> Column:
+    """The parts between the first and the last character, cleaned, in brackets."""
+    bare = T.strip(answer)
+    inner = F.substring(bare, F.lit(2), F.greatest(F.length(bare) - 2, F.lit(0)))
+    parts = F.filter(F.transform(F.split(inner, ","), T.strip), lambda p: p != "")
+    return F.concat(F.lit("["), F.array_join(F.transform(parts, clean_scalar), ", "), F.lit("]"))
+
+
+def bracketed_list(text: Column, length: Column) -> Column:
+    """The last bracketed list of numbers, of the given length if there is one."""
+
+    def listed(body: Column) -> Column:
+        parts = F.filter(F.transform(F.split(body, ","), T.strip), lambda p: p != "")
+        cells = F.transform(parts, lambda p: F.btrim(p, F.lit("[]() ")))
+        ok = (F.size(parts) > 0) & (length.isNull() | (F.size(parts) == length)) & F.forall(cells, lambda c: c.rlike(f"(?i)^(?:{L.SCALAR})$"))
+        return F.when(ok, F.concat(F.lit("["), F.array_join(F.transform(cells, clean_scalar), ", "), F.lit("]")))
+
+    return F.try_element_at(F.array_compact(F.transform(T.find_all(text, r"\[([^\]]+)\]", 1), listed)), F.lit(-1))
+
+
+def scalar_candidate(question: Column, text: Column) -> Column:
+    """The best number of a text for a question, in its unit."""
+    low, target = F.lower(question), question_unit(question)
+    tokens = F.filter(_tokens(text), lambda x: ~year_like(x["t"]) | expects_date(question))
+
+    def score(x: Column) -> Column:
+        points = F.when(T.any_of(x["line"], L.SCALAR_CUES), 3).otherwise(0) - F.when(T.any_of(x["line"], L.MONTHS), 1).otherwise(0)
+        points += F.when(target.isNotNull() & (x["u"] == target), 8).when(x["u"].isNotNull(), 3).otherwise(0)
+        points -= F.when(x["u"].isNull() & ~asks_percent(question) & (F.abs(x["v"]) > 0) & (F.abs(x["v"]) < 1), 6).otherwise(0)
+        return points + F.when(low.contains("full number") & x["u"].isNotNull(), 2).otherwise(0)
+
+    given = lambda x: F.when(target.isNotNull(), convert(question, x["t"])).otherwise(clean_scalar(x["t"]))
+    return _first_best(F.transform(tokens, lambda x: F.struct(score(x).alias("s"), x["i"], x["j"], given(x).alias("a"))))
+
+
+def suspicious(question: Column, answer: Column) -> Column:
+    """An answer that cannot be what the question asks for."""
+    t = T.strip(answer)
+    value, unit = scalar_value(t), scalar_unit(t)
+    small = unit.isNull() & (F.abs(value) > 0) & (F.abs(value) < 1)
+    length = F.coalesce(expected_length(question), F.lit(0))
+    return (
+        F.when((t == "") | ((length > 0) & ~list_answer(t)) | table_label(t), True)
+        .when(year_like(t) & ~expects_date(question), True)
+        .when(value.isNull(), False)
+        .when(asks_percent(question), year_like(t) | (F.abs(value) > 1000))
+        .otherwise((question_unit(question).isNotNull() | F.lower(question).contains("full number")) & small)
+    )
+
+
+def salvaged(question: Column, answer: Column, response: Column) -> Column:
+    """List, percentage, number, unit, dollar sign: the first that applies to a poor answer, from the answer and the whole response."""
+    low, length = F.lower(question), F.coalesce(expected_length(question), F.lit(0))
+    text = F.concat_ws("\n", F.nullif(answer, F.lit("")), F.nullif(response, F.lit("")))
+    poor = placeholder(answer) | suspicious(question, answer)
+    percent = F.when(asks_percent(question) & poor, F.nullif(percent_answer(question, text), F.lit("")))
+    number = F.when(poor | list_answer(answer), F.nullif(scalar_candidate(question, text), F.lit("")))
+    unit = F.when(question_unit(question).isNotNull(), convert(question, answer))
+    dollars = F.when(answer.contains("$") & ~low.contains("dollar") & ~low.contains("money"), T.strip(F.replace(answer, F.lit("$"))))
+    listed = F.when(list_answer(answer), normal_list(answer)).otherwise(F.coalesce(bracketed_list(text, expected_length(question)), answer))
+    return F.when(length > 0, listed).otherwise(F.coalesce(percent, number, unit, dollars, answer))
+
+
+def without_thoughts(response: Column) -> Column:
+    """A response without what stands between think tags; an open tag ends at the next closing tag of the answer or the reasoning, or at the end."""
+    closed = F.regexp_replace(response, r"(?s)<think>.*?</think>\s*", "")
+    open_ = F.regexp_replace(closed, r"(?is)<think>.*?(?=</(?:final_answer|reasoning)>)", "")
+    return F.when(closed.contains("<think>"), F.when(open_ != closed, open_).otherwise(T.strip(F.substring_index(closed, "<think>", 1)))).otherwise(closed)
+
+
+def error_like(answer: Column) -> Column:
+    """No answer, or the text of an error."""
+    low = F.lower(T.strip(answer))
+    return low.isin("", "no answer found", "unable to determine", "unable to determine from available data") | low.contains("error:")
+
+
+def for_compare(answer: Column) -> Column:
+    """SC8: an answer without marks, commas and repeated blanks, in small letters."""
+    bare = F.lower(F.btrim(F.btrim(T.strip(answer), F.lit("`")), F.lit("\"' ")))
+    return F.regexp_replace(F.replace(bare, F.lit(",")), r"[ \t\n\r\f\x0B]+", " ")
+
+
+def supported(answer: Column, context: Column) -> Column:
+    """SC7: whether a short answer stands in the context."""
+    a = for_compare(answer)
+    return F.coalesce((answer != "") & (context != "") & (a != "") & (F.length(a) <= 120) & F.contains(for_compare(context), a), F.lit(False))
+
+
+def winner(question_flags: Column, context: Column, primary: Column, cross: Column) -> Column:
+    """Which of two answers counts: by errors, agreement, support in the context, or the question's shape."""
+    first, second = supported(primary, context), supported(cross, context)
+    return (
+        F.when(error_like(primary) & ~error_like(cross), "cross_check")
+        .when(error_like(cross), "primary")
+        .when(for_compare(primary) == for_compare(cross), "agree")
+        .when(first & ~second, "primary")
+        .when(second & ~first, "cross_check")
+        .when(question_flags, "primary")
+        .otherwise("cross_check")
+    )
+
+
+def needs_audit(question: Column, answer: Column) -> Column:
+    """Whether a number was computed and is worth a second look."""
+    return answer.rlike("[0-9]") & F.lower(question).rlike(L.AUDITED)

@@ -163,3 +163,47 @@ WINDOW_CUES = [
     ("expects_percent", r"%|percent", 8),
 ]
 WINDOW_TOTALS = r"\b(total|sum|gross|net|difference|balance|outstanding|cost|receipts|outlays)\b"
+
+# Hints for solving a question: always, by the first shape that holds, or else, and by conditions.
+HINTS_FIRST = ["Treat the reference data as Treasury tables, not free-form prose.", "Identify the exact table title, target row, target column, and unit before choosing an answer."]
+HINTS_BY_SHAPE = {
+    "expects_regression": ["This is a series/regression task.", "Extract the full ordered series first, then compute the final slope/intercept.", "Do not answer with a single year, label, or intermediate value."],
+    "expects_series_math": [
+        "This is a series/statistics task.",
+        "Extract the full ordered monthly or yearly series first, then compute the requested mean, average, median, variance, standard deviation, correlation, or other statistic.",
+        "Do not answer with a single year, label, or partial subtotal.",
+    ],
+    "expects_list": ["This question expects a multi-value list.", "Collect every requested value in order and preserve the full list in the final answer.", "Do not collapse the list into a single scalar."],
+    "expects_sum": ["This is an aggregation task.", "Locate the full monthly/annual series and combine all requested values, not just one row."],
+    "expects_difference": ["This is a comparison task.", "Find both operands from the same table context before computing the difference or spread."],
+    "expects_percent": ["This is a percentage task.", "Use the exact numerator and denominator from the reference data and output one final percentage only."],
+    "expects_date": ["This is a date-selection task.", "Choose the exact reporting or issue date from the table and return only the final date."],
+}
+HINTS_OTHERWISE = ["This is an exact cell-lookup task.", "Prefer the row/column intersection that best matches the requested entity, year, month, and unit."]
+HINTS_MORE = [
+    ("wants_bill_rate_data", "Prefer Treasury-bill rate or yield tables over accepted-tenders or amount-submitted tables."),
+    ("wants_auction_bid_data", "Prefer auction-result tables with accepted tenders, competitive, noncompetitive, or rollover columns."),
+    ("wants_maturity_schedule", "Prefer maturity-schedule tables with amount outstanding, description of securities, and investor-holding columns."),
+    ("wants_calendar_year", "Prefer calendar-year tables or rows over fiscal-year summary tables unless the question explicitly asks for fiscal year."),
+    ("wants_monthly_series", "Prefer month-by-month tables over annual summary rows when the question asks for monthly values or a statistic computed from months."),
+    (
+        "is_national_defense AND (wants_calendar_year OR wants_monthly_series)",
+        "For national-defense calendar questions, prefer the month-by-month national-defense table over generic fiscal summary tables. If the bulletin only gives monthly values, compute the requested total or statistic from those monthly values.",
+    ),
+    ("first_month > 0", "Month cues are important here; prefer rows and columns that explicitly mention the requested month names."),
+    ("year_count >= 2", "Multiple years are involved; ensure you use the exact requested year range, not a nearby year."),
+    ("wants_full_number", "Return the fully expanded number, not a shortened million/billion shorthand."),
+]
+
+# Phrases around percentages, dates and scalars in questions and responses.
+PERCENT_SIGN = ["percent value", "percentage value", "reported as a percent value", "report your answer as a percent"]
+DATE_ASKED = ["what year", "which year", "what date", "which date", "what month", "which month", "what day", "which day", "reporting date", "month and year", "year and month"]
+PERCENT_CUES = ["percent", "percentage", "change", "increase", "decrease", "growth", "difference"]
+SCALAR_CUES = ["total", "amount", "value", "sum", "highest", "lowest", "outstanding", "balance", "cost", "receipts", "outlays", "expenditures", "bids", "accepted", "weighted average", "listed as", "totaled", "at "]
+AUDITED = r"calculate|difference|sum|total|ratio|percent|percentage|average|mean|median|growth|change|increase|decrease"
+# What repeated runs of a question are told to look at.
+PERSPECTIVES = [
+    "",
+    "Double-check calendar year versus fiscal year before choosing a table. Prefer the later bulletin only when it revises the same data point.",
+    "For monthly-series or aggregate questions, extract the full ordered series first and compute from those values instead of trusting a generic summary row.",
+]

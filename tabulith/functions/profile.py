@@ -32,6 +32,14 @@ def with_profile(questions: DataFrame, text: str = "question") -> DataFrame:
     return out.withColumn("wants_maturity_schedule", held | c("schedule_phrase"))
 
 
+def maturity(text: str = "question") -> Column:
+    """First day of the month in which the notes of a question mature; null if it names none."""
+    low = F.lower(F.col(text))
+    pattern = r"\bmaturing(?:\s+at\s+the\s+end\s+of|\s+end\s+of)?\s+(" + "|".join(L.MONTHS) + r")\s+(19[3-9][0-9]|20[0-2][0-9])\b"
+    month = F.array_position(T.strings(L.MONTHS), F.regexp_extract(low, pattern, 1)).cast("int")
+    return F.when(month > 0, F.make_date(F.regexp_extract(low, pattern, 2).try_cast("int"), month, F.lit(1)))
+
+
 def families(text: str = "question") -> Column:
     """Table families in rule order; needs the profile's columns."""
     low, c = F.lower(F.col(text)), F.col
@@ -88,3 +96,13 @@ def context_limits(found: Column, files: int = 2, chars: int = 12000) -> tuple[C
 
 def output_format(text: Column) -> Column:
     return F.when(F.lower(text).rlike("(?s)" + L.BULLETIN_FORMAT), F.lit("xml_final_answer"))
+
+
+def strategy() -> Column:
+    """Hints for solving a question of its shape, one bullet a line."""
+    first = F.array(*map(F.lit, L.HINTS_FIRST))
+    shape = F.array(*map(F.lit, L.HINTS_OTHERWISE))
+    for flag, hints in reversed(list(L.HINTS_BY_SHAPE.items())):
+        shape = F.when(F.col(flag), F.array(*map(F.lit, hints))).otherwise(shape)
+    more = F.array_compact(F.array(*(F.when(F.expr(when), F.lit(hint)) for when, hint in L.HINTS_MORE)))
+    return F.array_join(F.transform(F.concat(first, shape, more), lambda h: F.concat(F.lit("- "), h)), "\n")

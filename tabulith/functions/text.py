@@ -107,9 +107,9 @@ def years(text: Column) -> Column:
 
 
 def table_signal(line: Column) -> Column:
-    score = F.when(line.rlike("[0-9]"), 1).otherwise(0)
-    score += F.when(F.regexp_count(line, F.lit(L.NUMBER)) >= 2, 2).otherwise(0)
-    score += F.when(F.lower(line).rlike(L.MONTH_WORD), 1).otherwise(0)
+    """0 to 6: a digit, two numbers, a month, a percent or currency sign, a run of blanks.  Lines without a digit skip the count of numbers."""
+    digit = F.when(line.rlike("[0-9]"), 1 + F.when(F.regexp_count(line, F.lit(L.NUMBER)) >= 2, 2).otherwise(0)).otherwise(0)
+    score = digit + F.when(F.lower(line).rlike(L.MONTH_WORD), 1).otherwise(0)
     score += F.when(line.rlike("[%$¥£]"), 1).otherwise(0)
     return score + F.when(line.rlike(r"[ \t\n\r\f]{2,}|\t"), 1).otherwise(0)
 

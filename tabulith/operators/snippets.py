@@ -72,17 +72,20 @@ def merge_windows(found: Column, most: int = 4) -> Column:
     return F.aggregate(ordered, F.array().cast("array<struct<first:int,last:int>>"), add)
 
 
-def window_snippets(pairs: DataFrame, budget: int = 12000, q_key: str = "q_id", d_key: str = "doc_id", text: str = "text") -> DataFrame:
+def window_snippets(pairs: DataFrame, budget: int | Column = 12000, q_key: str = "q_id", d_key: str = "doc_id", text: str = "text") -> DataFrame:
     """(question, document, place, first_line, end_line, snippet) of the merged windows that fit the budget; the first is cut to it.
 
     ``pairs`` has one row for each question and document with keywords, years and flags.  A group holds the windows of one document for one question.
+    The budget may be a column of ``pairs``.
     """
+    room = F.lit(budget) if isinstance(budget, int) else budget
+    pairs = pairs.withColumn("_room", room)
     scored = windows(pairs.select(q_key, d_key, text, "keywords", "years", "flags"), text).withColumn("score", window_score()).where("score > 0")
     merged = scored.groupBy(q_key, d_key).agg(merge_windows(F.collect_list(F.struct("score", "first", "last"))).alias("_m"))
     at = merged.select(q_key, d_key, F.posexplode("_m").alias("place", "_w"))
-    both = at.join(pairs.select(q_key, d_key, text), [q_key, d_key])
+    both = at.join(pairs.select(q_key, d_key, text, "_room"), [q_key, d_key])
     lines = F.transform(F.slice(T.lines(F.col(text)), F.col("_w.first") + 1, F.col("_w.last") - F.col("_w.first")), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    cut = both.select(q_key, d_key, "place", F.col("_w.first").alias("first_line"), F.col("_w.last").alias("end_line"), T.strip(F.array_join(lines, "\n")).alias("snippet"))
+    cut = both.select(q_key, d_key, "_room", "place", F.col("_w.first").alias("first_line"), F.col("_w.last").alias("end_line"), T.strip(F.array_join(lines, "\n")).alias("snippet"))
     keyed = cut.where("snippet <> ''").withColumn("_pair", F.struct(q_key, d_key))
-    kept = R.pack(keyed, "_pair", "place", F.length("snippet"), F.lit(budget))
-    return kept.withColumn("snippet", F.substring("snippet", 1, budget)).drop("_pair")
+    kept = R.pack(keyed, "_pair", "place", F.length("snippet"), F.col("_room"))
+    return kept.withColumn("snippet", F.left("snippet", F.col("_room"))).drop("_pair", "_room")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,26 +68,67 @@ def block_titles(blocks: DataFrame, docs: DataFrame, key: str = "doc_id", text:
     return out.withColumns({"table_code": code, "is_contents": T.normalize(F.col("full_title")).contains("contents")})
 
 
-def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 120) -> DataFrame:
-    """Heading- and table-aware chunks of consecutive lines (key, section_no, first_line, n_lines).
+def _section_starts(lines: Column, most: int) -> Column:
+    """Numbers of the lines that begin a section: a fold over a document's lines, whose running count no window can restart."""
+    flags = F.transform(
+        lines,
+        lambda x, i: F.struct(
+            i.alias("i"),
+            (T.strip(x) != "").alias("filled"),
+            F.when(
+                i > 0,
+                ((F.regexp_count(x, F.lit(r"\|")) >= 3) & ~F.get(lines, i - 1).contains("|"))
+                | (T.heading_signal(x) >= 2)
+                | ((T.table_signal(T.strip(x)) >= 3) & (T.table_signal(F.get(lines, i - 1)) == 0)),
+            ).alias("cut"),
+        ),
+    )
+    state = lambda starts, n: F.struct(starts.alias("starts"), n.cast("int").alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begins = x["filled"] & ((acc["n"] == 0) | x["cut"] | (acc["n"] >= most))
+        return F.when(begins, state(F.concat(acc["starts"], F.array(x["i"])), F.lit(1))).when((acc["n"] == 0) & ~x["filled"], acc).otherwise(state(acc["starts"], acc["n"] + 1))
+
+    return F.aggregate(flags, state(F.array().cast("array<int>"), F.lit(0)), step, lambda acc: acc["starts"])
+
 
-    A line begins a section if it opens a bar table, looks like a heading, follows prose as a table line, or if the
-    section has ``most`` lines.  The last rule depends on the running length, so each stretch between other boundaries
-    is cut into pieces of ``most`` lines from its start.
+def section_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 120) -> DataFrame:
+    """Heading- and table-aware chunks of consecutive lines (key, section_no, first_line, n_lines, section).
+
+    A line that is not blank begins a section if it opens a bar table, looks like a heading, follows prose as a table line, or if the
+    section has ``most`` lines.  Blank lines inside count; ``n_lines`` counts the others.  No rows meet, so nothing is shuffled.
     """
-    rows = explode_lines(docs, key, text).withColumn("line", F.regexp_replace("line", r"\s+$", "")).where("line <> ''")
-    before = F.lag("line").over(Window.partitionBy(key).orderBy("line_no"))
-    rows = rows.withColumn("_p", before)
-    opens = (F.regexp_count("line", F.lit(r"\|")) >= 3) & ~F.col("_p").contains("|")
-    cut = opens | (T.heading_signal(F.col("line")) >= 2) | ((T.table_signal(T.strip(F.col("line"))) >= 3) & (T.table_signal(F.col("_p")) == 0))
-    rows = rows.withColumn("_cut", F.when(F.col("_p").isNotNull() & cut, 1).otherwise(0))
-    stretch = F.sum("_cut").over(Window.partitionBy(key).orderBy("line_no"))
-    rows = rows.withColumn("_s", stretch)
-    at = F.row_number().over(Window.partitionBy(key, "_s").orderBy("line_no")) - 1
-    rows = rows.withColumn("_part", F.floor(at / most))
-    out = rows.groupBy(key, "_s", "_part").agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n_lines"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("first_line")) - 1
-    return out.select(key, number.alias("section_no"), "first_line", "n_lines")
+    rows = docs.select(key, F.transform(T.lines(F.col(text)), lambda x: F.regexp_replace(x, r"\s+$", "")).alias("_lines"))
+    rows = rows.withColumn("_starts", _section_starts(F.col("_lines"), most))
+    ends = F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(F.size("_lines")))
+    pieces = rows.select(key, "_lines", F.posexplode(F.arrays_zip(F.col("_starts").alias("lo"), ends.alias("hi"))).alias("section_no", "_p")).where("_p.lo is not null")
+    body = F.slice("_lines", F.col("_p.lo") + 1, F.col("_p.hi") - F.col("_p.lo"))
+    return pieces.select(key, "section_no", F.col("_p.lo").alias("first_line"), F.size(F.filter(body, lambda x: T.strip(x) != "")).alias("n_lines"), T.strip(F.array_join(body, "\n")).alias("section"))
+
+
+def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 120) -> DataFrame:
+    """``section_texts`` without the texts."""
+    return section_texts(docs, key, text, most).drop("section")
+
+
+def narrowed(body: Column, years: Column, months: Column, terms: Column, whole: Column, most: int = 40) -> Column:
+    """The lines of a table that its question needs, as one text: ``narrow_for_question`` on a row's own lines."""
+    lines = F.filter(T.lines(body), lambda x: T.strip(x) != "")
+    held = lambda words, line: F.size(F.filter(words, lambda w: line.contains(w)))
+
+    def row(x: Column, i: Column) -> Column:
+        bare = T.strip(x)
+        low = F.lower(bare)
+        points = held(years.cast("array<string>"), bare) * 10 + held(months, low) * 5 + held(terms, low) * 8 + F.when(low.rlike(r"\btotal\b"), 3).otherwise(0)
+        head = (i < 2) | F.regexp_replace(bare, "-", "").rlike(r"^[\s|:]+$")
+        return F.struct(F.when(head, None).otherwise(-points).alias("s"), i.alias("i"), x.alias("x"))
+
+    rows = F.transform(lines, row)
+    data = F.array_sort(F.filter(rows, lambda r: r["s"].isNotNull()))
+    good = F.filter(data, lambda r: r["s"] < 0)
+    best = F.slice(F.when(F.size(good) > 0, good).otherwise(data), 1, most)
+    kept = F.array_sort(F.transform(F.concat(F.filter(rows, lambda r: r["s"].isNull()), best), lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x"))))
+    return F.when(whole | (F.size(lines) <= most + 2), body).otherwise(F.array_join(F.transform(kept, lambda r: r["x"]), "\n"))
 
 
 def narrow_rows(rows: DataFrame, key: str, score: str, most: int = 40) -> DataFrame:

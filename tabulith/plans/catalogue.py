@@ -112,23 +112,17 @@ def line_explode(spark, sf_dir):
 @query(
     rf"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS line FROM documents), s AS (SELECT doc_id,
     CASE WHEN regexp_matches(line, '[0-9]') THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(line, '{L.NUMBER}', 0)) >= 2 THEN 2 ELSE 0 END
+    + CASE WHEN regexp_matches(lower(line), '(^|[^\p{{L}}\p{{N}}_])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*($|[^\p{{L}}\p{{N}}_])') THEN 1 ELSE 0 END
     + CASE WHEN regexp_matches(line, '[%$¥£]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(line, '[ \t\n\r\f]{{2,}}|\t') THEN 1 ELSE 0 END AS sig FROM l)
     SELECT doc_id, sum(sig)::BIGINT AS table_signal, count(*) FILTER (WHERE sig >= 2) AS table_lines FROM s GROUP BY doc_id"""
 )
 def line_signals(spark, sf_dir):
     line = F.col("line")
-    signal = T.table_signal(line) - F.when(F.lower(line).rlike(L.MONTH_WORD), 1).otherwise(0)  # no month words next to accented letters here
+    signal = T.table_signal(line)
     rows = B.explode_lines(table(spark, sf_dir, "documents")).withColumn("s", signal)
     return rows.groupBy("doc_id").agg(F.sum("s").cast("long").alias("table_signal"), F.count(F.when(F.col("s") >= 2, 1)).alias("table_lines"))
 
 
-@query()
-def line_signals_full(spark, sf_dir):
-    """The whole table signal, month words too, which the SQL of ``line_signals`` leaves out."""
-    rows = B.explode_lines(table(spark, sf_dir, "documents")).withColumn("s", T.table_signal(F.col("line")))
-    return rows.groupBy("doc_id").agg(F.sum("s").cast("long").alias("table_signal"), F.count(F.when(F.col("s") >= 2, 1)).alias("table_lines"))
-
-
 @query(
     r"""WITH l AS (SELECT doc_id, unnest(list_zip(range(len(a)), a)) AS z FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS a FROM documents)),
     r AS (SELECT doc_id, z[1] AS line_no, z[2] AS line FROM l WHERE len(regexp_extract_all(z[2], '\|', 0)) >= 2),
@@ -146,18 +140,6 @@ def block_titles(spark, sf_dir):
     return B.block_titles(B.table_blocks(docs), docs)
 
 
-@query()
-def section_split(spark, sf_dir):
-    return B.sections(table(spark, sf_dir, "documents"))
-
-
-@query(r"""SELECT page_id, string_agg(h, chr(10) ORDER BY place) AS heading_summary FROM (SELECT page_id, h, min(place) AS place FROM (SELECT page_id,
-    unnest(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1)) AS h, generate_subscripts(regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1), 1) AS place FROM pages) GROUP BY page_id, h) GROUP BY page_id""")
-def heading_summary(spark, sf_dir):
-    heads = F.array_distinct(T.find_all(F.col("html"), "<h[1-6][^>]*>([^<]*)</h[1-6]>", 1))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(heads, "\n").alias("heading_summary")).where(F.size(heads) > 0)
-
-
 @query(f"SELECT doc_id, len({sql_unique('e')}) AS n, array_to_string({sql_unique('e')}, '|') AS entities FROM (SELECT doc_id, list_filter(list_transform(list_concat(regexp_extract_all(text, '[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+', 0), regexp_extract_all(text, '[A-Z][a-z]+(?:\\s+(?:[A-Z][a-z]+|and|of|the|for|in|to))+\\s+[A-Z][a-z]+', 0)), lambda x: lower(x)), lambda x: length(x) >= 6) AS e FROM documents)")
 def named_entities(spark, sf_dir):
     e = T.named_entities(F.col("text"))
@@ -310,18 +292,6 @@ def keyword_score_topk(spark, sf_dir):
     return R.top_k(scores(spark, sf_dir), "q_id", 5, F.desc("score"), F.col("doc_id"))
 
 
-@query(
-    f"""{SCORES_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) AS r FROM s QUALIFY r <= 30),
-    f AS (SELECT c.q_id, c.doc_id, c.score + CASE WHEN contains(d.text, b.text) THEN 100 ELSE 0 END AS full_score FROM c JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = c.q_id)
-    SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY full_score DESC, doc_id) AS rank FROM f QUALIFY rank <= 18"""
-)
-def two_stage_topk(spark, sf_dir):
-    cheap = R.top_k(scores(spark, sf_dir), "q_id", 30, F.desc("score"), F.col("doc_id")).drop("rank")
-    both = cheap.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(asked(spark, sf_dir), "q_id")
-    full = both.select("q_id", "doc_id", (F.col("score") + F.when(F.contains("text", "question"), 100).otherwise(0)).alias("full_score"))
-    return R.top_k(full, "q_id", 18, F.desc("full_score"), F.col("doc_id"))
-
-
 @query(
     f"""{SCORES_SQL}, c AS (SELECT q_id, doc_id AS idx, score, doc_id % 97 = 3 AS pinned, count(*) OVER (PARTITION BY q_id) AS n, max(score) OVER (PARTITION BY q_id) AS best FROM s)
     SELECT q_id, idx, score, pinned, row_number() OVER (PARTITION BY q_id ORDER BY pinned DESC, CASE WHEN n <= 6 OR best <= 0 THEN 0 ELSE score END DESC, idx) AS rank FROM c QUALIFY rank <= 6"""

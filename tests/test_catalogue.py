@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tabulith.plans import catalogue
+from tabulith.plans import queries as catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-import weakref
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -13,56 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabulith.sources.scratch import release, shared_dir, stash
 
-def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: the session's ``spark.checkpoint.dir``, or else the context's checkpoint folder.
-
-    A local session that names neither (a test) gets one for the life of its context; on a cluster that is an error, as no folder of one machine would do.
-    """
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not path:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tabulith-"))
-        path = sc.getCheckpointDir()
-    return path.rstrip("/")
+__all__ = ["file_order", "load", "lookup_groups", "number_in_order", "number_rows", "partitions", "release", "shared_dir", "slice_of", "slices_for", "stash"]
 
 
-#: Folders written by ``stash`` that ``release`` has not removed yet, by the frame that reads them.
-_stashed: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def stash(df: DataFrame, label: str, collect: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts lineage, survives lost executors.
-
-    With ``collect``, for steps that shuffle much, shuffle files that are not needed again go at once: Spark deletes them once the objects
-    that stand for them are collected as garbage, which a driver with free memory may put off for half an hour.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    _stashed[back] = path
-    if collect:
-        del df
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return back
-
-
-def release(*frames: DataFrame) -> None:
-    """Remove the folders of stashed frames that nothing reads any more: every frame made from them has itself been stashed."""
-    for frame in frames:
-        path = _stashed.pop(frame, None)
-        if path:
-            jvm = frame.sparkSession.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(frame.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -69,7 +69,7 @@ def format_windows(turns: DataFrame, budget: int = 512, history_turns: int = 2,
     conversation are ordered by turn (nulls first), then role, then text; repeated rows are repeated turns; a null conv_id is a conversation;
     an empty table gives no windows; other columns are not read.
     """
-    rows = _numbered(turns)
+    rows = stash(_numbered(turns), "turns")  # read three times, with different columns
     system = rows.where("role = 'system'").groupBy("_c").agg(F.min_by(F.struct("chunk", "pos", "role", "text", "tokens"), F.struct("chunk", "pos")).alias("head"))
     # the only gathering by chunk is of two numbers a turn
     counts = rows.groupBy("_c", "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("_t"))

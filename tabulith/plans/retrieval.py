@@ -395,3 +395,29 @@ def strategy(spark, sf_dir):
 def bulletin_references(spark, sf_dir):
     """Issues that a question names as such and that exist."""
     return K.references(asks(spark)).select("q_id", "pub_date").distinct().join(C.bulletins(spark, sf_dir), "pub_date", "left_semi").select("q_id", "pub_date")
+
+
+@query(f"WITH {titles_sql('documents')} SELECT doc_id, block_no, unit_hint, title AS full_title, code AS table_code, contains(lower(title), 'contents') AS is_contents FROM titled")
+def block_titles(spark, sf_dir):
+    """G1 and G2 on all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return B.block_titles(B.table_blocks(docs), docs).drop("title")
+
+
+@query(
+    rf"""{ASKS_SQL}, turns AS (SELECT *, row_number() OVER (ORDER BY q_id) - 1 AS i, count(*) OVER () AS among FROM asks),
+    nq_l AS (SELECT q_id, doc_id, unnest(range(len(a))) AS line_no, unnest(a) AS x, {_ASKED_YEARS} AS ys, months AS ms, list_concat({_FOCUS}, {_ENTITIES}) AS ts, expects_series_math OR expects_regression OR expects_list OR wants_monthly_series AS whole
+        FROM (SELECT doc_id, regexp_split_to_array(text, {BREAKS}) AS a FROM documents) JOIN turns ON i = doc_id % among),
+    nq_s AS (SELECT q_id, doc_id, line_no, whole, {strip("x")} AS b, len(list_filter(ys, lambda y: contains({strip("x")}, y))) * 10 + len(list_filter(ms, lambda m: contains(lower(x), m))) * 5 + len(list_filter(ts, lambda t: contains(lower({strip("x")}), t))) * 8
+        + CASE WHEN regexp_matches(lower(x), '\btotal\b') THEN 3 ELSE 0 END AS score FROM nq_l),
+    nq_m AS (SELECT *, b <> '' AS filled, regexp_matches(replace(b, '-', ''), '^[\s|:]+$') AS bar, sum((b <> '')::INT) OVER (PARTITION BY q_id, doc_id) AS n, sum((b <> '')::INT) OVER (PARTITION BY q_id, doc_id ORDER BY line_no) AS place FROM nq_s),
+    nq_g AS (SELECT *, filled AND NOT bar AND place > 2 AS data FROM nq_m), nq_r AS (SELECT *, row_number() OVER (PARTITION BY q_id, doc_id ORDER BY data DESC, score DESC, line_no) AS r, max(CASE WHEN data THEN score END) OVER (PARTITION BY q_id, doc_id) AS best FROM nq_g)
+    SELECT q_id, doc_id, line_no, score FROM nq_r WHERE whole OR n <= 42 OR (filled AND NOT data) OR (data AND r <= 40 AND (score > 0 OR best <= 0))"""
+)
+def row_narrow_questions(spark, sf_dir):
+    """SC6: each document's lines narrowed for one of the questions, dealt by doc_id."""
+    q = asks(spark)
+    dealt = q.withColumn("_n", F.row_number().over(Window.orderBy("q_id")) - 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = docs.join(F.broadcast(dealt), F.pmod("doc_id", F.lit(q.count())) == F.col("_n"))
+    return B.narrow_for_question(pairs, ["q_id", "doc_id"]).drop("line")

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 from tabulith.functions import answers as A
 from tabulith.functions import lexicon as L
 from tabulith.operators import answering as W
+from tabulith.operators import tools as X
+from tabulith.plans import fixtures as I
 from tabulith.plans.catalogue import _BARE, _HD, _NTH, _PH, N, _unit_sql, answers, query, sql_any, sql_list
 from tabulith.plans.retrieval import ASKS_SQL, BREAKS, asks, quoted, strip
 
@@ -305,3 +307,27 @@ def eval_driver(spark, sf_dir):
     expected = rows.select("uid", F.col("n").cast("string").alias("answer"), level.alias("difficulty"))
     answers_ = rows.select(F.col("uid").alias("q_id"), F.concat(F.lit("$"), (F.col("n") + F.col("uid") % 2).cast("string"), F.lit(".0")).alias("answer"))
     return W.evaluate(answers_, expected)[1]
+
+
+_B1 = f"SELECT *, coalesce(nullif({preamble('answer')}, ''), answer) AS bare, coalesce(nullif({preamble('answer')}, ''), answer) AS final0 FROM {N}"
+_NUM = f"^{L.NUMBER}$"
+_STRIP_DOTS = f"regexp_replace({strip('answer')}, '\\.+$', '')"
+_PCT = f"CASE WHEN {_PERCENT} AND NOT contains(answer, '%') AND NOT contains(lower(answer), 'percent') AND regexp_matches({_STRIP_DOTS}, '{_NUM}') THEN {_STRIP_DOTS} || '%' ELSE answer END"
+_VALUES = f"list_filter(list_transform(regexp_extract_all(answer, '{L.NUMBER}', 0), lambda n: replace(n, ',', '')), lambda n: NOT (TRY_CAST(n AS DOUBLE) BETWEEN 1900 AND 2100 AND NOT contains(n, '.')))"
+
+
+@query(
+    f"""SELECT a_id, bare, final, {bare(strip('bare'))} AS is_bare, CASE WHEN {sql_any("lower(question)", ["in dollars", "dollar amount", "how much money"])} AND NOT contains(v, '$') AND NOT contains(lower(v), 'dollar') AND regexp_matches({strip("v")}, '{_NUM}') THEN '$' || {strip("v")} ELSE v END AS verified,
+    len(list_distinct(list_transform({_VALUES}, lambda n: TRY_CAST(n AS DOUBLE)))) > 1 AS several FROM (SELECT *, {_PCT} AS v FROM ({final("final", f"({_B1})")}))"""
+)
+def answer_clean(spark, sf_dir):
+    """S1, S3, S4, S5 and S9."""
+    a = F.col("answer")
+    rows = answers(spark).withColumn("bare", A.without_preamble(a))
+    return rows.select("a_id", "bare", A.final_text(F.col("bare")).alias("final"), A.bare_value(F.col("bare")).alias("is_bare"), A.verify(F.col("question"), a).alias("verified"), A.several_numbers(a).alias("several"))
+
+
+@query("SELECT 'e1' AS e_id, (sqrt(16) + power(2, 3))::DOUBLE::VARCHAR AS result UNION ALL SELECT 'e2', round((1 + 2 + 3) / 7, 4)::DOUBLE::VARCHAR UNION ALL SELECT 'e3', 'error: ValueError' UNION ALL SELECT 'e4', 'error: ZeroDivisionError' UNION ALL SELECT 'e5', (greatest(3, 9) % 4)::DOUBLE::VARCHAR")
+def calculate(spark, sf_dir):
+    """U4."""
+    return spark.createDataFrame(I.EXPRESSIONS, "e_id string, expression string").select("e_id", X.calculate("expression").alias("result"))

@@ -8,11 +8,11 @@ import time
 
 from pyspark.sql import SparkSession
 
-from tabulith.plans import catalogue
+from tabulith.plans import queries as catalogue
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ["keyword_score_topk", "two_stage_topk", "context_pack", "table_blocks", "section_split", "line_signals", "named_entities", "row_narrow", "followup_join", "ordered_union_dedupe", "vote_text", "json_aggregate", "series_stats", "eval_accuracy", "message_merge"]
+HEADLINE = ["keyword_score_topk", "two_stage_topk", "context_pack", "table_blocks", "section_split", "line_signals", "named_entities", "row_narrow", "followup_join", "ordered_union_dedupe", "vote_text", "json_aggregate", "series_stats", "table_scores", "find_sources", "source_context", "cleaned_answers", "window_snippets", "eval_accuracy", "message_merge"]
 
 
 def main() -> None:

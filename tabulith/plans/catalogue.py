@@ -470,7 +470,7 @@ def final_answer(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE a AS (SELECT q_id, pos, answer, regexp_replace({sql_strip("regexp_replace(answer, '[$,]', '', 'g')")}, '^\\((.+)\\)$', '-\\1') AS s FROM {I.sql_values(I.VOTES, "q_id, pos, answer")}),
+    f"""WITH RECURSIVE a AS (SELECT q_id, pos, answer, regexp_replace({sql_strip("regexp_replace(answer, '[$,]', '', 'g')")}, '^\\((.+)\\)$', '-\\1') AS s FROM {I.sql_values(I.MORE_VOTES, "q_id, pos, answer")}),
     p AS (SELECT *, TRY_CAST(nullif(regexp_extract(s, '[-+]?[0-9]+\\.?[0-9]*', 0), '') AS DOUBLE) * coalesce(CASE {_unit_sql("answer")} WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN 'trillion' THEN 1e12 END, 1) AS v FROM a),
     n AS (SELECT q_id, count(*) AS n, count(v) AS m FROM p GROUP BY q_id),
     o AS (SELECT q_id, answer, v, row_number() OVER (PARTITION BY q_id ORDER BY v, pos) AS i FROM p WHERE v IS NOT NULL),
@@ -483,7 +483,7 @@ def final_answer(spark, sf_dir):
     SELECT n.q_id, CASE WHEN n.n > 1 AND n.m >= n.n * 0.5 THEN w.answer ELSE t.answer END AS winner FROM n LEFT JOIN w ON w.q_id = n.q_id JOIN t ON t.q_id = n.q_id"""
 )
 def vote_answers(spark, sf_dir):
-    return V.vote(inline(spark, I.VOTES, "q_id string, pos int, answer string"))
+    return V.vote(inline(spark, I.MORE_VOTES, "q_id string, pos int, answer string"))
 
 
 @query(

@@ -69,7 +69,7 @@ VOTES = [
     ("v6", 1, "b"), ("v6", 2, "a"), ("v6", 3, "A"), ("v6", 4, "B"),
 ]
 #: Generated: up to seven answers, near each other, far apart, and texts.
-VOTES += [(f"w{q:02d}", pos, ["{:.2f}", "{:.0f}", "${:,.1f}", "({:.1f})", "{:.3f} million", "text {:.0f}"][(q * pos) % 6].format((q + 1) * 37 * (1 + (pos * q % 5) / 100))) for q in range(40) for pos in range(1, 2 + q % 7)]
+MORE_VOTES = VOTES + [(f"w{q:02d}", pos, ["{:.2f}", "{:.0f}", "${:,.1f}", "({:.1f})", "{:.3f} million", "text {:.0f}"][(q * pos) % 6].format((q + 1) * 37 * (1 + (pos * q % 5) / 100))) for q in range(40) for pos in range(1, 2 + q % 7)]
 
 RULES = [("national_defense", 1, 1), ("national_defense", 1, 2), ("fd", 0, 10), ("fd", 0, 11), ("fd", 1, 10), ("individual_income_tax", 0, 7), ("individual_income_tax", 1, 7)]
 

@@ -124,6 +124,12 @@ def line_signals(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.sum("s").cast("long").alias("table_signal"), F.count(F.when(F.col("s") >= 2, 1)).alias("table_lines"))
 
 
+@query(ORACLE_SQL["line_signals"])
+def line_signals_full(spark, sf_dir):
+    """The same; the name under which the signal with month words was first registered."""
+    return line_signals(spark, sf_dir)
+
+
 @query(
     r"""WITH l AS (SELECT doc_id, unnest(list_zip(range(len(a)), a)) AS z FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS a FROM documents)),
     r AS (SELECT doc_id, z[1] AS line_no, z[2] AS line FROM l WHERE len(regexp_extract_all(z[2], '\|', 0)) >= 2),

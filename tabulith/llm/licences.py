@@ -149,7 +149,7 @@ def chain(matches: list[tuple[int, int, int]], size: int) -> tuple[int, list[tup
     """Most of a template's words that matches (doc end, template end, length) cover, in order in the text and in the template, and their spans in the text.
 
     For each template end the best chain so far is kept, so the work is the number of matches times the template's size; where words repeat much
-    in a template, a chain that ends earlier in the text could rarely have led to one or two words more.
+    in a template, a chain that ends earlier in the text could rarely have led to more words.
     """
     best: dict[int, tuple[int, int, tuple | None]] = {0: (0, -1, None)}  # template end: (words, -doc end, (span, the chain before))
     for doc, end, length in sorted(set(matches)):

@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +40,21 @@ _DOC = np.dtype([("key", "<i8"), ("symbol", "<u4"), ("token", "<u4")])
 _encoders: dict[str, Encoder] = {}
 
 
+class _Words(dict[bytes, int]):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = at = len(self)
+        return at
+
+
 class Encoder:
     """Ids of whole texts through the tokenizers library, which is asked once for each distinct word.
 
     White space always separates pieces of this kind of tokenizer and is dropped, so a text's ids are those of its
-    words in a row; a mark after a plain letter, before white space, is a piece too.  Words of Latin letters
-    are single pieces and go to the library's model; all others take the library's whole pipeline.  At most
-    ``most`` words are kept.
+    words in a row; a letter and a mark after it are never in one piece, so a word ends between them too.  Words of
+    Latin letters are single pieces and go to the library's model; all others take the library's whole pipeline.
+    Words are forgotten when more than ``most`` are held.
     """
 
     def __init__(self, path: str, most: int = 1_200_000):
@@ -61,44 +70,41 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Words()
         self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
-        self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def piece(self, word: bytes) -> list[int]:
+        if word.isalpha():  # ASCII, lower-cased where the text was cut
+            return [t.id for t in self.model.tokenize(word.decode())]
         if self.plain.match(word):
-            text = word.decode().lower().encode().decode("latin-1") if word[0] > 127 or not word.isascii() else word.decode()
-            return [t.id for t in self.model.tokenize(text.translate(self.letters))]
+            return [t.id for t in self.model.tokenize(word.decode().lower().encode().decode("latin-1").translate(self.letters))]
         return self.whole.encode(word.decode(), add_special_tokens=False).ids
 
-    def learn(self, new: set[bytes]) -> None:
-        if len(self.index) + len(new) > self.most:
-            self.clear()
-        for word in new:
-            ids, at = self.piece(word), len(self.index)
-            if at == len(self.begin):
-                self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.begin[at], self.length[at] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[word] = at
+    def learn(self) -> None:
+        """Fetch the ids of the words numbered since the last call."""
+        pieces = list(map(self.piece, islice(self.index, len(self.length), None)))
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        end = self.used + int(lengths.sum())
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(end - len(self.flat), len(self.flat)), np.uint16)])
+        self.flat[self.used : end] = np.fromiter(chain.from_iterable(pieces), np.uint16, end - self.used)
+        self.begin = np.concatenate([self.begin, self.used + np.cumsum(lengths) - lengths])
+        self.length = np.concatenate([self.length, lengths])
+        self.used = end
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text as uint16."""
+        if len(self.index) > self.most:
+            self.clear()
         split, counts, out = [], [], []
         for text in texts:
             # a special token's string is one wherever the library sees it, whatever its case
             words = [] if "<|" in text else _apart(text.encode().lower()).split()
             split += words
             counts.append(len(words))
-        known = self.index
-        new = set(split).difference(known)
-        if len(known) + len(new) > self.most:
-            new = set(split)
-        self.learn(new)
         at = np.fromiter(map(self.index.__getitem__, split), np.int64, len(split))
+        self.learn()
         lengths = self.length[at]
         ids = gather(self.flat, self.begin[at], lengths)
         ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *counts])]
@@ -107,20 +113,23 @@ class Encoder:
         return out
 
 
-_SPLIT = np.zeros(256, bool)
-_SPLIT[[ord("."), ord(",")]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 10]] = True
+# second bytes of the letters from U+00C0 to U+00FF, whose first byte is LATIN
+LATIN = 0xC3
+_SECOND = np.zeros(256, bool)
+_SECOND[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 
 
 def _apart(data: bytes) -> bytes:
-    """A blank between a letter a-z and a full stop or comma that white space follows."""
+    """A blank between a letter (a-z or U+00C0 to U+00FF) and an ASCII mark after it, but for an apostrophe."""
     raw = np.frombuffer(data, np.uint8)
-    if len(raw) < 3:
-        return data
-    at = np.flatnonzero(_SPLIT[raw[1:-1]] & _LETTER[raw[:-2]] & _SPACE[raw[2:]]) + 1
+    at = np.flatnonzero(_MARK[raw[1:]]) if len(raw) > 1 else np.zeros(0, np.int64)
+    before = raw[at]
+    letter = _LETTER[before] | _SECOND[before] & (raw[np.maximum(at - 1, 0)] == LATIN)
+    at = at[letter] + 1
     return np.insert(raw, at, 32).tobytes() if len(at) else data
 
 

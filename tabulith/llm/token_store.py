@@ -32,7 +32,8 @@ END = 65535
 FIRST_RULE = 49408
 #: A shard is closed when it has this many tokens; a longer document is a shard alone.
 SHARD_TOKENS = 2_000_000
-ROUNDS, LEAST_PAIRS, RULES_A_ROUND = 8, 16, 2000
+#: A pair with this many places is frequent; so many of the most frequent pairs are replaced in a round.
+LEAST_PAIRS, RULES_A_ROUND = 16, 2000
 _HEAD = np.dtype([("magic", "S4"), ("docs", "<u4"), ("rules", "<u4"), ("symbols", "<u4"), ("tokens", "<u8")])
 _RULE = np.dtype([("left", "<u2"), ("right", "<u2"), ("length", "<u4")])
 _DOC = np.dtype([("key", "<i8"), ("symbol", "<u4"), ("token", "<u4")])
@@ -139,53 +140,59 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _replace(symbols: np.ndarray, partner: np.ndarray, rule: np.ndarray) -> np.ndarray:
-    """Replace, from the left and without overlap, each symbol that its partner follows."""
-    hit = np.flatnonzero(partner[symbols[:-1]] == symbols[1:])
-    if len(hit):
-        # of matches that overlap in a row, every second stays
-        first = np.concatenate([[True], np.diff(hit) > 1])
-        run = np.flatnonzero(first)
-        rank = np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))
-        hit = hit[rank % 2 == 0]
-    symbols = symbols.copy()
-    symbols[hit] = rule[symbols[hit]]
-    keep = np.ones(len(symbols), bool)
-    keep[hit + 1] = False
-    return symbols[keep]
+def _apart_in_runs(hit: np.ndarray) -> np.ndarray:
+    """Which of rising places to keep so that none follows another directly: in a run, every second from its first."""
+    run = np.flatnonzero(np.concatenate([[True], np.diff(hit) > 1]))
+    return (np.arange(len(hit)) - np.repeat(run, np.diff(np.append(run, len(hit))))) % 2 == 0
+
+
+def _frequent(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (left << 16 | right) inside documents with at least LEAST_PAIRS places, and their places."""
+    pairs = ((symbols[:-1].astype(np.uint32) << np.uint32(16)) | symbols[1:])[(symbols[:-1] != END) & (symbols[1:] != END)]
+    if not len(pairs):
+        return pairs, np.zeros(0, np.int64)
+    pairs.sort()
+    cut = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    counts = np.diff(np.append(cut, len(pairs)))
+    often = counts >= LEAST_PAIRS
+    return pairs[cut[often]], counts[often]
 
 
 def compress(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Re-Pair in rounds: each replaces the most frequent pairs, at most one for each left symbol."""
+    """Re-Pair in rounds, until no pair is frequent or the 16-bit symbols run out.
+
+    A round replaces the RULES_A_ROUND most frequent pairs at once, from the left and without overlap; a pair that
+    others leave no place gets no rule.  Each round shortens the symbols.
+    """
     rules: list[np.ndarray] = []
     lengths, following = np.ones(65536, np.uint32), FIRST_RULE
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        inner = (symbols[:-1] != END) & (symbols[1:] != END)
-        pairs = ((symbols[:-1].astype(np.uint32) << np.uint32(16)) | symbols[1:])[inner]
-        pairs.sort()
-        cut = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(cut, len(pairs)))
-        often = counts >= LEAST_PAIRS
-        kinds, counts = pairs[cut[often]], counts[often]
-        order = np.argsort(-counts, kind="stable")
-        kinds = kinds[order]
-        left, right = (kinds >> np.uint32(16)).astype(np.uint16), (kinds & np.uint32(0xFFFF)).astype(np.uint16)
-        _, best = np.unique(left, return_index=True)
-        best = np.sort(best)[: min(RULES_A_ROUND, END - following)]
-        if not len(best):
+    while following < END:
+        kinds, counts = _frequent(symbols)
+        if not len(kinds):
             break
-        left, right = left[best], right[best]
-        made = np.arange(following, following + len(best)).astype(np.uint16)
-        partner, rule = np.full(65536, -1, np.int32), np.zeros(65536, np.uint16)
-        partner[left], rule[left] = right, made
-        symbols = _replace(symbols, partner, rule)
-        lengths[made] = lengths[left] + lengths[right]
-        new = np.zeros(len(best), _RULE)
-        new["left"], new["right"], new["length"] = left, right, lengths[made]
+        kinds = np.sort(kinds[np.argsort(-counts, kind="stable")[: min(RULES_A_ROUND, END - following)]])
+        starts, ends = np.zeros(65536, bool), np.zeros(65536, bool)
+        starts[kinds >> np.uint32(16)], ends[kinds & np.uint32(0xFFFF)] = True, True
+        hit = np.flatnonzero(starts[symbols[:-1]] & ends[symbols[1:]])
+        pairs = (symbols[hit].astype(np.uint32) << np.uint32(16)) | symbols[hit + 1]
+        which = np.minimum(np.searchsorted(kinds, pairs), len(kinds) - 1)
+        real = kinds[which] == pairs
+        hit, which = hit[real], which[real]
+        kept = _apart_in_runs(hit)
+        hit, which = hit[kept], which[kept]
+        used = np.bincount(which, minlength=len(kinds)) > 0
+        new = np.zeros(int(used.sum()), _RULE)
+        new["left"], new["right"] = kinds[used] >> np.uint32(16), kinds[used] & np.uint32(0xFFFF)
+        new["length"] = lengths[new["left"]] + lengths[new["right"]]
+        made = (following + np.cumsum(used) - 1).astype(np.uint16)
+        lengths[following : following + len(new)] = new["length"]
+        following += len(new)
         rules.append(new)
-        following += len(best)
+        symbols = symbols.copy()
+        symbols[hit] = made[which]
+        keep = np.ones(len(symbols), bool)
+        keep[hit + 1] = False
+        symbols = symbols[keep]
     return symbols, np.concatenate(rules) if rules else np.zeros(0, _RULE)
 
 

@@ -70,6 +70,42 @@ def test_random_access_in_token_files():
             assert shard.token(i, at) == ids[at]
 
 
+def test_grammars_go_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    text = rng.integers(0, 49408, 3000).astype(np.uint16)
+    cases = {
+        "copies": [text] * 40,
+        "one id": [np.full(5000, 7, np.uint16)],
+        "few ids": [rng.integers(0, 3, n).astype(np.uint16) for n in (0, 1, 2, 4000, 300)],
+        "rare pairs": [text],
+        "nothing": [],
+    }
+    for name, docs in cases.items():
+        symbols = np.concatenate([np.zeros(0, np.uint16), *(p for d in docs for p in (d, [np.uint16(token_store.END)]))]).astype(np.uint16)
+        short, rules = token_store.compress(symbols)
+        left = Counter(p for p in itertools.pairwise(short.tolist()) if token_store.END not in p)
+        assert max(left.values(), default=0) < token_store.LEAST_PAIRS, name
+        assert len(set(rules[["left", "right"]].tolist())) == len(rules), name
+        shard = token_store.Shard(token_store.write_shard(list(range(len(docs))), docs))
+        assert len(shard.rules) == len(rules)
+        for i, d in enumerate(docs):
+            assert (shard.ids(i) == np.append(d, 2)).all(), name
+            assert [shard.token(i, at) for at in range(0, len(d), 97)] == d[::97].tolist(), name
+        if name == "copies":
+            assert rules["length"].max() > 256 and len(short) < len(symbols) / 256
+
+
+def test_words_end_between_letters_and_marks():
+    enc = token_store.Encoder(public_tokenizers.path("word_bpe_49k.json"), most=500)
+    rng = random.Random(8)
+    signs = list("aabzAZ09'.,;:!?#$%&*<>=|\"`~^_-()[]{}@/\\ \n\tstredvml") + "é É ß ñ × ÷ ÿ À İ K ſ 日 Σ ς ﬁ ½ ² ’ —".split()
+    signs += ["\u0301", "\u0338", "\u00a0", "\u2003", "\u0085", "\x00", "\x1f", "\x1c", "'s", "'re"]
+    for _ in range(20):
+        texts = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(300)]
+        for text, ids in zip(texts, enc.many(texts), strict=True):
+            assert ids.tolist() == enc.whole.encode(text, add_special_tokens=False).ids, text
+
+
 def tiling_by_force(text, item, least):
     used_t, used_i, total = set(), set(), 0
     while True:

@@ -75,4 +75,29 @@ QUERIES: dict[str, Query] = {
     "op9_media_columns": op9,
     "op10_sharding": op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: SQL for the queries that it can express; tests/llm compares the others with brute force, round trips or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_join": r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, row_number() OVER () AS r,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, r, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                           ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) END AS s
+    FROM words),
+places AS (SELECT doc_id, r, len(s) AS n, unnest(s) AS shingle FROM sets WHERE doc_id IS NOT NULL),
+links AS (
+    SELECT DISTINCT a.doc_id AS a, b.doc_id AS b
+    FROM places a JOIN places b ON a.shingle = b.shingle AND a.r <> b.r
+    GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (
+    SELECT DISTINCT doc_id AS a, doc_id AS b FROM places
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_reached AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles,
+       CASE WHEN len(s.s) > 0 THEN component_id ELSE s.doc_id END AS component_id
+FROM sets s LEFT JOIN least_reached ON a = s.doc_id""",
+}

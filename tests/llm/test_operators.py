@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,6 +17,7 @@ from tokenizers import Tokenizer
 
 from tabulith.llm import chat, decontaminate, kernels, licences, media, mixing, ngram_join, sharding, token_store, toxicity
 from tabulith.llm import html as pages_
+from tabulith.llm import queries
 from tabulith.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string, size string, slot string, n string, node string, shard string, column string"
@@ -182,6 +184,27 @@ def test_ngram_join(spark, rows, k, percent, monkeypatch):
     assert ngram_join.ngram_join(empty(spark), k, percent)[0].count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_with_sql(spark, name):
+    db, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    frame = queries.QUERIES[name](spark, sf)
+    columns = sorted(frame.columns)
+    rel = db.sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL[name]})")
+    key = lambda r: tuple((v is not None, v) for v in r)
+    assert sorted((tuple(r) for r in frame.select(columns).collect()), key=key) == sorted(rel.fetchall(), key=key)
+
+
+def test_ngram_join_sql_on_odd_rows(spark, rows):
+    db, docs = duckdb.connect(), table(spark, rows)
+    documents = docs.toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    key = lambda r: tuple((v is not None, v) for v in r)
+    got = ngram_join.op3_ngram_join(docs).select("doc_id", "n_shingles", "component_id").collect()
+    want = db.sql(f"SELECT doc_id, n_shingles, component_id FROM ({queries.ORACLE_SQL['op3_ngram_join']})").fetchall()
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
+
+
 def test_dense_near_copies_keep_all_links(spark):
     rng = random.Random(9)
     base = ["b%d" % i for i in range(120)]

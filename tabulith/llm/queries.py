@@ -100,4 +100,37 @@ least_reached AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles,
        CASE WHEN len(s.s) > 0 THEN component_id ELSE s.doc_id END AS component_id
 FROM sets s LEFT JOIN least_reached ON a = s.doc_id""",
+    "op7_chat_format": r"""
+WITH RECURSIVE given AS (
+    SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) extra(turn, role)),
+turns AS (
+    SELECT *, coalesce(CAST(conv_id AS VARCHAR), '') AS c,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place,
+           3 + len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\x09-\x0D \p{L}\p{N}]')) AS tokens,
+           9 + 2 * length(role) - length(translate(role, '\<[', '')) + 2 * length(text) - length(translate(text, '\<[', '')) AS chars
+    FROM given),
+heads AS (
+    SELECT c, min(place) AS head_place, arg_min(tokens, place) AS head_tokens, arg_min(chars, place) + 7 AS head_chars
+    FROM turns WHERE role = 'system' GROUP BY c),
+roomy AS (SELECT turns.*, head_place, head_chars, 512 - 128 - coalesce(head_tokens, 0) AS room FROM turns LEFT JOIN heads USING (c)),
+spans AS (
+    SELECT c, place, place AS lo, tokens AS used FROM roomy WHERE place % 4096 = 0
+    UNION ALL
+    SELECT t.c, t.place, CASE WHEN used + tokens > room THEN t.place ELSE lo END, CASE WHEN used + tokens > room THEN tokens ELSE used + tokens END
+    FROM spans s JOIN roomy t ON t.c = s.c AND t.place = s.place + 1 AND t.place % 4096 <> 0),
+begins AS (SELECT c, place AS lo FROM spans WHERE place = lo),
+context AS (
+    SELECT b.c, b.lo, CASE WHEN one.tokens + two.tokens <= 128 AND b.lo % 4096 > 1 THEN 2 WHEN one.tokens <= 128 AND b.lo % 4096 > 0 THEN 1 ELSE 0 END AS n,
+           one.chars + 7 AS one_chars, two.chars + 7 AS two_chars
+    FROM begins b LEFT JOIN turns one ON one.c = b.c AND one.place = b.lo - 1 LEFT JOIN turns two ON two.c = b.c AND two.place = b.lo - 2),
+repeated AS (
+    SELECT c, sum(CASE n WHEN 0 THEN 0 WHEN 1 THEN one_chars ELSE one_chars + two_chars END + CASE WHEN head_place < lo - n THEN head_chars ELSE 0 END) AS chars
+    FROM context LEFT JOIN heads USING (c) GROUP BY c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(turns.chars + CASE role WHEN 'assistant' THEN 4 ELSE 7 END) + any_value(repeated.chars) AS BIGINT) AS formatted_chars
+FROM turns JOIN repeated USING (c) GROUP BY conv_id""",
 }

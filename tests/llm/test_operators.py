@@ -309,6 +309,10 @@ def test_chat(spark):
         listed, loss = "".join(f"{r}\n{x}\n" for _, r, x in own), "".join(x for _, r, x in own if r == "assistant")
         r = got[conv]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), hashlib.sha256(listed.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    conversations = frame.toPandas().astype({"conv_id": "Int64"})  # noqa: F841
+    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    same = duckdb.connect().sql(f"SELECT {', '.join(columns)} FROM ({queries.ORACLE_SQL['op7_chat_format']})").fetchall()
+    assert {tuple(r[c] for c in columns) for r in got.values()} == set(same)
     windows = chat.format_windows(frame.where("conv_id = 9")).orderBy("window").collect()
     assert len(windows) > 3 and all(w.formatted.startswith("<s>system[INST]S[/INST]") for w in windows[1:]) and all(w.n_tokens <= 512 for w in windows)
     assert all(w.n_context == 3 for w in windows[1:])

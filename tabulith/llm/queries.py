@@ -10,13 +10,16 @@ from tabulith.llm.chat import op7_chat
 from tabulith.llm.common import load
 from tabulith.llm.decontaminate import op2_decontamination
 from tabulith.llm.html import op4_html
+from tabulith.llm.importance import op11_importance
 from tabulith.llm.licences import op6_licences
 from tabulith.llm.media import op9_media
 from tabulith.llm.mixing import op5_mixing
 from tabulith.llm.ngram_join import op3_ngram_join
 from tabulith.llm.sharding import op10_sharding
+from tabulith.llm.token_counts import op13_token_counts
 from tabulith.llm.token_store import op1_token_ids
 from tabulith.llm.toxicity import op8_toxicity
+from tabulith.llm.variants import op12_variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,6 +66,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_sharding(load(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_importance(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_variants(load(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return op13_token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+#: The crc32 of half a byte, as a rule: four shifts with the reflected polynomial.
+HALVES = "list_transform(range(16), lambda x: list_reduce([x, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def crc32_sql(text: str, halves: str = "halves") -> str:
+    """The unsigned crc32 of a string's UTF-8 bytes; ``halves`` is a column that holds HALVES."""
+    digits = f"list_transform(range(len(hex({text})::VARCHAR) // 2), lambda i: ('0x' || substr(hex({text}), 2 * i + 1, 2))::BIGINT)"
+    half = lambda c: f"xor(({c}) >> 4, {halves}[(({c}) & 15) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda c, b: {half(half('xor(c, b)'))}), 4294967295)"
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_ids": op1,
     "op2_decontamination": op2,
@@ -74,6 +102,9 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8,
     "op9_media_columns": op9,
     "op10_sharding": op10,
+    "op11_importance": op11,
+    "op12_spelling_variants": op12,
+    "op13_token_counts": op13,
 }
 #: SQL for the queries that it can express; tests/llm compares the others with brute force, round trips or held-out rows.
 ORACLE_SQL: dict[str, str] = {
@@ -133,4 +164,50 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(turns.chars + CASE role WHEN 'assistant' THEN 4 ELSE 7 END) + any_value(repeated.chars) AS BIGINT) AS formatted_chars
 FROM turns JOIN repeated USING (c) GROUP BY conv_id""",
+    "op11_importance": rf"""
+WITH tokens AS (
+    SELECT doc_id, rowid AS r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+    FROM (SELECT *, row_number() OVER () AS rowid FROM documents)),
+aims AS (
+    SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+kinds AS (SELECT w, {crc32_sql("w")} % 10000 AS bucket FROM (SELECT w FROM tokens UNION SELECT w FROM aims), (SELECT {HALVES} AS halves)),
+s AS (SELECT bucket, count(*) AS s FROM tokens JOIN kinds USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM aims JOIN kinds USING (w) GROUP BY bucket),
+gains AS (
+    SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM tokens) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM aims) + 10000)::DOUBLE))) AS gain
+    FROM s FULL JOIN t USING (bucket)),
+sums AS (SELECT r, count(*) AS n, sum(gain) AS weight FROM tokens JOIN kinds USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (
+    SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+           CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+    FROM (SELECT *, row_number() OVER () AS r FROM documents) LEFT JOIN sums USING (r)),
+able AS (
+    SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS FIRST, weight) END AS place,
+           count(*) FILTER (n_features >= 20) OVER () AS total
+    FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= total * 10 // 100 THEN place END AS rank FROM able""",
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE runs AS (
+    SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS w
+    FROM documents),
+kinds AS (SELECT id, w, count(*) AS n FROM runs WHERE length(w) >= 6 GROUP BY id, w),
+hashed AS (SELECT w, n, {crc32_sql("(id || ':' || w)")} AS h FROM kinds, (SELECT {HALVES} AS halves)),
+slips AS (SELECT n, CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM hashed),
+words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n, translate(word, letters, marks) AS bytes
+    FROM slips, (SELECT string_agg(chr(192 + i::INT), '' ORDER BY i) AS letters, string_agg(chr(32 + i::INT), '' ORDER BY i) AS marks FROM range(64) r(i))
+    WHERE length(word) >= 6 GROUP BY word, letters, marks HAVING sum(n) >= 5),
+near AS (
+    SELECT a.word, count(*) AS n_near, min({{'m': -b.n, 'word': b.word}}) AS best
+    FROM words a JOIN words b ON length(b.word) - length(a.word) BETWEEN -1 AND 1 AND a.word <> b.word AND levenshtein(a.bytes, b.bytes) = 1
+    GROUP BY a.word),
+forms AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.m >= 5 * n THEN best.word END AS form, CASE WHEN -best.m >= 5 * n THEN CAST(-best.m AS BIGINT) END AS form_n
+    FROM words LEFT JOIN near USING (word)),
+steps AS (
+    SELECT word, word AS root, 0 AS step FROM forms
+    UNION ALL
+    SELECT steps.word, forms.form, step + 1 FROM steps JOIN forms ON forms.word = steps.root WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)""",
 }

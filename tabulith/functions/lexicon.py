@@ -153,6 +153,42 @@ PREAMBLES = [
 ]
 BULLETIN_FORMAT = r"treasury bulletin|final_answer|treasury.*expenditure|fiscal year.*(?:million|billion|thousand)|public debt.*outstanding"
 
+# Patterns and keys of output formats, the first that is found counts.  The directives are ours.
+FORMATS = [
+    (BULLETIN_FORMAT, "xml_final_answer", "Reason first; then close with the bare value in <FINAL_ANSWER></FINAL_ANSWER>."),
+    (r"return json|return.*json.*format|answer.*json|provide.*json", "json_generic", "Answer with one JSON object of the structure asked for and nothing around it."),
+    (r"risk[_\s-]*classification|classif(?:y|ication).*(?:risk|risks)", "json_risk_classification", "Answer with a JSON object that has the field risk_classification at its top."),
+    (r"trading decision|stop[_\s-]*loss|take[_\s-]*profit|position size|confidence score", "json_trading_decision", "Answer with a JSON object of the trading fields, named as the task names them."),
+    (r"\bcot\b|chain of thought|reasoning and answer|\"cot\"", "json_cot_answer", "Answer with a JSON object that holds the reasoning and the answer in fields of their own."),
+    (r"options?|greeks|delta|gamma|theta|vega|implied volatility", "json_options", "Answer with the JSON object that the options task describes, nested as it is there."),
+    (r"return.*csv|output.*csv|csv.*format", "csv_output", "Answer in CSV: a line of column names, then a line for each row."),
+    (r"portfolio allocation|allocate.*portfolio|weights? across|target weights?", "portfolio_allocation", "Give each allocation a line of its own in the form that the task asks for."),
+    (r"business summary|industry.*products.*geography|business overview", "json_business_summary", "Answer with a JSON object of the summary's fields."),
+    (r"consistency check|inconsisten|contradiction", "json_consistency_check", "Answer with a JSON object that follows the check's schema."),
+]
+
+# Phrases anywhere in a text, and words of it, by which a task is told from others.
+ROUTE_PHRASES = {
+    "strong": ["treasury bulletin", "u.s. treasury bulletin", "treasury department bulletin"],
+    "context": ["public debt outstanding", "federal receipts", "treasury balance", "national debt", "u.s. treasury"],
+    "weak": ["fiscal year", "treasury department"],
+}
+ROUTE_WORDS = {
+    "fiscal": ["expenditures", "receipts", "appropriation", "disbursements"],
+    "crm": ["crm", "contact", "account", "opportunity", "lead", "pipeline", "salesforce", "deal", "revenue", "customer", "sales stage", "closed won", "closed lost", "prospect", "funnel"],
+    "financial": ["treasury", "bulletin", "fiscal", "budget", "debt", "bond", "yield", "inflation", "gdp", "deficit", "surplus", "securities", "receipts", "expenditures", "appropriation", "federal"],
+    "bwim": ["create", "build", "generate", "write", "convert", "transform", "rewrite", "format", "produce", "make", "compose", "draft", "translate", "restructure", "reorganize"],
+}
+# The first condition that holds names the task.
+ROUTES = [
+    ("strong >= 1", "officeqa"),
+    ("context >= 2", "officeqa"),
+    ("weak >= 1 AND fiscal >= 1", "officeqa"),
+    ("crm >= 2", "crm"),
+    ("bwim >= 2 OR (bwim >= 1 AND financial = 0)", "bwim"),
+    ("financial >= 2", "financial"),
+]
+
 # Fixed values: (profile flag, pattern in a window of lines, points).
 WINDOW_CUES = [
     ("wants_bill_rate_data", r"\b(average rate|average issuing rate|investment rate|discount rate|equivalent coupon issue yield)\b", 12),

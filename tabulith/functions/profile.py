@@ -94,8 +94,17 @@ def context_limits(found: Column, files: int = 2, chars: int = 12000) -> tuple[C
     return most, F.greatest(F.lit(chars), F.when(wide, 22000), F.when(some, 18000))
 
 
-def output_format(text: Column) -> Column:
-    return F.when(F.lower(text).rlike("(?s)" + L.BULLETIN_FORMAT), F.lit("xml_final_answer"))
+def output_format(text: Column, task: Column | None = None) -> Column:
+    """The key of the first format whose pattern the text has; a bulletin question (``task`` officeqa) can have the first only."""
+    low = F.lower(text)
+    rules = [(low.rlike("(?s)" + pattern), key) for pattern, key, _ in L.FORMATS]
+    every = F.coalesce(*(F.when(found, F.lit(key)) for found, key in rules))
+    return every if task is None else F.when(task == "officeqa", F.when(rules[0][0], F.lit(rules[0][1]))).otherwise(every)
+
+
+def directive(format_: Column) -> Column:
+    """What an answerer is told about a format; empty for none."""
+    return F.coalesce(*(F.when(format_ == key, F.lit(said)) for _, key, said in L.FORMATS), F.lit(""))
 
 
 def strategy() -> Column:

@@ -167,7 +167,7 @@ FILE_RULES = [
 
 # Months m after the first issue that may print a year's figures: (from, to, top, from where it falls, in steps of, least), so
 # greatest(least, top - (m - where) div step).
-PUBLICATION = [(0, 6, 28, 0, 1, 0), (7, 18, 22, 0, 1, 8), (19, 48, 10, 18, 4, 2), (-6, -1, 6, -6, 100, 6)]
+PUBLICATION = [(0, 6, 28, 0, 1, 0), (7, 18, 22, 0, 1, 8), (19, 48, 10, 18, 4, 2), (-6, -1, 6, -6, 1, 6)]
 # Points for a file's year (fy) and month (fm).
 DATE_RULES = [
     "CASE WHEN month_asked THEN CASE WHEN is_fd AND expects_list THEN 2 ELSE 10 END ELSE 0 END",
@@ -198,4 +198,10 @@ ANCHORS = [
 ]
 # How many years after a question's year issues are candidates.
 FOLLOWING = """CASE WHEN earliest < 1950 THEN greatest(base, 10) ELSE base END"""
-FOLLOWING_BASE = """CASE WHEN is_agency_expense OR is_tax_receipts THEN 12 WHEN is_auction THEN 2 WHEN is_fd OR is_fcp OR is_cm THEN 3 ELSE 6 END"""
+
+
+def following_base(years: int = 6) -> str:
+    """How many years after a named one its issues are candidates, before the rule for early years; ``years`` where no family says otherwise."""
+    some = f"CASE WHEN is_auction THEN least({years}, 2) WHEN is_fd OR is_fcp OR is_cm THEN least({years}, 3) ELSE {years} END"
+    return f"CASE WHEN is_agency_expense OR is_tax_receipts THEN greatest({some}, 12) ELSE {some} END"
+

@@ -218,17 +218,18 @@ def _heading_points(f: str) -> Column:
     return keyword_points(q("keywords"), h("heading"), 3, 8, 3) + F.least(F.size(F.array_intersect(q("terms"), h("terms"))), F.lit(5)) * 8
 
 
-def publication() -> Column:
-    """Points for the months between the first issue that may print the last year's figures and a file's issue (fy, fm)."""
-    m = F.expr("(fy - last_year + CASE WHEN says_fiscal THEN 1 ELSE 0 END) * 12 + fm - CASE WHEN says_fiscal THEN 10 ELSE 1 END")
+#: The months for which a publication counts, from the first issue that may print the last year's figures.
+PUBLICATION_SPAN = (min(low for low, *_ in R.PUBLICATION), max(high for _, high, *_ in R.PUBLICATION))
+
+
+def publication_points(m: Column) -> Column:
+    """Points for an issue so many months after the first that may print a year's figures."""
     return F.coalesce(*(F.when(m.between(low, high), F.greatest(F.lit(least), top - F.floor((m - low0) / step))) for low, high, top, low0, step, least in R.PUBLICATION), F.lit(0)).cast("int")
 
 
-def cheap_score(f: str = "features") -> Column:
-    """SC3: headings, publication window and family keywords."""
-    h, q = lambda name: F.col(f"{f}.{name}"), F.col
-    families = total([F.when(q(f"is_{name}"), F.least(h("families")[i], F.lit(4)) * 6).otherwise(0) for i, name in enumerate(FAMILY_NAMES)])
-    return _heading_points(f) + publication() + families
+def publication() -> Column:
+    """Points for the months between the first issue that may print the last year's figures and a file's issue (fy, fm)."""
+    return publication_points(F.expr("(fy - last_year + CASE WHEN says_fiscal THEN 1 ELSE 0 END) * 12 + fm - CASE WHEN says_fiscal THEN 10 ELSE 1 END"))
 
 
 def file_score(f: str = "features", name: str = "file_name", content: str = "norm_text") -> Column:

@@ -23,7 +23,11 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
+
+
+def rstrip(text: Column) -> Column:
+    return F.rtrim(text, F.lit(" \t\n\r\f\x0b"))
 
 
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:

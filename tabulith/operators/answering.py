@@ -14,6 +14,7 @@ from tabulith.functions import lexicon as L
 from tabulith.functions import profile as P
 from tabulith.functions import text as T
 from tabulith.operators import evaluate as E
+from tabulith.operators import routing as N
 from tabulith.operators import tools as X
 from tabulith.operators import voting as V
 from tabulith.sources import corpus as S
@@ -119,11 +120,16 @@ def evaluate(answers: DataFrame, expected: DataFrame, group: str = "difficulty")
     return results, E.accuracy(results, group)
 
 
-def run_eval(spark: SparkSession, path: str, answer: Callable[[DataFrame], DataFrame], report: str, uids: list[str] | None = None, difficulty: str | None = None) -> DataFrame:
-    """Read questions (SRC8), answer them, match them (S29), write the results as JSON (SRC9) and return the accuracy (A5)."""
+def run_eval(spark: SparkSession, path: str, answer: Callable[[DataFrame], DataFrame], report: str, uids: list[str] | None = None, difficulty: str | None = None, sample: int | None = None, seed: str = "0") -> DataFrame:
+    """Read questions (SRC8), answer them, match them (S29), write the results as JSON (SRC9) and return the accuracy (A5).
+
+    Only the questions ``uids`` are taken, or else a ``sample`` of so many; of these, those of a ``difficulty``.
+    """
     rows = S.read_questions(spark, path)
     if uids:
         rows = rows.where(F.col("uid").isin(*uids))
+    elif sample:
+        rows = N.bottom_k(rows, "uid", sample, seed=seed)
     if difficulty:
         rows = rows.where(F.col("difficulty") == difficulty)
     results, accuracy = evaluate(answer(rows.select(F.col("uid").alias("q_id"), "question")), rows)

@@ -101,10 +101,10 @@ def fiscal_issues(asks: DataFrame, text: str = "question") -> DataFrame:
     return _listed(asks, F.flatten(months), 4, False)
 
 
-def following_issues(asks: DataFrame, text: str = "question", last: int = 2026) -> DataFrame:
-    """All issues of each year and of the years after it, as many as the families ask for, before the year ``last``."""
+def following_issues(asks: DataFrame, text: str = "question", last: int = 2026, years: int = 6) -> DataFrame:
+    """All issues of each year and of the years after it, ``years`` or as many as the families ask for, before the year ``last``."""
     low = F.lower(F.col(text))
-    rows = asks.withColumns({"_years": _years(low), "base": F.expr(R.FOLLOWING_BASE)}).withColumn("earliest", F.array_min("_years"))
+    rows = asks.withColumns({"_years": _years(low), "base": F.expr(R.following_base(years))}).withColumn("earliest", F.array_min("_years"))
     rows = rows.withColumn("_n", F.expr(R.FOLLOWING))
     rows = rows.withColumn("_n", F.when(F.col("expects_regression") | F.col("expects_list") | F.col("expects_series_math"), F.greatest(F.col("_n"), F.lit(10))).otherwise(F.col("_n")))
     every = F.array_sort(F.array_distinct(F.concat("_years", _fiscal_years(low))))
@@ -112,12 +112,12 @@ def following_issues(asks: DataFrame, text: str = "question", last: int = 2026)
     return _listed(rows, F.flatten(F.transform(F.filter(every, lambda y: y < last), months)), 5, False)
 
 
-def dated_candidates(asks: DataFrame, issues: DataFrame, text: str = "question") -> DataFrame:
+def dated_candidates(asks: DataFrame, issues: DataFrame, text: str = "question", years: int = 6) -> DataFrame:
     """(q_id, pub_date, source_rank, pos, pinned): the issues that exist of all dates that a question points to, each with its first source.
 
     An issue is pinned if any of the first three sources names it.
     """
-    rows = reduce(DataFrame.union, [f(asks, text=text) for f in (references, mentions, anchor_issues, fiscal_issues, following_issues)])
+    rows = reduce(DataFrame.union, [*(f(asks, text=text) for f in (references, mentions, anchor_issues, fiscal_issues)), following_issues(asks, text, years=years)])
     rows = rows.join(issues.select("pub_date").distinct(), "pub_date", "left_semi")
     first = rows.groupBy("q_id", "pub_date").agg(F.min(F.struct("source_rank", "pos")).alias("_f"), F.max("pinned").alias("pinned"))
     return first.select("q_id", "pub_date", "_f.source_rank", "_f.pos", "pinned")

@@ -1,7 +1,7 @@
 """Scores of tables and files for batches of questions, and two-stage ranking with them.
 
-A set of questions meets all files in the cheap stage only, whose texts are headings; sections, tables and whole texts meet the questions that
-the cheap stage has put them before.  Questions are not hinted to be broadcast: Spark does so by their size, or else deals blocks of both sides.
+In the cheap stage a question meets the files that postings of their headings lead to; sections, tables and whole texts meet the questions that
+the cheap stage has put them before.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions import scoring as S
 from tabulith.functions import text as T
+from tabulith.operators import postings as N
 from tabulith.operators import ranking as R
 from tabulith.operators import tables as B
 from tabulith.sources.scratch import stash
@@ -42,11 +43,44 @@ def files(docs: DataFrame, tables: DataFrame, key: str = "doc_id", text: str = "
     return rows.select(key, "file_name", F.year("pub_date").alias("fy"), F.month("pub_date").alias("fm"), "pub_date", features.alias("features"))
 
 
+def heading_postings(asks: DataFrame, files_: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, feature, n) of what SC3 reads of a file: the questions' keywords in its headings, dimension terms, families and its month."""
+    phrases = asks.select(F.explode("keywords").alias("phrase")).where("phrase <> ''").distinct()
+    hits = N.phrase_hits(files_.select(key, F.col("features.heading").alias("_text")), phrases, "_text", "_hits").select(key, F.explode("_hits").alias("_h"))
+    words = hits.select(key, F.concat(F.lit("k:"), "_h.phrase").alias("feature"), F.col("_h.n").alias("n"))
+    terms = files_.select(key, F.explode("features.terms").alias("_t")).select(key, F.concat(F.lit("t:"), "_t").alias("feature"), F.lit(1).alias("n"))
+    families = files_.select(key, F.posexplode("features.families").alias("_i", "n")).where("n > 0").select(key, F.concat(F.lit("f:"), "_i").alias("feature"), F.col("n").cast("int").alias("n"))
+    months = files_.where("fy is not null and fm is not null").select(key, F.concat(F.lit("m:"), F.col("fy") * 12 + F.col("fm")).alias("feature"), F.lit(1).alias("n"))
+    return words.union(terms).union(families).union(months)
+
+
+def heading_askings(asks: DataFrame) -> DataFrame:
+    """(q_id, feature, kind, cap, weight): what each question gives for the postings of a file's headings."""
+    row = lambda feature, kind, cap, weight: ("q_id", feature.alias("feature"), F.lit(kind).alias("kind"), F.lit(cap).alias("cap"), weight.cast("int").alias("weight"))
+    word = F.col("_w")
+    words = asks.select("q_id", F.explode("keywords").alias("_w")).select(*row(F.concat(F.lit("k:"), word), 0, 3, F.when(word.contains(" "), 8).otherwise(3)))
+    terms = asks.select("q_id", F.explode(F.array_distinct("terms")).alias("_w")).select(*row(F.concat(F.lit("t:"), word), 1, 5, F.lit(8)))
+    numbers = F.array_compact(F.array(*(F.when(F.col(f"is_{f}"), i) for i, f in enumerate(S.FAMILY_NAMES))))
+    families = asks.select("q_id", F.explode(numbers).alias("_w")).select(*row(F.concat(F.lit("f:"), word), 0, 4, F.lit(6)))
+    # the months of issues for which a question's last year counts, instead of every question against every month
+    low, high = S.PUBLICATION_SPAN
+    first = F.col("last_year") * 12 + F.when(F.col("says_fiscal"), -2).otherwise(1)
+    months = asks.where("last_year is not null").select("q_id", first.alias("_first"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("_m"))
+    months = months.select(*row(F.concat(F.lit("m:"), F.col("_first") + F.col("_m")), 0, 1, S.publication_points(F.col("_m")))).where("weight > 0")
+    return words.union(terms).union(families).union(months)
+
+
 def cheap_scores(asks: DataFrame, files_: DataFrame, key: str = "doc_id") -> DataFrame:
-    """SC3 of every file for every question of the set: (q_id, key, file_name, score)."""
-    thin = files_.select(key, "file_name", "fy", "fm", F.struct("features.heading", "features.families", "features.terms").alias("features"))
-    both = thin.crossJoin(asks.select("q_id", "keywords", "terms", "last_year", "says_fiscal", *(f"is_{f}" for f in S.FAMILY_NAMES)))
-    return both.select("q_id", key, "file_name", S.cheap_score().alias("score"))
+    """SC3 of the files that a question has anything in common with: (q_id, key, file_name, score); it is 0 for all others."""
+    found = N.scores(heading_postings(asks, files_, key), heading_askings(asks), key).where("score > 0")
+    return found.join(files_.select(key, "file_name"), key).select("q_id", key, "file_name", "score")
+
+
+def cheap_best(asks: DataFrame, files_: DataFrame, first: int = 30, key: str = "doc_id") -> DataFrame:
+    """The ``first`` files of each question by SC3, then name: (q_id, key, file_name, score, rank)."""
+    month = F.col("fy") * 12 + F.col("fm")
+    names = files_.select(key, "file_name").join(N.blocks(files_, key, month), key)
+    return N.block_max_topk(heading_postings(asks, files_, key), stash(heading_askings(asks), "askings"), asks, names, key, "file_name", first)
 
 
 def full_scores(pairs: DataFrame, asks: DataFrame, docs: DataFrame, files_: DataFrame, tables: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,8 +106,7 @@ def two_stage(asks: DataFrame, docs: DataFrame, files_: DataFrame, tables: DataF
 
     The pairs of the first stage, ``first`` a question, are kept, as the second reads them several times.
     """
-    cheap = R.top_k(cheap_scores(asks, files_, key), "q_id", first, F.desc("score"), F.col("file_name")).select("q_id", key)
-    cheap = stash(cheap, "pairs")
+    cheap = stash(cheap_best(asks, files_, first, key).select("q_id", key), "pairs")
     full = full_scores(cheap, asks, docs, files_, tables, key, text)
     if isinstance(keep, int):
         return R.top_k(full, "q_id", keep, F.desc("score"), F.col("file_name"))

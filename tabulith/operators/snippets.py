@@ -1,91 +1,148 @@
-"""Windows of lines around signals, their scores, and the best of them merged and packed into a budget."""
+"""Windows of lines around signals, scored by prefix sums of line features, and the best of them merged and packed into a budget."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tabulith.functions import lexicon as L
 from tabulith.functions import text as T
 from tabulith.operators import ranking as R
 
+#: Lines on each side of an anchor: for questions that need a whole column of figures, for sums, for others.
+RADII = (18, 14, 10)
+#: Lines of a text whose features are held at once.
+CHUNK = 4096
+#: Bits of a line: not blank, a row of a table, an anchor, totals, a month; then one for each cue of the lexicon.
+FILLED, TABLE, ANCHOR, TOTALS, MONTH, CUE = 1, 2, 4, 8, 16, 32
+#: Bits of a question: what besides the cues it asks for; the cues' bits are those of lines.
+REGRESSION, LIST = 1, 2
+
 
 def radius(flags: Column) -> Column:
-    """Lines on each side of an anchor: more for questions that need a whole column of figures."""
+    """Lines on each side of an anchor."""
     wide = F.arrays_overlap(flags, T.strings(["expects_list", "expects_regression", "expects_series_math"]))
-    return F.when(wide, 18).when(F.array_contains(flags, "expects_sum"), 14).otherwise(10)
-
-
-def windows(pairs: DataFrame, text: str = "text") -> DataFrame:
-    """One row for each line with a table or heading signal: ``first`` and ``last`` (exclusive) line and the window's lines that are not blank.
-
-    ``pairs`` holds text and the array ``flags``; its other columns stay.  A null text has no windows.
+    return F.when(wide, RADII[0]).when(F.array_contains(flags, "expects_sum"), RADII[1]).otherwise(RADII[2])
+
+
+def _line_features(line: Column) -> Column:
+    """Of a line: its normalised text, bits without cues, heading signal, and counts of years and of numbers."""
+    low, table, heading = T.normalize(line), T.table_signal(line), T.heading_signal(line)
+    bits = F.when(table >= 2, TABLE).otherwise(0) + F.when(table + heading > 0, ANCHOR).otherwise(0)
+    return F.struct(low.alias("low"), bits.alias("bits"), heading.alias("heading"))
+
+
+def _more_features(x: Column) -> Column:
+    low = x["low"]
+    bit = lambda pattern, value: F.when(low.rlike(pattern), value).otherwise(0)
+    bits = x["bits"] + FILLED + bit(L.WINDOW_TOTALS, TOTALS) + bit(L.MONTH_WORD, MONTH)
+    for i, (_, pattern, _) in enumerate(L.WINDOW_CUES):
+        bits += bit(pattern, CUE << i)
+    count = lambda pattern: F.regexp_count(low, F.lit(pattern))
+    blank = F.struct(F.lit(0).alias("bits"), F.lit(0).alias("heading"), F.lit(0).alias("years"), F.lit(0).alias("numbers"))
+    return F.when(low == "", blank).otherwise(F.struct(bits.alias("bits"), x["heading"].alias("heading"), count(r"\b(?:19|20)[0-9]{2}\b").alias("years"), count(r"-?[0-9][0-9,]*\.?[0-9]*").alias("numbers")))
+
+
+def _hits(low: Column, keywords: Column, years: Column) -> Column:
+    """How often a line has each keyword, then whether it has each year outside longer numbers."""
+    found = T.find_all(low, "[0-9]+")
+    return F.concat(F.transform(keywords, lambda k: T.occurrences(low, k)), F.transform(years, lambda y: F.array_contains(found, y.cast("string")).cast("int")))
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums along the first axis, with a row of zeros before."""
+    return np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0, dtype=np.int64)])
+
+
+def _score(bits: np.ndarray, heading: np.ndarray, years: np.ndarray, numbers: np.ndarray, hits: np.ndarray, weights: np.ndarray, radius: int, asked: int, skip: int, own: int, offset: int) -> list[dict]:
+    """The windows of a piece's own lines with a positive score.  Each is a difference of prefix sums: its cost is the number of features, not its text."""
+    at = np.flatnonzero(bits[skip : skip + own] & ANCHOR) + skip
+    if not len(at):
+        return []
+    n = len(bits)
+    first, last = np.maximum(at - radius, 0), np.minimum(at + radius + 1, n)
+    within = lambda values: (s := _sums(values))[last] - s[first]
+    any_of = lambda bit: within((bits & bit) > 0) > 0
+    # a keyword weighs 3 or 10 and counts four times at most, a year weighs 0 here, 10 in all, and counts once
+    caps, points = np.where(weights == 0, 1, 4), np.where(weights == 0, 10, weights)
+    score = np.minimum(within(hits.reshape(n, len(weights))), caps) @ points if len(weights) else np.zeros(len(at), np.int64)
+    score = score + np.minimum(within((bits & TABLE) > 0), 12)
+    filled = (bits & FILLED) > 0
+    rank, heads = _sums(filled), _sums(heading[filled])
+    score += heads[np.minimum(rank[first] + 4, rank[last])] - heads[rank[first]]
+    for i, (_, _, gain) in enumerate(L.WINDOW_CUES):
+        if asked & CUE << i:
+            score += gain * any_of(CUE << i)
+    if asked & TOTALS:
+        score += 12 * any_of(TOTALS)
+    if asked & REGRESSION:
+        score += 14 * (within(years) >= 4)
+    if asked & LIST:
+        score += 10 * (within(numbers) >= 6)
+    if asked & MONTH:
+        score += 6 * any_of(MONTH)
+    move = offset - skip
+    return [{"first": a + move, "last": b + move, "score": s} for a, b, s in zip(first.tolist(), last.tolist(), score.tolist(), strict=True) if s > 0]
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in ("first", "last", "score")])))
+def _window_scores(bits: pd.Series, heading: pd.Series, years: pd.Series, numbers: pd.Series, hits: pd.Series, weights: pd.Series, radius: pd.Series, asked: pd.Series, skip: pd.Series, own: pd.Series, offset: pd.Series) -> pd.Series:
+    arrays = [[np.asarray(x, np.int64) for x in c] for c in (bits, heading, years, numbers, hits, weights)]
+    return pd.Series([_score(*a) for a in zip(*arrays, radius, asked, skip, own, offset, strict=True)])
+
+
+def scored_windows(pairs: DataFrame, q_key: str = "q_id", d_key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """(question, document, first, last, score): the window of each line with a table or heading signal, ``last`` exclusive, if its score is positive.
+
+    ``pairs`` holds text, keywords, years and flags.  A window scores for capped keyword hits, years, table lines, headings at its top, and cues
+    that the flags ask for.  Features are computed once a line; a long text is taken in pieces that overlap by the radius.  A null text has no windows.
     """
-    line = lambda x: F.regexp_replace(x, r"\s+$", "")
-    about = lambda x: F.struct(T.normalize(x).alias("low"), T.table_signal(x).alias("table"), T.heading_signal(x).alias("heading"))
-    rows = pairs.withColumn("_lines", F.transform(T.lines(F.col(text)), lambda x: about(line(x)))).withColumn("_radius", radius(F.col("flags")))
-    n = F.size("_lines")
-    marked = F.transform("_lines", lambda x, i: F.when((x["low"] != "") & (x["table"] + x["heading"] > 0), i))
-
-    def window(i: Column) -> Column:
-        first, last = F.greatest(F.lit(0), i - F.col("_radius")), F.least(n, i + F.col("_radius") + 1)
-        held = F.filter(F.slice("_lines", first + 1, last - first), lambda x: x["low"] != "")
-        return F.struct(first.alias("first"), last.alias("last"), held.alias("window"))
-
-    out = rows.withColumn("_w", F.explode(F.transform(F.filter(marked, lambda i: i.isNotNull()), window)))
-    return out.select(*(c for c in pairs.columns if c != text), "_w.*")
-
-
-def window_score(window: str = "window", keywords: str = "keywords", years: str = "years", flags: str = "flags") -> Column:
-    """Capped keyword hits, years, table lines, headings at the top, and cues that the question's flags ask for."""
-    body = F.array_join(F.transform(window, lambda x: x["low"]), "\n")
-    hits = lambda k: F.least(T.occurrences(body, T.normalize(k)), F.lit(4)) * F.when(T.normalize(k).contains(" "), 10).otherwise(3)
-    year = lambda y: F.when(F.rlike(body, F.concat(F.lit("(?<![0-9])"), y.cast("string"), F.lit("(?![0-9])"))), 10).otherwise(0)
-    score = F.aggregate(keywords, F.lit(0), lambda s, k: s + hits(k)) + F.aggregate(years, F.lit(0), lambda s, y: s + year(y))
-    score += F.least(F.size(F.filter(window, lambda x: x["table"] >= 2)), F.lit(12))
-    score += F.aggregate(F.slice(window, 1, 4), F.lit(0), lambda s, x: s + x["heading"])
-    asks = lambda *names: F.arrays_overlap(F.col(flags), T.strings(names))
-    gain = lambda when, points: F.when(when, points).otherwise(0)
-    for flag, pattern, points in L.WINDOW_CUES:
-        score += gain(asks(flag) & body.rlike(pattern), points)
-    score += gain(asks("expects_sum", "expects_difference") & body.rlike(L.WINDOW_TOTALS), 12)
-    score += gain(asks("expects_regression") & (F.regexp_count(body, F.lit(r"\b(?:19|20)[0-9]{2}\b")) >= 4), 14)
-    score += gain(asks("expects_list") & (F.regexp_count(body, F.lit(r"-?[0-9][0-9,]*\.?[0-9]*")) >= 6), 10)
-    return score + gain(asks("expects_date") & body.rlike(L.MONTH_WORD), 6)
-
-
-def merge_windows(found: Column, most: int = 4) -> Column:
-    """Fold structs (score, first, last), best first, into at most ``most`` intervals.
-
-    A window that begins at or before the end of the interval made last extends that one; others begin a new interval.  It looks at no
-    other interval, so the result depends on the order and is no union of intervals.
+    asks = lambda names, bit: F.when(F.arrays_overlap(F.col("flags"), T.strings(names)), bit).otherwise(0)
+    asked = asks(["expects_sum", "expects_difference"], TOTALS) + asks(["expects_date"], MONTH) + asks(["expects_regression"], REGRESSION) + asks(["expects_list"], LIST)
+    for i, (flag, _, _) in enumerate(L.WINDOW_CUES):
+        asked += asks([flag], CUE << i)
+    words = F.transform("keywords", T.normalize)
+    weights = F.concat(F.transform(words, lambda k: F.when(k.contains(" "), 10).otherwise(3)), F.transform("years", lambda _: F.lit(0)))
+    rows = pairs.select(q_key, d_key, words.alias("_words"), "years", weights.alias("_weights"), radius(F.col("flags")).alias("_radius"), asked.alias("_asked"), T.lines(F.col(text)).alias("_all")).where("_all is not null")
+    rows = rows.withColumn("_offset", F.explode(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / chunk).cast("int")))).withColumn("_offset", F.col("_offset") * chunk)
+    skip = F.least(F.lit(RADII[0]), F.col("_offset"))
+    rows = rows.withColumns({"_skip": skip, "_own": F.least(F.lit(chunk), F.size("_all") - F.col("_offset")), "_lines": F.slice("_all", F.col("_offset") - skip + 1, skip + chunk + RADII[0])}).drop("_all")
+    rows = rows.withColumn("_a", F.transform("_lines", lambda x: _line_features(T.rstrip(x)))).drop("_lines")
+    rows = rows.withColumns({"_b": F.transform("_a", _more_features), "_hits": F.flatten(F.transform("_a", lambda a: _hits(a["low"], F.col("_words"), F.col("years"))))})
+    found = _window_scores("_b.bits", "_b.heading", "_b.years", "_b.numbers", "_hits", "_weights", "_radius", "_asked", "_skip", "_own", "_offset")
+    return rows.select(q_key, d_key, F.explode(found).alias("_w")).select(q_key, d_key, "_w.*")
+
+
+def merge_windows(found: DataFrame, *keys: str, most: int = 4) -> DataFrame:
+    """(keys, place, first, last): the windows (keys, first, last, score) of a pair, best first, merged into at most ``most`` intervals.
+
+    A window that begins at or before the end of the interval made last extends that one; others begin a new interval, and the ``most``-th
+    ends the merging.  As a new interval begins beyond the end of the last, that end is the greatest so far: a running maximum, no fold.
     """
-    ordered = F.array_sort(F.transform(found, lambda w: F.struct((-w["score"]).alias("s"), w["first"].alias("first"), w["last"].alias("last"))))
-    pair = lambda first, last: F.array(F.struct(first.alias("first"), last.alias("last")))
-
-    def add(done: Column, w: Column) -> Column:
-        n = F.size(done)
-        end = F.get(done, n - 1)
-        longer = F.concat(F.slice(done, 1, F.greatest(n - 1, F.lit(0))), pair(end["first"], F.greatest(end["last"], w["last"])))
-        return F.when(n >= most, done).when((n == 0) | (w["first"] > end["last"]), F.concat(done, pair(w["first"], w["last"]))).otherwise(longer)
-
-    return F.aggregate(ordered, F.array().cast("array<struct<first:int,last:int>>"), add)
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "first", "last")
+    end = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = found.withColumn("_new", F.col("first") > F.coalesce(end, F.lit(-1)))
+    rows = rows.withColumn("_no", F.sum(F.col("_new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.where((F.col("_no") < most) | ((F.col("_no") == most) & F.col("_new")))
+    merged = rows.groupBy(*keys, "_no").agg(F.max(F.when(F.col("_new"), F.col("first"))).alias("first"), F.max("last").alias("last"))
+    return merged.select(*keys, (F.col("_no") - 1).cast("int").alias("place"), "first", "last")
 
 
 def window_snippets(pairs: DataFrame, budget: int | Column = 12000, q_key: str = "q_id", d_key: str = "doc_id", text: str = "text") -> DataFrame:
     """(question, document, place, first_line, end_line, snippet) of the merged windows that fit the budget; the first is cut to it.
 
-    ``pairs`` has one row for each question and document with keywords, years and flags.  A group holds the windows of one document for one question.
-    The budget may be a column of ``pairs``.
+    ``pairs`` has one row for each question and document with keywords, years and flags.  The budget may be a column of ``pairs``.
     """
     room = F.lit(budget) if isinstance(budget, int) else budget
     pairs = pairs.withColumn("_room", room)
-    scored = windows(pairs.select(q_key, d_key, text, "keywords", "years", "flags"), text).withColumn("score", window_score()).where("score > 0")
-    merged = scored.groupBy(q_key, d_key).agg(merge_windows(F.collect_list(F.struct("score", "first", "last"))).alias("_m"))
-    at = merged.select(q_key, d_key, F.posexplode("_m").alias("place", "_w"))
+    at = merge_windows(scored_windows(pairs, q_key, d_key, text), q_key, d_key)
     both = at.join(pairs.select(q_key, d_key, text, "_room"), [q_key, d_key])
-    lines = F.transform(F.slice(T.lines(F.col(text)), F.col("_w.first") + 1, F.col("_w.last") - F.col("_w.first")), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    cut = both.select(q_key, d_key, "_room", "place", F.col("_w.first").alias("first_line"), F.col("_w.last").alias("end_line"), T.strip(F.array_join(lines, "\n")).alias("snippet"))
+    lines = F.transform(F.slice(T.lines(F.col(text)), F.col("first") + 1, F.col("last") - F.col("first")), T.rstrip)
+    cut = both.select(q_key, d_key, "_room", "place", F.col("first").alias("first_line"), F.col("last").alias("end_line"), T.strip(F.array_join(lines, "\n")).alias("snippet"))
     keyed = cut.where("snippet <> ''").withColumn("_pair", F.struct(q_key, d_key))
     kept = R.pack(keyed, "_pair", "place", F.length("snippet"), F.col("_room"))
     return kept.withColumn("snippet", F.left("snippet", F.col("_room"))).drop("_pair", "_room")

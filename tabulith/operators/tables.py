@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tabulith.functions import lexicon as L
 from tabulith.functions import text as T
+from tabulith.sources.scratch import spread
 
 
 def explode_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -68,47 +72,142 @@ def block_titles(blocks: DataFrame, docs: DataFrame, key: str = "doc_id", text:
     return out.withColumns({"table_code": code, "is_contents": T.normalize(F.col("full_title")).contains("contents")})
 
 
-def _section_starts(lines: Column, most: int) -> Column:
-    """Numbers of the lines that begin a section: a fold over a document's lines, whose running count no window can restart."""
-    flags = F.transform(
-        lines,
-        lambda x, i: F.struct(
-            i.alias("i"),
-            (T.strip(x) != "").alias("filled"),
-            F.when(
-                i > 0,
-                ((F.regexp_count(x, F.lit(r"\|")) >= 3) & ~F.get(lines, i - 1).contains("|"))
-                | (T.heading_signal(x) >= 2)
-                | ((T.table_signal(T.strip(x)) >= 3) & (T.table_signal(F.get(lines, i - 1)) == 0)),
-            ).alias("cut"),
-        ),
-    )
-    state = lambda starts, n: F.struct(starts.alias("starts"), n.cast("int").alias("n"))
+#: What the section rule asks of a line, as bits: it is not blank, has three bars or more, has one at all, looks like a heading, like a row of a table, or has no table signal.
+FILLED, OPENS, BARRED, HEADING, ROW, QUIET = 1, 2, 4, 8, 16, 32
+#: A text of at most so many characters is cut in one piece; a longer one in chunks of so many lines, which tasks share.
+WHOLE, CHUNK = 1 << 20, 4096
+
+
+def line_codes(lines: Column) -> Column:
+    """The bits of each line, its signals computed once."""
+    gaps = lambda x: x.rlike(r"[ \t\n\r\f]{2,}|\t")
+
+    def code(bare: Column, x: Column) -> Column:
+        bars = F.length(x) - F.length(F.replace(x, F.lit("|")))
+        signal = T.table_signal(bare)
+        bit = lambda test, value: F.when(test, value).otherwise(0)
+        # a stripped line lacks no signal of the line's but that of blanks at its start
+        quiet = F.when(gaps(x), 0).otherwise(F.when(signal == 0, QUIET).otherwise(0))
+        return bit(bare != "", FILLED) + F.when(bars >= 3, OPENS + BARRED).when(bars >= 1, BARRED).otherwise(0) + bit(T.heading_signal(bare) >= 2, HEADING) + bit(signal >= 3, ROW) + quiet
+
+    return F.zip_with(F.transform(lines, T.strip), lines, code)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        begins = x["filled"] & ((acc["n"] == 0) | x["cut"] | (acc["n"] >= most))
-        return F.when(begins, state(F.concat(acc["starts"], F.array(x["i"])), F.lit(1))).when((acc["n"] == 0) & ~x["filled"], acc).otherwise(state(acc["starts"], acc["n"] + 1))
+def _begins(codes: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are not blank, and which of these begin a section whatever its length; ``before`` is the code of the line before the first, -1 if none."""
+    last = np.concatenate([[before], codes[:-1]])
+    filled = codes & FILLED > 0
+    opens = (codes & OPENS > 0) & (last & BARRED == 0)
+    row = (codes & ROW > 0) & (last & QUIET > 0)
+    return filled, filled & (last >= 0) & (opens | (codes & HEADING > 0) | row)
 
-    return F.aggregate(flags, state(F.array().cast("array<int>"), F.lit(0)), step, lambda acc: acc["starts"])
 
+def _starts(codes: np.ndarray, before: int, state: int, most: int) -> tuple[list[int], int]:
+    """The lines that begin sections, and the count of lines after the last, from the count before the first: 0 before any section, at most ``most``."""
+    filled, hard = _begins(codes, before)
+    n = len(codes)
+    at = np.flatnonzero(filled)
+    cuts = np.flatnonzero(hard)
+    # the first filled line from each line on, and the first cut after it
+    following = np.append(at, n)[np.searchsorted(at, np.arange(n + 1))]
+    next_cut = np.append(cuts, n)
+    starts: list[int] = []
+    i = int(following[0]) if state == 0 else min(int(following[min(max(most - state, 0), n)]), int(next_cut[0]))
+    while i < n:
+        starts.append(i)
+        i = min(int(following[min(i + most, n)]), int(next_cut[np.searchsorted(cuts, i, "right")]))
+    if starts:
+        return starts, min(n - starts[-1], most)
+    return starts, min(state + n, most) if state else 0
 
-def section_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 120) -> DataFrame:
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _fold(codes: pd.Series, before: pd.Series, state: pd.Series, most: pd.Series) -> pd.Series:
+    """The starts of each piece, whose count of lines before it is known."""
+    return pd.Series([_starts(np.asarray(c, np.int64), b, s, m)[0] for c, b, s, m in zip(codes, before, state, most, strict=True)])
+
+
+@F.pandas_udf(StructType([StructField(c, ArrayType(IntegerType())) for c in ("after", "begun", "last")]))
+def _effect(codes: pd.Series, before: pd.Series, most: pd.Series) -> pd.DataFrame:
+    """A chunk as a function of the count of lines before it: for each of the counts 0 to ``most``, the count after, the sections begun and the last start.
+
+    Such functions compose, and composition is associative, so that chunks can be summed up apart.
+    """
+    rows = []
+    for c, b, m in zip(codes, before, most, strict=True):
+        made = [_starts(np.asarray(c, np.int64), b, s, m) for s in range(m + 1)]
+        rows.append(([n for _, n in made], [len(x) for x, _ in made], [x[-1] if x else -1 for x, _ in made]))
+    return pd.DataFrame(rows, columns=["after", "begun", "last"])
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in ("chunk", "state", "begun", "first_line")])))
+def _prefixes(chunks: pd.Series) -> pd.Series:
+    """The counts, the sections begun and the start of the open one before each chunk of a document, by composing the chunks' functions in order."""
+
+    def one(effects: np.ndarray) -> list[dict]:
+        out, state, begun, line = [], 0, 0, -1
+        for e in effects:
+            out.append({"chunk": e["chunk"], "state": state, "begun": begun, "first_line": line})
+            last = int(e["last"][state])
+            begun += int(e["begun"][state])
+            line = e["at"] + last if last >= 0 else line
+            state = int(e["after"][state])
+        return out
+
+    return pd.Series([one(x) for x in chunks])
+
+
+def _pieces(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Of rows with ``_lines``, ``_codes`` and ``_starts`` (lines in a piece that begin sections): each section's part of the piece, ``_no`` counting from -1 for lines before the first start."""
+    ends = F.concat("_starts", F.array(F.size("_lines")))
+    los = F.concat(F.array(F.lit(0)), F.col("_starts"))
+    out = rows.select(*keep, "_lines", "_codes", F.posexplode(F.arrays_zip(los.alias("lo"), ends.alias("hi"))).alias("_no", "_p")).where("_p.lo < _p.hi")
+    part = lambda c: F.slice(c, F.col("_p.lo") + 1, F.col("_p.hi") - F.col("_p.lo"))
+    count = F.size(F.filter(part("_codes"), lambda c: c.bitwiseAND(F.lit(FILLED)) != 0))
+    return out.select(*keep, (F.col("_no") - 1).alias("_no"), F.col("_p.lo").alias("_lo"), count.alias("n_lines"), part("_lines").alias("_part"))
+
+
+def section_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 120, whole: int = WHOLE, chunk: int = CHUNK) -> DataFrame:
     """Heading- and table-aware chunks of consecutive lines (key, section_no, first_line, n_lines, section).
 
     A line that is not blank begins a section if it opens a bar table, looks like a heading, follows prose as a table line, or if the
-    section has ``most`` lines.  Blank lines inside count; ``n_lines`` counts the others.  No rows meet, so nothing is shuffled.
+    section has ``most`` lines.  Blank lines inside count; ``n_lines`` counts the others.  A null text has no sections.
+
+    A text of at most ``whole`` characters is cut where it is read, without a shuffle.  A longer one is dealt out in chunks of lines: each chunk
+    is summed up as a function of the count of lines before it, a document's functions are composed in order, and then each chunk is cut
+    by itself, so that no task holds a long document's lines.  Documents with the same key must not both be longer than ``whole``.
     """
-    rows = docs.select(key, F.transform(T.lines(F.col(text)), lambda x: F.regexp_replace(x, r"\s+$", "")).alias("_lines"))
-    rows = rows.withColumn("_starts", _section_starts(F.col("_lines"), most))
-    ends = F.concat(F.slice("_starts", 2, F.size("_starts")), F.array(F.size("_lines")))
-    pieces = rows.select(key, "_lines", F.posexplode(F.arrays_zip(F.col("_starts").alias("lo"), ends.alias("hi"))).alias("section_no", "_p")).where("_p.lo is not null")
-    body = F.slice("_lines", F.col("_p.lo") + 1, F.col("_p.hi") - F.col("_p.lo"))
-    return pieces.select(key, "section_no", F.col("_p.lo").alias("first_line"), F.size(F.filter(body, lambda x: T.strip(x) != "")).alias("n_lines"), T.strip(F.array_join(body, "\n")).alias("section"))
+    trimmed = T.rstrip
+    given = docs.select(key, text)
+    short = spread(given.where(F.length(text) <= whole)).select(key, F.transform(T.lines(F.col(text)), trimmed).alias("_lines"))
+    short = short.withColumn("_codes", line_codes(F.col("_lines")))
+    short = short.withColumn("_starts", _fold("_codes", F.lit(-1), F.lit(0), F.lit(most)))
+    joined = lambda part: T.strip(F.array_join(part, "\n"))
+    small = _pieces(short, [key]).where("_no >= 0").select(key, F.col("_no").cast("int").alias("section_no"), F.col("_lo").alias("first_line"), "n_lines", joined("_part").alias("section"))
+
+    long = given.where(F.length(text) > whole).withColumn("_all", T.lines(F.col(text)))
+    cut = long.select(key, "_all", F.explode(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / chunk).cast("int"))).alias("chunk"))
+    # the last line of the chunk before comes along, as a line's rule looks at the one before it
+    at = F.greatest(F.col("chunk") * chunk - 1, F.lit(0))
+    cut = cut.select(key, "chunk", F.slice("_all", at + 1, F.lit(chunk) + F.least(F.col("chunk"), F.lit(1))).alias("_with")).repartition(key, "chunk")
+    coded = cut.withColumn("_with", F.transform("_with", trimmed)).withColumn("_all_codes", line_codes(F.col("_with")))
+    own = lambda c: F.when(F.col("chunk") == 0, F.col(c)).otherwise(F.slice(c, F.lit(2), F.lit(chunk)))
+    before = F.when(F.col("chunk") == 0, -1).otherwise(F.get("_all_codes", F.lit(0)))
+    chunks = coded.select(key, "chunk", own("_with").alias("_lines"), own("_all_codes").alias("_codes"), before.alias("_before"))
+    effects = chunks.select(key, "chunk", _effect("_codes", "_before", F.lit(most)).alias("e"))
+    listed = effects.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk", (F.col("chunk") * chunk).alias("at"), "e.after", "e.begun", "e.last"))).alias("_e"))
+    states = listed.select(key, F.explode(_prefixes("_e")).alias("_s")).select(key, F.col("_s.chunk").alias("chunk"), F.col("_s.state").alias("_state"), F.col("_s.begun").alias("_begun"), F.col("_s.first_line").alias("_open"))
+    folded = chunks.join(states, [key, "chunk"]).withColumn("_starts", _fold("_codes", "_before", "_state", F.lit(most)))
+    parts = _pieces(folded, [key, "chunk", "_begun", "_open"]).where("_no >= 0 or _begun > 0")
+    parts = parts.select(key, "chunk", (F.col("_begun") + F.col("_no")).cast("int").alias("section_no"), F.when(F.col("_no") < 0, F.col("_open")).otherwise(F.col("chunk") * chunk + F.col("_lo")).alias("first_line"), "n_lines", F.array_join("_part", "\n").alias("_part"))
+    sewn = parts.groupBy(key, "section_no", "first_line").agg(F.sum("n_lines").cast("int").alias("n_lines"), F.array_sort(F.collect_list(F.struct("chunk", "_part"))).alias("_p"))
+    big = sewn.select(key, "section_no", "first_line", "n_lines", joined(F.transform("_p", lambda p: p["_part"])).alias("section"))
+    return small.union(big)
 
 
-def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 120) -> DataFrame:
+def sections(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 120, whole: int = WHOLE, chunk: int = CHUNK) -> DataFrame:
     """``section_texts`` without the texts."""
-    return section_texts(docs, key, text, most).drop("section")
+    return section_texts(docs, key, text, most, whole, chunk).drop("section")
 
 
 def narrowed(body: Column, years: Column, months: Column, terms: Column, whole: Column, most: int = 40) -> Column:

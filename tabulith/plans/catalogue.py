@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,7 +15,7 @@ from tabulith.functions import text as T
 from tabulith.operators import candidates as C
 from tabulith.operators import evaluate as E
 from tabulith.operators import ranking as R
-from tabulith.operators import snippets
+from tabulith.operators import routing as W
 from tabulith.operators import tables as B
 from tabulith.operators import tools as X
 from tabulith.operators import voting as V
@@ -46,24 +46,67 @@ def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return inline(spark, I.QUESTIONS, "q_id string, question string")
-
-
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
 
 
-Q = I.sql_values(I.QUESTIONS, "q_id, question")
-N = I.sql_values(I.ANSWERS, "a_id, question, answer")
+def filled_shape(shapes: Column, cells: dict[str, Column]) -> Column:
+    """A shape with its cells put in."""
+    for name, value in cells.items():
+        shapes = F.replace(shapes, F.lit("{" + name + "}"), value.cast("string"))
+    return shapes
 
 
-def sql_any(text: str, phrases: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({text}, '" + p.replace("'", "''") + "')" for p in phrases) + ")"
+def filled_shape_sql(shape: str, cells: dict[str, str]) -> str:
+    for name, value in cells.items():
+        shape = f"replace({shape}, '{{{name}}}', ({value})::VARCHAR)"
+    return shape
 
 
 def sql_list(values: list[str]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+    return "[" + ", ".join("'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values) + "]"
+
+
+def pick(values: list[str], at: Column) -> Column:
+    return F.get(T.strings(values), at.cast("int"))
+
+
+QUESTION_SHAPES = [q for _, q in I.QUESTIONS] + I.SHAPES
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q_id, question): a question for each row of the benchmark: a shape, its subject, month and years chosen by the item's id, and the item's text."""
+    n = F.col("item_id")
+    year = lambda first: (F.lit(first) + n * 7 % 50)
+    cells = {"s": pick(I.SUBJECTS, n * 3 % len(I.SUBJECTS)), "m": pick(I.ASKED_MONTHS, n % len(I.ASKED_MONTHS)), "y": year(1940), "y1": year(1941), "z": year(1943), "n": F.lpad(n.cast("string"), 4, "0")}
+    shape = filled_shape(pick(QUESTION_SHAPES, n % len(QUESTION_SHAPES)), cells)
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("q"), n.cast("string")).alias("q_id"), F.concat_ws(" ", shape, "text").alias("question"))
+
+
+_SQL_CELLS = {"s": f"{sql_list(I.SUBJECTS)}[item_id * 3 % {len(I.SUBJECTS)} + 1]", "m": f"{sql_list(I.ASKED_MONTHS)}[item_id % {len(I.ASKED_MONTHS)} + 1]"} | {c: f"{first} + item_id * 7 % 50" for c, first in (("y", 1940), ("y1", 1941), ("z", 1943))} | {"n": "lpad(item_id::VARCHAR, 4, '0')"}
+Q = f"(SELECT 'q' || item_id AS q_id, concat_ws(' ', {filled_shape_sql(f'{sql_list(QUESTION_SHAPES)}[item_id % {len(QUESTION_SHAPES)} + 1]', _SQL_CELLS)}, text) AS question FROM benchmark) AS t"
+
+#: Pairs of a question and an answer, then shapes of answers whose questions vary.
+_PAIRS, _CASES = len(I.ANSWERS), len(I.ANSWERS) + len(I.GIVEN)
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a_id, conv_id, turn, k, question, answer): an answer for each turn of the conversations: a shape chosen by the turn's number, with the turn's text in some."""
+    rows = table(spark, sf_dir, "conversations").withColumn("k", F.col("conv_id") * 8 + F.col("turn"))
+    i = F.col("k") % _CASES
+    question = F.coalesce(pick([q for _, q, _ in I.ANSWERS], i), pick(I.ASKED, F.floor(F.col("k") / _CASES) % len(I.ASKED)))
+    answer = filled_shape(pick([a for _, _, a in I.ANSWERS] + I.GIVEN, i), {"n": 11 + F.col("k") % 80, "t": F.coalesce("text", F.lit(""))})
+    return rows.select(F.concat_ws("-", "conv_id", "turn").alias("a_id"), "conv_id", "turn", "k", question.alias("question"), answer.alias("answer"))
+
+
+_K = "(conv_id * 8 + turn)"
+_ANSWER_SHAPE = f"{sql_list([a for _, _, a in I.ANSWERS] + I.GIVEN)}[{_K} % {_CASES} + 1]"
+N = f"""(SELECT conv_id || '-' || turn AS a_id, conv_id, turn, {_K} AS num, coalesce({sql_list([q for _, q, _ in I.ANSWERS])}[{_K} % {_CASES} + 1], {sql_list(I.ASKED)}[{_K} // {_CASES} % {len(I.ASKED)} + 1]) AS question,
+    {filled_shape_sql(_ANSWER_SHAPE, {"n": f"11 + {_K} % 80", "t": "coalesce(text, '')"})} AS answer FROM conversations) AS t"""
+
+
+def sql_any(text: str, phrases: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '" + p.replace("'", "''") + "')" for p in phrases) + ")"
 
 
 def sql_unique(values: str) -> str:
@@ -113,7 +156,6 @@ def line_explode(spark, sf_dir):
     rf"""WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) AS line FROM documents), s AS (SELECT doc_id,
     CASE WHEN regexp_matches(line, '[0-9]') THEN 1 ELSE 0 END + CASE WHEN len(regexp_extract_all(line, '{L.NUMBER}', 0)) >= 2 THEN 2 ELSE 0 END
     + CASE WHEN regexp_matches(lower(line), '(^|[^\p{{L}}\p{{N}}_])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*($|[^\p{{L}}\p{{N}}_])') THEN 1 ELSE 0 END
-    + CASE WHEN regexp_matches(lower(line), '(^|[^\p{{L}}\p{{N}}_])(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*($|[^\p{{L}}\p{{N}}_])') THEN 1 ELSE 0 END
     + CASE WHEN regexp_matches(line, '[%$¥£]') THEN 1 ELSE 0 END + CASE WHEN regexp_matches(line, '[ \t\n\r\f]{{2,}}|\t') THEN 1 ELSE 0 END AS sig FROM l)
     SELECT doc_id, sum(sig)::BIGINT AS table_signal, count(*) FILTER (WHERE sig >= 2) AS table_lines FROM s GROUP BY doc_id"""
 )
@@ -124,12 +166,6 @@ def line_signals(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.sum("s").cast("long").alias("table_signal"), F.count(F.when(F.col("s") >= 2, 1)).alias("table_lines"))
 
 
-@query(ORACLE_SQL["line_signals"])
-def line_signals_full(spark, sf_dir):
-    """The same; the name under which the signal with month words was first registered."""
-    return line_signals(spark, sf_dir)
-
-
 @query(
     r"""WITH l AS (SELECT doc_id, unnest(list_zip(range(len(a)), a)) AS z FROM (SELECT doc_id, regexp_split_to_array(text, '\r\n|\n|\r') AS a FROM documents)),
     r AS (SELECT doc_id, z[1] AS line_no, z[2] AS line FROM l WHERE len(regexp_extract_all(z[2], '\|', 0)) >= 2),
@@ -155,12 +191,12 @@ def number_tokens(spark, sf_dir):
 
 @query(f"SELECT q_id, array_to_string({sql_unique('p')}, '|') AS phrases FROM (SELECT q_id, list_transform(regexp_extract_all(question, '[''‘’]([^''‘’]{{3,}})[''‘’]|\"([^\"]{{3,}})\"', 0), lambda h: {sql_strip('lower(substr(h, 2, length(h) - 2))')}) AS p FROM {Q})")
 def quoted_phrases(spark, sf_dir):
-    return questions(spark).select("q_id", F.array_join(T.quoted_phrases(F.col("question")), "|").alias("phrases"))
+    return questions(spark, sf_dir).select("q_id", F.array_join(T.quoted_phrases(F.col("question")), "|").alias("phrases"))
 
 
 @query(f"SELECT q_id, array_to_string({sql_unique('c')}, '|') AS codes FROM (SELECT q_id, list_transform(regexp_extract_all(question, '[A-Z]{{1,6}}-[A-Z]?-?[0-9]+[A-Z]?', 0), lambda x: lower(x)) AS c FROM {Q})")
 def table_codes(spark, sf_dir):
-    return questions(spark).select("q_id", F.array_join(T.table_codes(F.col("question")), "|").alias("codes"))
+    return questions(spark, sf_dir).select("q_id", F.array_join(T.table_codes(F.col("question")), "|").alias("codes"))
 
 
 FOCUS_SQL = "[" + ", ".join(f"regexp_extract(lower(question), '{p}', 0)" for p in L.FOCUS) + "]"
@@ -168,7 +204,7 @@ FOCUS_SQL = "[" + ", ".join(f"regexp_extract(lower(question), '{p}', 0)" for p i
 
 @query(f"SELECT q_id, array_to_string({sql_unique('f')}, '|') AS phrases FROM (SELECT q_id, {FOCUS_SQL} AS f FROM {Q})")
 def focus_phrases(spark, sf_dir):
-    return questions(spark).select("q_id", F.array_join(T.focus_phrases(F.col("question")), "|").alias("phrases"))
+    return questions(spark, sf_dir).select("q_id", F.array_join(T.focus_phrases(F.col("question")), "|").alias("phrases"))
 
 
 def _keywords_sql() -> str:
@@ -189,7 +225,7 @@ def _keywords_sql() -> str:
 
 @query(_keywords_sql())
 def question_keywords(spark, sf_dir):
-    return questions(spark).select("q_id", F.array_join(T.keywords(F.col("question")), "|").alias("keywords"))
+    return questions(spark, sf_dir).select("q_id", F.array_join(T.keywords(F.col("question")), "|").alias("keywords"))
 
 
 _YEAR = "(19[2-9][0-9]|20[0-2][0-9])"
@@ -202,7 +238,7 @@ YEARS_SQL = f"""WITH q AS (SELECT * FROM {Q}), s AS ({_SPAN_SQL}), y AS (SELECT
 @query(f"{YEARS_SQL} SELECT q.q_id, count(y) AS n, coalesce(string_agg(y::VARCHAR, ' ' ORDER BY y), '') AS years FROM q LEFT JOIN y ON q.q_id = y.q_id GROUP BY q.q_id")
 def question_years(spark, sf_dir):
     y = T.years(F.col("question"))
-    return questions(spark).select("q_id", F.size(y).cast("long").alias("n"), F.array_join(F.transform(y, lambda v: v.cast("string")), " ").alias("years"))
+    return questions(spark, sf_dir).select("q_id", F.size(y).cast("long").alias("n"), F.array_join(F.transform(y, lambda v: v.cast("string")), " ").alias("years"))
 
 
 # --- question profile -------------------------------------------------------------------------------------------------
@@ -220,7 +256,7 @@ PROFILE_SQL = f"""{YEARS_SQL}, p0 AS (SELECT q_id, question, lower(question) AS
 
 @query(f"{PROFILE_SQL} SELECT q_id, array_to_string(months, '|') AS months, year_count, note_term_years, {', '.join(FLAGS)} FROM p")
 def question_profile(spark, sf_dir):
-    return P.with_profile(questions(spark)).select("q_id", F.array_join("months", "|").alias("months"), F.col("year_count").cast("long").alias("year_count"), "note_term_years", *FLAGS)
+    return P.with_profile(questions(spark, sf_dir)).select("q_id", F.array_join("months", "|").alias("months"), F.col("year_count").cast("long").alias("year_count"), "note_term_years", *FLAGS)
 
 
 _HIT = {n: f"regexp_matches(low, '{p}')" for n, p in L.FAMILY_PATTERNS.items()} | {
@@ -236,7 +272,7 @@ FAMILY_SQL = f"{PROFILE_SQL}, f0 AS (SELECT *, {_FAMILY_LIST} AS f FROM p), f AS
 
 @query(f"{FAMILY_SQL} SELECT q_id, array_to_string(families, '|') AS families FROM f")
 def families(spark, sf_dir):
-    return P.with_profile(questions(spark)).select("q_id", F.array_join(P.families(), "|").alias("families"))
+    return P.with_profile(questions(spark, sf_dir)).select("q_id", F.array_join(P.families(), "|").alias("families"))
 
 
 _DIFF = " + ".join([f"CASE WHEN {n} THEN {w} ELSE 0 END" for n, w in P.DIFFICULTY.items()] + ["CASE WHEN year_count >= 3 THEN 2 ELSE 0 END", "CASE WHEN year_count >= 5 THEN 1 ELSE 0 END", "CASE WHEN length(question) >= 280 THEN 2 WHEN length(question) >= 200 THEN 1 ELSE 0 END"])
@@ -244,7 +280,7 @@ _DIFF = " + ".join([f"CASE WHEN {n} THEN {w} ELSE 0 END" for n, w in P.DIFFICULT
 
 @query(f"{PROFILE_SQL} SELECT q_id, s AS score, CASE WHEN s >= 6 THEN 'hard' WHEN s >= 3 THEN 'medium' ELSE 'easy' END AS difficulty FROM (SELECT q_id, {_DIFF} AS s FROM p)")
 def difficulty(spark, sf_dir):
-    return P.with_profile(questions(spark)).select("q_id", P.difficulty_score().alias("score"), P.difficulty().alias("difficulty"))
+    return P.with_profile(questions(spark, sf_dir)).select("q_id", P.difficulty_score().alias("score"), P.difficulty().alias("difficulty"))
 
 
 _DIMS = f"list_filter({sql_list(L.DIMENSIONS)}, lambda t: contains(low, t))"
@@ -254,7 +290,7 @@ for _flags, _terms in L.IMPLIED_DIMENSIONS:
 
 @query(f"{PROFILE_SQL} SELECT q_id, array_to_string({sql_unique('d')}, '|') AS terms FROM (SELECT q_id, {_DIMS} AS d FROM p)")
 def dimension_terms(spark, sf_dir):
-    return P.with_profile(questions(spark)).select("q_id", F.array_join(P.dimension_terms(), "|").alias("terms"))
+    return P.with_profile(questions(spark, sf_dir)).select("q_id", F.array_join(P.dimension_terms(), "|").alias("terms"))
 
 
 _WIDE = "expects_regression OR expects_list OR expects_series_math"
@@ -267,14 +303,42 @@ _SOME = "wants_monthly_series OR expects_sum OR expects_percent OR list_contains
     mentions_veterans_admin OR prefers_country_claims OR {_WIDE} OR note_term_years > 0 OR (wants_monthly_series AND year_count >= 3) OR (list_contains(families, 'auction') AND expects_date) AS global_search FROM f"""
 )
 def context_limits(spark, sf_dir):
-    rows = P.with_profile(questions(spark)).withColumn("families", P.families())
+    rows = P.with_profile(questions(spark, sf_dir)).withColumn("families", P.families())
     files, chars = P.context_limits(F.col("families"))
     return rows.select("q_id", files.alias("max_files"), chars.alias("max_chars"), P.needs_global_search(F.col("families")).alias("global_search"))
 
 
-@query(f"SELECT q_id, CASE WHEN regexp_matches(lower(question), '(?s){L.BULLETIN_FORMAT}') THEN 'xml_final_answer' END AS format, coalesce(nullif(regexp_extract(upper(question), '\\bUID[0-9]{{4}}\\b', 0), ''), 'unknown') AS uid FROM {Q}")
+#: Requests around the turns of conversations, for telling tasks and formats apart.
+REQUESTS = ["Create a draft and translate it: {t}", "Which deal in the pipeline has this customer, and what is the account? {t}", "What are the yield of the bond and the deficit? {t}", "{t}", "In fiscal year 1984, what were receipts? {t}", "Return JSON for the portfolio: {t}", "Make a CSV format of: {t}", "Does \"{t}\" hold a contradiction?", "Give a trading decision with greeks. {t}", "Build a business overview of {t}", "Allocate the portfolio and write target weights for {t}", "Classify the risks: {t}", "U.S. Treasury and national debt: {t}", "Show your chain of thought. {t}"]
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(r_id, request): the questions, and a request for each turn of the conversations."""
+    k = F.col("conv_id") * 8 + F.col("turn")
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("r_id"), filled_shape(pick(REQUESTS, k % len(REQUESTS)), {"t": F.coalesce("text", F.lit(""))}).alias("request"))
+    return questions(spark, sf_dir).toDF("r_id", "request").union(turns)
+
+
+REQUESTS_SQL = f"""(SELECT q_id AS r_id, question AS request FROM {Q} UNION ALL SELECT conv_id || '-' || turn, {filled_shape_sql(f"{sql_list(REQUESTS)}[(conv_id * 8 + turn) % {len(REQUESTS)} + 1]", {"t": "coalesce(text, '')"})} FROM conversations)"""
+_FORMAT_SQL = "coalesce(" + ", ".join(f"CASE WHEN regexp_matches(lower(request), '(?s){p}') THEN '{k}' END" for p, k, _ in L.FORMATS) + ")"
+_ROUTE_COUNTS = ", ".join([f"len(list_filter({sql_list(e)}, lambda p: contains(lower(request), p))) AS {n}" for n, e in L.ROUTE_PHRASES.items()] + [f"len(list_filter({sql_list(e)}, lambda w: list_contains(words, w))) AS {n}" for n, e in L.ROUTE_WORDS.items()])
+ROUTED_SQL = f"""w AS (SELECT *, regexp_extract_all(lower(request), '[\\p{{L}}\\p{{N}}_]+', 0) AS words FROM {REQUESTS_SQL}), n AS (SELECT r_id, request, {_ROUTE_COUNTS} FROM w),
+    routed AS (SELECT r_id, request, CASE {' '.join(f"WHEN {when} THEN '{task}'" for when, task in L.ROUTES)} ELSE 'general' END AS task FROM n)"""
+
+
+@query(f"WITH {ROUTED_SQL} SELECT r_id, task FROM routed")
+def task_routes(spark, sf_dir):
+    """The task of each question and request."""
+    return W.routed(requests(spark, sf_dir), "r_id", "request")
+
+
+@query(f"WITH {ROUTED_SQL} SELECT r_id, {_FORMAT_SQL} AS format, CASE WHEN task = 'officeqa' THEN CASE WHEN {_FORMAT_SQL} = 'xml_final_answer' THEN 'xml_final_answer' END ELSE {_FORMAT_SQL} END AS routed_format, coalesce(nullif(regexp_extract(upper(request), '\\bUID[0-9]{{4}}\\b', 0), ''), 'unknown') AS uid FROM routed")
 def format_detect(spark, sf_dir):
-    return questions(spark).select("q_id", P.output_format(F.col("question")).alias("format"), T.question_uid(F.col("question")).alias("uid"))
+    """All ten formats, with and without the task, and the question's number."""
+    rows = requests(spark, sf_dir)
+    both = rows.join(W.routed(rows, "r_id", "request"), "r_id")
+    text = F.col("request")
+    return both.select("r_id", P.output_format(text).alias("format"), P.output_format(text, F.col("task")).alias("routed_format"), T.question_uid(text).alias("uid"))
 
 
 # --- ranking and packing ----------------------------------------------------------------------------------------------
@@ -324,12 +388,15 @@ def context_pack(spark, sf_dir):
 
 
 @query(
-    """SELECT n AS files, r AS rank, CASE WHEN n = 1 THEN 22000 WHEN n = 2 AND r = 1 THEN 22000 * 55 // 100 WHEN n = 2 THEN 22000 * 45 // 100 WHEN r = 1 THEN 22000 * 40 // 100
-    WHEN r = 2 THEN 22000 * 25 // 100 ELSE 22000 * 35 // (100 * greatest(1, n - 2)) END AS budget FROM range(1, 7) t(n), range(1, 7) u(r) WHERE r <= n"""
+    """SELECT conv_id, turn, n AS files, r AS rank, CASE WHEN n = 1 THEN 22000 WHEN n = 2 AND r = 1 THEN 22000 * 55 // 100 WHEN n = 2 THEN 22000 * 45 // 100 WHEN r = 1 THEN 22000 * 40 // 100
+    WHEN r = 2 THEN 22000 * 25 // 100 ELSE 22000 * 35 // (100 * greatest(1, n - 2)) END AS budget
+    FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations)"""
 )
 def budget_weights(spark, sf_dir):
-    n = spark.range(1, 7).select(F.col("id").alias("files")).withColumn("rank", F.explode(F.sequence(F.lit(1).cast("long"), "files")))
-    return n.select("files", "rank", R.file_budget(F.col("rank"), F.col("files"), F.lit(22000)).alias("budget"))
+    """K8: the share of each part of a conversation, its turns in order taken as the files."""
+    whole = Window.partitionBy("conv_id")
+    n = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.count(F.lit(1)).over(whole).alias("files"), F.row_number().over(whole.orderBy("turn")).cast("long").alias("rank"))
+    return n.withColumn("budget", R.file_budget(F.col("rank"), F.col("files"), F.lit(22000)))
 
 
 @query(
@@ -344,17 +411,6 @@ def row_narrow(spark, sf_dir):
     return B.narrow_rows(scored, "doc_id", "score")
 
 
-@query()
-def window_snippets(spark, sf_dir):
-    best = R.top_k(scores(spark, sf_dir), "q_id", 3, F.desc("score"), F.col("doc_id")).select("q_id", "doc_id")
-    asks = P.with_profile(asked(spark, sf_dir))
-    names = [f for f, _, _ in L.WINDOW_CUES] + ["expects_sum", "expects_difference", "expects_regression", "expects_list", "expects_series_math"]
-    flags = F.filter(F.array(*(F.when(F.col(f).cast("boolean"), F.lit(f)) for f in names)), lambda f: f.isNotNull())
-    asks = asks.select("q_id", T.keywords(F.col("question")).alias("keywords"), T.years(F.col("question")).alias("years"), flags.alias("flags"))
-    pairs = best.join(asks, "q_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return snippets.window_snippets(pairs, 4000).withColumn("digest", F.md5("snippet")).drop("snippet")
-
-
 # --- candidates by date -----------------------------------------------------------------------------------------------
 
 ISSUES_SQL = "WITH i AS (SELECT DISTINCT date_trunc('month', o_orderdate)::DATE AS pub_date FROM orders)"
@@ -406,10 +462,6 @@ def ordered_union_dedupe(spark, sf_dir):
 # --- answers ----------------------------------------------------------------------------------------------------------
 
 
-def answers(spark) -> DataFrame:
-    return inline(spark, I.ANSWERS, "a_id string, question string, answer string")
-
-
 _PH = "|".join(L.PLACEHOLDERS)
 _HD = "|".join(L.HEDGES)
 
@@ -421,7 +473,7 @@ _HD = "|".join(L.HEDGES)
 )
 def answer_checks(spark, sf_dir):
     a, q = F.col("answer"), F.col("question")
-    return answers(spark).select("a_id", A.placeholder(a).alias("placeholder"), A.hedged(a).alias("hedged"), A.echo(a).alias("echo"), A.pipe_row(a).alias("pipe_row"), A.asks_percent(q).alias("asks_percent"))
+    return answers(spark, sf_dir).select("a_id", A.placeholder(a).alias("placeholder"), A.hedged(a).alias("hedged"), A.echo(a).alias("echo"), A.pipe_row(a).alias("pipe_row"), A.asks_percent(q).alias("asks_percent"))
 
 
 @query(
@@ -429,7 +481,7 @@ def answer_checks(spark, sf_dir):
     SELECT a_id, regexp_matches(t, '^\\[[^\\]]+\\]$') OR (len(parts) >= 2 AND len(list_filter(parts, lambda p: regexp_matches(p, '^[-+]?\\$?[0-9][0-9,]*\\.?[0-9]*%?$'))) >= 2) AS is_list FROM p"""
 )
 def list_answer(spark, sf_dir):
-    return answers(spark).select("a_id", A.list_answer(F.col("answer")).alias("is_list"))
+    return answers(spark, sf_dir).select("a_id", A.list_answer(F.col("answer")).alias("is_list"))
 
 
 _NTH = " ".join(f"WHEN {sql_any('lower(question)', [w + ' value', w + ' number'])} THEN {i}" for i, w in [(4, "fourth"), (3, "third"), (2, "second"), (1, "first")])
@@ -437,7 +489,7 @@ _NTH = " ".join(f"WHEN {sql_any('lower(question)', [w + ' value', w + ' number']
 
 @query(f"""SELECT a_id, coalesce(TRY_CAST(regexp_extract(lower(question), '\\bcontaining\\s+([0-9]+)\\s+numbers?\\b', 1) AS INT), CASE {_NTH} WHEN {sql_any("lower(question)", ["slope and intercept", "inside square brackets", "enclosed brackets"])} THEN 2 END) AS n FROM {N}""")
 def expected_list_length(spark, sf_dir):
-    return answers(spark).select("a_id", A.expected_length(F.col("question")).alias("n"))
+    return answers(spark, sf_dir).select("a_id", A.expected_length(F.col("question")).alias("n"))
 
 
 def _unit_sql(text: str, prefix: str = "") -> str:
@@ -450,7 +502,7 @@ _TOKEN = f"TRY_CAST({sql_strip(_BARE.format(t=sql_strip('answer')))} AS DOUBLE)"
 
 @query(f"SELECT a_id, {_unit_sql('answer')} AS unit, round({_TOKEN}, 6) AS value, {_unit_sql('question', 'in ')} AS target FROM {N}")
 def parse_scalar(spark, sf_dir):
-    return answers(spark).select("a_id", A.scalar_unit(F.col("answer")).alias("unit"), F.round(A.scalar_value(F.col("answer")).cast("double"), 6).alias("value"), A.question_unit(F.col("question")).alias("target"))
+    return answers(spark, sf_dir).select("a_id", A.scalar_unit(F.col("answer")).alias("unit"), F.round(A.scalar_value(F.col("answer")).cast("double"), 6).alias("value"), A.question_unit(F.col("question")).alias("target"))
 
 
 _POW = "CASE {u} WHEN 'thousand' THEN 3 WHEN 'million' THEN 6 WHEN 'billion' THEN 9 WHEN 'trillion' THEN 12 END"
@@ -462,7 +514,7 @@ _POW = "CASE {u} WHEN 'thousand' THEN 3 WHEN 'million' THEN 6 WHEN 'billion' THE
     SELECT a_id, CASE WHEN target IS NULL OR v IS NULL THEN {sql_strip("replace(answer, '$', '')")} ELSE regexp_replace(regexp_replace(x::DECIMAL(28, 8)::VARCHAR, '0+$', ''), '\\.$', '') END AS answer FROM c"""
 )
 def unit_convert(spark, sf_dir):
-    return answers(spark).select("a_id", A.convert(F.col("question"), F.col("answer")).alias("answer"))
+    return answers(spark, sf_dir).select("a_id", A.convert(F.col("question"), F.col("answer")).alias("answer"))
 
 
 @query(
@@ -475,8 +527,22 @@ def final_answer(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", A.last_tag(reply).alias("answer"))
 
 
+def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q_id, pos, answer): each turn of a conversation votes with a figure near those of the other turns, in one of several shapes."""
+    rows = table(spark, sf_dir, "conversations")
+    cents = (F.col("conv_id") % 40 + 1) * 37 * (100 + F.col("turn") * F.col("conv_id") % 5)
+    whole = F.floor(cents / 100).cast("string")
+    value = F.concat(whole, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    answer = filled_shape(pick(I.VOTE_SHAPES, F.col("conv_id") * (F.col("turn") + 1) % len(I.VOTE_SHAPES)), {"v": value, "w": whole})
+    return rows.select(F.col("conv_id").alias("q_id"), F.col("turn").alias("pos"), answer.alias("answer"))
+
+
+_CENTS = "((conv_id % 40 + 1) * 37 * (100 + turn * conv_id % 5))"
+VOTES = f"""(SELECT conv_id AS q_id, turn AS pos, {filled_shape_sql(f"{sql_list(I.VOTE_SHAPES)}[conv_id * (turn + 1) % {len(I.VOTE_SHAPES)} + 1]", {"v": f"{_CENTS} // 100 || '.' || lpad(({_CENTS} % 100)::VARCHAR, 2, '0')", "w": f"{_CENTS} // 100"})} AS answer FROM conversations)"""
+
+
 @query(
-    f"""WITH RECURSIVE a AS (SELECT q_id, pos, answer, regexp_replace({sql_strip("regexp_replace(answer, '[$,]', '', 'g')")}, '^\\((.+)\\)$', '-\\1') AS s FROM {I.sql_values(I.MORE_VOTES, "q_id, pos, answer")}),
+    f"""WITH RECURSIVE a AS (SELECT q_id, pos, answer, regexp_replace({sql_strip("regexp_replace(answer, '[$,]', '', 'g')")}, '^\\((.+)\\)$', '-\\1') AS s FROM {VOTES}),
     p AS (SELECT *, TRY_CAST(nullif(regexp_extract(s, '[-+]?[0-9]+\\.?[0-9]*', 0), '') AS DOUBLE) * coalesce(CASE {_unit_sql("answer")} WHEN 'thousand' THEN 1e3 WHEN 'million' THEN 1e6 WHEN 'billion' THEN 1e9 WHEN 'trillion' THEN 1e12 END, 1) AS v FROM a),
     n AS (SELECT q_id, count(*) AS n, count(v) AS m FROM p GROUP BY q_id),
     o AS (SELECT q_id, answer, v, row_number() OVER (PARTITION BY q_id ORDER BY v, pos) AS i FROM p WHERE v IS NOT NULL),
@@ -489,7 +555,7 @@ def final_answer(spark, sf_dir):
     SELECT n.q_id, CASE WHEN n.n > 1 AND n.m >= n.n * 0.5 THEN w.answer ELSE t.answer END AS winner FROM n LEFT JOIN w ON w.q_id = n.q_id JOIN t ON t.q_id = n.q_id"""
 )
 def vote_answers(spark, sf_dir):
-    return V.vote(inline(spark, I.MORE_VOTES, "q_id string, pos int, answer string"))
+    return V.vote(votes(spark, sf_dir))
 
 
 @query(
@@ -508,13 +574,14 @@ def _compare_sql(text: str) -> str:
 
 
 @query(
-    f"""WITH p AS (SELECT a.a_id AS x, b.a_id AS y, {_compare_sql("a.answer")} AS p, {_compare_sql("b.answer")} AS e FROM {N.replace("AS t(", "AS a(")}, {N.replace("AS t(", "AS b(")})
+    f"""WITH n AS (SELECT * FROM {N}), p AS (SELECT a.a_id AS x, b.a_id AS y, {_compare_sql("a.answer")} AS p, {_compare_sql("b.answer")} AS e FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)
     SELECT x, y, p = e OR coalesce(abs(TRY_CAST(p AS DOUBLE) - TRY_CAST(e AS DOUBLE)) < 0.01 * greatest(abs(TRY_CAST(e AS DOUBLE)), 1.0), false) AS same FROM p"""
 )
 def eval_match(spark, sf_dir):
-    a = answers(spark).select(F.col("a_id").alias("x"), F.col("answer").alias("p"))
-    b = answers(spark).select(F.col("a_id").alias("y"), F.col("answer").alias("e"))
-    return a.crossJoin(F.broadcast(b)).select("x", "y", A.same_answer(F.col("p"), F.col("e")).alias("same"))
+    """A5: each answer against the one of the next turn."""
+    a = answers(spark, sf_dir)
+    b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a_id").alias("y"), F.col("answer").alias("e"))
+    return a.select("conv_id", "turn", F.col("a_id").alias("x"), F.col("answer").alias("p")).join(b, ["conv_id", "turn"]).select("x", "y", A.same_answer(F.col("p"), F.col("e")).alias("same"))
 
 
 @query(

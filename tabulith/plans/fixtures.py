@@ -18,19 +18,18 @@ QUESTIONS = [
     ("q13", "How much did the Veterans Administration spend on Public Works, reported in billions? The provided reference data follows."),
 ]
 
-#: Generated from here on: subjects and years in six shapes of question.
-_SUBJECTS = ["national defense expenditures", "gross federal debt", "public debt outstanding", "individual income tax receipts", "budget outlays", "claims on foreigners by country", "treasury-bill rates of 13-week bills", "accepted tenders for 2-year U.S. Treasury notes", "public works of the Veterans Administration", "Japanese Yen and British Pound options positions", "receipts of the Exchange Stabilization Fund"]
-_SHAPES = [
+#: Subjects and shapes of questions: ``questions`` fills them for each row of the benchmark table.
+SUBJECTS = ["national defense expenditures", "gross federal debt", "public debt outstanding", "individual income tax receipts", "budget outlays", "claims on foreigners by country", "treasury-bill rates of 13-week bills", "accepted tenders for 2-year U.S. Treasury notes", "public works of the Veterans Administration", "Japanese Yen and British Pound options positions", "receipts of the Exchange Stabilization Fund"]
+SHAPES = [
     "What was the total {s} in {m} {y}, in millions of dollars?",
     "List the monthly values of {s} for each month from {y} to {z}, inclusive, inside square brackets.",
     "What percent did {s} change between {y} and {z}, excluding trust accounts?",
     "Fit a linear regression of {s}, net of refunds, from {y} to {z}, and give slope and intercept.",
-    "According to the {m} {y} Treasury Bulletin, which date had the highest {s}? UID{n:04d}",
+    "According to the {m} {y} Treasury Bulletin, which date had the highest {s}? UID{n}",
     "What is the difference of {s} in fiscal year {y} and calendar year {z}, without the revolving fund, reported in billions?",
     "What is the geometric mean of January {s} in {y}, {y1} and {z}?",
 ]
-_MONTHS = ["January", "March", "June", "October", "December"]
-QUESTIONS += [(f"g{n:02d}", _SHAPES[n % len(_SHAPES)].format(s=_SUBJECTS[n * 3 % len(_SUBJECTS)], m=_MONTHS[n % len(_MONTHS)], y=1940 + n * 7 % 50, y1=1941 + n * 7 % 50, z=1943 + n * 7 % 50, n=n)) for n in range(49)]
+ASKED_MONTHS = ["January", "March", "June", "October", "December"]
 
 ANSWERS = [
     ("a01", "What percent is it?", "14"),
@@ -55,10 +54,9 @@ ANSWERS = [
     ("a20", "second number", "FD-1"),
 ]
 
-#: Generated: each shape of answer with several questions.
-_ASKED = ["What percent is it?", "in millions of dollars", "Which year was it?", "containing 3 numbers", "What percentage value changed, in billions?", "the full number, in thousands", "", "How much money?", "slope and intercept", "Which date?"]
-_GIVEN = ["The answer is {n},500 million.", "{n}.25", "0.{n}", "[{n}, 2.5%, $3]", "19{n}", "based on the table, {n}%", "$ {n} dollars", "Total outlays were {n} billion in May 1950", "not available", "{n}, {n}5, 1,2{n}", "`-{n}.50`", "Step one.\nThe total was {n}.\n{n},000 thousand", "FD-{n}", "It could be {n} or {n}1"]
-ANSWERS += [(f"b{n:03d}", _ASKED[n % len(_ASKED)], _GIVEN[n // len(_ASKED)].format(n=11 + n % 80)) for n in range(len(_ASKED) * len(_GIVEN))]
+#: Questions and shapes of answers: ``answers`` fills them for each turn of the conversations table.
+ASKED = ["What percent is it?", "in millions of dollars", "Which year was it?", "containing 3 numbers", "What percentage value changed, in billions?", "the full number, in thousands", "", "How much money?", "slope and intercept", "Which date?"]
+GIVEN = ["The answer is {n},500 million.", "{n}.25", "0.{n}", "[{n}, 2.5%, $3]", "19{n}", "based on the table, {n}%", "$ {n} dollars", "Total outlays were {n} billion in May 1950", "not available", "{n}, {n}5, 1,2{n}", "`-{n}.50`", "Step one.\nThe total was {n}.\n{n},000 thousand", "FD-{n}", "It could be {n} or {n}1", "{t}", "The total in {t} was {n} million."]
 
 VOTES = [
     ("v1", 1, "100"), ("v1", 2, "101"), ("v1", 3, "250"), ("v1", 4, "100.5"),
@@ -68,12 +66,13 @@ VOTES = [
     ("v5", 1, "only one"),
     ("v6", 1, "b"), ("v6", 2, "a"), ("v6", 3, "A"), ("v6", 4, "B"),
 ]
-#: Generated: up to seven answers, near each other, far apart, and texts.
-MORE_VOTES = VOTES + [(f"w{q:02d}", pos, ["{:.2f}", "{:.0f}", "${:,.1f}", "({:.1f})", "{:.3f} million", "text {:.0f}"][(q * pos) % 6].format((q + 1) * 37 * (1 + (pos * q % 5) / 100))) for q in range(40) for pos in range(1, 2 + q % 7)]
+#: Shapes of votes: a figure with two decimals, or whole.
+VOTE_SHAPES = ["{v}", "{w}", "${v}", "({v})", "{v} million", "text {w}"]
 
 RULES = [("national_defense", 1, 1), ("national_defense", 1, 2), ("fd", 0, 10), ("fd", 0, 11), ("fd", 1, 10), ("individual_income_tax", 0, 7), ("individual_income_tax", 1, 7)]
 
-EXPRESSIONS = [("e1", "sqrt(16) + 2 ** 3"), ("e2", "round(sum([1, 2, 3]) / 7, 4)"), ("e3", "__import__('os')"), ("e4", "1 / 0"), ("e5", "max(3, 9) % 4")]
+#: Shapes of expressions over a number.
+EXPRESSIONS = ["sqrt({n}) + 2 ** 3", "round(sum([{n}, 2, 3]) / 7, 4)", "__import__('os').getpid({n})", "{n} / 0", "max({n}, 9) % 4"]
 
 
 def sql_values(rows: list[tuple], names: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,15 +11,19 @@ from tabulith.functions import lexicon as L
 from tabulith.functions import profile as P
 from tabulith.functions import rules as R
 from tabulith.functions import scoring as S
+from tabulith.functions import text as T
 from tabulith.operators import candidates as K
+from tabulith.operators import cells as Y
 from tabulith.operators import context as X
 from tabulith.operators import ranking as A
 from tabulith.operators import retrieve as V
 from tabulith.operators import scoring as O
+from tabulith.operators import snippets as N
 from tabulith.operators import tables as B
 from tabulith.plans import bulletins as C
-from tabulith.plans.catalogue import FAMILY_SQL, _DIMS, _keywords_sql, query, questions, sql_list, sql_unique, table
-from tabulith.sources.scratch import stash
+from tabulith.plans.catalogue import FAMILY_SQL, PROFILE_SQL, SCORES_SQL, _DIMS, _keywords_sql, query, questions, scores, sql_list, sql_unique, table
+from tabulith.sources import bulletin_files as D
+from tabulith.sources.scratch import shared_dir, stash
 
 # --- SQL of lines, blocks, titles and sections ------------------------------------------------------------------------------
 
@@ -123,8 +129,8 @@ ASKS_SQL = f"""{FAMILY_SQL}, k AS ({_keywords_sql()}), d AS (SELECT q_id, {sql_u
         CASE WHEN note_term_years > 0 AND due_month > 0 THEN due_year * 12 + due_month - 12 * note_term_years + 1 END AS issue_month FROM c0)"""
 
 
-def asks(spark):
-    return stash(S.with_conditions(questions(spark)), "asks")
+def asks(spark, sf_dir):
+    return stash(S.with_conditions(questions(spark, sf_dir)), "asks")
 
 
 def corpus(spark, sf_dir):
@@ -227,31 +233,36 @@ def full_cte(pairs: str) -> str:
 # --- scores ------------------------------------------------------------------------------------------------------------------
 
 
-@query(f"{ASKS_SQL}, {C.SQL}, {sections_sql('bulletins')} SELECT q_id, doc_id, section_no, CASE WHEN len(ls) > 0 THEN {SECTION_SQL} ELSE 0 END AS score FROM asks, {_SECTION_ROWS} r")
+@query(f"{CHEAP_CTE}, {sections_sql('bulletins')} SELECT q_id, doc_id, section_no, CASE WHEN len(ls) > 0 THEN {SECTION_SQL} ELSE 0 END AS score FROM (SELECT q_id, doc_id FROM cheap) JOIN asks USING (q_id) JOIN {_SECTION_ROWS} r USING (doc_id)")
 def section_scores(spark, sf_dir):
-    """SC1 of every section of the bulletins for every question of the set."""
-    parts = B.section_texts(C.bulletins(spark, sf_dir)).select("doc_id", "section_no", S.section_features(F.col("section")).alias("section"))
-    return parts.crossJoin(asks(spark)).select("q_id", "doc_id", "section_no", S.section_score().alias("score"))
+    """SC1 of every section of the 30 files that SC3 puts first for a question."""
+    q = asks(spark, sf_dir)
+    docs, files, _ = corpus(spark, sf_dir)
+    best = stash(O.cheap_best(q, files), "pairs").select("q_id", "doc_id")
+    parts = B.section_texts(docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "section_no", S.section_features(F.col("section")).alias("section"))
+    return best.join(q, "q_id").join(parts, "doc_id").select("q_id", "doc_id", "section_no", S.section_score().alias("score"))
 
 
-@query(f"{ASKS_SQL}, {C.SQL}, {titles_sql('bulletins')} SELECT q_id, doc_id, block_no, {TABLE_SQL} AS score FROM asks, {_TABLE_ROWS} r")
+@query(f"{CHEAP_CTE} SELECT q_id, doc_id, block_no, {TABLE_SQL} AS score FROM (SELECT q_id, doc_id FROM cheap) JOIN asks USING (q_id) JOIN {_TABLE_ROWS} r USING (doc_id)")
 def table_scores(spark, sf_dir):
-    """SC2 of every table of the bulletins for every question of the set."""
-    tables = O.scored_tables(C.bulletins(spark, sf_dir)).select("doc_id", "block_no", "features")
-    return tables.crossJoin(asks(spark)).select("q_id", "doc_id", "block_no", S.table_score().alias("score"))
+    """SC2 of every table of the 30 files that SC3 puts first for a question."""
+    q = asks(spark, sf_dir)
+    _, files, tables = corpus(spark, sf_dir)
+    best = O.cheap_best(q, files).select("q_id", "doc_id")
+    return best.join(q, "q_id").join(tables.select("doc_id", "block_no", "features"), "doc_id").select("q_id", "doc_id", "block_no", S.table_score().alias("score"))
 
 
-@query(f"{CHEAP_CTE} SELECT q_id, doc_id, file_name, score FROM (SELECT q_id, doc_id, file_name, {CHEAP_SQL} AS score FROM asks, files)")
+@query(f"{CHEAP_CTE} SELECT q_id, doc_id, file_name, score FROM (SELECT q_id, doc_id, file_name, {CHEAP_SQL} AS score FROM asks, files) WHERE score > 0")
 def cheap_file_scores(spark, sf_dir):
-    """SC3 of every file for every question of the set."""
+    """SC3 of every file that a question has anything in common with."""
     docs = C.bulletins(spark, sf_dir)
-    return O.cheap_scores(asks(spark), O.files(docs, O.scored_tables(docs)))
+    return O.cheap_scores(asks(spark, sf_dir), O.files(docs, O.scored_tables(docs)))
 
 
 @query(f"{CHEAP_CTE}, {full_cte('cheap')} SELECT q_id, doc_id, file_name, section, \"table\", score, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, file_name) AS rank FROM full_ QUALIFY rank <= 18")
 def two_stage_topk(spark, sf_dir):
     """K1: 30 files by the cheap score, 18 of them by the full one."""
-    return O.two_stage(asks(spark), *corpus(spark, sf_dir))
+    return O.two_stage(asks(spark, sf_dir), *corpus(spark, sf_dir))
 
 
 # --- candidates, sources and context -----------------------------------------------------------------------------------------
@@ -286,7 +297,7 @@ _ANCHOR_DATES = _flat(
         f"CASE WHEN is_auction AND expects_date AND first_month > 0 THEN list_transform({_YEARS_OF}, lambda y: {_later('make_date(y, first_month::INT, 1)', '1')}) ELSE [] END",
     ]
 )
-DATED_SQL = f"""years_of AS (SELECT *, {_YEARS_OF} AS ys, {R.FOLLOWING_BASE} AS base FROM asks), reach AS (SELECT *, list_min(ys) AS earliest FROM years_of),
+DATED_SQL = f"""years_of AS (SELECT *, {_YEARS_OF} AS ys, {R.following_base()} AS base FROM asks), reach AS (SELECT *, list_min(ys) AS earliest FROM years_of),
     far AS (SELECT *, CASE WHEN expects_regression OR expects_list OR expects_series_math THEN greatest({R.FOLLOWING}, 10) ELSE {R.FOLLOWING} END AS n FROM reach),
     listed AS ({_listed_sql(_flat([_dates_sql(p) for p in K.REFERENCES]), 1, True)}
         UNION ALL {_listed_sql(f"flatten(list_transform({_flat([_dates_sql(f'({m})' + chr(92) + 's+([0-9]{4})') for m in L.MONTHS])}, lambda d: list_transform(range(4), lambda i: {_later('d', 'i')})))", 2, True)}
@@ -320,13 +331,13 @@ SOURCES_CTE = f"""{CHEAP_CTE}, {full_cte("cheap")}, {DATED_SQL},
 @query(f"{ASKS_SQL}, {C.SQL}, {DATED_SQL} SELECT q_id, pub_date, source_rank, pos, pinned FROM dated")
 def dated_candidates(spark, sf_dir):
     """The issues that a question's dates, families and features point to."""
-    return K.dated_candidates(asks(spark), C.bulletins(spark, sf_dir))
+    return K.dated_candidates(asks(spark, sf_dir), C.bulletins(spark, sf_dir))
 
 
 @query(f"{SOURCES_CTE} SELECT q_id, doc_id, file_name, pinned, rank FROM sources")
 def find_sources(spark, sf_dir):
     """The files of each question."""
-    return V.find_sources(asks(spark), *corpus(spark, sf_dir))
+    return V.find_sources(asks(spark, sf_dir), *corpus(spark, sf_dir))
 
 
 _SPLIT = f"list_filter(regexp_split_to_array(b, {BREAKS}), lambda x: {strip('x')} <> '')"
@@ -350,7 +361,7 @@ CHOSEN_CTE = f"""{SOURCES_CTE}, cn AS (SELECT *, count(*) OVER (PARTITION BY q_i
 
 
 def chosen(spark, sf_dir):
-    q = asks(spark)
+    q = asks(spark, sf_dir)
     docs, files, tables = corpus(spark, sf_dir)
     limits = V.limits(q)
     ranked = stash(V.find_sources(q, docs, files, tables), "sources")
@@ -388,13 +399,13 @@ for _when, _hint in L.HINTS_MORE:
 @query(f"{ASKS_SQL} SELECT q_id, array_to_string(list_transform({_HINTS}, lambda h: '- ' || h), chr(10)) AS strategy FROM asks")
 def strategy(spark, sf_dir):
     """Hints for solving each question."""
-    return asks(spark).select("q_id", P.strategy().alias("strategy"))
+    return asks(spark, sf_dir).select("q_id", P.strategy().alias("strategy"))
 
 
 @query(f"{ASKS_SQL}, {C.SQL}, {DATED_SQL} SELECT q_id, pub_date FROM dated WHERE source_rank = 1")
 def bulletin_references(spark, sf_dir):
     """Issues that a question names as such and that exist."""
-    return K.references(asks(spark)).select("q_id", "pub_date").distinct().join(C.bulletins(spark, sf_dir), "pub_date", "left_semi").select("q_id", "pub_date")
+    return K.references(asks(spark, sf_dir)).select("q_id", "pub_date").distinct().join(C.bulletins(spark, sf_dir), "pub_date", "left_semi").select("q_id", "pub_date")
 
 
 @query(f"WITH {titles_sql('documents')} SELECT doc_id, block_no, unit_hint, title AS full_title, code AS table_code, contains(lower(title), 'contents') AS is_contents FROM titled")
@@ -405,7 +416,7 @@ def block_titles(spark, sf_dir):
 
 
 @query(
-    rf"""{ASKS_SQL}, turns AS (SELECT *, row_number() OVER (ORDER BY q_id) - 1 AS i, count(*) OVER () AS among FROM asks),
+    rf"""{ASKS_SQL}, turns AS (SELECT *, substr(q_id, 2)::BIGINT AS i, (SELECT max(item_id) + 1 FROM benchmark) AS among FROM asks),
     nq_l AS (SELECT q_id, doc_id, unnest(range(len(a))) AS line_no, unnest(a) AS x, {_ASKED_YEARS} AS ys, months AS ms, list_concat({_FOCUS}, {_ENTITIES}) AS ts, expects_series_math OR expects_regression OR expects_list OR wants_monthly_series AS whole
         FROM (SELECT doc_id, regexp_split_to_array(text, {BREAKS}) AS a FROM documents) JOIN turns ON i = doc_id % among),
     nq_s AS (SELECT q_id, doc_id, line_no, whole, {strip("x")} AS b, len(list_filter(ys, lambda y: contains({strip("x")}, y))) * 10 + len(list_filter(ms, lambda m: contains(lower(x), m))) * 5 + len(list_filter(ts, lambda t: contains(lower({strip("x")}), t))) * 8
@@ -416,8 +427,108 @@ def block_titles(spark, sf_dir):
 )
 def row_narrow_questions(spark, sf_dir):
     """SC6: each document's lines narrowed for one of the questions, dealt by doc_id."""
-    q = asks(spark)
-    dealt = q.withColumn("_n", F.row_number().over(Window.orderBy("q_id")) - 1)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = docs.join(F.broadcast(dealt), F.pmod("doc_id", F.lit(q.count())) == F.col("_n"))
+    q = asks(spark, sf_dir).withColumn("_n", F.substring("q_id", 2, 20).cast("long"))
+    among = q.agg(F.max("_n") + 1).first()[0] or 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(among)).alias("_n"))
+    pairs = docs.join(q, "_n")
     return B.narrow_for_question(pairs, ["q_id", "doc_id"]).drop("line")
+
+
+_CUE_POINTS = " + ".join(
+    [when(f"{flag} AND regexp_matches(body, {quoted(pattern)})", str(points)) for flag, pattern, points in L.WINDOW_CUES]
+    + [
+        when(f"(expects_sum OR expects_difference) AND regexp_matches(body, {quoted(L.WINDOW_TOTALS)})", "12"),
+        when(r"expects_regression AND len(regexp_extract_all(body, '\b(?:19|20)[0-9]{2}\b', 0)) >= 4", "14"),
+        when(r"expects_list AND len(regexp_extract_all(body, '-?[0-9][0-9,]*\.?[0-9]*', 0)) >= 6", "10"),
+        when(f"expects_date AND regexp_matches(body, {quoted(MONTH_WORD)})", "6"),
+    ]
+)
+WINDOWS_SQL = rf"""{PROFILE_SQL}, k AS ({_keywords_sql()}), ys AS (SELECT q_id, list(y ORDER BY y) AS years FROM y GROUP BY q_id), {SCORES_SQL.removeprefix("WITH ").replace(" s AS (SELECT item_id", " sc AS (SELECT item_id")},
+    top AS (SELECT q_id, doc_id FROM sc QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY score DESC, doc_id) <= 3),
+    pr AS (SELECT top.q_id, d.doc_id, p.* EXCLUDE (q_id), list_transform(regexp_split_to_array(d.text, {BREAKS}), lambda x: regexp_replace(x, '[ \t\n\r\f\v]+$', '')) AS ls, coalesce(ys.years, []) AS years,
+        list_transform(list_filter(string_split(k.keywords, '|'), lambda x: x <> ''), lambda x: {norm("x")}) AS keywords, CASE WHEN expects_list OR expects_regression OR expects_series_math THEN 18 WHEN expects_sum THEN 14 ELSE 10 END AS r
+        FROM top JOIN documents d USING (doc_id) JOIN p ON p.q_id = 'q' || top.q_id JOIN k ON k.q_id = p.q_id LEFT JOIN ys ON ys.q_id = p.q_id),
+    an AS (SELECT *, greatest(0, i - r) AS first, least(len(ls), i + r + 1) AS last FROM (SELECT *, unnest(range(len(ls))) AS i, unnest(ls) AS x FROM pr) WHERE {norm("x")} <> '' AND {signal("x")} + {heading("x")} > 0),
+    wb AS (SELECT *, array_to_string(list_transform(held, lambda z: {norm("z")}), chr(10)) AS body FROM (SELECT *, list_filter(ls[first + 1 : last], lambda z: {norm("z")} <> '') AS held FROM an)),
+    ws AS (SELECT q_id, doc_id, first, last, {words_sql("body", 4, 10, 3)} + 10 * len(list_filter(years, lambda y: {number_in("body", "y")})) + least(len(list_filter(held, lambda z: {signal("z")} >= 2)), 12)
+        + {total(f"list_transform(held[1:4], lambda z: {heading('z')})")} + {_CUE_POINTS} AS score FROM wb),
+    w1 AS (SELECT *, first > coalesce(max(last) OVER (PARTITION BY q_id, doc_id ORDER BY score DESC, first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fresh FROM ws WHERE score > 0),
+    w2 AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY q_id, doc_id ORDER BY score DESC, first, last ROWS UNBOUNDED PRECEDING) AS no FROM w1),
+    w3 AS (SELECT q_id, doc_id, no - 1 AS place, max(first) FILTER (fresh) AS first_line, max(last) AS end_line FROM w2 WHERE no < 4 OR (no = 4 AND fresh) GROUP BY ALL),
+    w4 AS (SELECT w3.*, {strip("array_to_string(ls[first_line + 1 : end_line], chr(10))")} AS snippet FROM w3 JOIN pr USING (q_id, doc_id)),
+    w5 AS (SELECT *, row_number() OVER w AS nth, coalesce(sum(length(snippet) + 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w4 WHERE snippet <> '' WINDOW w AS (PARTITION BY q_id, doc_id ORDER BY place))"""
+
+
+@query(f"{WINDOWS_SQL} SELECT q_id, doc_id, place::INT AS place, first_line, end_line, md5(left(snippet, 4000)) AS digest FROM w5 WHERE nth = 1 OR before + length(snippet) <= 4000")
+def window_snippets(spark, sf_dir):
+    """SC5 and K6: the best windows of lines of each question's three best documents."""
+    best = A.top_k(scores(spark, sf_dir), "q_id", 3, F.desc("score"), F.col("doc_id")).select("q_id", "doc_id")
+    q = P.with_profile(questions(spark, sf_dir))
+    names = [f for f, _, _ in L.WINDOW_CUES] + ["expects_sum", "expects_difference", "expects_regression", "expects_list", "expects_series_math"]
+    flags = F.array_compact(F.array(*(F.when(F.col(f).cast("boolean"), F.lit(f)) for f in names)))
+    q = q.select(F.substring("q_id", 2, 20).cast("long").alias("q_id"), T.keywords(F.col("question")).alias("keywords"), T.years(F.col("question")).alias("years"), flags.alias("flags"))
+    pairs = best.join(q, "q_id").join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    found = N.window_snippets(pairs, 4000)
+    return found.select("q_id", "doc_id", "place", F.col("first_line").cast("long").alias("first_line"), F.col("end_line").cast("long").alias("end_line"), F.md5("snippet").alias("digest"))
+
+
+# --- cells and their series ----------------------------------------------------------------------------------------------------
+
+_CELL_FIGURE = lambda c: f"CASE WHEN regexp_matches({c}, '{Y.FIGURE}') THEN CASE WHEN starts_with({c}, '(') THEN -1 ELSE 1 END * TRY_CAST(regexp_replace({c}, '[$,%() ]', '', 'g') AS DOUBLE) END"
+_CELL_UNIT = "CASE " + " ".join(f"WHEN contains(lower(unit_hint), '{w}') THEN {p}" for w, p in Y.POWERS.items()) + " ELSE 0 END"
+
+
+def cells_sql(tables: str) -> str:
+    """CTE cells (doc_id, block_no, title, row_no, col_no, row_label, "column", cell, value, power) of ``tables`` (doc_id, block_no, title, unit_hint, body)."""
+    return rf"""x_l AS (SELECT doc_id, block_no, title, {_CELL_UNIT} AS power, list_filter(regexp_split_to_array(body, {BREAKS}), lambda l: {strip("l")} <> '') AS ls FROM {tables}),
+    x_r AS (SELECT *, list_transform(ls, lambda l: regexp_matches(l, '{Y.SEPARATOR}')) AS bars, list_transform(ls, lambda l: list_transform(string_split(regexp_replace({strip("l")}, '^\||\|$', '', 'g'), '|'), lambda c: {strip("c")})) AS rs FROM x_l),
+    x_n AS (SELECT *, CASE WHEN coalesce(list_position(bars, true), 0) > 0 THEN list_position(bars, true) - 1
+        WHEN len(list_filter(rs[1], lambda c: {_CELL_FIGURE("c")} IS NOT NULL AND NOT regexp_matches(c, '^(19|20)[0-9]{{2}}$'))) = 0 THEN 1 ELSE 0 END AS head FROM x_r),
+    x_b AS (SELECT *, list_filter(list_zip(rs, bars)[head + 1 :], lambda z: NOT z[2]) AS body_rows, rs[1 : head] AS heads FROM x_n),
+    x_e AS (SELECT doc_id, block_no, title, power, heads, unnest(range(len(body_rows))) AS row_no, unnest(list_transform(body_rows, lambda z: z[1])) AS r FROM x_b),
+    x_c AS (SELECT doc_id, block_no, title, power, heads, row_no, r[1] AS row_label, unnest(range(len(r))) AS col_no, unnest(r) AS cell FROM x_e),
+    cells AS (SELECT doc_id, block_no, title, row_no, col_no, row_label, {strip("array_to_string(list_filter(list_transform(heads, lambda h: coalesce(h[col_no + 1], '')), lambda h: h <> ''), ' ')")} AS "column", cell, {_CELL_FIGURE("cell")} AS value, power FROM x_c WHERE col_no > 0)"""
+
+
+_NAMED_MONTH = rf"\b({'|'.join(L.MONTHS)})\s+((?:19|20)[0-9]{{2}})\b"
+_PERIOD = f"""CASE WHEN regexp_matches(lower(row_label), '{_NAMED_MONTH}') THEN make_date(regexp_extract(lower(row_label), '{_NAMED_MONTH}', 2)::INT, list_position({sql_list(L.MONTHS)}, regexp_extract(lower(row_label), '{_NAMED_MONTH}', 1))::INT, 1)
+    WHEN regexp_matches(lower(row_label), '\b(?:19|20)[0-9]{{2}}\b') THEN make_date(regexp_extract(lower(row_label), '\b((?:19|20)[0-9]{{2}})\b', 1)::INT, 1, 1) END"""
+
+
+@query(f"WITH {titles_sql('documents')}, {cells_sql('titled')} SELECT doc_id, block_no, row_no, col_no, md5(row_label) AS row_label, \"column\", md5(cell) AS cell, round(value, 4) AS value, power FROM cells")
+def table_cells(spark, sf_dir):
+    """G2 to cells: every cell of the documents' pipe tables with its labels, value and unit."""
+    docs = table(spark, sf_dir, "documents")
+    blocks = B.table_blocks(docs)
+    titled = blocks.join(B.block_titles(blocks, docs).select("doc_id", "block_no", "unit_hint"), ["doc_id", "block_no"])
+    out = Y.cells(titled, ["doc_id", "block_no"])
+    return out.select("doc_id", "block_no", "row_no", "col_no", F.md5("row_label").alias("row_label"), "column", F.md5("cell").alias("cell"), F.round("value", 4).alias("value"), "power")
+
+
+@query(
+    f"""WITH {C.SQL}, {titles_sql('bulletins')}, {cells_sql('titled')}, v AS (SELECT title, "column", {_PERIOD} AS period, value FROM cells), m AS (SELECT title, "column", year(period) AS y, month(period)::DOUBLE AS x, value FROM v WHERE period IS NOT NULL AND value IS NOT NULL)
+    SELECT title, "column", y, count(value) AS n, round(avg(value), 2) AS mean, round(exp(avg(ln(value)) FILTER (value > 0)), 2) AS geometric_mean, round(median(value), 2) AS med, round(stddev_samp(value), 2) AS sd, round(CASE WHEN var_pop(x) > 0 THEN regr_slope(value, x) END, 2) AS slope,
+    round(CASE WHEN var_pop(x) > 0 THEN regr_intercept(value, x) END, 2) AS intercept, round(covar_samp(value, x) / nullif(stddev_samp(value) * stddev_samp(x), 0), 6) AS r, round(sum(value * x) / sum(x), 2) AS weighted FROM m GROUP BY ALL"""
+)
+def bulletin_series(spark, sf_dir):
+    """Statistics of each table title's monthly figures by year, over all bulletins."""
+    docs = C.bulletins(spark, sf_dir)
+    blocks = B.table_blocks(docs)
+    titled = blocks.join(B.block_titles(blocks, docs).select("doc_id", "block_no", "unit_hint", F.col("full_title").alias("title")), ["doc_id", "block_no"])
+    found = Y.series(Y.cells(titled, ["doc_id", "block_no", "title"]), ["title"])
+    monthly = found.select("title", "column", F.year("period").cast("long").alias("y"), F.month("period").cast("double").alias("x"), "value")
+    return Y.statistics(monthly, ["title", "column", "y"], "x", "value")
+
+
+# --- files ---------------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {C.SQL} SELECT file_name, year(pub_date) AS year, month(pub_date) AS month, pub_date, length(text) AS n_chars, md5(text) AS digest FROM bulletins WHERE year(pub_date) >= 1950 AND month(pub_date) IN (3, 6, 9)")
+def bulletin_files(spark, sf_dir):
+    """SRC1 to SRC4 and SRC12: bulletins written as files by the data source and read back, files of other years and months unread."""
+    D.register(spark)
+    folder = f"{shared_dir(spark)}/bulletins-{uuid.uuid4().hex}"
+    C.bulletins(spark, sf_dir).select("file_name", "text").write.format("bulletins").mode("append").save(folder)
+    rows = spark.read.format("bulletins").option("roots", f"{folder}-missing, {folder}").load()
+    kept = rows.where((F.col("year") >= 1950) & F.col("month").isin(3, 6, 9))
+    return kept.select("file_name", F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"), "pub_date", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))

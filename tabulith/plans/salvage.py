@@ -1,4 +1,4 @@
-"""Queries that clean, salvage and compare answers, with DuckDB SQL over the same inline answers."""
+"""Queries that clean, salvage and compare answers, with DuckDB SQL over the same answers."""
 
 from __future__ import annotations
 
@@ -8,23 +8,24 @@ from pyspark.sql.window import Window
 from tabulith.functions import answers as A
 from tabulith.functions import lexicon as L
 from tabulith.operators import answering as W
+from tabulith.operators import routing as Z
 from tabulith.operators import tools as X
 from tabulith.plans import fixtures as I
-from tabulith.plans.catalogue import _BARE, _HD, _NTH, _PH, N, _unit_sql, answers, query, sql_any, sql_list
+from tabulith.plans.catalogue import _BARE, _HD, _NTH, _PH, N, _unit_sql, answers, filled_shape, pick, query, sql_any, sql_list, table
 from tabulith.plans.retrieval import ASKS_SQL, BREAKS, asks, quoted, strip
 
 #: A response around each answer; every third one has an empty tag, every fifth no tag.
 REASONS = "\nThe total amount was 12.5 million in May 1950.\nIt grew by 0.25 from 1949.\nnot available: 99 billion\nshares [1, 2%, $3] and [4, x]\n"
 
 
-def responses(spark):
-    n = F.substring("a_id", 2, 3).cast("int")
+def responses(spark, sf_dir):
+    n = F.col("k")
     body = F.concat(F.lit("<think>77 percent</think>\n"), F.lit("<REASONING>\nFirst, "), F.col("answer"), F.lit(REASONS), F.lit("</REASONING>\n"))
     tag = F.when(n % 5 == 4, F.concat(F.lit("So\n"), F.col("answer"))).when(n % 3 == 2, F.lit("<FINAL_ANSWER> </FINAL_ANSWER>")).otherwise(F.concat(F.lit("<FINAL_ANSWER>old</FINAL_ANSWER><final_answer>\n"), F.col("answer"), F.lit("\n</final_answer>")))
-    return answers(spark).withColumn("response", F.concat(body, tag))
+    return answers(spark, sf_dir).withColumn("response", F.concat(body, tag))
 
 
-_N = "substr(a_id, 2, 3)::INT"
+_N = "num"
 _REASONS = "'" + REASONS.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 RESPONSES = f"""(SELECT *, '<REASONING>' || chr(10) || 'First, ' || answer || {_REASONS} || '</REASONING>' || chr(10) ||
     CASE WHEN {_N} % 5 = 4 THEN 'So' || chr(10) || answer WHEN {_N} % 3 = 2 THEN '<FINAL_ANSWER> </FINAL_ANSWER>' ELSE '<FINAL_ANSWER>old</FINAL_ANSWER><final_answer>' || chr(10) || answer || chr(10) || '</final_answer>' END AS response FROM {N})"""
@@ -157,7 +158,7 @@ def final(a: str, names: str) -> str:
 def answer_predicates(spark, sf_dir):
     """S13, S17, S19 and U7."""
     q, a = F.col("question"), F.col("answer")
-    return answers(spark).select("a_id", A.wants_percent_sign(q).alias("percent_sign"), A.expects_date(q).alias("dated"), A.needs_audit(q, a).alias("audited"), A.year_like(a).alias("year_like"), A.table_label(a).alias("label"), A.negative_context(a).alias("negative"))
+    return answers(spark, sf_dir).select("a_id", A.wants_percent_sign(q).alias("percent_sign"), A.expects_date(q).alias("dated"), A.needs_audit(q, a).alias("audited"), A.year_like(a).alias("year_like"), A.table_label(a).alias("label"), A.negative_context(a).alias("negative"))
 
 
 _STRIPPED = "list_transform(list_filter(regexp_split_to_array(answer, " + BREAKS + f"), lambda l: {strip('l')} <> ''), lambda l: trim(l, ' -*:' || chr(9)))"
@@ -167,31 +168,31 @@ _STRIPPED = "list_transform(list_filter(regexp_split_to_array(answer, " + BREAKS
 def answer_lines(spark, sf_dir):
     """S6, S7 and S19."""
     a = F.col("answer")
-    return answers(spark).select("a_id", A.compact_last_line(a).alias("last_line"), A.best_compact_line(a).alias("best_line"), A.clean_scalar(a).alias("clean"))
+    return answers(spark, sf_dir).select("a_id", A.compact_last_line(a).alias("last_line"), A.best_compact_line(a).alias("best_line"), A.clean_scalar(a).alias("clean"))
 
 
 @query(f"SELECT a_id, {percent('response')} AS percent FROM {RESPONSES}")
 def percent_answers(spark, sf_dir):
     """S20."""
-    return responses(spark).select("a_id", A.percent_answer(F.col("question"), A.without_thoughts(F.col("response"))).alias("percent"))
+    return responses(spark, sf_dir).select("a_id", A.percent_answer(F.col("question"), A.without_thoughts(F.col("response"))).alias("percent"))
 
 
 @query(f"SELECT a_id, {normal_list('answer')} AS normal, {bracketed('response')} AS bracketed FROM {RESPONSES}")
 def list_answers(spark, sf_dir):
     """S21."""
-    return responses(spark).select("a_id", A.normal_list(F.col("answer")).alias("normal"), A.bracketed_list(F.col("response"), A.expected_length(F.col("question"))).alias("bracketed"))
+    return responses(spark, sf_dir).select("a_id", A.normal_list(F.col("answer")).alias("normal"), A.bracketed_list(F.col("response"), A.expected_length(F.col("question"))).alias("bracketed"))
 
 
 @query(f"SELECT a_id, {scalar('response')} AS number FROM {RESPONSES}")
 def scalar_answers(spark, sf_dir):
     """S22."""
-    return responses(spark).select("a_id", A.scalar_candidate(F.col("question"), A.without_thoughts(F.col("response"))).alias("number"))
+    return responses(spark, sf_dir).select("a_id", A.scalar_candidate(F.col("question"), A.without_thoughts(F.col("response"))).alias("number"))
 
 
 @query(f"SELECT a_id, {suspicious('answer')} AS suspicious FROM {N}")
 def suspicious_answers(spark, sf_dir):
     """S23."""
-    return answers(spark).select("a_id", A.suspicious(F.col("question"), F.col("answer")).alias("suspicious"))
+    return answers(spark, sf_dir).select("a_id", A.suspicious(F.col("question"), F.col("answer")).alias("suspicious"))
 
 
 _SALVAGED = f"""CASE WHEN coalesce({_LENGTH}, 0) > 0 THEN CASE WHEN {listed("answer")} THEN {normal_list("answer")} ELSE coalesce({bracketed("txt")}, answer) END
@@ -203,7 +204,7 @@ _WITH_TEXT = "SELECT *, array_to_string(list_filter([answer, response], lambda x
 @query(f"SELECT a_id, {_SALVAGED} AS salvaged FROM ({_WITH_TEXT.format(p=placeholder('answer'), s='(' + suspicious('answer') + ')', f=RESPONSES)})")
 def salvaged_answers(spark, sf_dir):
     """S24."""
-    return responses(spark).select("a_id", A.salvaged(F.col("question"), F.col("answer"), A.without_thoughts(F.col("response"))).alias("salvaged"))
+    return responses(spark, sf_dir).select("a_id", A.salvaged(F.col("question"), F.col("answer"), A.without_thoughts(F.col("response"))).alias("salvaged"))
 
 
 _TAGS = "regexp_extract_all(response, '(?is)<final_answer>(.*?)</final_answer>', 1)"
@@ -220,7 +221,7 @@ CLEANED = f"""WITH r AS (SELECT *, {_GIVEN} AS g, ({_REASON})[-1] AS why FROM {R
 @query(f"{CLEANED} SELECT a_id, CASE WHEN length(z) > 500 AND contains(left(z, 500), ' ') THEN regexp_replace(left(z, 500), ' [^ ]*$', '') ELSE left(z, 500) END AS answer FROM r10")
 def cleaned_answers(spark, sf_dir):
     """S25."""
-    return W.cleaned(responses(spark).drop("answer")).select("a_id", "answer")
+    return W.cleaned(responses(spark, sf_dir).drop("answer")).select("a_id", "answer")
 
 
 def compared(a: str) -> str:
@@ -236,16 +237,16 @@ def supported(a: str) -> str:
 
 
 CONTEXT = "Totals: 14, $129,124 million and March 1977; FD-1 gave 10102000000"
-_PAIRED = f"(SELECT a_id, answer AS primary_, lead(answer, 3) OVER (ORDER BY a_id) AS cross_, '{CONTEXT}' AS context, {_PERCENT} AS shaped FROM {N})"
+_PAIRED = f"(SELECT a_id, answer AS primary_, lead(answer) OVER (PARTITION BY conv_id ORDER BY turn) AS cross_, '{CONTEXT}' AS context, {_PERCENT} AS shaped FROM {N})"
 
 
 @query(f"""SELECT a_id, CASE WHEN {error("x.primary_")} AND NOT {error("x.cross_")} THEN 'cross_check' WHEN {error("x.cross_")} THEN 'primary' WHEN {compared("x.primary_")} = {compared("x.cross_")} THEN 'agree'
     WHEN {supported("primary_")} AND NOT {supported("cross_")} THEN 'primary' WHEN {supported("cross_")} AND NOT {supported("primary_")} THEN 'cross_check' WHEN shaped THEN 'primary' ELSE 'cross_check' END AS winner,
     {supported("primary_")} AS supported, {compared("x.primary_")} AS compared FROM {_PAIRED} x WHERE cross_ IS NOT NULL""")
 def hybrid_winners(spark, sf_dir):
-    """U17 with S28, SC7 and SC8: each answer against the third after it."""
-    rows = answers(spark).withColumn("_n", F.row_number().over(Window.orderBy("a_id")))
-    both = rows.join(rows.select((F.col("_n") - 3).alias("_n"), F.col("answer").alias("cross")), "_n")
+    """U17 with S28, SC7 and SC8: each answer against that of the conversation's next turn."""
+    cross = F.lead("answer").over(Window.partitionBy("conv_id").orderBy("turn"))
+    both = answers(spark, sf_dir).withColumn("cross", cross).where("cross is not null")
     context = F.lit(CONTEXT)
     a = F.col("answer")
     return both.select("a_id", A.winner(A.asks_percent(F.col("question")), context, a, F.col("cross")).alias("winner"), A.supported(a, context).alias("supported"), A.for_compare(a).alias("compared"))
@@ -255,7 +256,7 @@ def hybrid_winners(spark, sf_dir):
 def bare_answers(spark, sf_dir):
     """S2 and S4."""
     a = F.col("answer")
-    return answers(spark).select("a_id", F.regexp_count(a, F.lit("[0-9]")).cast("long").alias("digits"), A.hedged(a).alias("hedged"), A.without_preamble(a).alias("bare"))
+    return answers(spark, sf_dir).select("a_id", F.regexp_count(a, F.lit("[0-9]")).cast("long").alias("digits"), A.hedged(a).alias("hedged"), A.without_preamble(a).alias("bare"))
 
 
 _SHAPE3 = "expects_regression OR expects_list OR expects_series_math"
@@ -265,7 +266,7 @@ _SHAPE2 = "expects_sum OR expects_percent OR expects_difference OR wants_monthly
 @query(f"{ASKS_SQL} SELECT q_id, pos, CASE pos WHEN 0 THEN '' ELSE {sql_list(L.PERSPECTIVES)}[pos + 1] END AS focus FROM (SELECT q_id, unnest(range(CASE WHEN {_SHAPE3} THEN 3 WHEN {_SHAPE2} THEN 3 ELSE 1 END)) AS pos FROM asks)")
 def rollout_plan(spark, sf_dir):
     """U16: the runs of each question and what each is told to look at."""
-    rows = W.runs(asks(spark).withColumn("prompt", F.lit("p")), 3)
+    rows = W.runs(asks(spark, sf_dir).withColumn("prompt", F.lit("p")), 3)
     return rows.select("q_id", F.col("pos").cast("long").alias("pos"), F.regexp_replace("prompt", r"(?s)^p(\n\nROLLOUT FOCUS:\n)?", "").alias("focus"))
 
 
@@ -279,7 +280,7 @@ def echo_length(prompt: str, variation: float) -> str:
 def answer_batch(spark, sf_dir):
     """U10 to U19 with a stand-in for the model; of three runs the middle answer of the one cluster wins."""
     none = spark.createDataFrame([], "q_id string, context string")
-    return W.answer_batch(asks(spark), none, echo_length, most=3).select("q_id", "answer")
+    return W.answer_batch(asks(spark, sf_dir), none, echo_length, most=3).select("q_id", "answer")
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN (turn * 2.0 + 1)::DOUBLE::VARCHAR WHEN turn % 4 = 1 THEN (turn + length(text))::DOUBLE::VARCHAR WHEN turn % 4 = 2 THEN 'Unknown tool: run' ELSE 'No numeric values found for field' END AS result FROM conversations WHERE text IS NOT NULL")
@@ -309,6 +310,17 @@ def eval_driver(spark, sf_dir):
     return W.evaluate(answers_, expected)[1]
 
 
+@query(
+    """WITH e AS (SELECT o_custkey AS uid, count(*) AS n, CASE WHEN o_custkey % 3 = 0 THEN 'hard' WHEN o_custkey % 3 = 1 THEN 'easy' ELSE '' END AS difficulty FROM orders GROUP BY o_custkey)
+    SELECT uid, difficulty, n FROM e QUALIFY row_number() OVER (PARTITION BY difficulty ORDER BY md5('7:' || uid), uid) <= 25"""
+)
+def sampled_questions(spark, sf_dir):
+    """25 keys of each difficulty by the least digests."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("uid")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.when(F.col("uid") % 3 == 0, "hard").when(F.col("uid") % 3 == 1, "easy").otherwise("")
+    return Z.bottom_k(rows.withColumn("difficulty", level), "uid", 25, "difficulty", "7").select("uid", "difficulty", "n")
+
+
 _B1 = f"SELECT *, coalesce(nullif({preamble('answer')}, ''), answer) AS bare, coalesce(nullif({preamble('answer')}, ''), answer) AS final0 FROM {N}"
 _NUM = f"^{L.NUMBER}$"
 _STRIP_DOTS = f"regexp_replace({strip('answer')}, '\\.+$', '')"
@@ -323,11 +335,19 @@ _VALUES = f"list_filter(list_transform(regexp_extract_all(answer, '{L.NUMBER}',
 def answer_clean(spark, sf_dir):
     """S1, S3, S4, S5 and S9."""
     a = F.col("answer")
-    rows = answers(spark).withColumn("bare", A.without_preamble(a))
+    rows = answers(spark, sf_dir).withColumn("bare", A.without_preamble(a))
     return rows.select("a_id", "bare", A.final_text(F.col("bare")).alias("final"), A.bare_value(F.col("bare")).alias("is_bare"), A.verify(F.col("question"), a).alias("verified"), A.several_numbers(a).alias("several"))
 
 
-@query("SELECT 'e1' AS e_id, (sqrt(16) + power(2, 3))::DOUBLE::VARCHAR AS result UNION ALL SELECT 'e2', round((1 + 2 + 3) / 7, 4)::DOUBLE::VARCHAR UNION ALL SELECT 'e3', 'error: ValueError' UNION ALL SELECT 'e4', 'error: ZeroDivisionError' UNION ALL SELECT 'e5', (greatest(3, 9) % 4)::DOUBLE::VARCHAR")
+_AT = "(o_orderkey % 1000)"
+
+
+@query(
+    f"""SELECT o_orderkey AS e_id, CASE o_orderkey % 5 WHEN 0 THEN (sqrt({_AT}::DOUBLE) + 8)::VARCHAR WHEN 1 THEN round((({_AT} + 5)::DOUBLE) / 7, 4)::VARCHAR WHEN 2 THEN 'error: ValueError'
+    WHEN 3 THEN 'error: ZeroDivisionError' ELSE (greatest({_AT}, 9) % 4)::DOUBLE::VARCHAR END AS result FROM orders"""
+)
 def calculate(spark, sf_dir):
-    """U4."""
-    return spark.createDataFrame(I.EXPRESSIONS, "e_id string, expression string").select("e_id", X.calculate("expression").alias("result"))
+    """U4: an expression for each order."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(key.alias("e_id"), filled_shape(pick(I.EXPRESSIONS, key % 5), {"n": key % 1000}).alias("expression"))
+    return rows.select("e_id", X.calculate("expression").alias("result"))

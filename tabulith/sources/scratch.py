@@ -47,6 +47,12 @@ def stash(df: DataFrame, label: str, collect: bool = False) -> DataFrame:
     return back
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores, for heavy work on each row of a table that has fewer partitions than there are cores; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def release(*frames: DataFrame) -> None:
     """Remove the folders of stashed frames that nothing reads any more: every frame made from them has itself been stashed."""
     for frame in frames:

@@ -115,8 +115,10 @@ def test_merge_windows_folds_against_the_last_interval(spark):
                 done.append([a, b])
         return done
 
-    frame = spark.createDataFrame([(i, g) for i, g in enumerate(groups)], "i int, w array<struct<score:int,first:int,last:int>>")
-    got = {r.i: [[m["first"], m["last"]] for m in r.m] for r in frame.select("i", N.merge_windows(F.col("w")).alias("m")).collect()}
+    frame = spark.createDataFrame([(i, *w) for i, g in enumerate(groups) for w in g], "i int, score int, first int, last int")
+    got: dict[int, list] = {}
+    for r in N.merge_windows(frame, "i").orderBy("i", "place").collect():
+        got.setdefault(r.i, []).append([r["first"], r["last"]])
     assert got == {i: fold(g) for i, g in enumerate(groups)}
 
 
@@ -124,13 +126,76 @@ def test_window_snippets(spark):
     text = "\n".join(["prose"] * 30 + ["Total receipts 1953   12,000   14,000"] + ["prose"] * 30)
     rows = [("q", 1, text, ["receipts"], [1953], ["expects_difference"]), ("q", 2, None, ["receipts"], [1953], []), ("q", 3, "", ["receipts"], [], []), ("q", 4, "no sign here", ["here"], [], [])]
     frame = spark.createDataFrame(rows, "q_id string, doc_id int, text string, keywords array<string>, years array<int>, flags array<string>")
-    scored = N.windows(frame).withColumn("score", N.window_score()).collect()
+    scored = N.scored_windows(frame).collect()
     # a keyword, a year, a table line and the cue of totals
     assert [(r["first"], r["last"], r["score"]) for r in scored] == [(20, 41, 3 + 10 + 1 + 12)]
     found = N.window_snippets(frame, 70).collect()
     assert [(r.doc_id, r.first_line, r.end_line, r.snippet) for r in found] == [(1, 20, 41, "\n".join(text.split("\n")[20:41])[:70])]
 
 
+def test_windows_of_long_texts_in_pieces(spark):
+    """Pieces of seven lines give the windows of the whole text, and those of a loop that scores each window's own text."""
+    import random
+    import re
+
+    dice = random.Random(9)
+    words = ["Total receipts", "1953", "12,000 14,000", "", "plain words", "Schedule:", "May 5%", "net   1,200", "average rate", "'", "calendar year 1953", "  | a | b | 12 |"]
+    text = "\n".join(" ".join(dice.choices(words, k=dice.randrange(3))) for _ in range(90))
+    flags = ["expects_sum", "expects_date", "expects_percent", "wants_calendar_year"]
+    rows = [("q", 1, text, ["receipts", "average rate", "Net"], [1953, 12], flags), ("p", 1, text, [], [], ["expects_list", "expects_regression"])]
+    frame = spark.createDataFrame(rows, "q_id string, doc_id int, text string, keywords array<string>, years array<int>, flags array<string>")
+    key = lambda got: sorted(map(tuple, got.collect()))
+    whole = key(N.scored_windows(frame))
+    assert whole and whole == key(N.scored_windows(frame, chunk=7))
+    lines = [x.rstrip() for x in text.split("\n")]
+    about = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", T.table_signal(F.col("x")).alias("t"), T.heading_signal(F.col("x")).alias("h")).collect()
+    table, head = {r.i: r.t for r in about}, {r.i: r.h for r in about}
+    for q, _, first, last, score in whole:
+        held = [i for i in range(first, last) if lines[i].replace("'", "")]
+        body = "\n".join(lines[i].lower().replace("'", "") for i in held)
+        want = min(sum(table[i] >= 2 for i in held), 12) + sum(head[i] for i in held[:4])
+        if q == "q":
+            want += min(body.count("receipts"), 4) * 3 + min(body.count("average rate"), 4) * 10 + min(body.count("net"), 4) * 3
+            want += sum(10 * bool(re.search(rf"(?<![0-9]){y}(?![0-9])", body)) for y in (1953, 12))
+            want += 12 * bool(re.search(r"\b(total|net|receipts)\b", body)) + 12 * bool(re.search(r"\bdate\b|\bissue\b", body)) + 6 * bool(re.search(r"\bmay\b", body)) + 8 * ("%" in body) + 10 * bool(re.search(r"\bcalendar year\b", body))
+        else:
+            want += 14 * (len(re.findall(r"\b(?:19|20)[0-9]{2}\b", body)) >= 4) + 10 * (len(re.findall(r"[0-9][0-9,]*", body)) >= 6)
+        assert score == want, (q, first, last)
+
+
+def test_sections_of_any_length(spark):
+    """Chunks of lines whose functions of the count before them are composed give the sections of a plain fold."""
+    import random
+
+    dice = random.Random(4)
+    kinds = ["prose of no sign"] * 30 + [""] * 9 + ["Table of things:", "| a | b | c |", "| 1 | 2 | 3 |", "1953   12,000   14%", "  \t", "Schedule A"]
+    texts = ["\n".join(dice.choices(kinds if i % 2 else ["prose", "", "more prose"], k=dice.randrange(1, 400))) for i in range(25)] + ["\n" * 50 + "late", "", "\n\n", "\n".join(["word"] * 1000)]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+
+    signals = docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "x")).select("doc_id", "i", F.rtrim("x").alias("x"), T.table_signal(T.rstrip(F.col("x"))).alias("t"), T.table_signal(T.strip(F.col("x"))).alias("s"), T.heading_signal(F.col("x")).alias("h"))
+    by_doc: dict[int, list] = {}
+    for r in signals.orderBy("doc_id", "i").collect():
+        by_doc.setdefault(r.doc_id, []).append((r.x.rstrip(), r.t, r.s, r.h))
+
+    def fold(lines, most):
+        out, n = [], 0
+        for i, (x, _, s, h) in enumerate(lines):
+            before = lines[i - 1] if i else None
+            cut = before and (x.count("|") >= 3 and "|" not in before[0] or h >= 2 or s >= 3 and before[1] == 0)
+            if x and (n == 0 or cut or n >= most):
+                out.append([i, []])
+                n = 0
+            if out:
+                out[-1][1].append(x)
+                n += 1
+        return [(k, at, sum(x != "" for x in xs), "\n".join(xs).strip(" \t\n")) for k, (at, xs) in enumerate(out)]
+
+    want = sorted((d, *s) for d, lines in by_doc.items() for s in fold(lines, 12))
+    for args in ({}, {"whole": 10, "chunk": 5}, {"whole": 200, "chunk": 37}):
+        got = sorted(map(tuple, B.section_texts(docs, most=12, **args).collect()))
+        assert got == want, args
+
+
 def test_line_signals_count_months(spark, tmp_path):
     import re
 
@@ -143,7 +208,7 @@ def test_line_signals_count_months(spark, tmp_path):
         month = re.search(r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b", line.lower(), re.ASCII)
         return bool(re.search("[0-9]", line)) + 2 * (len(re.findall("[0-9][0-9,.]*", line)) >= 2) + bool(month) + bool(re.search("[%$]", line)) + bool(re.search(r"\s{2,}|\t", line))
 
-    got = {r.doc_id: (r.table_signal, r.table_lines) for r in catalogue.line_signals_full(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.table_signal, r.table_lines) for r in catalogue.line_signals(spark, str(tmp_path)).collect()}
     want = {i: [signal(x) for x in t.split("\n")] for i, t in enumerate(texts)}
     assert got == {i: (sum(s), sum(x >= 2 for x in s)) for i, s in want.items()}
     assert got == {r.doc_id: (r.table_signal, r.table_lines) for r in catalogue.line_signals(spark, str(tmp_path)).collect()}

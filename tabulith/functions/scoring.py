@@ -78,9 +78,10 @@ def with_conditions(questions: DataFrame, text: str = "question") -> DataFrame:
     )
 
 
-def keyword_points(keywords: Column, text: Column, most: int, phrase: int, word: int) -> Column:
-    """Capped counts of the keywords, weighted by whether they are phrases."""
-    return F.aggregate(keywords, F.lit(0), lambda s, k: s + F.least(T.occurrences(text, k), F.lit(most)) * F.when(k.contains(" "), phrase).otherwise(word))
+def keyword_points(keywords: Column, hits: Column, most: int, phrase: int, word: int) -> Column:
+    """Capped counts of the keywords from a text's hits (map<phrase, count>), weighted by whether they are phrases."""
+    count = lambda k: F.coalesce(F.try_element_at(hits, k), F.lit(0))
+    return F.aggregate(keywords, F.lit(0), lambda s, k: s + F.least(count(k), F.lit(most)) * F.when(k.contains(" "), phrase).otherwise(word))
 
 
 def known_years(text: Column) -> Column:
@@ -106,37 +107,53 @@ def _mask(line: Column) -> Column:
     return total([F.when(low.contains(m), 1 << i).otherwise(0) for i, m in enumerate(L.MONTHS)])
 
 
-def section_features(section: Column) -> Column:
-    lines = F.filter(T.lines(section), lambda x: T.strip(x) != "")
-    count = lambda test: F.size(F.filter(lines, test))
-    top = F.slice(lines, 1, 6)
-    dated = F.filter(F.transform(lines, lambda x: F.struct(F.array_distinct(known_years(x)).alias("years"), (T.table_signal(x) >= 2).alias("table"))), lambda x: F.size(x["years"]) > 0)
-    low = F.lower
-    return F.struct(
-        F.size(lines).alias("n"),
-        T.normalize(F.array_join(top, " ")).alias("title"),
-        T.normalize(section).alias("body"),
-        count(lambda x: T.table_signal(x) >= 2).alias("table"),
-        F.aggregate(F.slice(lines, 1, 4), F.lit(0), lambda s, x: s + T.heading_signal(x)).alias("heading"),
-        F.exists(top, lambda x: T.heading_signal(x) > 0).alias("headed"),
-        count(lambda x: F.regexp_count(x, F.lit(R.YEAR)) >= 2).alias("dense"),
-        count(lambda x: low(x).rlike(R.MONTH)).alias("monthly"),
-        count(lambda x: F.regexp_count(x, F.lit(R.NUMBERS)) >= 4).alias("numeric"),
-        count(lambda x: low(x).rlike(L.MONTH_WORD + r"|\bdate\b|\bissue\b")).alias("dates"),
-        count(lambda x: x.contains("%") | low(x).contains("percent")).alias("percents"),
-        count(lambda x: low(x).rlike(L.WINDOW_TOTALS)).alias("totals"),
-        F.filter(F.transform(lines, _mask), lambda m: m > 0).alias("months"),
+#: Bits of a section's line: signs of a table, several years, a month, several numbers, a date, a percentage, totals.
+_TABLE, _DENSE, _MONTHLY, _NUMERIC, _DATED, _PERCENT, _TOTAL = (1 << i for i in range(7))
+
+
+def _line(x: Column) -> Column:
+    """What scores read of a line, each pattern tried once; patterns of figures only where there is a digit."""
+    low = F.lower(x)
+    bit = lambda test, value: F.when(test, value).otherwise(0)
+    digits = bit(F.regexp_count(x, F.lit(R.YEAR)) >= 2, _DENSE) + bit(F.regexp_count(x, F.lit(R.NUMBERS)) >= 4, _NUMERIC)
+    bits = bit(T.table_signal(x) >= 2, _TABLE) + F.when(x.rlike("[0-9]"), digits).otherwise(0) + bit(low.rlike(R.MONTH), _MONTHLY)
+    bits += bit(low.rlike(L.MONTH_WORD + r"|\bdate\b|\bissue\b"), _DATED) + bit(x.contains("%") | low.contains("percent"), _PERCENT) + bit(low.rlike(L.WINDOW_TOTALS), _TOTAL)
+    return F.struct(x.alias("x"), bits.alias("bits"), T.heading_signal(x).alias("heading"), _mask(x).alias("months"), F.when(x.rlike("[0-9]"), F.array_distinct(known_years(x))).otherwise(F.array().cast("array<int>")).alias("years"))
+
+
+def with_section_features(rows: DataFrame, section: str, out: str = "section") -> DataFrame:
+    """Add ``out``, the features of a section's text; its lines are looked at once, in a column of their own."""
+    lines = F.transform(F.filter(T.lines(F.col(section)), lambda x: T.strip(x) != ""), _line)
+    rows = rows.withColumn("_looked", lines)
+    count = lambda bit: F.size(F.filter("_looked", lambda x: x["bits"].bitwiseAND(F.lit(bit)) != 0))
+    top = F.slice("_looked", 1, 6)
+    dated = F.transform(F.filter("_looked", lambda x: F.size(x["years"]) > 0), lambda x: F.struct(x["years"].alias("years"), (x["bits"].bitwiseAND(F.lit(_TABLE)) != 0).alias("table")))
+    features = F.struct(
+        F.size("_looked").alias("n"),
+        T.normalize(F.array_join(F.transform(top, lambda x: x["x"]), " ")).alias("title"),
+        T.normalize(F.col(section)).alias("body"),
+        count(_TABLE).alias("table"),
+        F.aggregate(F.slice("_looked", 1, 4), F.lit(0), lambda s, x: s + x["heading"]).alias("heading"),
+        F.exists(top, lambda x: x["heading"] > 0).alias("headed"),
+        count(_DENSE).alias("dense"),
+        count(_MONTHLY).alias("monthly"),
+        count(_NUMERIC).alias("numeric"),
+        count(_DATED).alias("dates"),
+        count(_PERCENT).alias("percents"),
+        count(_TOTAL).alias("totals"),
+        F.filter(F.transform("_looked", lambda x: x["months"]), lambda m: m > 0).alias("months"),
         dated.alias("dated"),
     )
+    return rows.withColumn("_features", features).drop("_looked", *([out] if out in rows.columns else [])).withColumnRenamed("_features", out)
 
 
 def section_score(f: str = "section") -> Column:
-    """SC1 of a section's features and a question's columns."""
+    """SC1 of a section's features and hits and a question's columns."""
     s, q = lambda name: F.col(f"{f}.{name}"), F.col
     capped = lambda name, most, weight: F.least(s(name), F.lit(most)) * weight
     when = lambda flag, points: F.when(flag, points).otherwise(0)
     asked = F.aggregate("month_numbers", F.lit(0), lambda a, m: a.bitwiseOR(F.call_function("shiftleft", F.lit(1), m - 1)))
-    score = keyword_points(q("keywords"), s("title"), 2, 36, 10) + keyword_points(q("keywords"), s("body"), 4, 8, 2)
+    score = keyword_points(q("keywords"), s("title_hits"), 2, 36, 10) + keyword_points(q("keywords"), s("body_hits"), 4, 8, 2)
     score += capped("table", 12, 1) + s("heading")
     score += when(q("expects_regression"), capped("dense", 8, 4)) + when(q("expects_series_math"), capped("dense", 6, 3) + capped("monthly", 8, 2))
     score += when(q("expects_list"), capped("numeric", 8, 3)) + when(q("expects_date"), capped("dates", 8, 3)) + when(q("expects_percent"), capped("percents", 8, 2))
@@ -175,11 +192,11 @@ def table_features(title: Column, text: Column, unit: Column, whole: Column, cod
     )
 
 
-def table_score(f: str = "features") -> Column:
-    """SC2 of a table's features and a question's columns."""
+def table_score(f: str = "features", title: str = "title_hits", text: str = "text_hits") -> Column:
+    """SC2 of a table's features and hits and a question's columns."""
     t, q = lambda name: F.col(f"{f}.{name}"), F.col
     coded = t("code") != ""
-    score = keyword_points(q("keywords"), t("title"), 2, 42, 12) + keyword_points(q("keywords"), t("text"), 6, 10, 3)
+    score = keyword_points(q("keywords"), q(title), 2, 42, 12) + keyword_points(q("keywords"), q(text), 6, 10, 3)
     score += F.when(coded, 22 + F.when(F.array_contains(q("codes"), t("code")), 55).otherwise(0)).otherwise(0)
     score += F.least(t("pipe_lines"), F.lit(14))
     year = lambda y: F.when(F.array_contains(t("title_years"), y), 15).otherwise(0) + F.least(F.size(F.filter(t("text_years"), lambda x: x == y)), F.lit(6)) * 4
@@ -213,11 +230,6 @@ def file_features(heading: Column, content: Column) -> Column:
     )
 
 
-def _heading_points(f: str) -> Column:
-    h, q = lambda name: F.col(f"{f}.{name}"), F.col
-    return keyword_points(q("keywords"), h("heading"), 3, 8, 3) + F.least(F.size(F.array_intersect(q("terms"), h("terms"))), F.lit(5)) * 8
-
-
 #: The months for which a publication counts, from the first issue that may print the last year's figures.
 PUBLICATION_SPAN = (min(low for low, *_ in R.PUBLICATION), max(high for _, high, *_ in R.PUBLICATION))
 
@@ -233,17 +245,19 @@ def publication() -> Column:
 
 
 def file_score(f: str = "features", name: str = "file_name", content: str = "norm_text") -> Column:
-    """SC4 without sections and tables: file name, headings, whole text, date rules and heading rules."""
+    """SC4 without sections and tables: file name, headings, whole text, date rules and heading rules; hits of both texts are given."""
     h, q = lambda field: F.col(f"{f}.{field}"), F.col
     low, body = F.lower(F.col(name)), F.col(content)
 
     def word(k: Column) -> Column:
         phrase = k.contains(" ")
         in_name = F.when(low.contains(k), F.when(phrase, 2).otherwise(1)).otherwise(0)
-        in_text = F.when(phrase, F.least(T.occurrences(body, k), F.lit(3)) * 6).when((F.length(k) >= 6) & body.contains(k), 2).otherwise(0)
+        held = F.coalesce(F.try_element_at("content_hits", k), F.lit(0))
+        in_text = F.when(phrase, F.least(held, F.lit(3)) * 6).when((F.length(k) >= 6) & (held > 0), 2).otherwise(0)
         return in_name + in_text
 
-    score = F.aggregate(q("keywords"), F.lit(0), lambda s, k: s + word(k)) + _heading_points(f) + publication()
+    score = F.aggregate(q("keywords"), F.lit(0), lambda s, k: s + word(k)) + publication()
+    score += keyword_points(q("keywords"), q("heading_hits"), 3, 8, 3) + F.least(F.size(F.array_intersect(q("terms"), h("terms"))), F.lit(5)) * 8
     dated = total([F.expr(r) for r in R.DATE_RULES])
     score += F.when(q("fy").isNotNull() & (q("n_years") > 0), dated).otherwise(0)
     score += total([F.coalesce(F.expr(r), F.lit(0)) for r in R.OTHER_DATE_RULES])

@@ -10,8 +10,10 @@ from tabulith.functions import lexicon as L
 from tabulith.functions import scoring as S
 from tabulith.functions import text as T
 from tabulith.operators import ranking as R
+from tabulith.operators import scoring as O
 from tabulith.operators import snippets as N
 from tabulith.operators import tables as B
+from tabulith.sources.scratch import spread, stash
 
 #: Tables of a file at most, least budget of a section, and how many sections share a file's budget at most.
 TABLES, SECTION_LEAST, SECTIONS = 3, 2500, 3
@@ -26,7 +28,8 @@ def needs(text: str = "question") -> dict[str, Column]:
 
 def table_snippets(chosen: DataFrame, asks: DataFrame, tables: DataFrame, key: str = "doc_id", text: str = "question") -> DataFrame:
     """K5 by tables: (q_id, key, block_no, place, snippet) of the best tables of each chosen file (q_id, key, budget) that fit its budget."""
-    rows = chosen.select("q_id", key, "budget").join(asks, "q_id").join(tables, key).withColumn("_s", S.table_score()).where("_s > 0")
+    near = stash(O.table_hits(tables.join(chosen.select(key).distinct(), key, "left_semi"), asks), "table_hits")
+    rows = spread(chosen.select("q_id", key, "budget")).join(asks, "q_id").join(near, key).withColumn("_s", S.table_score()).where("_s > 0")
     body = T.strip(B.narrowed(T.strip(F.col("body")), **needs(text)))
     head = F.when((F.col("unit_hint") != "") & ~F.col("title").contains(F.col("unit_hint")), F.concat(F.lit("\nUNIT: "), F.col("unit_hint"))).otherwise("")
     rows = rows.withColumn("snippet", F.concat(F.lit("TABLE TITLE: "), F.col("title"), head, F.lit("\n"), body))
@@ -46,7 +49,8 @@ def section_snippets(chosen: DataFrame, asks: DataFrame, docs: DataFrame, key: s
     parts = B.section_texts(docs.join(chosen.select(key).distinct(), key, "left_semi").select(key, text), key, text)
     lines = F.filter(T.lines(F.col("section")), lambda x: T.strip(x) != "")
     dense = F.aggregate(lines, F.lit(0), lambda s, x: s + T.table_signal(x)) + F.aggregate(F.slice(lines, 1, 6), F.lit(0), lambda s, x: s + T.heading_signal(x))
-    rows = parts.withColumns({"features": S.section_features(F.col("section")), "_dense": dense}).join(named, key).join(asks, "q_id")
+    seen = stash(O.section_hits(parts.withColumn("_dense", dense), asks, out="features").select(key, "section_no", "section", "_dense", "features"), "sections")
+    rows = seen.join(named, key).join(asks, "q_id")
     flags = [f for f, _, _ in L.WINDOW_CUES] + ["expects_sum", "expects_difference", "expects_regression", "expects_list", "expects_series_math"]
     rows = rows.withColumns({"_score": S.section_score("features"), "flags": F.array_compact(F.array(*(F.when(F.col(f), F.lit(f)) for f in flags)))})
     pair = Window.partitionBy("q_id", key)

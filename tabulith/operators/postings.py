@@ -6,12 +6,13 @@ A question meets a text only where a phrase, a term, a family or a month leads f
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, MapType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tabulith.sources.scratch import stash
@@ -45,36 +46,40 @@ def counts(text: str, machine: ahocorasick.Automaton) -> dict[int, int]:
     return out
 
 
-def phrase_hits(texts: DataFrame, phrases: DataFrame, text: str, out: str, most: int = MOST_PHRASES) -> DataFrame:
-    """Add ``out``, the phrases (column ``phrase``, distinct) that each text has, as array<struct<phrase, n>>, sorted; null texts have none.
+def phrase_hits(texts: DataFrame, phrases: DataFrame, named: dict[str, str], most: int = MOST_PHRASES) -> DataFrame:
+    """Replace text columns by the phrases (column ``phrase``, distinct) that each has, as map<phrase, count>; null texts have none.
 
-    The driver takes at most about ``most`` phrases at a time; where there are more, each share of them passes over the texts by itself.
+    ``named`` gives each text column the name of its map.  The driver takes at most about ``most`` phrases at a time; where there are more,
+    each share of them passes over the texts by itself.
     """
     spark = texts.sparkSession
     shares = max(1, -(-phrases.count() // most))
-    schema = texts.drop(text).withColumn(out, F.expr("cast(array() as array<struct<phrase: string, n: int>>)")).schema
-    names_out = [*(c for c in texts.columns if c != text), out]
-    at, kind = texts.columns.index(text), pa.list_(pa.struct([("phrase", pa.string()), ("n", pa.int32())]))
-
-    def one_share(share: int, rows: DataFrame) -> DataFrame:
+    out = texts
+    for share in range(shares):
         mine = phrases if shares == 1 else phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(shares)) == share)
         words = spark.sparkContext.broadcast(sorted(r.phrase for r in mine.select("phrase").collect()))
+        out = _hits_of_share(out, words, {text: f"{name}{share}" for text, name in named.items()}, share == shares - 1)
+    for name in named.values():
+        out = out.withColumn(name, F.map_concat(*(f"{name}{i}" for i in range(shares)))).drop(*(f"{name}{i}" for i in range(shares)))
+    return out
+
+
+def _hits_of_share(texts: DataFrame, words: Broadcast, named: dict[str, str], last: bool) -> DataFrame:
+    """Add the maps of one share of the phrases; the last share drops the texts."""
+    kept = [(i, c) for i, c in enumerate(texts.columns) if not (last and c in named)]
+    at = [texts.columns.index(c) for c in named]
+    names_out, kind = [*(c for _, c in kept), *named.values()], pa.map_(pa.string(), pa.int32())
+    schema = StructType([*(texts.schema[c] for _, c in kept), *(StructField(n, MapType(StringType(), IntegerType())) for n in named.values())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = words.value
+        machine = automaton(names)
+        hits = lambda t: [] if t is None or machine is None else [(names[i], n) for i, n in counts(t, machine).items()]
+        for batch in batches:
+            found = [pa.array([hits(t) for t in batch.column(i).to_pylist()], kind) for i in at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i, _ in kept), *found], names=names_out)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = words.value
-            machine = automaton(names)
-            for batch in batches:
-                found = [[] if t is None or machine is None else [{"phrase": names[i], "n": n} for i, n in sorted(counts(t, machine).items())] for t in batch.column(at).to_pylist()]
-                kept = [c for i, c in enumerate(batch.columns) if i != at]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(found, kind)], names=names_out)
-
-        return rows.mapInArrow(run, schema)
-
-    if shares == 1:
-        return one_share(0, texts)
-    keys = [c for c in texts.columns if c != text]
-    parts = reduce(DataFrame.union, (one_share(i, texts) for i in range(shares)))
-    return parts.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list(out))).alias(out))
+    return texts.mapInArrow(run, schema)
 
 
 def _scored(met: DataFrame, key: str) -> DataFrame:

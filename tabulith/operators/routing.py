@@ -20,7 +20,7 @@ def set_scores(texts: DataFrame, sets: DataFrame, key: str, text: str = "text")
     low = texts.select(key, F.lower(F.col(text)).alias("_low"))
     words = low.select(key, F.explode(F.array_distinct(T.find_all(F.col("_low"), r"[\p{L}\p{N}_]+"))).alias("entry"))
     phrases = sets.where("not whole").select(F.col("entry").alias("phrase")).distinct()
-    parts = N.phrase_hits(low, phrases, "_low", "_h").select(key, F.explode("_h.phrase").alias("entry"))
+    parts = N.phrase_hits(low, phrases, {"_low": "_h"}).select(key, F.explode(F.map_keys("_h")).alias("entry"))
     met = words.join(sets.where("whole"), "entry").union(parts.join(sets.where("not whole"), "entry"))
     return met.groupBy(key, "set").agg(F.sum("weight").alias("score"))
 

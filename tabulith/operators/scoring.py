@@ -14,7 +14,7 @@ from tabulith.functions import text as T
 from tabulith.operators import postings as N
 from tabulith.operators import ranking as R
 from tabulith.operators import tables as B
-from tabulith.sources.scratch import stash
+from tabulith.sources.scratch import spread, stash
 
 
 def scored_tables(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -23,7 +23,7 @@ def scored_tables(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     titles = B.block_titles(blocks, docs, key, text).select(key, "block_no", "unit_hint", F.col("full_title").alias("title"), "table_code")
     rows = blocks.join(titles, [key, "block_no"])
     # columns of their own, as dozens of patterns read them
-    rows = rows.withColumns({"_t": T.normalize(F.col("title")), "_b": T.normalize(F.col("body")), "_u": T.normalize(F.col("unit_hint"))}).withColumn("_a", F.concat_ws("\n", "_t", "_b", "_u"))
+    rows = spread(rows).withColumns({"_t": T.normalize(F.col("title")), "_b": T.normalize(F.col("body")), "_u": T.normalize(F.col("unit_hint"))}).withColumn("_a", F.concat_ws("\n", "_t", "_b", "_u"))
     features = S.table_features(F.col("_t"), F.col("_b"), F.col("_u"), F.col("_a"), F.col("table_code"), F.col("pipe_lines"))
     return rows.select(key, "block_no", "title", "unit_hint", "body", "pipe_lines", features.alias("features"))
 
@@ -43,11 +43,28 @@ def files(docs: DataFrame, tables: DataFrame, key: str = "doc_id", text: str = "
     return rows.select(key, "file_name", F.year("pub_date").alias("fy"), F.month("pub_date").alias("fm"), "pub_date", features.alias("features"))
 
 
+def phrases(asks: DataFrame) -> DataFrame:
+    """The distinct keywords of all questions."""
+    return asks.select(F.explode("keywords").alias("phrase")).where("phrase <> ''").distinct()
+
+
+def table_hits(tables: DataFrame, asks: DataFrame) -> DataFrame:
+    """Tables with the questions' keywords in their titles and texts, as SC2 reads them."""
+    return N.phrase_hits(tables.withColumns({"_title": F.col("features.title"), "_text": F.col("features.text")}), phrases(asks), {"_title": "title_hits", "_text": "text_hits"})
+
+
+def section_hits(sections: DataFrame, asks: DataFrame, section: str = "section", out: str = "section") -> DataFrame:
+    """Sections with ``out``, a struct of their features and of the questions' keywords in their titles and bodies, as SC1 reads it."""
+    seen = S.with_section_features(sections, section, "_f").withColumns({"_title": F.col("_f.title"), "_body": F.col("_f.body")})
+    seen = N.phrase_hits(seen, phrases(asks), {"_title": "title_hits", "_body": "body_hits"})
+    whole = F.struct("_f.*", "title_hits", "body_hits")
+    return seen.withColumn("_f", whole).drop("title_hits", "body_hits", *([out] if out in seen.columns else [])).withColumnRenamed("_f", out)
+
+
 def heading_postings(asks: DataFrame, files_: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, feature, n) of what SC3 reads of a file: the questions' keywords in its headings, dimension terms, families and its month."""
-    phrases = asks.select(F.explode("keywords").alias("phrase")).where("phrase <> ''").distinct()
-    hits = N.phrase_hits(files_.select(key, F.col("features.heading").alias("_text")), phrases, "_text", "_hits").select(key, F.explode("_hits").alias("_h"))
-    words = hits.select(key, F.concat(F.lit("k:"), "_h.phrase").alias("feature"), F.col("_h.n").alias("n"))
+    hits = N.phrase_hits(files_.select(key, F.col("features.heading").alias("_text")), phrases(asks), {"_text": "_hits"}).select(key, F.explode("_hits").alias("_p", "n"))
+    words = hits.select(key, F.concat(F.lit("k:"), "_p").alias("feature"), "n")
     terms = files_.select(key, F.explode("features.terms").alias("_t")).select(key, F.concat(F.lit("t:"), "_t").alias("feature"), F.lit(1).alias("n"))
     families = files_.select(key, F.posexplode("features.families").alias("_i", "n")).where("n > 0").select(key, F.concat(F.lit("f:"), "_i").alias("feature"), F.col("n").cast("int").alias("n"))
     months = files_.where("fy is not null and fm is not null").select(key, F.concat(F.lit("m:"), F.col("fy") * 12 + F.col("fm")).alias("feature"), F.lit(1).alias("n"))
@@ -86,14 +103,17 @@ def cheap_best(asks: DataFrame, files_: DataFrame, first: int = 30, key: str = "
 def full_scores(pairs: DataFrame, asks: DataFrame, docs: DataFrame, files_: DataFrame, tables: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """SC4 of the given pairs (q_id, key): (q_id, key, file_name, section, table, score); only documents that pairs name are cut into sections."""
     wanted = pairs.select(key).distinct()
-    named = docs.join(wanted, key, "left_semi").select(key, T.preview(F.col(text)).alias("_p"), T.normalize(F.col(text)).alias("norm_text"))
-    parts = B.section_texts(named.select(key, F.col("_p").alias("text")), key).select(key, S.section_features(F.col("section")).alias("section"))
-    met = pairs.select("q_id", key).join(asks, "q_id")
+    named = spread(docs.join(wanted, key, "left_semi").select(key, T.preview(F.col(text)).alias("_p"), T.normalize(F.col(text)).alias("norm_text")))
+    parts = stash(section_hits(B.section_texts(named.select(key, F.col("_p").alias("text")), key), asks).select(key, "section"), "sections")
+    near = stash(table_hits(tables.join(wanted, key, "left_semi").select(key, "features"), asks), "table_hits")
+    held = files_.select(key, "file_name", "fy", "fm", "features", F.col("features.heading").alias("_heading")).join(named.select(key, F.col("norm_text").alias("_content"), "norm_text"), key)
+    held = stash(N.phrase_hits(held, phrases(asks), {"_heading": "heading_hits", "_content": "content_hits"}), "file_hits")
+    # a pair is cheap to move and dear to score
+    met = spread(pairs.select("q_id", key)).join(asks, "q_id")
     best_section = met.join(parts, key).groupBy("q_id", key).agg(F.max(S.section_score()).alias("section"))
-    best_table = met.join(tables.select(key, "features"), key).groupBy("q_id", key).agg(F.max(S.table_score()).alias("table"))
-    whole = met.join(files_.select(key, "file_name", "fy", "fm", "features"), key).join(named.select(key, "norm_text"), key)
+    best_table = met.join(near, key).groupBy("q_id", key).agg(F.max(S.table_score()).alias("table"))
     # the month asked for, of the file's own
-    whole = whole.withColumn("month_asked", F.coalesce(F.array_contains("month_numbers", F.col("fm")), F.lit(False)))
+    whole = met.join(held, key).withColumn("month_asked", F.coalesce(F.array_contains("month_numbers", F.col("fm")), F.lit(False)))
     own = whole.select("q_id", key, "file_name", F.when(F.col("norm_text") != "", S.file_score()).alias("own"))
     rows = own.join(best_section, ["q_id", key], "left").join(best_table, ["q_id", key], "left")
     section, table = F.coalesce("section", F.lit(0)), F.least(F.greatest(F.coalesce("table", F.lit(0)), F.lit(0)), F.lit(260))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql.window import Window
 from tabulith.functions import lexicon as L
 from tabulith.functions import text as T
 from tabulith.operators import ranking as R
+from tabulith.sources.scratch import spread, stash
 
 #: Lines on each side of an anchor: for questions that need a whole column of figures, for sums, for others.
 RADII = (18, 14, 10)
@@ -47,10 +50,26 @@ def _more_features(x: Column) -> Column:
     return F.when(low == "", blank).otherwise(F.struct(bits.alias("bits"), x["heading"].alias("heading"), count(r"\b(?:19|20)[0-9]{2}\b").alias("years"), count(r"-?[0-9][0-9,]*\.?[0-9]*").alias("numbers")))
 
 
-def _hits(low: Column, keywords: Column, years: Column) -> Column:
-    """How often a line has each keyword, then whether it has each year outside longer numbers."""
-    found = T.find_all(low, "[0-9]+")
-    return F.concat(F.transform(keywords, lambda k: T.occurrences(low, k)), F.transform(years, lambda y: F.array_contains(found, y.cast("string")).cast("int")))
+def _places(body: str, keyword: str) -> list[int]:
+    """Where the keyword stands in a text, places without overlap, from the left."""
+    out, at = [], body.find(keyword) if keyword else -1
+    while at >= 0:
+        out.append(at)
+        at = body.find(keyword, at + len(keyword))
+    return out
+
+
+def _hits(low: list[str], keywords: list[str], years: list[int]) -> np.ndarray:
+    """How often each line has each keyword, then whether it has each year outside longer numbers."""
+    body = "\n".join(low)
+    ends = np.cumsum([len(x) + 1 for x in low])
+    out = np.zeros((len(low), len(keywords) + len(years)), np.int64)
+    for j, keyword in enumerate(keywords):
+        np.add.at(out[:, j], np.searchsorted(ends, _places(body, keyword), "right"), 1)
+    for j, year in enumerate(years, len(keywords)):
+        at = [m.start() for m in re.finditer(rf"(?<![0-9]){year}(?![0-9])", body)]
+        out[np.searchsorted(ends, at, "right"), j] = 1
+    return out
 
 
 def _sums(values: np.ndarray) -> np.ndarray:
@@ -58,7 +77,7 @@ def _sums(values: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0, dtype=np.int64)])
 
 
-def _score(bits: np.ndarray, heading: np.ndarray, years: np.ndarray, numbers: np.ndarray, hits: np.ndarray, weights: np.ndarray, radius: int, asked: int, skip: int, own: int, offset: int) -> list[dict]:
+def _score(bits: np.ndarray, heading: np.ndarray, dates: np.ndarray, numbers: np.ndarray, low: list[str], keywords: list[str], years: list[int], radius: int, asked: int, skip: int, own: int, offset: int) -> list[dict]:
     """The windows of a piece's own lines with a positive score.  Each is a difference of prefix sums: its cost is the number of features, not its text."""
     at = np.flatnonzero(bits[skip : skip + own] & ANCHOR) + skip
     if not len(at):
@@ -67,9 +86,10 @@ def _score(bits: np.ndarray, heading: np.ndarray, years: np.ndarray, numbers: np
     first, last = np.maximum(at - radius, 0), np.minimum(at + radius + 1, n)
     within = lambda values: (s := _sums(values))[last] - s[first]
     any_of = lambda bit: within((bits & bit) > 0) > 0
-    # a keyword weighs 3 or 10 and counts four times at most, a year weighs 0 here, 10 in all, and counts once
-    caps, points = np.where(weights == 0, 1, 4), np.where(weights == 0, 10, weights)
-    score = np.minimum(within(hits.reshape(n, len(weights))), caps) @ points if len(weights) else np.zeros(len(at), np.int64)
+    # a keyword weighs 3 or 10 and counts four times at most, a year weighs 10 and counts once
+    caps = np.array([4] * len(keywords) + [1] * len(years), np.int64)
+    points = np.array([10 if " " in k else 3 for k in keywords] + [10] * len(years), np.int64)
+    score = np.minimum(within(_hits(low, keywords, years)), caps) @ points
     score = score + np.minimum(within((bits & TABLE) > 0), 12)
     filled = (bits & FILLED) > 0
     rank, heads = _sums(filled), _sums(heading[filled])
@@ -80,7 +100,7 @@ def _score(bits: np.ndarray, heading: np.ndarray, years: np.ndarray, numbers: np
     if asked & TOTALS:
         score += 12 * any_of(TOTALS)
     if asked & REGRESSION:
-        score += 14 * (within(years) >= 4)
+        score += 14 * (within(dates) >= 4)
     if asked & LIST:
         score += 10 * (within(numbers) >= 6)
     if asked & MONTH:
@@ -90,30 +110,33 @@ def _score(bits: np.ndarray, heading: np.ndarray, years: np.ndarray, numbers: np
 
 
 @F.pandas_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in ("first", "last", "score")])))
-def _window_scores(bits: pd.Series, heading: pd.Series, years: pd.Series, numbers: pd.Series, hits: pd.Series, weights: pd.Series, radius: pd.Series, asked: pd.Series, skip: pd.Series, own: pd.Series, offset: pd.Series) -> pd.Series:
-    arrays = [[np.asarray(x, np.int64) for x in c] for c in (bits, heading, years, numbers, hits, weights)]
-    return pd.Series([_score(*a) for a in zip(*arrays, radius, asked, skip, own, offset, strict=True)])
+def _window_scores(bits: pd.Series, heading: pd.Series, dates: pd.Series, numbers: pd.Series, low: pd.Series, keywords: pd.Series, years: pd.Series, radius: pd.Series, asked: pd.Series, skip: pd.Series, own: pd.Series, offset: pd.Series) -> pd.Series:
+    arrays = [[np.asarray(x, np.int64) for x in c] for c in (bits, heading, dates, numbers)]
+    lists = [[list(x) for x in c] for c in (low, keywords, years)]
+    return pd.Series([_score(*a) for a in zip(*arrays, *lists, radius, asked, skip, own, offset, strict=True)])
 
 
 def scored_windows(pairs: DataFrame, q_key: str = "q_id", d_key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(question, document, first, last, score): the window of each line with a table or heading signal, ``last`` exclusive, if its score is positive.
 
     ``pairs`` holds text, keywords, years and flags.  A window scores for capped keyword hits, years, table lines, headings at its top, and cues
-    that the flags ask for.  Features are computed once a line; a long text is taken in pieces that overlap by the radius.  A null text has no windows.
+    that the flags ask for.  Features are computed once a line of each text; a long text is taken in pieces that overlap by the radius.  A null
+    text has no windows.  Pairs with the same document must hold the same text.
     """
     asks = lambda names, bit: F.when(F.arrays_overlap(F.col("flags"), T.strings(names)), bit).otherwise(0)
     asked = asks(["expects_sum", "expects_difference"], TOTALS) + asks(["expects_date"], MONTH) + asks(["expects_regression"], REGRESSION) + asks(["expects_list"], LIST)
     for i, (flag, _, _) in enumerate(L.WINDOW_CUES):
         asked += asks([flag], CUE << i)
-    words = F.transform("keywords", T.normalize)
-    weights = F.concat(F.transform(words, lambda k: F.when(k.contains(" "), 10).otherwise(3)), F.transform("years", lambda _: F.lit(0)))
-    rows = pairs.select(q_key, d_key, words.alias("_words"), "years", weights.alias("_weights"), radius(F.col("flags")).alias("_radius"), asked.alias("_asked"), T.lines(F.col(text)).alias("_all")).where("_all is not null")
-    rows = rows.withColumn("_offset", F.explode(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / chunk).cast("int")))).withColumn("_offset", F.col("_offset") * chunk)
+    # each text is looked at once, for all questions that it is paired with
+    texts = spread(pairs.select(d_key, text).where(F.col(text).isNotNull()).dropDuplicates([d_key])).select(d_key, T.lines(F.col(text)).alias("_all"))
+    pieces = texts.withColumn("_offset", F.explode(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / chunk).cast("int")))).withColumn("_offset", F.col("_offset") * chunk)
     skip = F.least(F.lit(RADII[0]), F.col("_offset"))
-    rows = rows.withColumns({"_skip": skip, "_own": F.least(F.lit(chunk), F.size("_all") - F.col("_offset")), "_lines": F.slice("_all", F.col("_offset") - skip + 1, skip + chunk + RADII[0])}).drop("_all")
-    rows = rows.withColumn("_a", F.transform("_lines", lambda x: _line_features(T.rstrip(x)))).drop("_lines")
-    rows = rows.withColumns({"_b": F.transform("_a", _more_features), "_hits": F.flatten(F.transform("_a", lambda a: _hits(a["low"], F.col("_words"), F.col("years"))))})
-    found = _window_scores("_b.bits", "_b.heading", "_b.years", "_b.numbers", "_hits", "_weights", "_radius", "_asked", "_skip", "_own", "_offset")
+    pieces = pieces.withColumns({"_skip": skip, "_own": F.least(F.lit(chunk), F.size("_all") - F.col("_offset")), "_lines": F.slice("_all", F.col("_offset") - skip + 1, skip + chunk + RADII[0])}).drop("_all")
+    pieces = pieces.withColumn("_a", F.transform("_lines", lambda x: _line_features(T.rstrip(x)))).drop("_lines").withColumn("_b", F.transform("_a", _more_features))
+    pieces = stash(pieces.select(d_key, "_offset", "_skip", "_own", F.col("_a.low").alias("_low"), "_b.bits", "_b.heading", F.col("_b.years").alias("_dates"), "_b.numbers"), "lines")
+    q = pairs.select(q_key, d_key, F.transform("keywords", T.normalize).alias("_words"), "years", radius(F.col("flags")).alias("_radius"), asked.alias("_asked"))
+    rows = q.join(pieces, d_key)
+    found = _window_scores("bits", "heading", "_dates", "numbers", "_low", "_words", "years", "_radius", "_asked", "_skip", "_own", "_offset")
     return rows.select(q_key, d_key, F.explode(found).alias("_w")).select(q_key, d_key, "_w.*")
 
 

@@ -23,7 +23,7 @@ from tabulith.operators import tables as B
 from tabulith.plans import bulletins as C
 from tabulith.plans.catalogue import FAMILY_SQL, PROFILE_SQL, SCORES_SQL, _DIMS, _keywords_sql, query, questions, scores, sql_list, sql_unique, table
 from tabulith.sources import bulletin_files as D
-from tabulith.sources.scratch import shared_dir, stash
+from tabulith.sources.scratch import shared_dir, spread, stash
 
 # --- SQL of lines, blocks, titles and sections ------------------------------------------------------------------------------
 
@@ -130,7 +130,7 @@ ASKS_SQL = f"""{FAMILY_SQL}, k AS ({_keywords_sql()}), d AS (SELECT q_id, {sql_u
 
 
 def asks(spark, sf_dir):
-    return stash(S.with_conditions(questions(spark, sf_dir)), "asks")
+    return stash(S.with_conditions(spread(questions(spark, sf_dir))), "asks")
 
 
 def corpus(spark, sf_dir):
@@ -239,8 +239,9 @@ def section_scores(spark, sf_dir):
     q = asks(spark, sf_dir)
     docs, files, _ = corpus(spark, sf_dir)
     best = stash(O.cheap_best(q, files), "pairs").select("q_id", "doc_id")
-    parts = B.section_texts(docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi")).select("doc_id", "section_no", S.section_features(F.col("section")).alias("section"))
-    return best.join(q, "q_id").join(parts, "doc_id").select("q_id", "doc_id", "section_no", S.section_score().alias("score"))
+    parts = B.section_texts(docs.join(best.select("doc_id").distinct(), "doc_id", "left_semi"))
+    parts = stash(O.section_hits(parts, q).select("doc_id", "section_no", "section"), "sections")
+    return spread(best).join(q, "q_id").join(parts, "doc_id").select("q_id", "doc_id", "section_no", S.section_score().alias("score"))
 
 
 @query(f"{CHEAP_CTE} SELECT q_id, doc_id, block_no, {TABLE_SQL} AS score FROM (SELECT q_id, doc_id FROM cheap) JOIN asks USING (q_id) JOIN {_TABLE_ROWS} r USING (doc_id)")
@@ -248,8 +249,10 @@ def table_scores(spark, sf_dir):
     """SC2 of every table of the 30 files that SC3 puts first for a question."""
     q = asks(spark, sf_dir)
     _, files, tables = corpus(spark, sf_dir)
-    best = O.cheap_best(q, files).select("q_id", "doc_id")
-    return best.join(q, "q_id").join(tables.select("doc_id", "block_no", "features"), "doc_id").select("q_id", "doc_id", "block_no", S.table_score().alias("score"))
+    best = stash(O.cheap_best(q, files).select("q_id", "doc_id"), "pairs")
+    near = tables.join(best.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "block_no", "features")
+    near = stash(O.table_hits(near, q), "table_hits")
+    return spread(best).join(q, "q_id").join(near, "doc_id").select("q_id", "doc_id", "block_no", S.table_score().alias("score"))
 
 
 @query(f"{CHEAP_CTE} SELECT q_id, doc_id, file_name, score FROM (SELECT q_id, doc_id, file_name, {CHEAP_SQL} AS score FROM asks, files) WHERE score > 0")

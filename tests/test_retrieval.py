@@ -34,7 +34,7 @@ FISCAL = "Table 1.- Summary of Fiscal Statistics\n(In millions of dollars)\n| Fi
 def test_defense_table_before_fiscal_summary(spark):
     docs, files, tables = corpus(spark, [(1941, 1, DEFENSE + "\n\n" + "x\n" * 20 + FISCAL), (1950, 6, "nothing here"), (1942, 1, None), (1943, 1, "")])
     q = asks(spark, "What was the total national defense expenditure in calendar year 1940, in millions of dollars?")
-    scored = {r.title: r.s for r in tables.join(q).select("title", S.table_score().alias("s")).collect()}
+    scored = {r.title: r.s for r in O.table_hits(tables, q).join(q).select("title", S.table_score().alias("s")).collect()}
     first = [t for t in scored if "defense" in t][0]
     assert all(scored[first] > s for t, s in scored.items() if t != first)
     ranked = O.two_stage(q, docs, files, tables).orderBy("rank").collect()
@@ -69,8 +69,8 @@ def test_sections_where_no_table_scores(spark):
     text = "\n".join(["prose of no use " * 6, part, "Debt outstanding in millions:\nplain words again", "Net balance in billions:\n" + "national defense " * 3, "tail"])
     docs, _, tables = corpus(spark, [(1941, 1, text), (1941, 2, "only plain words"), (1941, 3, None)])
     q = asks(spark, "What was national defense in 1940?")
-    parts = B.section_texts(docs.where("doc_id = 0")).withColumn("section_", S.section_features(F.col("section")))
-    scores = {r.section_no: r.s for r in parts.drop("section").withColumnRenamed("section_", "section").crossJoin(q).select("section_no", S.section_score().alias("s")).collect()}
+    parts = B.section_texts(docs.where("doc_id = 0"))
+    scores = {r.section_no: r.s for r in O.section_hits(parts, q).crossJoin(q).select("section_no", S.section_score().alias("s")).collect()}
     texts = [r.section for r in parts.orderBy("section_no").collect()]
     order = sorted((i for i, s in scores.items() if s > 0), key=lambda i: (-scores[i], i))
     assert len(texts) > 3 and order

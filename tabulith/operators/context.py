@@ -19,6 +19,10 @@ from tabulith.sources.scratch import spread, stash
 TABLES, SECTION_LEAST, SECTIONS = 3, 2500, 3
 
 
+#: Columns of a question's profile that narrowing reads.
+NEEDED = ["months", "expects_series_math", "expects_regression", "expects_list", "wants_monthly_series"]
+
+
 def needs(text: str = "question") -> dict[str, Column]:
     """What ``tables.narrowed`` asks of a question."""
     years = F.array_distinct(T.find_all(F.col(text), r"\b(19[2-9][0-9]|20[0-2][0-9])\b"))
@@ -29,12 +33,14 @@ def needs(text: str = "question") -> dict[str, Column]:
 def table_snippets(chosen: DataFrame, asks: DataFrame, tables: DataFrame, key: str = "doc_id", text: str = "question") -> DataFrame:
     """K5 by tables: (q_id, key, block_no, place, snippet) of the best tables of each chosen file (q_id, key, budget) that fit its budget."""
     near = stash(O.table_hits(tables.join(chosen.select(key).distinct(), key, "left_semi"), asks), "table_hits")
-    rows = spread(chosen.select("q_id", key, "budget")).join(asks, "q_id").join(near, key).withColumn("_s", S.table_score()).where("_s > 0")
+    scored = spread(chosen.select("q_id", key, "budget")).join(asks, "q_id").join(near.drop("body"), key).withColumn("_s", S.table_score()).where("_s > 0")
+    best = stash(R.top_k(scored.select("q_id", key, "block_no", "budget", "_s"), "q_id", TABLES, F.desc("_s"), F.col("block_no"), more=[key]).withColumnRenamed("rank", "place"), "best")
+    # only the tables that are kept are narrowed
+    rows = spread(best).join(asks.select("q_id", *NEEDED, text), "q_id").join(tables.select(key, "block_no", "title", "unit_hint", "body"), [key, "block_no"])
     body = T.strip(B.narrowed(T.strip(F.col("body")), **needs(text)))
     head = F.when((F.col("unit_hint") != "") & ~F.col("title").contains(F.col("unit_hint")), F.concat(F.lit("\nUNIT: "), F.col("unit_hint"))).otherwise("")
-    rows = rows.withColumn("snippet", F.concat(F.lit("TABLE TITLE: "), F.col("title"), head, F.lit("\n"), body))
-    place = F.row_number().over(Window.partitionBy("q_id", key).orderBy(F.desc("_s"), "block_no"))
-    rows = rows.withColumn("place", place).where(F.col("place") <= TABLES).select(F.struct("q_id", key).alias("_pair"), "q_id", key, "block_no", "place", "budget", "snippet")
+    snippet = F.concat(F.lit("TABLE TITLE: "), F.col("title"), head, F.lit("\n"), body)
+    rows = rows.select(F.struct("q_id", key).alias("_pair"), "q_id", key, "block_no", "place", "budget", snippet.alias("snippet"))
     kept = R.pack(rows, "_pair", "place", F.length("snippet"), F.col("budget"))
     return kept.select("q_id", key, "block_no", "place", F.left("snippet", F.col("budget").cast("int")).alias("snippet"))
 
@@ -86,7 +92,7 @@ def section_snippets(chosen: DataFrame, asks: DataFrame, docs: DataFrame, key: s
 def file_snippets(chosen: DataFrame, asks: DataFrame, docs: DataFrame, tables: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """K5: (q_id, key, snippet) of each chosen file: its tables, or its sections where no table scores; files without any text have none."""
     by_table = table_snippets(chosen, asks, tables, key).groupBy("q_id", key).agg(F.array_sort(F.collect_list(F.struct("place", "snippet"))).alias("_t"))
-    by_table = by_table.select("q_id", key, T.strip(F.array_join(F.transform("_t", lambda t: t["snippet"]), "\n\n")).alias("snippet"))
+    by_table = stash(by_table.select("q_id", key, T.strip(F.array_join(F.transform("_t", lambda t: t["snippet"]), "\n\n")).alias("snippet")), "snippets")
     rest = chosen.join(by_table, ["q_id", key], "left_anti")
     return by_table.union(section_snippets(rest, asks, docs, key, text)).where("snippet <> ''")
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tabulith.functions import lexicon as L
 from tabulith.functions import text as T
+from tabulith.sources.scratch import spread
 
 
 def words(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -22,14 +23,14 @@ def keyword_scores(questions: DataFrame, docs: DataFrame, q_key: str = "q_id", d
     Words that no question has leave before anything is counted or shuffled.
     """
     asked = words(questions, q_key, "question").distinct()
-    held = words(docs, d_key, text).join(asked.select("term").distinct(), "term", "left_semi")
+    held = words(spread(docs.select(d_key, text)), d_key, text).join(asked.select("term").distinct(), "term", "left_semi")
     counts = held.groupBy(d_key, "term").agg(F.count(F.lit(1)).alias("tf"))
     return counts.join(asked, "term").groupBy(q_key, d_key).agg(F.sum(F.least(F.col("tf"), F.lit(cap)) * weight).alias("score"))
 
 
-def top_k(scores: DataFrame, key: str, k: int, *order: Column) -> DataFrame:
-    """The first k rows of each key with their rank; Spark prunes before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+def top_k(scores: DataFrame, key: str, k: int, *order: Column, more: list[str] | None = None) -> DataFrame:
+    """The first k rows of each key (with ``more``, of each key and these columns) with their rank; Spark prunes before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(key, *(more or [])).orderBy(*order))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

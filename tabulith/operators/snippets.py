@@ -116,6 +116,10 @@ def _window_scores(bits: pd.Series, heading: pd.Series, dates: pd.Series, number
     return pd.Series([_score(*a) for a in zip(*arrays, *lists, radius, asked, skip, own, offset, strict=True)])
 
 
+def distinct_texts(pairs: DataFrame, d_key: str, text: str) -> DataFrame:
+    return pairs.select(d_key, text).where(F.col(text).isNotNull()).dropDuplicates([d_key])
+
+
 def scored_windows(pairs: DataFrame, q_key: str = "q_id", d_key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """(question, document, first, last, score): the window of each line with a table or heading signal, ``last`` exclusive, if its score is positive.
 
@@ -128,14 +132,14 @@ def scored_windows(pairs: DataFrame, q_key: str = "q_id", d_key: str = "doc_id",
     for i, (flag, _, _) in enumerate(L.WINDOW_CUES):
         asked += asks([flag], CUE << i)
     # each text is looked at once, for all questions that it is paired with
-    texts = spread(pairs.select(d_key, text).where(F.col(text).isNotNull()).dropDuplicates([d_key])).select(d_key, T.lines(F.col(text)).alias("_all"))
+    texts = spread(distinct_texts(pairs, d_key, text)).select(d_key, T.lines(F.col(text)).alias("_all"))
     pieces = texts.withColumn("_offset", F.explode(F.sequence(F.lit(0), F.floor((F.size("_all") - 1) / chunk).cast("int")))).withColumn("_offset", F.col("_offset") * chunk)
     skip = F.least(F.lit(RADII[0]), F.col("_offset"))
     pieces = pieces.withColumns({"_skip": skip, "_own": F.least(F.lit(chunk), F.size("_all") - F.col("_offset")), "_lines": F.slice("_all", F.col("_offset") - skip + 1, skip + chunk + RADII[0])}).drop("_all")
     pieces = pieces.withColumn("_a", F.transform("_lines", lambda x: _line_features(T.rstrip(x)))).drop("_lines").withColumn("_b", F.transform("_a", _more_features))
     pieces = stash(pieces.select(d_key, "_offset", "_skip", "_own", F.col("_a.low").alias("_low"), "_b.bits", "_b.heading", F.col("_b.years").alias("_dates"), "_b.numbers"), "lines")
     q = pairs.select(q_key, d_key, F.transform("keywords", T.normalize).alias("_words"), "years", radius(F.col("flags")).alias("_radius"), asked.alias("_asked"))
-    rows = q.join(pieces, d_key)
+    rows = spread(q).join(pieces, d_key)
     found = _window_scores("bits", "heading", "_dates", "numbers", "_low", "_words", "years", "_radius", "_asked", "_skip", "_own", "_offset")
     return rows.select(q_key, d_key, F.explode(found).alias("_w")).select(q_key, d_key, "_w.*")
 
@@ -162,8 +166,11 @@ def window_snippets(pairs: DataFrame, budget: int | Column = 12000, q_key: str =
     """
     room = F.lit(budget) if isinstance(budget, int) else budget
     pairs = pairs.withColumn("_room", room)
-    at = merge_windows(scored_windows(pairs, q_key, d_key, text), q_key, d_key)
-    both = at.join(pairs.select(q_key, d_key, text, "_room"), [q_key, d_key])
+    # what is known of pairs and the texts are each read several times
+    texts = stash(distinct_texts(pairs, d_key, text), "texts")
+    asked = stash(pairs.select(q_key, d_key, "keywords", "years", "flags", "_room"), "asked")
+    at = merge_windows(scored_windows(asked.join(texts, d_key), q_key, d_key, text), q_key, d_key)
+    both = at.join(asked.select(q_key, d_key, "_room"), [q_key, d_key]).join(texts, d_key)
     lines = F.transform(F.slice(T.lines(F.col(text)), F.col("first") + 1, F.col("last") - F.col("first")), T.rstrip)
     cut = both.select(q_key, d_key, "_room", "place", F.col("first").alias("first_line"), F.col("last").alias("end_line"), T.strip(F.array_join(lines, "\n")).alias("snippet"))
     keyed = cut.where("snippet <> ''").withColumn("_pair", F.struct(q_key, d_key))

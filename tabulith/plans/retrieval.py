@@ -465,7 +465,7 @@ WINDOWS_SQL = rf"""{PROFILE_SQL}, k AS ({_keywords_sql()}), ys AS (SELECT q_id,
 @query(f"{WINDOWS_SQL} SELECT q_id, doc_id, place::INT AS place, first_line, end_line, md5(left(snippet, 4000)) AS digest FROM w5 WHERE nth = 1 OR before + length(snippet) <= 4000")
 def window_snippets(spark, sf_dir):
     """SC5 and K6: the best windows of lines of each question's three best documents."""
-    best = A.top_k(scores(spark, sf_dir), "q_id", 3, F.desc("score"), F.col("doc_id")).select("q_id", "doc_id")
+    best = stash(A.top_k(scores(spark, sf_dir), "q_id", 3, F.desc("score"), F.col("doc_id")).select("q_id", "doc_id"), "best")
     q = P.with_profile(questions(spark, sf_dir))
     names = [f for f, _, _ in L.WINDOW_CUES] + ["expects_sum", "expects_difference", "expects_regression", "expects_list", "expects_series_math"]
     flags = F.array_compact(F.array(*(F.when(F.col(f).cast("boolean"), F.lit(f)) for f in names)))

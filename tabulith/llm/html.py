@@ -23,6 +23,8 @@ _FURNITURE = frozenset("nav navbar navigation menu menus sidebar sidebars side f
 _NOUNS = _FURNITURE - frozenset("side share sharing related social notice notices recommended recommend sponsor sponsored promotion skip comment respond subscription header headers".split())
 #: Of these, names of what is no article at any length, unless it holds most of the page.
 _STRICT = frozenset("nav navbar navigation menu menus footer footers breadcrumb breadcrumbs cookie cookies consent gdpr popup popups modal overlay newsletter subscribe comments replies respond disqus login signup signin toolbar pagination pager skip".split())
+#: Of these, names of readers' comments.
+_COMMENTS = frozenset("comment comments replies respond responses disqus".split())
 #: Parts that say nothing of what an element holds.
 _NEUTRAL = frozenset("a area article articles bar bars block blocks bottom box boxes btn bottom button buttons center col column container content entry floating form global group holder icon icons inline inner item items l layer left link links list lists main mobile module more of outer page panel post posts primary r right row secondary section site sites slot small stories sticky tertiary text the to top unit up us wp wrap wrapper google in log sign".split())
 #: A heading that begins the readers' part of a page.
@@ -125,7 +127,7 @@ def _hidden(node: Node) -> bool:
 
 
 def _furniture(node: Node) -> str:
-    """'strict' or 'named' for an element whose class or id names page furniture, else ''.
+    """'readers', 'strict' or 'named' for an element whose class or id names comments or other page furniture, else ''.
 
     A class counts if all of its parts name furniture or say nothing (related-posts), or if its last part is such a noun
     (acme-footer); related-work or share-price count as words of the article.
@@ -137,6 +139,8 @@ def _furniture(node: Node) -> str:
         parts = [p for p in re.split(r"[\W_\d]+", name) if p]
         if not parts or not (any(p in _FURNITURE for p in parts) and all(p in _FURNITURE or p in _NEUTRAL for p in parts) or parts[-1] in _NOUNS):
             continue
+        if any(p in _COMMENTS for p in parts):
+            return "readers"
         if any(p in _STRICT for p in parts):
             return "strict"
         found = "named"
@@ -170,12 +174,33 @@ def _gap(node: Node, parent: Node) -> Node:
     return Node("hr" if node.tag in _BLOCK else "span", {}, parent)
 
 
-def drop_named(node: Node, most: int, apart: bool = False) -> None:
-    """Cut off elements by name where shortness or links agree; others stay with the name noted, which lowers their score.
+def _outside(node: Node) -> tuple[int, int]:
+    """Characters of paragraphs below the node that stand in no named element, and those of them in articles."""
+    prose, articles = node.paras if node.tag in ("p", "pre", "blockquote") else 0, 0
+    named = 0
+    for child in node.children:
+        if isinstance(child, str) or child.tag in _NEVER or _hidden(child):
+            continue
+        if _furniture(child):
+            named += child.paras
+            continue
+        p, a = _outside(child)
+        prose += p if node.tag not in ("p", "pre", "blockquote") else 0
+        articles += p if child.tag in ("article", "main") else a
+    # sentences of a div's own count as its paragraph
+    below = sum(c.paras for c in node.children if isinstance(c, Node))
+    return max(prose, node.paras - max(below, named) if node.paras > below else 0), articles
 
-    A part whose first heading speaks of comments goes, unless it has most of the page and no article stands beside it; headings of a
-    named header stay.
+
+def drop_named(node: Node, most: int, apart: bool = False, prose: tuple[int, int] | None = None) -> None:
+    """Cut off elements by name; what stays although it is named has the name noted, which lowers its score.
+
+    A named element goes whatever its length if an article has paragraphs outside of such elements, or if the page has more of them there
+    than the element has text; readers' comments go if there is any paragraph outside.  Without that, as where a name is on the wrapper of
+    the text itself, it goes where shortness or links agree.  A part whose first heading speaks of comments goes, unless it has most of
+    the page and no article stands beside it; headings of a named header stay.
     """
+    prose = prose or _outside(node)
     apart = apart or any(isinstance(c, Node) and c.tag in ("article", "main") and c.chars for c in node.children)
     for k, child in enumerate(node.children):
         if not isinstance(child, Node):
@@ -186,13 +211,16 @@ def drop_named(node: Node, most: int, apart: bool = False) -> None:
             node.children[k] = _gap(child, node)
             continue
         if kind:
-            if child.links > DENSE * child.chars or plain < LONG or (kind == "strict" and 2 * plain < most):
+            beside = prose[1] > 0 or prose[0] > (0 if kind == "readers" else plain)
+            if beside or child.links > DENSE * child.chars or plain < LONG or (kind != "named" and 2 * plain < most):
                 heads = [c for c in child.children if isinstance(c, Node) and c.tag in ("h1", "h2")] if re.search(r"\b(?:entry|article|post)[-_]header", child.attrs.get("class") or "") else []
                 node.children[k] = _gap(child, node)
                 node.children[k].children = heads
                 continue
             child.named = True
-        drop_named(child, most, apart and child.tag not in ("article", "main"))
+            drop_named(child, most, apart)
+            continue
+        drop_named(child, most, apart and child.tag not in ("article", "main"), prose)
 
 
 def _words(node: Node) -> str:

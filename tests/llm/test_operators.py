@@ -521,6 +521,26 @@ def test_short_items_match_as_a_whole(spark):
     assert sorted(r.doc_id for r in decontaminate.reject_leaks(docs, bench).collect()) == [2, 3, 4, 6, 7, 8]
 
 
+@pytest.mark.parametrize("name", ["comments", "comment-list", "ad", "sidebar", "notice", "sponsored", "related-posts", "newsletter", "cookie-notice", "widget", "promo"])
+@pytest.mark.parametrize("times", [1, 3, 12])
+def test_long_furniture_goes_beside_an_article(name, times):
+    """Named parts go whatever their length where an article has text of its own, in it, after it, or with no article tag before longer prose."""
+    body = "The ministers met on Monday, as had been planned, and spoke of the harbour at length. "
+    other = "".join("<p>%s</p>" % ("Some other words that readers or sellers wrote, of no use here, number %d. " % i * 4) for i in range(times))
+    part = '<div class="%s">%s</div>' % (name, other)
+    assert pages_.main_text("<body><article><p>%s</p>%s</article></body>" % (body * 3, part)) == (body * 3).strip()
+    assert pages_.main_text("<body><article><p>Short body.</p>%s</article></body>" % part) == "Short body."
+    assert pages_.main_text("<body>%s<main><h1>Title</h1><p>%s</p></main>%s</body>" % (part, body, part)) == "Title\n" + body.strip()
+    long = body * 5 * times
+    assert pages_.main_text('<body><div class="text"><p>%s</p></div>%s</body>' % (long, part)) == long.strip()
+
+
+def test_a_named_wrapper_of_the_only_prose_stays():
+    body = "The ministers met on Monday, as had been planned, and spoke of the harbour at length. " * 4
+    for name in ("widget", "sidebar", "notice", "side"):
+        assert pages_.main_text('<body><div class="%s"><p>%s</p><div class="comments"><p>%s</p></div></div></body>' % (name, body, "Nice words, thanks, all of you. " * 30)) == body.strip()
+
+
 def test_pages_of_known_parts():
     """Pages put together from article blocks and furniture give the article blocks alone."""
     rng = random.Random(21)

@@ -39,10 +39,15 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows in the order of the mixing schedule; rows that share an id take its first position."""
-    order = mix_sources(docs, WEIGHTS, OTHERS_WEIGHT).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id")).agg(F.min("position").alias("_at"))
-    placed = docs.join(order, F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id"))
-    return placed.orderBy("_at").select(*(docs[c] for c in docs.columns))
+    """All rows in the order of the mixing schedule; rows that share an id take its first position, rows without an id the first of theirs."""
+    order = stash(mix_sources(docs, WEIGHTS, OTHERS_WEIGHT).groupBy("doc_id").agg(F.min("position").alias("position")), "order")
+    # whole rows travel in one column, so that no column of theirs can clash with the position
+    rows = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    known = rows.join(order, rows["row.doc_id"] == order["doc_id"]).select("row", "position")
+    # no join on the key of rows without an id, which may be many: their position is one number
+    first = order.where("doc_id is null").first()
+    others = rows.where("row.doc_id is null").withColumn("position", F.lit(first.position if first else 0).cast("long"))
+    return known.union(others).orderBy("position").select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -281,7 +281,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     """Encode every whole text and pack the ids into shard files (shard, n_docs, n_tokens, data) in ascending id order.
 
     ``shard`` rises with the ids.  A null text has no ids but its end id; null ids come first (key NO_KEY); rows with the
-    same id are ordered by text.  An empty table gives no files; other columns are not read.
+    same id are ordered by text.  An empty table gives no files; other columns are not read.  A tokenizer with ids beyond the
+    file's symbols for tokens is refused.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,6 +309,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
         if held:
             yield close()
 
+    from tokenizers import Tokenizer
+
+    if Tokenizer.from_file(tokenizer).get_vocab_size() > FIRST_RULE:
+        raise ValueError(f"ids from {FIRST_RULE} up stand for rules in these files")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return dealt.mapInArrow(run, "shard long, n_docs long, n_tokens long, data binary")

@@ -820,3 +820,23 @@ def test_parities_never_rule_out_a_link():
             x, y = (np.unpackbits(np.frombuffer(ngram_join._parity(s), np.uint8), bitorder="little") for s in (np.unique(a), b))
             x, y = (v.reshape(-1, min(len(x), len(y))).sum(0) % 2 for v in (x, y))
             assert (x != y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_token_files_refuse_ids_that_stand_for_rules(spark):
+    with pytest.raises(ValueError, match="stand for rules"):
+        token_store.write_token_files(empty(spark), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_mixing_stage_keeps_rows_of_any_columns(spark):
+    """Names that the stage once used itself, null ids, the id -1 and repeated ids."""
+    import corpus_pipeline
+
+    rows = [(i if i % 7 else None, f"text {i}", f"src{i % 3}", "a", "b", "c", "d") for i in range(300)] + [(-1, "minus", "src1", "a", "b", "c", "d"), (5, "again", "src2", "a", "b", "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _at string, _id string, position string, row string")
+    out = corpus_pipeline.mixing(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [tuple(r) for r in out.collect()]
+    assert Counter(got) == Counter(rows)
+    order = {r.doc_id: r.p for r in mixing.mix_sources(docs, mixing.WEIGHTS, mixing.OTHERS_WEIGHT).groupBy("doc_id").agg(F.min("position").alias("p")).collect()}
+    places = [order[r[0]] for r in got]
+    assert places == sorted(places)

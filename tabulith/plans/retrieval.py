@@ -23,6 +23,7 @@ from tabulith.operators import tables as B
 from tabulith.plans import bulletins as C
 from tabulith.plans.catalogue import FAMILY_SQL, PROFILE_SQL, SCORES_SQL, _DIMS, _keywords_sql, query, questions, scores, sql_list, sql_unique, table
 from tabulith.sources import bulletin_files as D
+from tabulith.sources import features as G
 from tabulith.sources.scratch import shared_dir, spread, stash
 
 # --- SQL of lines, blocks, titles and sections ------------------------------------------------------------------------------
@@ -535,3 +536,22 @@ def bulletin_files(spark, sf_dir):
     rows = spark.read.format("bulletins").option("roots", f"{folder}-missing, {folder}").load()
     kept = rows.where((F.col("year") >= 1950) & F.col("month").isin(3, 6, 9))
     return kept.select("file_name", F.col("year").cast("long").alias("year"), F.col("month").cast("long").alias("month"), "pub_date", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query(f"WITH {C.SQL}, {titles_sql('bulletins')}, h AS (SELECT doc_id, title, min(block_no) AS place FROM titled GROUP BY ALL) SELECT file_name, md5(string_agg(title, chr(10) ORDER BY place)) AS headings FROM h JOIN bulletins USING (doc_id) GROUP BY file_name")
+def feature_store(spark, sf_dir):
+    """SRC4 and SRC6 over files: headings kept in a store, to which later files are added while those before are not read again."""
+    D.register(spark)
+    mark = uuid.uuid4().hex
+    folder, name = f"{shared_dir(spark)}/issues-{mark}", f"headings_{mark}"
+    docs = stash(C.bulletins(spark, sf_dir), "docs")
+
+    def headings(files):
+        keyed = files.withColumn("doc_id", F.xxhash64("file_name"))
+        return O.heading_summaries(O.scored_tables(keyed)).join(keyed.select("doc_id", "file_name"), "doc_id").select("file_name", "heading")
+
+    store = G.FeatureStore(spark, name, f"{shared_dir(spark)}/{name}", headings)
+    for part in (F.col("doc_id") % 3 > 0, F.col("doc_id") % 3 == 0):
+        docs.where(part).select("file_name", "text").write.format("bulletins").mode("append").save(folder)
+        store.update(folder)
+    return store.read(folder).where("heading is not null").select("file_name", F.md5("heading").alias("headings"))

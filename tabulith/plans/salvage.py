@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabulith.functions import answers as A
 from tabulith.functions import lexicon as L
 from tabulith.operators import answering as W
+from tabulith.operators import functions as U
 from tabulith.operators import routing as Z
 from tabulith.operators import tools as X
 from tabulith.plans import fixtures as I
 from tabulith.plans.catalogue import _BARE, _HD, _NTH, _PH, N, _unit_sql, answers, filled_shape, pick, query, sql_any, sql_list, table
 from tabulith.plans.retrieval import ASKS_SQL, BREAKS, asks, quoted, strip
+from tabulith.sources.scratch import shared_dir
+from tabulith.streaming import messages as M
 
 #: A response around each answer; every third one has an empty tag, every fifth no tag.
 REASONS = "\nThe total amount was 12.5 million in May 1950.\nIt grew by 0.25 from 1949.\nnot available: 99 billion\nshares [1, 2%, $3] and [4, x]\n"
@@ -351,3 +356,46 @@ def calculate(spark, sf_dir):
     key = F.col("o_orderkey")
     rows = table(spark, sf_dir, "orders").select(key.alias("e_id"), filled_shape(pick(I.EXPRESSIONS, key % 5), {"n": key % 1000}).alias("expression"))
     return rows.select("e_id", X.calculate("expression").alias("result"))
+
+
+_PAYLOADS = """(SELECT user_id, '[' || string_agg(props, ',' ORDER BY event_id) || ']' AS data, list(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS v FROM events GROUP BY user_id)"""
+_OPERATIONS = ["sum", "avg", "min", "max", "count", "median"]
+
+
+def payloads(spark, sf_dir):
+    """A view of a JSON array for each user's events; for every ninth user it is broken."""
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "props"))).alias("_p"))
+    whole = F.concat(F.lit("["), F.array_join(F.transform("_p", lambda p: p["props"]), ","), F.lit("]"))
+    rows.select("user_id", F.when(F.col("user_id") % 9 == 0, F.concat(F.rtrim(whole, F.lit("]")), F.lit(","))).otherwise(whole).alias("data")).createOrReplaceTempView("payloads")
+    U.register(spark)
+
+
+@query(
+    f"""WITH p AS (SELECT *, list_filter(v, lambda x: x IS NOT NULL) AS vs, {sql_list(_OPERATIONS)}[user_id % 6 + 1] AS operation FROM {_PAYLOADS})
+    SELECT user_id, operation, CASE WHEN user_id % 9 = 0 THEN 'Tool error: JSONDecodeError' WHEN user_id % 7 = 0 OR len(vs) = 0 THEN 'No numeric values found for field' ELSE CASE operation WHEN 'sum' THEN list_sum(vs)::DOUBLE::VARCHAR
+    WHEN 'avg' THEN round(list_sum(vs) / len(vs), 6)::VARCHAR WHEN 'min' THEN list_min(vs)::VARCHAR WHEN 'max' THEN list_max(vs)::VARCHAR WHEN 'count' THEN len(vs)::VARCHAR ELSE 'Unknown operation' END END AS result FROM p"""
+)
+def tool_aggregate_sql(spark, sf_dir):
+    """U1 and A1 from SQL: an operation over each user's events, with the texts of what goes wrong."""
+    payloads(spark, sf_dir)
+    operations = ", ".join(f"'{o}'" for o in _OPERATIONS)
+    return spark.sql(f"""WITH r AS (SELECT user_id, element_at(array({operations}), CAST(user_id % 6 + 1 AS INT)) AS operation, json_aggregate(data, CASE WHEN user_id % 7 = 0 THEN 'zz' ELSE 'k' END, element_at(array({operations}), CAST(user_id % 6 + 1 AS INT))) AS result FROM payloads)
+        SELECT user_id, operation, CASE WHEN operation = 'avg' AND try_cast(result AS DOUBLE) IS NOT NULL THEN CAST(round(CAST(result AS DOUBLE), 6) AS STRING) ELSE result END AS result FROM r""")
+
+
+@query("SELECT user_id, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events WHERE user_id % 9 <> 0 AND contains(json_extract_string(props, '$.k'), '7') GROUP BY ALL")
+def tool_search_sql(spark, sf_dir):
+    """U6 from SQL: the objects that a search finds in each user's events, as rows of a table function."""
+    payloads(spark, sf_dir)
+    return spark.sql("SELECT user_id, r.k, count(*) AS n FROM (SELECT user_id, '[' || array_join(json_search(data, 'k', '7'), ',') || ']' AS found FROM payloads), LATERAL json_rows(found, 'k') r GROUP BY user_id, r.k")
+
+
+@query("SELECT conv_id, count(*) AS n_parts, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def streamed_messages(spark, sf_dir):
+    """SRC10 to SRC12 as a stream: parts arrive in six files, the turns of a conversation mixed, and are merged and written batch by batch."""
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    rows.repartition(6, "turn").write.parquet(f"{folder}/parts")
+    parts = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/parts")
+    M.write_messages(M.merged(parts), f"{folder}/messages", f"{folder}/checkpoint").awaitTermination()
+    return M.latest(spark, f"{folder}/messages").select("conv_id", "n_parts", F.md5("message").alias("digest"))

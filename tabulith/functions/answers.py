@@ -101,11 +101,39 @@ def scalar_unit(token: Column) -> Column:
     return out
 
 
-def scalar_value(token: Column) -> Column:
-    """The number in a token without its marks and unit, as a decimal."""
+#: A number of plain digits.
+PLAIN_NUMBER = r"^[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
+
+
+def bare_number(token: Column) -> Column:
+    """A token without its marks and unit."""
     bare = F.regexp_replace(F.btrim(T.strip(token), F.lit("[]() ")), r"(?i)trillion|billion|million|thousand", "")
     bare = F.regexp_replace(bare, r"\$|,|percent|%|dollars", "")
-    return T.strip(bare).try_cast("decimal(28,8)")
+    return T.strip(bare)
+
+
+def scalar_value(token: Column) -> Column:
+    """The number in a token without its marks and unit, as a decimal of eight places, for comparing."""
+    return bare_number(token).try_cast("decimal(28,8)")
+
+
+def shifted(number: Column, by: Column) -> Column:
+    """A number of plain digits times a power of ten, as text with every digit: its point is moved."""
+    part = F.struct(number.startswith("-").alias("neg"), F.regexp_replace(number, "[-+.]", "").alias("g"), (F.length(F.regexp_extract(number, "^[-+]?([0-9]*)", 1)) + by).cast("int").alias("p"))
+    padded = lambda s: F.struct(s["neg"].alias("neg"), F.greatest(s["p"], F.lit(1)).alias("p"), F.when(s["p"] <= 0, F.concat(F.repeat(F.lit("0"), 1 - s["p"]), s["g"])).otherwise(F.rpad(s["g"], F.greatest(s["p"], F.length(s["g"])), F.lit("0"))).alias("g"))
+
+    def text(s: Column) -> Column:
+        whole, rest = F.regexp_replace(F.left(s["g"], s["p"]), "^0+([0-9])", "$1"), F.regexp_replace(F.substring(s["g"], s["p"] + 1, F.length(s["g"])), "0+$", "")
+        return F.struct(s["neg"].alias("neg"), F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest)).alias("t"))
+
+    signed = lambda s: F.when(s["neg"] & s["t"].rlike("[1-9]"), F.concat(F.lit("-"), s["t"])).otherwise(s["t"])
+    return F.get(F.transform(F.transform(F.transform(F.array(part), padded), text), signed), F.lit(0))
+
+
+def exact_text(token: Column, by: Column, otherwise: Column) -> Column:
+    """A token's number times a power of ten with every digit; ``otherwise`` for numbers that are written in other ways."""
+    bare = bare_number(token)
+    return F.when(bare.rlike(PLAIN_NUMBER), shifted(bare, by)).otherwise(otherwise)
 
 
 def decimal_text(value: Column) -> Column:
@@ -119,7 +147,8 @@ def convert(question: Column, answer: Column) -> Column:
     plain = T.strip(F.replace(answer, F.lit("$")))
     power = lambda unit: F.coalesce(*(F.when(unit == name, p) for name, p in UNIT_POWER.items()))
     scaled = F.round(value.cast("double") * F.pow(F.lit(10.0), power(source) - power(target)), 8).cast("decimal(28,8)")
-    return F.when(target.isNull() | value.isNull(), plain).when(source.isNull(), decimal_text(value)).otherwise(decimal_text(scaled))
+    number = exact_text(answer, F.coalesce(power(source) - power(target), F.lit(0)), F.when(source.isNull(), decimal_text(value)).otherwise(decimal_text(scaled)))
+    return F.when(target.isNull() | number.isNull(), plain).otherwise(number)
 
 
 def year_like(token: Column) -> Column:
@@ -214,7 +243,7 @@ def percent_answer(question: Column, text: Column) -> Column:
     explicit = lambda x: clean_scalar(x["t"]).contains("%")
     said = F.transform(F.filter(tokens, explicit), lambda x: F.struct((cue(x) + 6).alias("s"), x["i"], x["j"], clean_scalar(x["t"]).alias("a")))
     points = lambda x: cue(x) + F.when(small(x["v"]), 4).when(F.abs(x["v"]) <= 1000, 2).otherwise(-10)
-    value = lambda x: decimal_text(F.when(small(x["v"]), x["v"] * 100).otherwise(x["v"]).cast("decimal(28,8)"))
+    value = lambda x: exact_text(x["t"], F.when(small(x["v"]), 2).otherwise(0), decimal_text(F.when(small(x["v"]), x["v"] * 100).otherwise(x["v"]).cast("decimal(28,8)")))
     plain = F.transform(F.filter(tokens, lambda x: ~explicit(x)), lambda x: F.struct(points(x).alias("s"), x["i"], x["j"], value(x).alias("a")))
     best, other = _first_best(said), _first_best(plain)
     return F.coalesce(F.when(sign, best).otherwise(F.replace(best, F.lit("%"))), F.when(sign, F.concat(other, F.lit("%"))).otherwise(other))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+# Month names.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
 
+# Words that are no keywords.
 STOPWORDS = """the a an and or of to in for from on by what which when where how much many was were is are did does do with at as that this these
 those using based according reported specifically only calendar monthly individual values between fiscal year years month months treasury bulletin table amount
 value number nominal dollars millions billions trillions report question given reporting date provided all associated activities activity corresponding
 rounded nearest hundredths place just each inclusive including not""".split()
 
-#: If the pattern is found, the phrases become keywords.
+# If the pattern is found, the phrases become keywords.
 EXPANSIONS = [
     (r"\btreasury balance\b", ["treasury balance", "operating cash balance", "status of treasury", "cash balance"]),
     (r"\bpublic debt\b", ["public debt", "debt outstanding", "interest-bearing debt", "public debt outstanding"]),
@@ -20,7 +22,7 @@ EXPANSIONS = [
     (r"\bsecurities\b", ["securities outstanding", "marketable securities", "treasury securities"]),
 ]
 
-#: Phrases that name a table's subject, in order of preference.
+# Phrases that name a table's subject, in order of preference.
 FOCUS = [
     r"\bnational defense expenditures\b",
     r"\bnational defense and related activities\b",
@@ -66,7 +68,7 @@ FOCUS = [
     r"\bpublic offerings of marketable securities other than regular weekly treasury bills\b",
 ]
 
-#: If a question has one of the phrases, the words are no keywords.
+# If a question has one of the phrases, the words are no keywords.
 NEGATIVE = [
     (["revolving fund"], ["revolving", "funds", "fund"]),
     (["trust fund accounts", "trust accounts", "transfers to trust"], ["trust", "accounts", "account", "transfers"]),
@@ -74,7 +76,7 @@ NEGATIVE = [
     (["regional aggregate"], ["regional", "aggregate", "aggregates"]),
 ]
 
-#: Question features that hold if the lowered question contains one of the phrases.
+# Question features that hold if the lowered question contains one of the phrases.
 FEATURES = {
     "expects_list": ["list the", "provide the list", "inside square brackets", "enclosed brackets", "containing 2 numbers", "containing 12 numbers"],
     "expects_regression": ["ordinary least squares", "linear regression", "fit a regression", "slope and intercept"],
@@ -104,7 +106,7 @@ FEATURES = {
     "precision": ["rounded to the nearest", "specifically only", "inclusive", "monthly values", "taking only the monthly values", "for each month", "each month from", "geometric mean", "ordinary least squares"],
 }
 
-#: Table families that a pattern in the lowered question suggests.
+# Table families that a pattern in the lowered question suggests.
 FAMILY_PATTERNS = {
     "fd": r"\b(public debt|gross federal debt|debt outstanding|debt subject to statutory limitation|fha)\b",
     "ffo": r"\b(receipts?|budget outlays|federal interest cost|net of refunds|budget receipts)\b",
@@ -119,10 +121,12 @@ FAMILY_PATTERNS = {
     "general_expenditures": r"\b(expenditures?|departments and agencies|general expenditures)\b",
     "veterans_public_works": r"\b(veterans administration|public works)\b",
 }
+# The order in which families are named.
 FAMILY_ORDER = ["fd", "ffo", "tax_receipts", "individual_income_tax", "cm", "esf", "fcp", "auction", "bill_rates", "auction_results", "maturity_schedule", "agency_expense", "calendar_defense", "general_expenditures", "national_defense", "veterans_public_works"]
 
+# Terms that tell rows and columns of tables apart.
 DIMENSIONS = ["competitive", "noncompetitive", "accepted tenders", "amount of bids accepted", "bids submitted", "rollover tenders", "noncash rollover tenders", "all other investors", "held by u.s. govt. accounts", "held by federal reserve banks", "amount outstanding", "description of securities", "outlays", "receipts", "actual", "calendar year", "calendar yr", "fiscal year", "grand total", "total outstanding", "gross federal debt", "summary of public debt", "debt outstanding"]
-#: Terms that a question feature implies.
+# Terms that a question feature implies.
 IMPLIED_DIMENSIONS = [
     (("wants_calendar_year", "wants_monthly_series"), ["calendar year", "calendar yr"]),
     (("wants_bill_rate_data",), ["average rate", "average issuing rate", "investment rate", "discount rate", "equivalent coupon issue yield", "91-day", "182-day"]),
@@ -130,17 +134,21 @@ IMPLIED_DIMENSIONS = [
     (("wants_maturity_schedule",), ["description of securities", "amount outstanding", "all other investors", "held by u.s. govt. accounts"]),
 ]
 
+# Patterns of headings, months and numbers.
 HEADING_START = r"^(table|chart|statement|summary|account|securities|receipts|outlays|cash|income|outgo|debt|balance|assets|liabilities|net|gross|holdings|position|exchange stabilization|federal|budget)\b"
 HEADING_WORD = r"\b(total|gross|net|fiscal year|calendar year|outstanding|millions?|billions?|trillions?|public debt|balances?|receipts|outlays|cash|income|outgo|expenditures?|major classifications|holdings|positions?)\b"
 MONTH_WORD = r"\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b"
 NUMBER = r"-?[0-9][0-9,]*\.?[0-9]*"
+# Units, and a scalar with its marks.
 UNIT_WORDS = ["trillion", "billion", "million", "thousand"]
 SCALAR = r"[-+]?\$?[0-9][0-9,]*\.?[0-9]*(?:\s*(?:%|percent|billion|million|trillion|thousand|dollars))?"
+# Texts that are no answers, that hedge, echo a prompt or deny an answer.
 PLACEHOLDERS = [r"\[?\s*unable to determine\s*\]?", r"\[?\s*not found(?: in the provided reference data)?\s*\]?", r"\[?\s*not available\s*\]?", r"\[?\s*cannot be determined(?: from provided data)?\s*\]?", r"\[?\s*not possible to calculate\s*\]?", r"\[?\s*no answer found\s*\]?", r"\bno\s+.*?data\b"]
 PLACEHOLDER_VALUES = ["", "nan", "+nan", "-nan", "none", "null", "n/a", "na"]
 HEDGES = [r"\beither\b.*\bor\b", r"\bcould be\b.*\bor\b", r"\bpossibly\b.*\bor\b", r"\bmaybe\b.*\bor\b", r"\bone possibility is\b", r"\balternatively\b"]
 ECHOES = ["if the answer is numeric", "output only", "output format", "final_answer", "you must use", "you may not", "rules:", "<reasoning>", "</reasoning>", "<final_answer>", "</final_answer>"]
 NEGATIVE_CONTEXT = ["does not contain", "not possible", "unable to determine", "cannot be determined", "not available", "not found", "impossible to calculate", "cannot provide"]
+# Words before an answer.
 PREAMBLES = [
     r"^(?:the\s+)?answer\s+is\s*:?\s*",
     r"^(?:the\s+)?(?:final\s+)?(?:value|result)\s+is\s*:?\s*",
@@ -151,6 +159,7 @@ PREAMBLES = [
     r"^the\s+(?:provided|reference)\s+data\s+does\s+not\s+contain.*?(?:\n\s*\n|\n)",
     r"^no\s+.*?data.*?(?:\n\s*\n|\n)",
 ]
+# The pattern of questions about bulletins.
 BULLETIN_FORMAT = r"treasury bulletin|final_answer|treasury.*expenditure|fiscal year.*(?:million|billion|thousand)|public debt.*outstanding"
 
 # Patterns and keys of output formats, the first that is found counts.  The directives are ours.

@@ -505,13 +505,27 @@ def parse_scalar(spark, sf_dir):
     return answers(spark, sf_dir).select("a_id", A.scalar_unit(F.col("answer")).alias("unit"), F.round(A.scalar_value(F.col("answer")).cast("double"), 6).alias("value"), A.question_unit(F.col("question")).alias("target"))
 
 
+_BARE_NUMBER = sql_strip(_BARE.format(t=sql_strip("{t}")))
+
+
+def sql_exact(token: str, by: str, otherwise: str) -> str:
+    """A token's number times a power of ten, its point moved among its digits; ``otherwise`` for numbers written in other ways."""
+    bare = _BARE_NUMBER.replace("{t}", token)
+    parts = f"list_transform([{{'n': {bare}, 'd': {by}}}], lambda s: {{'neg': starts_with(s.n, '-'), 'g': regexp_replace(s.n, '[-+.]', '', 'g'), 'p': length(regexp_extract(s.n, '^[-+]?([0-9]*)', 1)) + s.d}})"
+    padded = f"list_transform({parts}, lambda s: {{'neg': s.neg, 'p': greatest(s.p, 1), 'g': CASE WHEN s.p <= 0 THEN repeat('0', 1 - s.p) || s.g ELSE rpad(s.g, greatest(s.p, length(s.g))::INT, '0') END}})"
+    halves = f"list_transform({padded}, lambda s: {{'neg': s.neg, 'w': regexp_replace(left(s.g, s.p), '^0+([0-9])', '\\1'), 'r': regexp_replace(substr(s.g, s.p + 1), '0+$', '')}})"
+    text = f"list_transform({halves}, lambda s: CASE WHEN s.neg AND regexp_matches(s.w || s.r, '[1-9]') THEN '-' ELSE '' END || s.w || CASE WHEN s.r <> '' THEN '.' || s.r ELSE '' END)[1]"
+    return f"CASE WHEN regexp_matches({bare}, '{A.PLAIN_NUMBER}') THEN {text} ELSE {otherwise} END"
+
+
 _POW = "CASE {u} WHEN 'thousand' THEN 3 WHEN 'million' THEN 6 WHEN 'billion' THEN 9 WHEN 'trillion' THEN 12 END"
 
 
 @query(
     f"""WITH s AS (SELECT a_id, answer, {_unit_sql("answer")} AS unit, {_TOKEN} AS v, {_unit_sql("question", "in ")} AS target FROM {N}),
-    c AS (SELECT *, CASE WHEN unit IS NULL THEN v ELSE v * power(10.0, {_POW.format(u="unit")} - {_POW.format(u="target")}) END AS x FROM s)
-    SELECT a_id, CASE WHEN target IS NULL OR v IS NULL THEN {sql_strip("replace(answer, '$', '')")} ELSE regexp_replace(regexp_replace(x::DECIMAL(28, 8)::VARCHAR, '0+$', ''), '\\.$', '') END AS answer FROM c"""
+    c AS (SELECT *, CASE WHEN unit IS NULL THEN v ELSE v * power(10.0, {_POW.format(u="unit")} - {_POW.format(u="target")}) END AS x, coalesce({_POW.format(u="unit")} - {_POW.format(u="target")}, 0) AS d FROM s),
+    e AS (SELECT *, {sql_exact("answer", "d", "regexp_replace(regexp_replace(TRY_CAST(x AS DECIMAL(28, 8))::VARCHAR, '0+$', ''), '[.]$', '')")} AS number FROM c)
+    SELECT a_id, CASE WHEN target IS NULL OR number IS NULL THEN {sql_strip("replace(answer, '$', '')")} ELSE number END AS answer FROM e"""
 )
 def unit_convert(spark, sf_dir):
     return answers(spark, sf_dir).select("a_id", A.convert(F.col("question"), F.col("answer")).alias("answer"))

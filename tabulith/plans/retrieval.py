@@ -555,3 +555,12 @@ def feature_store(spark, sf_dir):
         docs.where(part).select("file_name", "text").write.format("bulletins").mode("append").save(folder)
         store.update(folder)
     return store.read(folder).where("heading is not null").select("file_name", F.md5("heading").alias("headings"))
+
+
+@query(f"{ASKS_SQL}, held AS (SELECT q_id, doc_id, years, {norm('text')} AS content FROM documents JOIN asks ON substr(q_id, 2)::BIGINT = doc_id % (SELECT max(item_id) + 1 FROM benchmark)) SELECT q_id, doc_id, len(years) AS n_years, len(list_filter(years, lambda y: {number_in('content', 'y')})) AS hits FROM held")
+def year_hits(spark, sf_dir):
+    """How many of a question's years each document names, the documents dealt to questions by doc_id."""
+    q = questions(spark, sf_dir).select("q_id", F.substring("q_id", 2, 20).cast("long").alias("_n"), T.years(F.col("question")).alias("years"))
+    among = q.agg(F.max("_n") + 1).first()[0] or 1
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.pmod("doc_id", F.lit(among)).alias("_n"), F.array_distinct(S.known_years(T.normalize(F.col("text")))).alias("_held"))
+    return docs.join(q, "_n").select("q_id", "doc_id", F.size("years").cast("long").alias("n_years"), F.size(F.array_intersect("years", "_held")).cast("long").alias("hits"))

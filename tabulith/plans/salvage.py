@@ -14,7 +14,7 @@ from tabulith.operators import functions as U
 from tabulith.operators import routing as Z
 from tabulith.operators import tools as X
 from tabulith.plans import fixtures as I
-from tabulith.plans.catalogue import _BARE, _HD, _NTH, _PH, N, _unit_sql, answers, filled_shape, pick, query, sql_any, sql_list, table
+from tabulith.plans.catalogue import _BARE, _HD, _NTH, _PH, N, _unit_sql, answers, filled_shape, pick, query, sql_any, sql_exact, sql_list, table
 from tabulith.plans.retrieval import ASKS_SQL, BREAKS, asks, quoted, strip
 from tabulith.sources.scratch import shared_dir
 from tabulith.streaming import messages as M
@@ -83,8 +83,11 @@ _TARGET = _unit_sql("question", "in ")
 
 def convert(a: str) -> str:
     unit = _unit_sql(a)
-    scaled = f"({value(a)}::DOUBLE * power(10.0, {_POWER.format(u=unit)} - {_POWER.format(u=_TARGET)}))"
-    return f"CASE WHEN ({_TARGET}) IS NULL OR {value(a)} IS NULL THEN {strip(f'''replace({a}, '$', '')''')} WHEN ({unit}) IS NULL THEN {shown(value(a))} ELSE {shown(scaled)} END"
+    by = f"{_POWER.format(u=unit)} - {_POWER.format(u=_TARGET)}"
+    scaled = f"({value(a)}::DOUBLE * power(10.0, {by}))"
+    number = sql_exact(a, f"coalesce({by}, 0)", f"CASE WHEN ({unit}) IS NULL THEN {shown(value(a))} ELSE {shown(scaled)} END")
+    plain = strip(f"replace({a}, '$', '')")
+    return f"CASE WHEN ({_TARGET}) IS NULL THEN {plain} ELSE coalesce({number}, {plain}) END"
 
 
 _LENGTH = f"""coalesce(TRY_CAST(regexp_extract(lower(question), '\\bcontaining\\s+([0-9]+)\\s+numbers?\\b', 1) AS INT), CASE {_NTH} WHEN {sql_any("lower(question)", ["slope and intercept", "inside square brackets", "enclosed brackets"])} THEN 2 END)"""
@@ -112,7 +115,7 @@ def percent(text: str) -> str:
     v = value("x.t")
     said = best(f"list_transform(list_filter({kept}, lambda x: {explicit}), lambda x: {{'s': {cue} + 6, 'i': x.i, 'j': x.j, 'a': {clean('x.t')}}})")
     small = f"abs({v}) > 0 AND abs({v}) < 1"
-    plain = best(f"list_transform(list_filter({kept}, lambda x: NOT {explicit}), lambda x: {{'s': {cue} + CASE WHEN {small} THEN 4 WHEN abs({v}) <= 1000 THEN 2 ELSE -10 END, 'i': x.i, 'j': x.j, 'a': {shown(f'CASE WHEN {small} THEN {v} * 100 ELSE {v} END')}}})")
+    plain = best(f"list_transform(list_filter({kept}, lambda x: NOT {explicit}), lambda x: {{'s': {cue} + CASE WHEN {small} THEN 4 WHEN abs({v}) <= 1000 THEN 2 ELSE -10 END, 'i': x.i, 'j': x.j, 'a': {sql_exact('x.t', f'CASE WHEN {small} THEN 2 ELSE 0 END', shown(f'CASE WHEN {small} THEN {v} * 100 ELSE {v} END'))}}})")
     return f"coalesce(CASE WHEN {_SIGN} THEN {said} ELSE replace({said}, '%', '') END, CASE WHEN {_SIGN} THEN {plain} || '%' ELSE {plain} END)"
 
 

@@ -157,3 +157,20 @@ def test_tools():
 def test_months_beside_accents_are_no_words(spark):
     rows = spark.createDataFrame([("mar",), ("émar",), ("maré",), ("3 Mar 4  %",)], "x string")
     assert [r.s for r in rows.select(T.table_signal(F.col("x")).alias("s")).collect()] == [1, 0, 0, 6]
+
+
+def test_audit_of_computed_answers(spark):
+    """Only computed numbers are shown to the auditor; its failures and empty answers change nothing."""
+    from tabulith.operators import answering as W
+
+    rows = spark.createDataFrame(
+        [(1, "What is the total, in percent?", "14"), (2, "Which month was it?", "May"), (3, "What is the sum?", "7"), (4, "What is the difference?", "9"), (5, "What is the mean?", None), (6, "What is the ratio?", "0.5")], "i int, question string, answer string"
+    )
+
+    def auditor(question, answer):
+        if "sum" in question:
+            raise ValueError("no")
+        return {"14": "So it is:\n14%", "9": "  ", "May": "June"}.get(answer, answer)
+
+    assert {r.i: r.answer for r in W.audited(rows, auditor).collect()} == {1: "14%", 2: "May", 3: "7", 4: "9", 5: None, 6: "0.5"}
+    assert W.audited(rows) is rows

@@ -44,6 +44,22 @@ def test_answers(spark):
     assert all(r.e == r.g for r in rows), rows
 
 
+def test_conversion_keeps_every_digit(spark):
+    from decimal import Decimal, localcontext
+
+    cases = [(f"in {u}", f"{n} {v}") for n in ("129124", "-0.000000000123456789", "12345678901234567890.5", "1,000", "+7.50", "0", "-0.0", ".5", "5.", "100", "$3.25") for u in ("thousand", "million", "trillion") for v in ("", "thousand", "million", "billion", "trillion")]
+    power = {"": None, "thousand": 3, "million": 6, "billion": 9, "trillion": 12}
+    got = spark.createDataFrame(cases, "q string, a string").select("q", "a", A.convert(F.col("q"), F.col("a")).alias("g")).collect()
+    with localcontext() as exact:
+        exact.prec = 60
+        for r in got:
+            n, _, unit = r.a.partition(" ")
+            by = power[unit] - power[r.q[3:]] if unit else 0
+            want = f"{Decimal(n.replace(',', '').replace('$', '')).scaleb(by):f}"
+            want = want.rstrip("0").rstrip(".") if "." in want else want
+            assert r.g == ("0" if not want.strip("-0.") else want), (r, want)
+
+
 def test_votes(spark):
     got = {r.q_id: r.winner for r in V.vote(spark.createDataFrame(I.VOTES, "q_id string, pos int, answer string")).collect()}
     assert got == {"v1": "100.5", "v2": "march 1977", "v3": "(1,234)", "v4": "0.4", "v5": "only one", "v6": "b"}

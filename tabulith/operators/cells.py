@@ -74,11 +74,14 @@ def series(found: DataFrame, keys: list[str]) -> DataFrame:
 def statistics(rows: DataFrame, keys: list[str], x: str, y: str, digits: int = 2) -> DataFrame:
     """Count, mean, geometric mean, median, deviation, slope, intercept, correlation and weighted mean of ``y`` over ``x`` for each key.
 
-    The geometric mean is that of the positive values; it is null if there are none, and so are figures that need two values from one.
+    The geometric mean is that of the positive values; it is null if there are none, and so are figures that need two values from one, or two
+    different ones.  Whether values differ is seen from the least and the greatest: sums of squares that tasks merge leave traces where all are equal.
     """
-    cell = lambda c, name, d=digits: F.round(c, d).alias(name)
+    cell = lambda c, name, d=digits: (F.round(c * 10**d) / 10**d).alias(name)
     v, m = F.col(y), F.col(x)
+    differ = lambda c, other: F.min(F.when(other.isNotNull(), c)) < F.max(F.when(other.isNotNull(), c))
+    sloped, both = differ(m, v), differ(m, v) & differ(v, m)
     return rows.groupBy(*keys).agg(
         F.count(v).alias("n"), cell(F.avg(v), "mean"), cell(F.exp(F.avg(F.when(v > 0, F.ln(v)))), "geometric_mean"), cell(F.median(v), "med"), cell(F.stddev_samp(v), "sd"),
-        cell(F.regr_slope(v, m), "slope"), cell(F.regr_intercept(v, m), "intercept"), cell(F.try_divide(F.covar_samp(v, m), F.stddev_samp(v) * F.stddev_samp(m)), "r", 6), cell(F.try_divide(F.sum(v * m), F.sum(m)), "weighted"),
+        cell(F.when(sloped, F.regr_slope(v, m)), "slope"), cell(F.when(sloped, F.regr_intercept(v, m)), "intercept"), cell(F.when(both, F.try_divide(F.covar_samp(v, m), F.stddev_samp(v) * F.stddev_samp(m))), "r", 6), cell(F.try_divide(F.sum(v * m), F.sum(m)), "weighted"),
     )

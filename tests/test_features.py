@@ -140,6 +140,16 @@ def test_series_statistics(spark):
     assert got["neg"]["geometric_mean"] is None and got["one"]["sd"] is None and math.isclose(got["one"]["weighted"], 7.0)
 
 
+def test_series_of_equal_months_have_no_slope(spark):
+    rows = [(60, float(v % 3), 0.1) for v in range(200)] + [(61, 1.0, 2.0), (61, 2.0, None), (62, 1.0, 2.0), (62, 2.0, 5.0)]
+    # counts of tasks by which a mean of equal values is not quite that value, 49 the least
+    equal = spark.range(0, 60 * 7 * 49, 1, 7).selectExpr("cast(id % 60 as int) AS key", "cast(1 + id % 12 as double) AS x", "cast(id * 7919 % 500000 as double) AS y")
+    frame = spark.createDataFrame(rows, "key int, x double, y double").union(equal)
+    got = {r.key: (r.slope, r.intercept, r.r) for r in Y.statistics(frame, ["key"], "x", "y").collect()}
+    assert all(got[k] == (None, None, None) for k in [*range(60), 61])
+    assert got[60] == (0.0, 0.1, None) and got[62] == (3.0, -1.0, 1.0)
+
+
 def test_bulletin_files(spark, tmp_path):
     D.register(spark)
     folder = tmp_path / "files"

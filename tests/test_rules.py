@@ -257,6 +257,14 @@ def test_narrow_for_question(spark):
     assert all(got["list", t] == list(range(len(x))) for t, x in texts.items())
 
 
+def test_entities_of_any_length(spark):
+    texts = ["Bank of therapy", "Bank of the United States and Ab", "Ab Cd", "Ab and of Cd", "Ab and", "McDonald Of the Sea\vSide", "Treasury " * 40_000, "Ab and " * 40_000 + "Cd", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.named_entities(F.col("t")).alias("e"))
+    got = {r.i: r.e for r in rows.collect()}
+    assert [got[i] for i in range(6)] == [[], ["united states", "bank of the united states and ab"], [], ["ab and of cd"], [], ["donald of", "donald of the sea"]]
+    assert got[6] == [("treasury " * 40_000).strip()] and got[7] == ["ab and " * 40_000 + "cd"] and got[8] is None
+
+
 def test_full_titles(spark):
     table = "| a | b |\n| 1 | 2 |"
     tops = {

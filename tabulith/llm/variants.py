@@ -124,7 +124,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     addition = F.col("b_gone").isNull() & (F.length("a") == F.length("b") + 1)
     half = F.floor(F.length("a") / 2).cast("int")
     first = (F.col("a_side") == 0) | (F.substring(F.col("a"), F.lit(1), half) != F.substring(F.col("b"), F.lit(1), half))
-    met = a.join(b, ["key", "mark"]).where((F.col("a_side") == F.col("b_side")) & (exchange | addition) & first)
+    met = a.join(b.hint("merge"), ["key", "mark"]).where((F.col("a_side") == F.col("b_side")) & (exchange | addition) & first)
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "a_n", "b", "b_n")
 
 
@@ -133,7 +133,7 @@ def with_forms(words: DataFrame, times: int = TIMES) -> DataFrame:
     both = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("m")))
     near = near_pairs(words).select(F.explode(both).alias("_p")).select("_p.*")
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("_best"))
-    found = words.join(best, "word", "left")
+    found = words.join(best.hint("merge"), "word", "left")
     forms = -F.col("_best.m") >= times * F.col("n")
     return found.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(forms, F.col("_best.other")).alias("form"), F.when(forms, -F.col("_best.m")).alias("form_n"))
 
@@ -145,8 +145,8 @@ def with_roots(forms: DataFrame, times: int = TIMES) -> DataFrame:
     root = forms.where("form is not null").select("word", F.col("form").alias("root"))
     for _ in range(math.ceil(math.log2(steps))):
         ahead = root.select(F.col("word").alias("root"), F.col("root").alias("_next"))
-        root = stash(root.join(ahead, "root", "left").select("word", F.coalesce("_next", "root").alias("root")), "roots")
-    return forms.join(root, "word", "left").withColumn("root", F.coalesce("root", "word"))
+        root = stash(root.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("_next", "root").alias("root")), "roots")
+    return forms.join(root.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def op12_variants(docs: DataFrame) -> DataFrame:

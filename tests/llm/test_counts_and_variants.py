@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tabulith.llm import importance, token_counts, variants
+from tabulith.llm.common import stash
 
 #: Extra columns with names that the operators use inside.
 EXTRA = ["word", "n", "digest", "file", "row", "score", "weight", "_at", "_part", "copies", "rank", "key"]
@@ -146,6 +147,15 @@ def test_anagrams_do_not_meet_in_pairs(spark):
     assert variants.near_pairs(frame).count() == 0
 
 
+def test_words_are_not_gathered_on_the_driver(spark, capsys):
+    words = stash(spark.range(3_000).select(F.concat(F.lit("abcdef"), F.translate(F.col("id").cast("string"), "0123456789", "ghijklmnop")).alias("word"), (F.col("id") + 5).alias("n")), "words")
+    forms = stash(variants.with_forms(words), "forms")
+    for made in (variants.near_pairs(words), variants.with_forms(words), variants.with_roots(forms)):
+        made.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_token_counts(spark, rows, tmp_path):
     tok = Tokenizer.from_file(PATH)
     want = sorted(((-1 if i is None else i), len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)

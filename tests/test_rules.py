@@ -1,5 +1,7 @@
 """Rules of the domain on small inline inputs."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tabulith.functions import answers as A
@@ -265,6 +267,32 @@ def test_entities_of_any_length(spark):
     assert got[6] == [("treasury " * 40_000).strip()] and got[7] == ["ab and " * 40_000 + "cd"] and got[8] is None
 
 
+def test_keyword_scores_in_bounded_tasks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 40, f"debt {'bonds ' * (i % 7)} notes{i % 3} the") for i in range(50)], "doc_id int, text string")
+    asked = spark.createDataFrame([(q, f"Debt, notes{q % 3} and bonds" if q % 2 else "bonds the") for q in range(6)], "q_id int, question string")
+    want: dict[int, dict[str, int]] = {}
+    for d, text in docs.collect():
+        for w in text.split():
+            want.setdefault(d, {})[w] = want.setdefault(d, {}).get(w, 0) + 1
+    terms = lambda q: ["debt", f"notes{q % 3}", "bonds"] if q % 2 else ["bonds"]
+    full = {(q, d): s for q in range(6) for d, tf in want.items() if (s := sum(2 * min(tf.get(t, 0), 4) for t in terms(q)))}
+    monkeypatch.setattr(R, "PAIRS", 10)
+    got = R.keyword_scores(asked, docs)
+    assert {(r.q_id, r.doc_id): r.score for r in got.collect()} == full
+    assert max(r.n for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()) <= 60
+
+
+def test_pinned_first(spark):
+    rng = random.Random(8)
+    rows = [(q, i, rng.choice([-2, -1, 0, 0, 3, 4]) if q % 3 else rng.choice([-1, 0]), rng.random() < 0.4) for q in range(60) for i in rng.sample(range(99), rng.randrange(1, 12))]
+    got = R.pinned_first(spark.createDataFrame(rows, "q_id int, idx int, score int, pinned boolean").repartition(5), "q_id", 4).collect()
+    for q in range(60):
+        own = [r for r in rows if r[0] == q]
+        flat = len(own) <= 4 or max(r[2] for r in own) <= 0
+        own.sort(key=lambda r: (not r[3], 0 if flat else -r[2], r[1]))
+        assert [tuple(r)[:4] for r in sorted((r for r in got if r.q_id == q), key=lambda r: r.rank)] == own[:4]
+
+
 def test_full_titles(spark):
     table = "| a | b |\n| 1 | 2 |"
     tops = {

@@ -293,6 +293,13 @@ def test_pinned_first(spark):
         assert [tuple(r)[:4] for r in sorted((r for r in got if r.q_id == q), key=lambda r: r.rank)] == own[:4]
 
 
+def test_narrowing_asks_each_question_once(spark):
+    asks = P.with_profile(spark.createDataFrame([(1, "What was Gross Debt in March 1950?")], "q int, question string"))
+    rows = B.with_narrowing(asks).drop("question").crossJoin(spark.createDataFrame([(7, "a\n Gross debt 1950 March \n\ntotal")], "t int, text string"))
+    got = {r.line_no: r.score for r in B.narrow_for_question(rows, ["q", "t"]).collect()}
+    assert got == {0: 0, 1: 23, 2: 0, 3: 3}
+
+
 def test_full_titles(spark):
     table = "| a | b |\n| 1 | 2 |"
     tops = {

@@ -19,10 +19,6 @@ from tabulith.sources.scratch import spread, stash
 TABLES, SECTION_LEAST, SECTIONS = 3, 2500, 3
 
 
-#: Columns of a question's profile that narrowing reads.
-NEEDED = ["months", "expects_series_math", "expects_regression", "expects_list", "wants_monthly_series"]
-
-
 def needs(text: str = "question") -> dict[str, Column]:
     """What ``tables.narrowed`` asks of a question."""
     years = F.array_distinct(T.find_all(F.col(text), r"\b(19[2-9][0-9]|20[0-2][0-9])\b"))
@@ -36,8 +32,11 @@ def table_snippets(chosen: DataFrame, asks: DataFrame, tables: DataFrame, key: s
     scored = spread(chosen.select("q_id", key, "budget")).join(asks, "q_id").join(near.drop("body"), key).withColumn("_s", S.table_score()).where("_s > 0")
     best = stash(R.top_k(scored.select("q_id", key, "block_no", "budget", "_s"), "q_id", TABLES, F.desc("_s"), F.col("block_no"), more=[key]).withColumnRenamed("rank", "place"), "best")
     # only the tables that are kept are narrowed
-    rows = spread(best).join(asks.select("q_id", *NEEDED, text), "q_id").join(tables.select(key, "block_no", "title", "unit_hint", "body"), [key, "block_no"])
-    body = T.strip(B.narrowed(T.strip(F.col("body")), **needs(text)))
+    # found once a question, not for each line of its tables
+    asked = stash(asks.select("q_id", *(c.alias(f"_n_{name}") for name, c in needs(text).items())), "needs")
+    rows = spread(best).join(asked, "q_id").join(tables.select(key, "block_no", "title", "unit_hint", "body"), [key, "block_no"])
+    rows = B.with_narrowed(rows.withColumn("_body", T.strip(F.col("body"))), "_body", *(f"_n_{name}" for name in ("years", "months", "terms", "whole")))
+    body = T.strip(F.col("_body"))
     head = F.when((F.col("unit_hint") != "") & ~F.col("title").contains(F.col("unit_hint")), F.concat(F.lit("\nUNIT: "), F.col("unit_hint"))).otherwise("")
     snippet = F.concat(F.lit("TABLE TITLE: "), F.col("title"), head, F.lit("\n"), body)
     rows = rows.select(F.struct("q_id", key).alias("_pair"), "q_id", key, "block_no", "place", "budget", snippet.alias("snippet"))

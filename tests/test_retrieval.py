@@ -90,6 +90,15 @@ def test_narrowed_keeps_positions(spark):
     assert got[1].b == "| a |\n| b |"
 
 
+def test_narrowed_columns_are_narrowed(spark):
+    bodies = ["\n".join([f"| {'total ' if i % 7 == 0 else ''}row {i} {1940 + i % 20} |" for i in range(n)] + ["|---|"]) for n in (3, 42, 90)] + ["", "\n".join(f"r{i}" for i in range(60))]
+    rows = spark.createDataFrame([(i, b, w) for i, b in enumerate(bodies) for w in (True, False)], "i int, body string, w boolean")
+    rows = rows.withColumns({"y": T.strings(["1950"]), "m": T.strings([]), "t": T.strings(["row 7"])})
+    want = {(r.i, r.w): r.b for r in rows.select("i", "w", B.narrowed(F.col("body"), F.col("y"), F.col("m"), F.col("t"), F.col("w")).alias("b")).collect()}
+    assert {(r.i, r.w): r.body for r in B.with_narrowed(rows, "body", "y", "m", "t", "w").collect()} == want
+    assert want[2, False].count("\n") < bodies[2].count("\n") and want[4, False].count("\n") == 41
+
+
 def test_dates_point_to_issues(spark):
     issues = spark.sql("SELECT explode(sequence(DATE '1939-01-01', DATE '2025-12-01', interval 1 month)) AS pub_date")
     q = asks(

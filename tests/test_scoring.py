@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tabulith.functions import rules as R
 from tabulith.functions import scoring as S
+from tabulith.operators import scoring as O
 from tabulith.operators import tables as B
 
 
@@ -32,3 +33,14 @@ def test_lines_of_sections_are_looked_at_once(spark):
     f = S.with_section_features(spark.createDataFrame([(text,)], "section string"), "section", "f").first().f
     assert (f.n, f.dense, f.monthly, f.numeric, f.dates, f.percents, f.totals) == (11, 1, 2, 1, 3, 1, 7)
     assert f.line_years.count(1950) == 8 and f.line_years.count(1951) == 1 and f.table_years == [1950, 1951, 1952]
+
+
+def test_a_pair_does_not_pay_for_long_tables(spark):
+    head = "TABLE FD-1. - Debt\n| Year | Amount |\n"
+    texts = [head + "| 1950 | 3,000 |\n" * n + "| 1951 | 19500 |\n| 1849 | 2 |" for n in (5, 6, 900)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    q = S.with_conditions(spark.createDataFrame([("q", "What was the debt in 1950 and 1951?")], "q_id string, question string"))
+    hits = O.table_hits(O.scored_tables(docs), q)
+    rows = hits.crossJoin(q).select("doc_id", "features.text_years", S.table_score().alias("s")).orderBy("doc_id").collect()
+    assert [r.text_years for r in rows] == [[1950] * n + [1951] for n in (5, 6, 6)]
+    assert [r.s - rows[0].s for r in rows] == [0, 5, 10] and "text" not in hits.schema["features"].dataType.names

@@ -44,3 +44,14 @@ def test_a_pair_does_not_pay_for_long_tables(spark):
     rows = hits.crossJoin(q).select("doc_id", "features.text_years", S.table_score().alias("s")).orderBy("doc_id").collect()
     assert [r.text_years for r in rows] == [[1950] * n + [1951] for n in (5, 6, 6)]
     assert [r.s - rows[0].s for r in rows] == [0, 5, 10] and "text" not in hits.schema["features"].dataType.names
+
+
+def test_codes_are_found_without_the_text_of_a_pair(spark):
+    rows = [(i, f"treasury_bulletin_1950_0{i + 1}.txt", f"1950-0{i + 1}-01", t) for i, t in enumerate(["see fd-1a here", "see nothing here", "", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, file_name string, pub_date string, text string").withColumn("pub_date", F.col("pub_date").cast("date"))
+    q = S.with_conditions(spark.createDataFrame([("q", "What is in FD-1A?")], "q_id string, question string")).withColumn("keywords", F.array(F.lit("zebra")))
+    tables = O.scored_tables(docs)
+    full = O.full_scores(docs.select(F.lit("q").alias("q_id"), "doc_id"), q, docs, O.files(docs, tables), tables)
+    got = {r.doc_id: r.score for r in full.collect()}
+    assert got[0] - got[1] == 30 and got[2] == got[3] == 0
+    assert "norm_text" not in full._jdf.queryExecution().optimizedPlan().toString()

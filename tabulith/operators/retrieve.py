@@ -18,11 +18,12 @@ def limits(asks: DataFrame, files: int = 2, chars: int = 12000) -> DataFrame:
     return asks.select("q_id", most.alias("max_files"), size.alias("max_chars"))
 
 
-def scored_candidates(asks: DataFrame, docs: DataFrame, files: DataFrame, tables: DataFrame, key: str = "doc_id", text: str = "text", first: int = 30, following: int = 6, least: int = 2) -> DataFrame:
+def scored_candidates(asks: DataFrame, docs: DataFrame, files: DataFrame, tables: DataFrame, key: str = "doc_id", text: str = "text", first: int = 30, following: int = 6, least: int = 2, preview: int | None = 8000) -> DataFrame:
     """(q_id, key, file_name, place, pinned, score): files by date, then, for questions that ask for it (K3), the best of all files.
 
     A question without any candidate has all files.  Files by date, those of the first stage of the search and those of questions without
-    candidates are scored by SC4 once, together; the search then takes its best from these scores.
+    candidates are scored by SC4 once, together; the search then takes its best from these scores.  Sections are those of previews of so many
+    characters, or of whole texts without ``preview``.
     """
     named = files.select(key, "file_name", "pub_date")
     dated = stash(C.dated_candidates(asks, files, years=following).join(named, "pub_date").select("q_id", key, "file_name", "source_rank", "pos", "pinned"), "dated")
@@ -31,7 +32,7 @@ def scored_candidates(asks: DataFrame, docs: DataFrame, files: DataFrame, tables
     without = asks.select("q_id").join(dated.select("q_id").union(near.select("q_id")).distinct(), "q_id", "left_anti")
     every = stash(without.crossJoin(named), "every")  # the few questions that name no date and ask for no search
     pairs = stash(dated.select("q_id", key).union(near).union(every.select("q_id", key)).distinct(), "pairs")
-    scores = stash(O.full_scores(pairs, asks, docs, files, tables, key, text).select("q_id", key, "file_name", "score"), "scores")
+    scores = stash(O.full_scores(pairs, asks, docs, files, tables, key, text, preview).select("q_id", key, "file_name", "score"), "scores")
     keep = wide.select("q_id", F.greatest(F.lit(18), P.context_limits(F.col("families"), least)[0] * 4).alias("_keep"))
     rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "file_name"))
     best = scores.join(near, ["q_id", key], "left_semi").withColumn("rank", rank).join(keep, "q_id").where(F.col("rank") <= F.col("_keep"))

@@ -6,6 +6,8 @@ from tabulith.functions import rules as R
 from tabulith.functions import scoring as S
 from tabulith.operators import scoring as O
 from tabulith.operators import tables as B
+from tabulith.plans import queries as Q
+from tabulith.plans import retrieval as V
 
 
 def test_titles_meet_lines_by_their_numbers(spark):
@@ -55,3 +57,21 @@ def test_codes_are_found_without_the_text_of_a_pair(spark):
     got = {r.doc_id: r.score for r in full.collect()}
     assert got[0] - got[1] == 30 and got[2] == got[3] == 0
     assert "norm_text" not in full._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_every_section_of_a_long_file_is_scored(spark):
+    """A section between the windows of a preview counts; a preview is read only where it is asked for."""
+    prose = "plain words of no use " * 4 + "\n"
+    best = "National defense expenditures:\n" + "national defense 1940 2,602 3,000 total\n" * 4
+    rows = [(i, f"treasury_bulletin_1941_0{i + 1}.txt", f"1941-0{i + 1}-01", t) for i, t in enumerate([prose * 60 + best + prose * 160, prose * 220, best])]
+    docs = spark.createDataFrame(rows, "doc_id long, file_name string, pub_date string, text string").withColumn("pub_date", F.col("pub_date").cast("date"))
+    q = S.with_conditions(spark.createDataFrame([("q", "What was the total national defense expenditure in 1940?")], "q_id string, question string"))
+    tables = O.scored_tables(docs)
+    files = O.files(docs, tables)
+    every = O.section_hits(B.section_texts(docs), q).crossJoin(q).groupBy("doc_id").agg(F.max(S.section_score()).alias("s"))
+    want = {r.doc_id: r.s for r in every.collect()}
+    got = {r.doc_id: (r.section, r.rank) for r in O.two_stage(q, docs, files, tables).collect()}
+    assert {d: s for d, (s, _) in got.items()} == want and want[0] == want[2] > want[1]
+    seen = O.full_scores(docs.select(F.lit("q").alias("q_id"), "doc_id"), q, docs, files, tables, preview=8000)
+    assert {r.doc_id: r.section for r in seen.collect()}[0] < want[0]
+    assert V.PREVIEW not in Q.ORACLE_SQL["two_stage_topk"] and V.PREVIEW in Q.ORACLE_SQL["find_sources"]
